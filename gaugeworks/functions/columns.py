@@ -8,6 +8,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def text_literal(value: str) -> str:
+    """A string as SQL text."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def name_of(column: str) -> str:
+    """A column name as SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def struct_sql(**fields: str) -> str:
+    """A struct of SQL expressions as SQL text."""
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
+def share_sql(part: str, whole: str) -> str:
+    """:func:`share` as SQL text."""
+    return f"coalesce(try_divide(double({part}), double({whole})), 0.0D)"
+
+
+def rows_from_sql(structs: Sequence[str]) -> Column:
+    """Generator that turns structs, given as SQL text, into rows of one wide row.
+
+    One parsed expression instead of a Column per field keeps building a plan with
+    hundreds of expressions fast.
+    """
+    return F.expr(f"inline(array({', '.join(structs)}))")
+
+
 def share(part: Column, whole: Column) -> Column:
     """``part / whole`` as double, 0.0 when there is nothing to divide by."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
@@ -18,11 +48,6 @@ def ratio_or_null(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def outside(column: Column, low, high) -> Column:
-    """True for values strictly outside the bounds; NULL stays NULL, NaN is outside."""
-    return (column < low) | (column > high)
-
-
 def hash_bucket(key: Column, seed: int, buckets: int = 10_000) -> Column:
     """A bucket in ``[0, buckets)`` that depends on the key and seed only.
 
@@ -39,11 +64,6 @@ def failing_codes(checks: Iterable[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*codes))
 
 
-def rows_from(structs: Sequence[Column]) -> Column:
-    """Generator that turns structs of one wide row into rows."""
-    return F.inline(F.array(*structs))
-
-
 def all_set(columns: Iterable[str]) -> Column:
     """True when none of the columns is NULL."""
     condition = F.lit(True)

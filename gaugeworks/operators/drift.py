@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.columns import rows_from
+from gaugeworks.functions.columns import name_of, rows_from_sql, struct_sql, text_literal
 
 
 def mean_shift(current: DataFrame, reference: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
@@ -23,28 +23,20 @@ def mean_shift(current: DataFrame, reference: DataFrame, columns: Sequence[str],
         return df.select(F.lit(is_current).alias("__current"), *[F.col(c).cast("double").alias(c) for c in columns])
 
     both = tagged(current, True).unionByName(tagged(reference, False))
-    cur, ref = F.col("__current"), ~F.col("__current")
-    stats = []
+    stats, structs = [], []
     for i, c in enumerate(columns):
-        stats += [
-            F.avg(F.when(cur, F.col(c))).alias(f"cm{i}"),
-            F.avg(F.when(ref, F.col(c))).alias(f"rm{i}"),
-            F.stddev(F.when(cur, F.col(c))).alias(f"cs{i}"),
-            F.stddev(F.when(ref, F.col(c))).alias(f"rs{i}"),
-        ]
-    structs = []
-    for i, c in enumerate(columns):
-        shift = F.try_divide(
-            F.abs(F.coalesce(F.col(f"cm{i}"), F.lit(0.0)) - F.col(f"rm{i}")), F.abs(F.col(f"rm{i}"))
-        )
+        for side, condition in (("cur", "__current"), ("ref", "NOT __current")):
+            stats.append(F.expr(f"avg({name_of(c)}) FILTER (WHERE {condition}) AS {side}_mean{i}"))
+            stats.append(F.expr(f"stddev({name_of(c)}) FILTER (WHERE {condition}) AS {side}_sd{i}"))
+        shift = f"try_divide(abs(coalesce(cur_mean{i}, 0.0D) - ref_mean{i}), abs(ref_mean{i}))"
         structs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"cm{i}").alias("current_mean"),
-                F.col(f"rm{i}").alias("reference_mean"),
-                F.col(f"cs{i}").alias("current_stddev"),
-                F.col(f"rs{i}").alias("reference_stddev"),
-                F.round(shift, digits).alias("relative_mean_shift"),
+            struct_sql(
+                column=text_literal(c),
+                current_mean=f"cur_mean{i}",
+                reference_mean=f"ref_mean{i}",
+                current_stddev=f"cur_sd{i}",
+                reference_stddev=f"ref_sd{i}",
+                relative_mean_shift=f"round({shift}, {digits})",
             )
         )
-    return both.agg(*stats).select(rows_from(structs))
+    return both.agg(*stats).select(rows_from_sql(structs))

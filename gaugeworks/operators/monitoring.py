@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.columns import rows_from, share
+from gaugeworks.functions.columns import rows_from_sql, share, struct_sql, text_literal
 from gaugeworks.operators.evaluation import metrics_table
 from gaugeworks.operators.promotion import METRICS
 from gaugeworks.operators.suite import failed_rules
@@ -45,6 +45,18 @@ def _alerts(rows: DataFrame, model: MonitoredModel) -> DataFrame:
     )
 
 
+def _candidate(rule: str, severity: str, observed: str, threshold: str, raised: str) -> str:
+    """A possible alert as SQL text: ``observed`` names a column, ``raised`` is a condition."""
+    return struct_sql(
+        rule=text_literal(rule),
+        severity=text_literal(severity),
+        observed_value=f"string({observed})",
+        threshold=text_literal(threshold),
+        observed_num=observed,
+        raised=raised,
+    )
+
+
 def data_alerts(
     results: DataFrame, model: MonitoredModel, drift: DataFrame | None = None, max_shift: float = MAX_MEAN_SHIFT
 ) -> DataFrame:
@@ -90,48 +102,35 @@ def prediction_summary(
 
 def prediction_alerts(summary: DataFrame, model: MonitoredModel) -> DataFrame:
     """Warn on an implausible positive rate; error on missing predictions or NaN scores. No rows, no alert."""
-    positive, missing, nan = F.col("positive_rate"), F.col("error_rate"), F.col("nan_score_rate")
-    checks = [
-        (
+    limits = f"[{MIN_POSITIVE_RATE}, {MAX_POSITIVE_RATE}]"
+    structs = [
+        _candidate(
             "prediction_distribution",
             "warning",
-            positive,
-            f"[{MIN_POSITIVE_RATE}, {MAX_POSITIVE_RATE}]",
-            (positive > MAX_POSITIVE_RATE) | (positive < MIN_POSITIVE_RATE),
+            "positive_rate",
+            limits,
+            f"positive_rate > {MAX_POSITIVE_RATE}D OR positive_rate < {MIN_POSITIVE_RATE}D",
         ),
-        ("prediction_error_rate", "error", missing, str(MAX_ERROR_RATE), missing > MAX_ERROR_RATE),
-        ("prediction_nan_score_rate", "error", nan, str(MAX_ERROR_RATE), nan > MAX_ERROR_RATE),
+        *[
+            _candidate(rule, "error", rate, str(MAX_ERROR_RATE), f"{rate} > {MAX_ERROR_RATE}D")
+            for rule, rate in (
+                ("prediction_error_rate", "error_rate"),
+                ("prediction_nan_score_rate", "nan_score_rate"),
+            )
+        ],
     ]
-    structs = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(severity).alias("severity"),
-            observed.cast("string").alias("observed_value"),
-            F.lit(threshold).alias("threshold"),
-            observed.alias("observed_num"),
-            raised.alias("raised"),
-        )
-        for rule, severity, observed, threshold, raised in checks
-    ]
-    rows = summary.where(F.col("row_count") > 0).select(rows_from(structs)).where(F.col("raised"))
+    rows = summary.where(F.col("row_count") > 0).select(rows_from_sql(structs)).where("raised")
     return _alerts(rows, model)
 
 
 def performance_alerts(metrics: DataFrame, minima: Mapping[str, float], model: MonitoredModel) -> DataFrame:
     """A critical alert per metric below its minimum. A metrics frame without rows gives none."""
     structs = [
-        F.struct(
-            F.lit(f"model_performance_degradation[{name}]").alias("rule"),
-            F.lit("critical").alias("severity"),
-            F.col(name).cast("string").alias("observed_value"),
-            F.lit(str(minima[name])).alias("threshold"),
-            F.col(name).alias("observed_num"),
-            (F.col(name) < minima[name]).alias("raised"),
-        )
-        for name in METRICS
-        if name in minima
+        _candidate(f"model_performance_degradation[{m}]", "critical", m, str(minima[m]), f"{m} < {minima[m]}D")
+        for m in METRICS
+        if m in minima
     ]
-    return _alerts(metrics.select(rows_from(structs)).where(F.col("raised")), model)
+    return _alerts(metrics.select(rows_from_sql(structs)).where("raised"), model)
 
 
 def monitor_performance(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import SchemaError
-from gaugeworks.functions.columns import outside, rows_from, share
+from gaugeworks.functions.columns import name_of, rows_from_sql, share, share_sql, struct_sql, text_literal
 from gaugeworks.functions.ordered import top_per_group
 from gaugeworks.functions.ranks import exact_quantiles
 from gaugeworks.operators.rules import ROWS, distinct_keys
@@ -47,7 +47,7 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 
 def _null_aggregates(columns: Sequence[str]) -> list[Column]:
-    return [F.count_if(F.col(c).isNull()).alias(f"nulls{i}") for i, c in enumerate(columns)]
+    return [F.expr(f"count_if({name_of(c)} IS NULL) AS nulls{i}") for i, c in enumerate(columns)]
 
 
 def profile_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -55,15 +55,15 @@ def profile_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(df.columns if columns is None else columns)
     row = df.agg(F.count(F.lit(1)).alias(ROWS), *_null_aggregates(columns))
     structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(ROWS).alias("row_count"),
-            F.col(f"nulls{i}").alias("null_count"),
-            F.round(share(F.col(f"nulls{i}"), F.col(ROWS)), _DIGITS).alias("null_percentage"),
+        struct_sql(
+            column=text_literal(c),
+            row_count=ROWS,
+            null_count=f"nulls{i}",
+            null_percentage=f"round({share_sql(f'nulls{i}', ROWS)}, {_DIGITS})",
         )
         for i, c in enumerate(columns)
     ]
-    return row.select(rows_from(structs)).where(F.col("row_count") > 0)
+    return row.select(rows_from_sql(structs)).where(F.col("row_count") > 0)
 
 
 def profile_duplicates(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -79,35 +79,34 @@ def profile_duplicates(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    as_double = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    as_double = df.select(*[F.expr(f"double({name_of(c)}) AS {name_of(c)}") for c in columns])
     return as_double.unpivot([], list(columns), "column", "value")
 
 
 def _quantile_rows(df: DataFrame, columns: Sequence[str], shares: Sequence[float], exact: bool) -> DataFrame:
     if exact:
         return exact_quantiles(_long_numeric(df, columns), shares, "column", "value")
-    row = df.agg(
-        *[
-            F.percentile_approx(F.col(c).cast("double"), list(shares), QUANTILE_ACCURACY).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+    row = df.agg(*_quantile_aggregates(columns, shares))
     return row.select(
-        rows_from([F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("quantiles")) for i, c in enumerate(columns)])
+        rows_from_sql([struct_sql(column=text_literal(c), quantiles=f"q{i}") for i, c in enumerate(columns)])
     )
 
 
+def _quantile_aggregates(columns: Sequence[str], shares: Sequence[float]) -> list[Column]:
+    listed = ", ".join(f"{float(q)}D" for q in shares)
+    return [
+        F.expr(f"percentile_approx(double({name_of(c)}), array({listed}), {QUANTILE_ACCURACY}) AS q{i}")
+        for i, c in enumerate(columns)
+    ]
+
+
 def _numeric_aggregates(columns: Sequence[str]) -> list[Column]:
-    out = []
-    for i, name in enumerate(columns):
-        c = F.col(name).cast("double")
-        out += [
-            F.min(c).alias(f"min{i}"),
-            F.max(c).alias(f"max{i}"),
-            F.avg(c).alias(f"mean{i}"),
-            F.stddev(c).alias(f"sd{i}"),
-        ]
-    return out
+    functions = {"min": "min", "max": "max", "mean": "avg", "sd": "stddev"}
+    return [
+        F.expr(f"{function}(double({name_of(c)})) AS {prefix}{i}")
+        for i, c in enumerate(columns)
+        for prefix, function in functions.items()
+    ]
 
 
 def profile_numeric(
@@ -117,22 +116,15 @@ def profile_numeric(
     columns = list(columns)
     aggregates = _numeric_aggregates(columns)
     if not exact:
-        aggregates += [
-            F.percentile_approx(F.col(c).cast("double"), list(quantiles), QUANTILE_ACCURACY).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]
+        aggregates += _quantile_aggregates(columns, quantiles)
 
-    def entry(i: int, c: str) -> Column:
-        parts = [
-            F.lit(c).alias("column"),
-            F.col(f"min{i}").alias("min"),
-            F.col(f"max{i}").alias("max"),
-            F.col(f"mean{i}").alias("mean"),
-            F.col(f"sd{i}").alias("stddev"),
-        ]
-        return F.struct(*parts, *([] if exact else [F.col(f"q{i}").alias("quantiles")]))
+    def entry(i: int, c: str) -> str:
+        fields = {"column": text_literal(c), "min": f"min{i}", "max": f"max{i}", "mean": f"mean{i}", "stddev": f"sd{i}"}
+        if not exact:
+            fields["quantiles"] = f"q{i}"
+        return struct_sql(**fields)
 
-    rows = df.agg(*aggregates).select(rows_from([entry(i, c) for i, c in enumerate(columns)]))
+    rows = df.agg(*aggregates).select(rows_from_sql([entry(i, c) for i, c in enumerate(columns)]))
     if exact:
         # Both sides have one row per profiled column.
         rows = rows.join(F.broadcast(exact_quantiles(_long_numeric(df, columns), quantiles, "column", "value")), "column", "left")
@@ -205,33 +197,31 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _correlation_aggregates(pairs: Sequence[tuple[str, str]], nulls_as_zero: bool) -> list[Column]:
+    def number(c: str) -> str:
+        value = f"double({name_of(c)})"
+        return f"coalesce({value}, 0.0D)" if nulls_as_zero else value
+
+    return [F.expr(f"corr({number(a)}, {number(b)}) AS r{i}") for i, (a, b) in enumerate(pairs)]
+
+
 def profile_correlations(df: DataFrame, columns: Sequence[str], nulls_as_zero: bool = False) -> DataFrame:
     """Pearson correlation of every pair, rounded.
 
     Pairs with a NULL are left out; ``nulls_as_zero`` counts a NULL as 0 instead.
     """
 
-    def number(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.coalesce(value, F.lit(0.0)) if nulls_as_zero else value
-
     pairs = list(combinations(columns, 2))
     result = None
     for start in range(0, len(pairs), _PAIRS_PER_PASS):
         part = pairs[start : start + _PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = row.select(
-            rows_from(
-                [
-                    F.struct(
-                        F.lit(a).alias("column_a"),
-                        F.lit(b).alias("column_b"),
-                        F.round(F.col(f"r{i}"), _DIGITS).alias("correlation"),
-                    )
-                    for i, (a, b) in enumerate(part)
-                ]
+        structs = [
+            struct_sql(
+                column_a=text_literal(a), column_b=text_literal(b), correlation=f"round(r{i}, {_DIGITS})"
             )
-        )
+            for i, (a, b) in enumerate(part)
+        ]
+        rows = df.agg(*_correlation_aggregates(part, nulls_as_zero)).select(rows_from_sql(structs))
         result = rows if result is None else result.unionByName(rows)
     if result is None:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
@@ -248,35 +238,32 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False)
     columns = list(columns)
     quartiles = _quantile_rows(df, columns, (0.25, 0.75), exact)
     by_column = quartiles.agg(F.map_from_entries(F.collect_list(F.struct("column", "quantiles"))).alias("m"))
-    counted = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).withColumn(
-        "__q", by_column.scalar()
-    )
+    numbers = [F.expr(f"double({name_of(c)}) AS v{i}") for i, c in enumerate(columns)]
+    counted = df.select(*numbers).withColumn("__q", by_column.scalar())
 
-    def fences(c: str) -> tuple[Column, Column, Column, Column]:
-        pair = F.try_element_at(F.col("__q"), F.lit(c))
-        q1, q3 = pair[0], pair[1]
-        reach = F.lit(FENCE_FACTOR) * (q3 - q1)
-        return q1, q3, q1 - reach, q3 + reach
+    def fences(c: str) -> tuple[str, str, str, str]:
+        pair = f"try_element_at(__q, {text_literal(c)})"
+        q1, q3 = f"{pair}[0]", f"{pair}[1]"
+        reach = f"{FENCE_FACTOR}D * ({q3} - {q1})"
+        return q1, q3, f"({q1} - {reach})", f"({q3} + {reach})"
 
     aggregates, structs = [], []
-    for i, c in enumerate(columns):
-        _, _, low, high = fences(c)
-        aggregates.append(F.count_if(outside(F.col(f"v{i}"), low, high)).alias(f"out{i}"))
-    row = counted.agg(*aggregates).withColumn("__q", by_column.scalar())
     for i, c in enumerate(columns):
         q1, q3, low, high = fences(c)
+        aggregates.append(F.expr(f"count_if(v{i} < {low} OR v{i} > {high}) AS out{i}"))
         structs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                q1.alias("q1"),
-                q3.alias("q3"),
-                (q3 - q1).alias("iqr"),
-                low.alias("lower_bound"),
-                high.alias("upper_bound"),
-                F.col(f"out{i}").alias("outlier_count"),
+            struct_sql(
+                column=text_literal(c),
+                q1=q1,
+                q3=q3,
+                iqr=f"{q3} - {q1}",
+                lower_bound=low,
+                upper_bound=high,
+                outlier_count=f"out{i}",
             )
         )
-    return row.select(rows_from(structs))
+    row = counted.agg(*aggregates).withColumn("__q", by_column.scalar())
+    return row.select(rows_from_sql(structs))
 
 
 def month_of(column: Column) -> Column:
@@ -345,39 +332,33 @@ def _scalar_section(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     names, numeric, pairs = df.columns, list(spec.numeric), list(combinations(spec.numeric, 2))
     has_target = spec.target is not None and spec.target in names
     aggregates = [F.count(F.lit(1)).alias(ROWS), *_null_aggregates(names), *_numeric_aggregates(numeric)]
-    aggregates += [
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)
-    ]
+    aggregates += _correlation_aggregates(pairs, False)
     if has_target:
-        aggregates += [
-            F.count_if(F.col(spec.target) == 1).alias("positives"),
-            F.count_if(F.col(spec.target) == 0).alias("negatives"),
-        ]
-    n = F.col(ROWS)
-
-    def entry(section: str, column: str, item: str, number: Column) -> Column:
-        return F.struct(
-            F.lit(section).alias("section"),
-            F.lit(column).alias("column"),
-            F.lit(item).alias("item"),
-            F.round(number.cast("double"), _DIGITS).alias("number"),
+        label = name_of(spec.target)
+        aggregates += [F.expr(f"count_if({label} = {v}) AS {alias}") for v, alias in ((1, "positives"), (0, "negatives"))]
+
+    def entry(section: str, column: str, item: str, number: str) -> str:
+        return struct_sql(
+            section=text_literal(section),
+            column=text_literal(column),
+            item=text_literal(item),
+            number=f"round(double({number}), {_DIGITS})",
         )
 
-    rows = [entry("table", "", "row_count", n), entry("table", "", "column_count", F.lit(len(names)))]
+    rows = [entry("table", "", "row_count", ROWS), entry("table", "", "column_count", str(len(names)))]
     for i, c in enumerate(names):
-        rows.append(entry("nulls", c, "null_count", F.col(f"nulls{i}")))
-        rows.append(entry("nulls", c, "null_percentage", share(F.col(f"nulls{i}"), n)))
+        rows.append(entry("nulls", c, "null_count", f"nulls{i}"))
+        rows.append(entry("nulls", c, "null_percentage", share_sql(f"nulls{i}", ROWS)))
     for i, c in enumerate(numeric):
         for item, prefix in (("min", "min"), ("max", "max"), ("mean", "mean"), ("stddev", "sd")):
-            rows.append(entry("numeric", c, item, F.col(f"{prefix}{i}")))
+            rows.append(entry("numeric", c, item, f"{prefix}{i}"))
     for i, (a, b) in enumerate(pairs):
-        rows.append(entry("correlations", a, b, F.col(f"r{i}")))
+        rows.append(entry("correlations", a, b, f"r{i}"))
     if has_target:
-        rows.append(entry("target", spec.target, "positive_ratio", share(F.col("positives"), n)))
-        rows.append(entry("target", spec.target, "negative_ratio", share(F.col("negatives"), n)))
-        imbalance = F.try_divide(F.col("negatives").cast("double"), F.col("positives").cast("double"))
-        rows.append(entry("target", spec.target, "imbalance_ratio", imbalance))
-    return df.agg(*aggregates).select(rows_from(rows))
+        rows.append(entry("target", spec.target, "positive_ratio", share_sql("positives", ROWS)))
+        rows.append(entry("target", spec.target, "negative_ratio", share_sql("negatives", ROWS)))
+        rows.append(entry("target", spec.target, "imbalance_ratio", "try_divide(double(negatives), double(positives))"))
+    return df.agg(*aggregates).select(rows_from_sql(rows))
 
 
 def profile_report(df: DataFrame, spec: ProfileSpec) -> DataFrame:

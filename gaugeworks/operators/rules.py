@@ -1,8 +1,9 @@
-"""Data-quality rules as aggregate Columns.
+"""Data-quality rules as aggregate expressions.
 
 A rule says which aggregates it needs, how the observed value follows from them
-and when it passes. It never runs anything: a suite puts the aggregates of all
-rules into one pass. Adding a rule means returning another :class:`Rule`.
+and when it passes, all as Spark SQL expressions. It never runs anything: a suite
+puts the aggregates of all rules into one pass. Adding a rule means returning
+another :class:`Rule`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gaugeworks.functions.columns import outside, share
+from gaugeworks.functions.columns import name_of, share_sql, text_literal
 
 INFO, WARNING, ERROR, CRITICAL = "info", "warning", "error", "critical"
 BLOCKING = (ERROR, CRITICAL)
@@ -28,23 +29,29 @@ class Rule:
     """One check.
 
     ``aggregates`` are computed over the checked table and may be used by name in
-    ``observed``, ``passed`` and ``severity``. ``frame`` replaces that pass for
-    rules that need a shuffle: it maps the table to one row holding ``n_rows`` and
-    whatever the rule needs; rules with the same ``frame_key`` share the row.
+    ``observed``, ``passed``, ``severity_sql`` and the texts, next to ``n_rows``.
+    ``scalars`` are single values from elsewhere, usable in the same way.
+    ``frame`` replaces the pass over the table for rules that need a shuffle: it
+    maps the table to one row holding ``n_rows`` and whatever the rule needs; rules
+    with the same ``frame_key`` share that row. ``gate`` looks at the schema; when
+    it fails no other rule of the suite is run.
     """
 
     name: str
     description: str
-    severity: str | Column
-    expected: str | Column
-    observed: Column
-    passed: Column
+    severity: str
+    expected: str
+    observed: str
+    passed: str
     column: str | None = None
     columns: tuple[str, ...] = ()
-    aggregates: Mapping[str, Column] = field(default_factory=dict)
+    aggregates: Mapping[str, str] = field(default_factory=dict)
+    scalars: Mapping[str, Column] = field(default_factory=dict)
     frame: Callable[[DataFrame], DataFrame] | None = None
     frame_key: str | None = None
-    observed_text: Column | None = None
+    observed_text: str | None = None
+    severity_sql: str | None = None
+    expected_sql: str | None = None
     gate: Callable[[StructType], bool] | None = None
 
 
@@ -52,15 +59,19 @@ def _listed(names: Sequence[str]) -> str:
     return "[" + ", ".join(names) + "]"
 
 
+def _literal(value) -> str:
+    return text_literal(value) if isinstance(value, str) else str(value)
+
+
 def _column_list_rule(name, description, severity, offending, expected, gate=None) -> Rule:
     return Rule(
         name=name,
         description=description,
         severity=severity,
         expected=expected,
-        observed=F.lit(float(len(offending))),
-        observed_text=F.lit(_listed(offending)),
-        passed=F.lit(not offending),
+        observed=str(len(offending)),
+        observed_text=text_literal(_listed(offending)),
+        passed=str(not offending),
         gate=gate,
     )
 
@@ -85,50 +96,62 @@ def extra_columns(schema: StructType, allowed: Sequence[str]) -> Rule:
 
 
 def row_count(min_rows: int, max_rows: int) -> Rule:
-    n = F.col(ROWS)
     return Rule(
         name="row_count",
         description="number of rows within bounds",
         severity=CRITICAL,
         expected=f"[{min_rows}, {max_rows}]",
-        observed=n.cast("double"),
-        observed_text=n.cast("string"),
-        passed=n.between(min_rows, max_rows),
+        observed=ROWS,
+        passed=f"{ROWS} BETWEEN {min_rows} AND {max_rows}",
     )
 
 
 def volume_change(previous: int | Column | None, max_change: float) -> Rule:
     """Relative change of the row count; informational without a previous count."""
-    n = F.col(ROWS)
-    before = (previous if isinstance(previous, Column) else F.lit(previous)).cast("bigint")
-    change = F.try_divide(F.abs(n - before).cast("double"), before.cast("double"))
-    no_baseline = before.isNull() | (before == 0)
+    before = "previous_rows"
+    change = f"try_divide(double(abs({ROWS} - {before})), double({before}))"
+    no_baseline = f"({before} IS NULL OR {before} = 0)"
     return Rule(
         name="volume_change",
         description="row count compared with the previous run",
-        severity=F.when(no_baseline, F.lit(INFO)).otherwise(F.lit(WARNING)),
-        expected=F.when(no_baseline, F.lit("no previous run")).otherwise(F.lit(f"<= {max_change}")),
-        observed=F.when(no_baseline, n.cast("double")).otherwise(F.round(change, _SHARE_DIGITS)),
-        observed_text=F.when(no_baseline, n.cast("string")).otherwise(
-            F.round(change, _SHARE_DIGITS).cast("string")
-        ),
-        passed=no_baseline | (change <= max_change),
+        severity=WARNING,
+        severity_sql=f"if({no_baseline}, '{INFO}', '{WARNING}')",
+        expected=f"<= {max_change}",
+        expected_sql=f"if({no_baseline}, 'no previous run', '<= {max_change}')",
+        scalars={before: (previous if isinstance(previous, Column) else F.lit(previous)).cast("bigint")},
+        observed=f"if({no_baseline}, double({ROWS}), round({change}, {_SHARE_DIGITS}))",
+        observed_text=f"if({no_baseline}, string({ROWS}), string(round({change}, {_SHARE_DIGITS})))",
+        passed=f"{no_baseline} OR {change} <= {max_change}D",
     )
 
 
-def null_percentage(column: str, max_share: float) -> Rule:
-    nulls = f"nulls({column})"
-    part = share(F.col(f"`{nulls}`"), F.col(ROWS))
+def _share_rule(name, description, severity, expected, part: str, passed: str, **rest) -> Rule:
+    """``passed`` is a condition on ``{}``, which stands for the unrounded share."""
+    value = share_sql(part, ROWS)
     return Rule(
-        name=f"null_percentage[{column}]",
-        description=f"share of NULL in {column}",
-        severity=ERROR,
-        expected=f"<= {max_share}",
+        name=name,
+        description=description,
+        severity=severity,
+        expected=expected,
+        observed=f"round({value}, {_SHARE_DIGITS})",
+        observed_text=f"string(round({value}, {_SHARE_DIGITS}))",
+        passed=passed.format(value),
+        **rest,
+    )
+
+
+def null_percentage(column: str, max_share: float) -> Rule:
+    alias = f"nulls of {column}"
+    return _share_rule(
+        f"null_percentage[{column}]",
+        f"share of NULL in {column}",
+        ERROR,
+        f"<= {max_share}",
+        name_of(alias),
+        f"{{}} <= {max_share}D",
         column=column,
         columns=(column,),
-        aggregates={nulls: F.count_if(F.col(column).isNull())},
-        observed=F.round(part, _SHARE_DIGITS),
-        passed=part <= max_share,
+        aggregates={alias: f"count_if({name_of(column)} IS NULL)"},
     )
 
 
@@ -139,30 +162,26 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     of the table reaches the shuffle as one row per task.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias(ROWS), F.count(F.lit(1)).alias("n_keys")
-    )
+    return counted.agg(F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count(1) AS n_keys"))
 
 
 def duplicates(keys: Sequence[str], max_share: float) -> Rule:
     keys = tuple(keys)
-    part = share(F.col(ROWS) - F.col("n_keys"), F.col(ROWS))
-    return Rule(
-        name=f"duplicates[{','.join(keys)}]",
-        description=f"share of rows beyond the first per {','.join(keys)}",
-        severity=ERROR,
-        expected=f"<= {max_share}",
+    return _share_rule(
+        f"duplicates[{','.join(keys)}]",
+        f"share of rows beyond the first per {','.join(keys)}",
+        ERROR,
+        f"<= {max_share}",
+        f"{ROWS} - n_keys",
+        f"{{}} <= {max_share}D",
         columns=keys,
         frame=lambda df: distinct_keys(df, keys),
         frame_key=f"keys:{','.join(keys)}",
-        observed=F.round(part, _SHARE_DIGITS),
-        passed=part <= max_share,
     )
 
 
 def cardinality(column: str, max_distinct: int) -> Rule:
     """Number of distinct values, NULL included."""
-    n = F.col("n_keys")
     return Rule(
         name=f"cardinality[{column}]",
         description=f"distinct values of {column}",
@@ -172,14 +191,12 @@ def cardinality(column: str, max_distinct: int) -> Rule:
         columns=(column,),
         frame=lambda df: distinct_keys(df, [column]),
         frame_key=f"keys:{column}",
-        observed=n.cast("double"),
-        observed_text=n.cast("string"),
-        passed=n <= max_distinct,
+        observed="n_keys",
+        passed=f"n_keys <= {max_distinct}",
     )
 
 
-def _none_allowed(name, description, column, alias, condition) -> Rule:
-    bad = F.col(f"`{alias}`")
+def _none_allowed(name: str, description: str, column: str, bad: str, **rest) -> Rule:
     return Rule(
         name=name,
         description=description,
@@ -187,107 +204,97 @@ def _none_allowed(name, description, column, alias, condition) -> Rule:
         expected="0",
         column=column,
         columns=(column,),
-        aggregates={alias: F.count_if(condition)},
-        observed=bad.cast("double"),
-        observed_text=bad.cast("string"),
-        passed=bad == 0,
+        observed=bad,
+        passed=f"{bad} = 0",
+        **rest,
     )
 
 
 def value_range(column: str, low: float, high: float) -> Rule:
     """No value outside the bounds; NULL passes, NaN does not."""
+    alias, c = f"{column} outside {low} to {high}", name_of(column)
     return _none_allowed(
         f"value_range[{column}]",
         f"{column} between {low} and {high}",
         column,
-        f"outside({column},{low},{high})",
-        outside(F.col(column), low, high),
+        name_of(alias),
+        aggregates={alias: f"count_if({c} < {low} OR {c} > {high})"},
     )
 
 
 def allowed_domain(column: str, values: Sequence) -> Rule:
     """No non-NULL value outside a short list."""
+    alias, c = f"{column} off its domain", name_of(column)
+    listed = ", ".join(_literal(v) for v in values)
     return _none_allowed(
         f"allowed_domain[{column}]",
         f"{column} in {_listed([str(v) for v in values])}",
         column,
-        f"off_domain({column})",
-        F.col(column).isNotNull() & ~F.col(column).isin(list(values)),
+        name_of(alias),
+        aggregates={alias: f"count_if({c} IS NOT NULL AND {c} NOT IN ({listed}))"},
     )
 
 
+def _matched_values(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
+    """Distinct values of a column with their row count ``n`` and whether they are known.
+
+    Values are counted before the join, so a frequent value takes part as one row.
+    """
+    values = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
+    listed = known.select(F.col(known_column).alias("__value")).distinct().withColumn("__known", F.lit(True))
+    return values.join(listed, "__value", "left")
+
+
 def allowed_domain_table(column: str, domain: DataFrame, domain_column: str) -> Rule:
     """:func:`allowed_domain` for a list too long for a literal: rows whose value is not in ``domain``."""
-    bad = F.col("n_bad")
 
     def frame(df: DataFrame) -> DataFrame:
-        counted = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
-        known = domain.select(F.col(domain_column).alias("__value")).distinct().withColumn("__known", F.lit(True))
-        matched = counted.join(known, "__value", "left")
-        off = F.col("__value").isNotNull() & F.col("__known").isNull()
-        return matched.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias(ROWS),
-            F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0)).alias("n_bad"),
+        return _matched_values(df, column, domain, domain_column).agg(
+            F.expr(f"coalesce(sum(n), 0) AS {ROWS}"),
+            F.expr("coalesce(sum(n) FILTER (WHERE __value IS NOT NULL AND __known IS NULL), 0) AS n_bad"),
         )
 
-    return Rule(
-        name=f"allowed_domain[{column}]",
-        description=f"{column} is listed in a domain table",
-        severity=ERROR,
-        expected="0",
-        column=column,
-        columns=(column,),
+    return _none_allowed(
+        f"allowed_domain[{column}]",
+        f"{column} is listed in a domain table",
+        column,
+        "n_bad",
         frame=frame,
         frame_key=f"domain:{column}:{id(domain)}",
-        observed=bad.cast("double"),
-        observed_text=bad.cast("string"),
-        passed=bad == 0,
     )
 
 
 def target_distribution(column: str, low: float = 0.01, high: float = 0.99) -> Rule:
     """Share of rows with label 1; an empty table has share 0 and so fails a positive bound."""
-    alias = f"positives({column})"
-    part = share(F.col(f"`{alias}`"), F.col(ROWS))
-    return Rule(
-        name=f"target_distribution[{column}]",
-        description="share of the positive class is plausible",
-        severity=WARNING,
-        expected=f"[{low}, {high}]",
+    alias = f"positives of {column}"
+    return _share_rule(
+        f"target_distribution[{column}]",
+        "share of the positive class is plausible",
+        WARNING,
+        f"[{low}, {high}]",
+        name_of(alias),
+        f"{{}} BETWEEN {low}D AND {high}D",
         column=column,
         columns=(column,),
-        aggregates={alias: F.count_if(F.col(column) == 1)},
-        observed=F.round(part, _SHARE_DIGITS),
-        passed=part.between(low, high),
+        aggregates={alias: f"count_if({name_of(column)} = 1)"},
     )
 
 
 def referential_integrity(column: str, reference: DataFrame, reference_column: str) -> Rule:
     """Distinct values without a match in the reference; NULL matches nothing and counts once."""
-    bad = F.col("n_orphans")
 
     def frame(df: DataFrame) -> DataFrame:
-        values = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
-        known = (
-            reference.select(F.col(reference_column).alias("__value")).distinct().withColumn("__known", F.lit(True))
-        )
-        return values.join(known, "__value", "left").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias(ROWS),
-            F.count_if(F.col("__known").isNull()).alias("n_orphans"),
+        return _matched_values(df, column, reference, reference_column).agg(
+            F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count_if(__known IS NULL) AS n_orphans")
         )
 
-    return Rule(
-        name=f"referential_integrity[{column}]",
-        description=f"{column} exists in the reference",
-        severity=ERROR,
-        expected="0",
-        column=column,
-        columns=(column,),
+    return _none_allowed(
+        f"referential_integrity[{column}]",
+        f"{column} exists in the reference",
+        column,
+        "n_orphans",
         frame=frame,
         frame_key=f"reference:{column}:{id(reference)}",
-        observed=bad.cast("double"),
-        observed_text=bad.cast("string"),
-        passed=bad == 0,
     )
 
 
@@ -322,7 +329,7 @@ def schema_drift(schema: StructType, reference: StructType) -> Rule:
         description="schema equals the registered one",
         severity=CRITICAL,
         expected="unchanged",
-        observed=F.lit(float(len(changed))),
-        observed_text=F.lit(text),
-        passed=F.lit(not changed),
+        observed=str(len(changed)),
+        observed_text=text_literal(text),
+        passed=str(not changed),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gaugeworks.errors import QualityGateError
-from gaugeworks.functions.columns import rows_from
+from gaugeworks.functions.columns import rows_from_sql, struct_sql, text_literal
 from gaugeworks.operators import rules as r
 
 RESULT_COLUMNS = (
@@ -28,10 +28,6 @@ RESULT_COLUMNS = (
 )
 
 
-def _text(value: str | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 class QualitySuite:
     """An ordered list of rules.
 
@@ -53,35 +49,38 @@ class QualitySuite:
     @staticmethod
     def aggregates(rules: Sequence[r.Rule]) -> list[Column]:
         """The aggregate expressions of the rules, each once, with the row count first."""
-        named: dict[str, Column] = {r.ROWS: F.count(F.lit(1))}
+        named = {r.ROWS: "count(1)"}
         for rule in rules:
             named.update(rule.aggregates)
-        return [column.alias(name) for name, column in named.items()]
+        return [F.expr(sql).alias(name) for name, sql in named.items()]
 
     @staticmethod
-    def verdicts(rules: Sequence[tuple[int, r.Rule]]) -> Column:
-        """Generator that turns one row of aggregates into one row per rule."""
+    def verdicts(row: DataFrame, rules: Sequence[tuple[int, r.Rule]], keep: Sequence[str] = ()) -> DataFrame:
+        """One row per rule from a row of aggregates, the ``keep`` columns repeated."""
+        scalars = {name: value for _, rule in rules for name, value in rule.scalars.items()}
+        if scalars:
+            row = row.withColumns(scalars)
+        blocking = ", ".join(text_literal(s) for s in r.BLOCKING)
         structs = []
         for position, rule in rules:
-            status = F.when(rule.passed, F.lit("pass")).otherwise(F.lit("fail"))
-            severity = _text(rule.severity)
-            shown = rule.observed_text if rule.observed_text is not None else rule.observed.cast("string")
+            failed = f"NOT coalesce({rule.passed}, false)"
+            severity = rule.severity_sql or text_literal(rule.severity)
             structs.append(
-                F.struct(
-                    F.lit(position).alias("position"),
-                    F.lit(rule.name).alias("rule"),
-                    F.lit(rule.description).alias("description"),
-                    F.lit(rule.column).cast("string").alias("column"),
-                    severity.alias("severity"),
-                    ((status == "fail") & severity.isin(*r.BLOCKING)).alias("blocking"),
-                    status.alias("status"),
-                    shown.alias("observed"),
-                    _text(rule.expected).alias("expected"),
-                    rule.observed.cast("double").alias("observed_num"),
-                    F.col(r.ROWS).alias("row_count"),
+                struct_sql(
+                    position=str(position),
+                    rule=text_literal(rule.name),
+                    description=text_literal(rule.description),
+                    column="string(NULL)" if rule.column is None else text_literal(rule.column),
+                    severity=severity,
+                    blocking=f"{failed} AND {severity} IN ({blocking})",
+                    status=f"if({failed}, 'fail', 'pass')",
+                    observed=rule.observed_text or f"string({rule.observed})",
+                    expected=rule.expected_sql or text_literal(rule.expected),
+                    observed_num=f"double({rule.observed})",
+                    row_count=r.ROWS,
                 )
             )
-        return rows_from(structs)
+        return row.select(*keep, rows_from_sql(structs))
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         passes: dict[str | None, list[tuple[int, r.Rule]]] = {}
@@ -93,7 +92,7 @@ class QualitySuite:
                 row = df.agg(*self.aggregates([rule for _, rule in members]))
             else:
                 row = members[0][1].frame(df)
-            part = row.select(self.verdicts(members))
+            part = self.verdicts(row, members)
             results = part if results is None else results.unionByName(part)
         return results
 

@@ -28,9 +28,10 @@ def windowed_rules(
         raise ConfigError(f"not possible per window: {', '.join(keyed)}")
     window = F.window(event_time, width, slide) if slide else F.window(event_time, width)
     aggregates = QualitySuite.aggregates(rules)
-    rows = stream.groupBy(window).agg(*aggregates)
-    verdicts = QualitySuite.verdicts(list(enumerate(rules, start=1)))
-    return rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), verdicts)
+    rows = stream.groupBy(window).agg(*aggregates).withColumns(
+        {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
+    )
+    return QualitySuite.verdicts(rows, list(enumerate(rules, start=1)), ("window_start", "window_end"))
 
 
 def windowed_predictions(
