@@ -1,10 +1,4 @@
-"""Running sums over an ordering that is too long for one task.
-
-A window without partition keys sends all rows to one task. Here the values are
-cut into ranges of about equal size first, each range is summed on its own, and
-the sum of all earlier ranges is added afterwards. The result is exact however
-good or bad the cut points are; they only decide how even the tasks are.
-"""
+"""Exact order statistics without sorting the table in one task or shuffling it."""
 
 from __future__ import annotations
 
@@ -13,72 +7,99 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
-_RANGE = "__range"
+from gaugeworks.functions.columns import name_of, rows_from_sql, struct_sql, text_literal
+
+# Relative rank error 1e-4; a sketch of this size is cheap to merge from many tasks.
+SKETCH_ACCURACY = 10_000
 
 
-def _with_range(groups: DataFrame, value: str, by: Sequence[str], ranges: int) -> DataFrame:
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = F.percentile_approx(F.col(value), shares, 10 * ranges).alias("__cuts")
-    if by:
-        cut = groups.join(groups.groupBy(*by).agg(cuts), list(by))
-    else:
-        cut = groups.withColumn("__cuts", groups.agg(cuts).scalar())
-    position = F.size(F.filter(F.col("__cuts"), lambda c: c <= F.col(value)))
-    return cut.withColumn(_RANGE, position).drop("__cuts")
+def sketched_quantiles(columns: Sequence[str], shares: Sequence[float], prefix: str = "q") -> list[Column]:
+    """Aggregates ``<prefix>0, <prefix>1, ...`` with the approximate quantiles of each column as an array."""
+    listed = ", ".join(f"{float(s)}D" for s in shares)
+    return [
+        F.expr(f"percentile_approx(double({name_of(c)}), array({listed}), {SKETCH_ACCURACY}) AS {prefix}{i}")
+        for i, c in enumerate(columns)
+    ]
 
 
-def running_sums(
-    groups: DataFrame, value: str, amounts: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES
-) -> DataFrame:
-    """Add ``<amount>_before`` and ``<amount>_total`` to rows that are distinct in (by, value).
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, quantiles): the smallest value whose rank reaches ``share * n``, NULLs left out.
 
-    ``_before`` is the sum over all smaller values of the same group, ``_total``
-    the sum over the group.
+    A first pass sketches each quantile and takes a bracket around it that is wider
+    than the sketch can be wrong. A second pass counts: rows inside a bracket per
+    value, all other rows per gap between brackets. Only those counts are shuffled,
+    a thousandth of the rows or so, and the ranks in them are exact.
     """
-    by = list(by)
-    ranged = _with_range(groups, value, by, ranges)
-    inside = Window.partitionBy(*by, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    # At most `ranges` rows per group, so these windows stay small.
-    per_range = ranged.groupBy(*by, _RANGE).agg(*[F.sum(a).alias(f"__{a}") for a in amounts])
-    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = per_range.select(
-        *by,
-        _RANGE,
-        *[F.coalesce(F.sum(f"__{a}").over(earlier), F.lit(0)).alias(f"__{a}_offset") for a in amounts],
-        *[F.sum(f"__{a}").over(whole).alias(f"{a}_total") for a in amounts],
+    columns, shares = list(columns), [float(s) for s in shares]
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = [min(max(s + side * margin, 0.0), 1.0) for s in shares for side in (-1, 1)]
+    sketch = df.agg(*sketched_quantiles(columns, edges, "e"))
+    brackets = sketch.select(
+        rows_from_sql([struct_sql(column=text_literal(c), edges=f"e{i}") for i, c in enumerate(columns)])
+    )
+    numbers = df.select(*[F.expr(f"double({name_of(c)}) AS {name_of(c)}") for c in columns])
+    long = numbers.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
+
+    # The outermost ranks have no bound on their outer side.
+    def low(j: int) -> str:
+        return "true" if edges[2 * j] <= 0.0 else f"value >= edges[{2 * j}]"
+
+    def high(j: int) -> str:
+        return "true" if edges[2 * j + 1] >= 1.0 else f"value <= edges[{2 * j + 1}]"
+
+    inside = " OR ".join(f"({low(j)} AND {high(j)})" for j in range(len(shares)))
+    passed = " + ".join(f"if({high(j)}, 0, 1)" for j in range(len(shares)))
+    # One row per column.
+    tagged = long.join(F.broadcast(brackets), "column").select(
+        "column", F.expr(f"{passed} AS gap"), F.expr(f"if({inside}, value, NULL) AS candidate"), F.expr(f"{inside} AS kept")
     )
-    if not by:
-        offsets = F.broadcast(offsets)  # no more than `ranges` rows
-    summed = ranged.select(
-        *by,
-        _RANGE,
-        value,
-        *amounts,
-        *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__{a}_inside") for a in amounts],
+    counted = tagged.groupBy("column", "gap", "kept", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    # Rows outside all brackets lie below the candidates that have passed as many brackets.
+    within = Window.partitionBy("column", "gap").orderBy("kept", "candidate").rowsBetween(Window.unboundedPreceding, -1)
+    per_gap = counted.groupBy("column", "gap").agg(F.sum("n").alias("gap_n"))
+    earlier = Window.partitionBy("column").orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_gap.select(
+        "column",
+        "gap",
+        F.coalesce(F.sum("gap_n").over(earlier), F.lit(0)).alias("offset"),
+        F.sum("gap_n").over(Window.partitionBy("column")).alias("total"),
     )
-    return summed.join(offsets, [*by, _RANGE]).select(
-        *by,
-        value,
-        *amounts,
-        *[(F.col(f"__{a}_inside") + F.col(f"__{a}_offset")).alias(f"{a}_before") for a in amounts],
-        *[f"{a}_total" for a in amounts],
+    # At most one row per column and bracket, plus one per column.
+    ranked = counted.withColumn("inside_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(
+        F.broadcast(offsets), ["column", "gap"]
     )
+    picks = []
+    for share in shares:
+        rank = f"greatest(ceil({share}D * total), 1)"
+        before = "(offset + inside_before)"
+        hit = f"kept AND {before} < {rank} AND {rank} <= {before} + n"
+        picks.append(F.expr(f"max(candidate) FILTER (WHERE {hit})"))
+    return ranked.groupBy("column").agg(F.array(*picks).alias("quantiles"))
 
 
-def exact_quantiles(long: DataFrame, shares: Sequence[float], by: str, value: str) -> DataFrame:
-    """Smallest value whose rank reaches ``share * n``, per group, as an array in the order given.
+def beaten_pairs(per_value: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: ``won`` (pairs of a ``pos`` row above a ``neg`` row, ties half), ``pos_total``, ``neg_total``.
 
-    Counting equal values first keeps a value that fills a third of the table
-    down to one row per task before anything is shuffled.
+    ``per_value`` has one row per group and value with the counts ``pos`` and
+    ``neg``. The values are cut into ranges, as for a global sort. Pairs within a
+    range come from a window over that range alone, pairs across ranges from the
+    totals of the ranges. There is a single chain of stages, so every row has one
+    range however often a task is run.
     """
-    counted = long.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sums(counted, value, ["n"], [by])
-
-    def pick(q: float) -> Column:
-        rank = F.greatest(F.ceil(F.lit(float(q)) * F.col("n_total")), F.lit(1))
-        hit = (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col(value)))
-
-    return ranked.groupBy(by).agg(F.array(*[pick(q) for q in shares]).alias("quantiles"))
+    by = list(by)
+    ranged = per_value.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id())
+    inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = ranged.withColumn("__below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    per_range = ordered.groupBy(*by, "__range").agg(
+        F.sum("pos").alias("pos"),
+        F.sum("neg").alias("neg"),
+        F.expr("sum(double(pos) * (double(__below) + double(neg) / 2)) AS won"),
+    )
+    # One row per range and group, no more than there are shuffle partitions.
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = per_range.withColumn("__below", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    return offset.groupBy(*by).agg(
+        F.expr("sum(won + double(pos) * double(__below)) AS won"),
+        F.sum("pos").alias("pos_total"),
+        F.sum("neg").alias("neg_total"),
+    )

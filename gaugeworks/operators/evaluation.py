@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import EvaluationError
 from gaugeworks.functions.columns import share
-from gaugeworks.functions.ranks import running_sums
+from gaugeworks.functions.ranks import beaten_pairs
 
 DIGITS = 6
 VALID_PREDICTIONS = (0.0, 1.0)
@@ -89,10 +89,9 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", by: S
         .groupBy(*by, "score")
         .agg(F.count_if("__positive").alias("pos"), F.count_if(~F.col("__positive")).alias("neg"))
     )
-    ranked = running_sums(per_score, "score", ["pos", "neg"], by)
-    won = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2)
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total").cast("double")
-    return ranked.groupBy(*by).agg(F.round(F.try_divide(F.sum(won), pairs), DIGITS).alias("roc_auc"))
+    pairs = beaten_pairs(per_score, "score", by)
+    auc = F.expr("try_divide(won, double(pos_total) * double(neg_total))")
+    return pairs.select(*by, F.round(auc, DIGITS).alias("roc_auc"))
 
 
 def _invalid(prediction: Column) -> Column:

@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from gaugeworks.errors import SchemaError
 from gaugeworks.functions.columns import name_of, rows_from_sql, share, share_sql, struct_sql, text_literal
 from gaugeworks.functions.ordered import top_per_group
-from gaugeworks.functions.ranks import exact_quantiles
+from gaugeworks.functions.ranks import exact_quantiles, sketched_quantiles
 from gaugeworks.operators.rules import ROWS, distinct_keys
 
 QUANTILES = (0.25, 0.5, 0.75)
 MAX_CATEGORIES = 50
 FENCE_FACTOR = 1.5
-# Relative rank error 1e-4; the sketch stays small enough to merge from many tasks.
-QUANTILE_ACCURACY = 10_000
 _DIGITS = 4
 # Correlations per aggregation, to keep the generated code of one stage small.
 _PAIRS_PER_PASS = 150
@@ -78,28 +76,15 @@ def profile_duplicates(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    as_double = df.select(*[F.expr(f"double({name_of(c)}) AS {name_of(c)}") for c in columns])
-    return as_double.unpivot([], list(columns), "column", "value")
-
-
 def _quantile_rows(df: DataFrame, columns: Sequence[str], shares: Sequence[float], exact: bool) -> DataFrame:
     if exact:
-        return exact_quantiles(_long_numeric(df, columns), shares, "column", "value")
-    row = df.agg(*_quantile_aggregates(columns, shares))
+        return exact_quantiles(df, columns, shares)
+    row = df.agg(*sketched_quantiles(columns, shares))
     return row.select(
         rows_from_sql([struct_sql(column=text_literal(c), quantiles=f"q{i}") for i, c in enumerate(columns)])
     )
 
 
-def _quantile_aggregates(columns: Sequence[str], shares: Sequence[float]) -> list[Column]:
-    listed = ", ".join(f"{float(q)}D" for q in shares)
-    return [
-        F.expr(f"percentile_approx(double({name_of(c)}), array({listed}), {QUANTILE_ACCURACY}) AS q{i}")
-        for i, c in enumerate(columns)
-    ]
-
-
 def _numeric_aggregates(columns: Sequence[str]) -> list[Column]:
     functions = {"min": "min", "max": "max", "mean": "avg", "sd": "stddev"}
     return [
@@ -116,7 +101,7 @@ def profile_numeric(
     columns = list(columns)
     aggregates = _numeric_aggregates(columns)
     if not exact:
-        aggregates += _quantile_aggregates(columns, quantiles)
+        aggregates += sketched_quantiles(columns, quantiles)
 
     def entry(i: int, c: str) -> str:
         fields = {"column": text_literal(c), "min": f"min{i}", "max": f"max{i}", "mean": f"mean{i}", "stddev": f"sd{i}"}
@@ -127,7 +112,7 @@ def profile_numeric(
     rows = df.agg(*aggregates).select(rows_from_sql([entry(i, c) for i, c in enumerate(columns)]))
     if exact:
         # Both sides have one row per profiled column.
-        rows = rows.join(F.broadcast(exact_quantiles(_long_numeric(df, columns), quantiles, "column", "value")), "column", "left")
+        rows = rows.join(F.broadcast(exact_quantiles(df, columns, quantiles)), "column", "left")
     middle = len(quantiles) // 2
     return rows.select(
         "column", "min", "max", "mean", "stddev", F.col("quantiles")[middle].alias("median"), "quantiles"
