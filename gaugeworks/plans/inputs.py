@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import struct_sql
 from gaugeworks.sources.readers import read_parquet
 
 REQUIRED = (
@@ -34,134 +35,119 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with order history as tenure, charges and support calls."""
-    first, last = F.col("first_dt"), F.col("last_dt")
     history = (
         table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
         .agg(
-            F.min("o_orderdate").alias("first_dt"),
-            F.max("o_orderdate").alias("last_dt"),
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
-            F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"),
+            F.expr("min(o_orderdate) AS first_dt"),
+            F.expr("max(o_orderdate) AS last_dt"),
+            F.expr("sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total"),
+            F.expr("count_if(startswith(o_orderpriority, '1')) AS urgent"),
         )
     )
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    joined = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
-        history, F.col("c_custkey") == F.col("o_custkey"), "left"
+    joined = customers.join(nations, F.expr("c_nationkey = n_nationkey"), "left").join(
+        history, F.expr("c_custkey = o_custkey"), "left"
     )
-    months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
-    active = F.coalesce(last >= F.lit(ACTIVE_SINCE).cast("timestamp_ntz"), F.lit(False))
-    segment, region = F.col("c_mktsegment"), F.col("n_regionkey")
-    return joined.select(
-        F.col("c_custkey").cast("string").alias("customer_id"),
-        F.coalesce(months, F.lit(0)).cast("int").alias("tenure_months"),
-        F.col("c_acctbal").alias("monthly_charges"),
-        F.col("total").cast("double").alias("total_charges"),
-        F.when(segment.isin("BUILDING", "MACHINERY"), F.lit("month-to-month"))
-        .when(segment == "AUTOMOBILE", F.lit("one-year"))
-        .otherwise(F.lit("two-year"))
-        .alias("contract_type"),
-        F.when(region.isin(0, 1), F.lit("dsl"))
-        .when(region.isin(2, 3), F.lit("fiber"))
-        .otherwise(F.lit("none"))
-        .alias("internet_service"),
-        F.col("urgent").cast("int").alias("support_calls"),
-        active.alias("is_active"),
-        first.cast("date").alias("signup_date"),
-        F.when(active, 0).otherwise(1).cast("int").alias("churn"),
+    active = f"coalesce(last_dt >= TIMESTAMP_NTZ '{ACTIVE_SINCE}', false)"
+    return joined.selectExpr(
+        "string(c_custkey) AS customer_id",
+        "int(coalesce((year(last_dt) - year(first_dt)) * 12 + month(last_dt) - month(first_dt), 0)) AS tenure_months",
+        "c_acctbal AS monthly_charges",
+        "double(total) AS total_charges",
+        "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'month-to-month' "
+        "WHEN c_mktsegment = 'AUTOMOBILE' THEN 'one-year' ELSE 'two-year' END AS contract_type",
+        "CASE WHEN n_regionkey IN (0, 1) THEN 'dsl' WHEN n_regionkey IN (2, 3) THEN 'fiber' ELSE 'none' END "
+        "AS internet_service",
+        "int(urgent) AS support_calls",
+        f"{active} AS is_active",
+        "date(first_dt) AS signup_date",
+        f"int(if({active}, 0, 1)) AS churn",
     )
 
 
 def churn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``churn`` with NULLs, a value off the domain and repeated customers."""
-    base = churn(spark, sf_dir)
-    number = F.col("customer_id").cast("int")
-    contract = (
-        F.when(number % 97 == 0, F.lit("weekly")).when(number % 89 == 0, F.lit(None)).otherwise(F.col("contract_type"))
+    """``churn`` with NULLs, a value off the domain and repeated customers.
+
+    Every fiftieth customer comes twice, spoiled and as it was.
+    """
+    number = "int(customer_id)"
+    spoiled = {
+        "total_charges": f"if({number} % 13 = 0, NULL, total_charges)",
+        "contract_type": f"CASE WHEN {number} % 97 = 0 THEN 'weekly' WHEN {number} % 89 = 0 THEN NULL ELSE contract_type END",
+        "support_calls": f"if({number} % 7 = 0, NULL, support_calls)",
+    }
+    clean_row = struct_sql(**{c: c for c in REQUIRED})
+    spoiled_row = struct_sql(**{c: spoiled.get(c, c) for c in REQUIRED})
+    return churn(spark, sf_dir).selectExpr(
+        f"inline(if({number} % 50 = 0, array({spoiled_row}, {clean_row}), array({spoiled_row})))"
     )
-    spoiled = base.withColumns(
-        {
-            "total_charges": F.when(number % 13 != 0, F.col("total_charges")),
-            "contract_type": contract,
-            "support_calls": F.when(number % 7 != 0, F.col("support_calls")),
-        }
-    )
-    return spoiled.unionByName(base.where(number % 50 == 0))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with a prediction and score that follow the tenure; some predictions are missing."""
-    number, tenure = F.col("customer_id").cast("int"), F.col("tenure_months")
-    return churn(spark, sf_dir).select(
+    return churn(spark, sf_dir).selectExpr(
         "customer_id",
-        F.col("churn").alias("label"),
-        F.when(number % 101 != 0, F.when(tenure < 66, 1.0).otherwise(0.0)).alias("prediction"),
-        ((F.lit(78) - tenure).cast("double") / F.lit(78.0)).alias("score"),
+        "churn AS label",
+        "CASE WHEN int(customer_id) % 101 = 0 THEN NULL WHEN tenure_months < 66 THEN 1.0D ELSE 0.0D END AS prediction",
+        "double(78 - tenure_months) / 78.0D AS score",
     )
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of one model per supplier and one version per return flag; A is champion, R challenger."""
-    n = F.count(F.lit(1)).cast("double")
-
-    def part(condition):
-        return F.count_if(condition).cast("double") / n
-
+    parts = {
+        "accuracy": "l_linestatus = 'F'",
+        "precision": "l_quantity > 24",
+        "recall": "l_discount >= 0.045D",
+        "roc_auc": "l_tax >= 0.035D",
+    }
     grouped = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("model_id"), F.col("l_returnflag").alias("model_version"))
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            part(F.col("l_linestatus") == "F").alias("accuracy"),
-            part(F.col("l_quantity") > 24).alias("precision"),
-            part(F.col("l_discount") >= 0.045).alias("recall"),
-            part(F.col("l_tax") >= 0.035).alias("roc_auc"),
+            *[F.expr(f"double(count_if({c})) / double(count(1)) AS {name}") for name, c in parts.items()],
         )
     )
-    p, r = F.col("precision"), F.col("recall")
-    return grouped.withColumn("f1_score", F.try_divide(F.lit(2.0) * p * r, p + r)).where(
-        ~((F.col("model_version") == "A") & (F.col("model_id") % 10 == 0))
-    )
+    f1 = F.expr("try_divide(2.0D * precision * recall, precision + recall)")
+    return grouped.withColumn("f1_score", f1).where("NOT (model_version = 'A' AND model_id % 10 = 0)")
 
 
 def promotion_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation, run and approval records per model, some of them contradicting."""
-    m = F.col("model_id")
-    run = F.concat(F.lit("run-"), m.cast("string"))
+    run = "concat('run-', model_id)"
     return (
         model_metrics(spark, sf_dir)
         .select("model_id")
         .distinct()
-        .select(
+        .selectExpr(
             "model_id",
-            F.lit("R").alias("rec_version"),
-            F.when(m % 7 == 0, F.lit("N")).otherwise(F.lit("R")).alias("run_version"),
-            run.alias("rec_run_id"),
-            F.when(m % 5 == 0, F.lit("other")).otherwise(run).alias("run_run_id"),
-            F.lit("c0ffee").alias("rec_commit"),
-            F.when(m % 9 == 0, F.lit("deadbe")).otherwise(F.lit("c0ffee")).alias("run_commit"),
-            F.when(m % 11 != 0, F.lit("approver-1")).alias("approver"),
-            F.lit("R").alias("approval_version"),
-            run.alias("approval_run_id"),
+            "'R' AS rec_version",
+            "if(model_id % 7 = 0, 'N', 'R') AS run_version",
+            f"{run} AS rec_run_id",
+            f"if(model_id % 5 = 0, 'other', {run}) AS run_run_id",
+            "'c0ffee' AS rec_commit",
+            "if(model_id % 9 = 0, 'deadbe', 'c0ffee') AS run_commit",
+            "if(model_id % 11 = 0, NULL, 'approver-1') AS approver",
+            "'R' AS approval_version",
+            f"{run} AS approval_run_id",
         )
     )
 
 
 def alias_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = (
-        F.when(kind == "signup", F.lit("register")).when(kind == "purchase", F.lit("promote")).otherwise(F.lit("rollback"))
-    )
+    """Signups stand for registrations, purchases for promotions, errors for rollbacks of twenty models."""
     return (
         table(spark, sf_dir, "events")
-        .where(kind.isin("signup", "purchase", "error"))
-        .select(
+        .where("event_type IN ('signup', 'purchase', 'error')")
+        .selectExpr(
             "event_id",
             "ts",
-            (F.col("user_id") % 20).cast("bigint").alias("model_id"),
-            action.alias("action"),
-            (F.col("event_id") % 40).cast("bigint").alias("version"),
+            "user_id % 20 AS model_id",
+            "CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'promote' ELSE 'rollback' END AS action",
+            "event_id % 40 AS version",
         )
     )
 
