@@ -214,21 +214,21 @@ def profile_correlations(df: DataFrame, columns: Sequence[str], nulls_as_zero: b
 
 
 def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
-    """Quartiles, fences at 1.5 times their distance, and the rows strictly outside.
+    """Quartiles and median, fences at 1.5 times the quartile distance, and the rows strictly outside.
 
     A column without values has NULL fences and no outliers; NaN lies above every
     number and so is an outlier. The fences of all columns come from one pass and
     enter the counting pass as a scalar.
     """
     columns = list(columns)
-    quartiles = _quantile_rows(df, columns, (0.25, 0.75), exact)
+    quartiles = _quantile_rows(df, columns, QUANTILES, exact)
     by_column = quartiles.agg(F.map_from_entries(F.collect_list(F.struct("column", "quantiles"))).alias("m"))
     numbers = [F.expr(f"double({name_of(c)}) AS v{i}") for i, c in enumerate(columns)]
     counted = df.select(*numbers).withColumn("__q", by_column.scalar())
 
     def fences(c: str) -> tuple[str, str, str, str]:
         pair = f"try_element_at(__q, {text_literal(c)})"
-        q1, q3 = f"{pair}[0]", f"{pair}[1]"
+        q1, q3 = f"{pair}[0]", f"{pair}[2]"
         reach = f"{FENCE_FACTOR}D * ({q3} - {q1})"
         return q1, q3, f"({q1} - {reach})", f"({q3} + {reach})"
 
@@ -240,6 +240,7 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False)
             struct_sql(
                 column=text_literal(c),
                 q1=q1,
+                median=f"try_element_at(__q, {text_literal(c)})[1]",
                 q3=q3,
                 iqr=f"{q3} - {q1}",
                 lower_bound=low,
@@ -366,13 +367,10 @@ def profile_report(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     keyed = profile_duplicates(df, spec.keys).select(F.lit(",".join(spec.keys)).alias("column"), "duplicate_count")
     parts.append(long(keyed, "duplicates", F.lit("duplicate_count"), F.col("duplicate_count")))
     if spec.numeric:
-        shares = (0.25, 0.5, 0.75)
-        quantiles = _quantile_rows(df, spec.numeric, shares, spec.exact).select(
-            "column", F.explode(F.arrays_zip(F.array(*[F.lit(f"p{int(s * 100)}") for s in shares]).alias("item"), F.col("quantiles").alias("number"))).alias("q")
-        )
-        parts.append(long(quantiles, "numeric", F.col("q.item"), F.col("q.number")))
         outliers = profile_outliers(df, spec.numeric, spec.exact)
-        parts.append(long(outliers, "outliers", F.lit("outlier_count"), F.col("outlier_count")))
+        rows = "'numeric', 'p25', q1, 'numeric', 'p50', median, 'numeric', 'p75', q3, 'outliers', 'outlier_count', double(outlier_count)"
+        four = outliers.select("column", F.expr(f"stack(4, {rows}) AS (section, item, number)"))
+        parts.append(four.withColumn("number", F.round("number", _DIGITS)))
     if spec.categorical:
         top = profile_categorical(df, spec.categorical, spec.max_categories)
         parts.append(long(top, "categorical", F.col("value"), F.col("count")))
