@@ -13,6 +13,8 @@ HOT_SHARE = 0.01
 # Below this many rows a single key cannot keep a task busy for long.
 MIN_ROWS = 1_000_000
 _TRACKED = 4096
+# The most rows the hot side may have to be broadcast; with one row per key it has far fewer.
+_BROADCAST_ROWS = 10_000
 
 
 def hot_key_hashes(
@@ -44,9 +46,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to the one ``right`` row of their key (``how``: inner or left).
 
-    ``right`` must have one row per key. Rows of hot keys are joined against a
-    broadcast copy of the few ``right`` rows they need, so they never meet in one
-    task; all other rows take the usual join. NULL keys match nothing.
+    Rows of hot keys are joined against a broadcast copy of the few ``right`` rows
+    they need, so they never meet in one task; all other rows take the usual join.
+    The copy is counted first: when ``right`` has many rows per key after all, the
+    join is left to Spark. NULL keys match nothing.
 
     Looking for hot keys costs a scan of the key columns, so it is left out when
     ``hot_share`` is None.
@@ -60,6 +63,8 @@ def lookup_join(
         return left.join(right, keys, how)
     is_hot = F.xxhash64(*[F.col(k) for k in keys]).isin(hot)
     usual = left.where(~is_hot).join(right, keys, how)
-    # One row per key on the right: this side has no more rows than `hot` has hashes.
-    split = left.where(is_hot).join(F.broadcast(right.where(is_hot)), keys, how)
+    needed = right.where(is_hot)
+    if needed.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    split = left.where(is_hot).join(needed, keys, how)
     return usual.unionByName(split)

@@ -156,9 +156,14 @@ def model_size_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("model_size_bytes"))
 
 
+def stable_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """The first rows in the order of a column, the same ones in every run."""
+    return df.orderBy(order).limit(rows)
+
+
 def latency_ms(model: PipelineModel, df: DataFrame, order: str, repeats: int = 3, rows: int = LATENCY_ROWS) -> float:
     """Mean time to score a small sample; the rows go to a sink that keeps the model in the plan."""
-    sample = df.orderBy(order).limit(rows)
+    sample = stable_sample(df, order, rows)
     taken = []
     for _ in range(repeats):
         start = time.perf_counter()

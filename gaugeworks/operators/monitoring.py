@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from gaugeworks.functions.columns import rows_from_sql, share, struct_sql, text_literal
 from gaugeworks.operators.evaluation import metrics_table
 from gaugeworks.operators.promotion import METRICS
 from gaugeworks.operators.suite import failed_rules
+from gaugeworks.sources.writers import write_report
 
 # The alert limits.
 MAX_MEAN_SHIFT = 0.2
@@ -161,5 +163,35 @@ def monitoring_report(
     return report
 
 
+def run_monitoring(
+    results: DataFrame,
+    drift: DataFrame | None,
+    scored: DataFrame,
+    minima: Mapping[str, float],
+    model: MonitoredModel,
+    path: str,
+    run_id: str,
+) -> bool:
+    """Write rule results, prediction summary, metrics and alerts of a run; True when an alert is critical.
+
+    The scored rows are needed three times, so their three columns are kept while
+    the reports are written.
+    """
+    narrow = scored.select("label", "prediction", "score").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        reports = {
+            "rules": results,
+            "predictions": prediction_summary(narrow, score="score"),
+            "performance": metrics_table(narrow),
+            "alerts": monitoring_report(results, drift, narrow, minima, model),
+        }
+        for name, rows in reports.items():
+            write_report(rows, f"{path}/{name}", run_id)
+    finally:
+        narrow.unpersist()
+    alerts = scored.sparkSession.read.parquet(f"{path}/alerts")
+    return has_critical(alerts.where(F.col("run_id") == run_id))
+
+
 def has_critical(alerts: DataFrame) -> bool:
     return not alerts.where(F.col("severity") == "critical").isEmpty()

@@ -10,9 +10,11 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.errors import ScoringError, SchemaError
+from gaugeworks.errors import RegistryError, SchemaError, ScoringError
 from gaugeworks.operators.evaluation import positive_probability
 from gaugeworks.operators.features import impute
+from gaugeworks.operators.learning import load_model
+from gaugeworks.operators.registry import version_by_alias
 
 SCORE_COLUMNS = ("prediction", "probability_churn", "model_alias", "model_version", "scoring_timestamp")
 
@@ -65,7 +67,24 @@ def score(
     )
 
 
-def smoke_check(scored: DataFrame, required: Sequence[str] = SCORE_COLUMNS, prediction: str = "prediction", score: str | None = None) -> DataFrame:
+def load_by_alias(versions: DataFrame, state: DataFrame, model_id, alias: str) -> tuple[PipelineModel, dict]:
+    """The model behind an alias with its version record.
+
+    ``versions`` has (model_id, version, run_id, path), ``state`` is the alias state.
+    """
+    version = version_by_alias(state, model_id, alias)
+    record = versions.where((F.col("model_id") == model_id) & (F.col("version") == version)).first()
+    if record is None:
+        raise RegistryError(f"version {version} of model {model_id} is not registered")
+    return load_model(record["path"]), record.asDict()
+
+
+def smoke_check(
+    scored: DataFrame,
+    required: Sequence[str] = SCORE_COLUMNS,
+    prediction: str = "prediction",
+    score: str | None = None,
+) -> DataFrame:
     """One row: rows, missing columns, NULL predictions, NaN scores, and whether all is well.
 
     On stored scores a NULL prediction shows a failed run; on fresh ones a NaN

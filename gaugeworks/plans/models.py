@@ -9,6 +9,7 @@ from gaugeworks.operators import evaluation as e
 from gaugeworks.operators import features as f
 from gaugeworks.operators import scoring as sc
 from gaugeworks.operators.learning import ModelSpec, load_model, save_model, train
+from gaugeworks.operators.promotion import MINIMA, PromotionPolicy, pair_roles, recommend
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.sql import over
 from gaugeworks.workspace import fresh_path
@@ -107,6 +108,15 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.compare_models(champion, challenger, test, "customer_id", "churn")
 
 
+def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models on the same test rows, then the promotion decision."""
+    metrics = compare_models(spark, sf_dir).withColumn("model_id", F.lit("churn"))
+    pairs = pair_roles(metrics, "model_id", F.col("role"))
+    return recommend(pairs, PromotionPolicy(MINIMA)).select(
+        "model_id", "champion_metric", "challenger_metric", "technical_approval", "recommendation"
+    )
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
@@ -122,6 +132,7 @@ QUERIES = {
         score_batch,
         score_batch_inputs,
         compare_models,
+        champion_challenger,
     )
 }
 QUERIES["train_lr"] = _trained(LOGISTIC)

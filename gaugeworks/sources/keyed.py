@@ -86,9 +86,9 @@ class KeyedTable:
         return self._state(commits)
 
     def _state(self, commits: Sequence[Commit]) -> DataFrame:
-        start = max(i for i, c in enumerate(commits) if c.kind == SNAPSHOT)
-        snapshot = self._load([commits[start].version]).drop(_VERSION)
-        batches = [c.version for c in commits[start + 1 :]]
+        start = self._last_snapshot(commits)
+        snapshot = self._load([start]).drop(_VERSION)
+        batches = [c.version for c in commits if c.version > start]
         if not batches:
             return snapshot
         added = self._load(batches)
@@ -117,15 +117,13 @@ class KeyedTable:
         A (source, source_batch) that is already committed is skipped, which makes
         a repeated micro-batch harmless.
         """
-        if batch.isEmpty():
-            raise EmptyInputError(f"nothing to upsert into {self.path}")
         if not self.keys:
             raise SinkError("an upsert needs at least one key column")
         missing = [k for k in self.keys if k not in batch.columns]
         if missing:
             raise SinkError(f"key column(s) not in the batch: {', '.join(missing)}")
         if dry_run:
-            return WriteResult(self.path, "upsert", batch.count(), False)
+            return WriteResult(self.path, "upsert", self._not_empty(batch.count()), False)
         commits = self.commits()
         if source is not None and any(c.source == source and c.source_batch == source_batch for c in commits):
             return WriteResult(self.path, "upsert", 0, False)
@@ -133,7 +131,8 @@ class KeyedTable:
         self._write_version(self._aligned(batch, commits), version)
         n = self._checked_count(version)
         self._commit(version, BATCH if commits else SNAPSHOT, n, source, source_batch)
-        self._compact_if_due()
+        if commits and version - self._last_snapshot(commits) >= self.compact_after:
+            self.compact()
         return WriteResult(self.path, "upsert", n, True)
 
     def _aligned(self, batch: DataFrame, commits: Sequence[Commit]) -> DataFrame:
@@ -145,7 +144,7 @@ class KeyedTable:
         return batch.select(*columns)
 
     def _checked_count(self, version: int) -> int:
-        """Rows of a written version, or an error when a key repeats.
+        """Rows of a written version, or an error when there are none or a key repeats.
 
         It looks at the written keys before they are committed, so the batch itself
         is computed once.
@@ -154,13 +153,16 @@ class KeyedTable:
         found = per_key.agg(F.sum("n").alias("rows"), F.max(F.when(all_set(self.keys), F.col("n"))).alias("most")).first()
         if (found["most"] or 0) > 1:
             raise SinkError("the batch has more than one row for some key")
-        return found["rows"]
+        return self._not_empty(found["rows"])
 
-    def _compact_if_due(self) -> None:
-        commits = self.commits()
-        last = max(i for i, c in enumerate(commits) if c.kind == SNAPSHOT)
-        if len(commits) - 1 - last >= self.compact_after:
-            self.compact()
+    @staticmethod
+    def _last_snapshot(commits: Sequence[Commit]) -> int:
+        return max(c.version for c in commits if c.kind == SNAPSHOT)
+
+    def _not_empty(self, n: int) -> int:
+        if not n:
+            raise EmptyInputError(f"nothing to upsert into {self.path}")
+        return n
 
     def compact(self) -> int:
         """Write the current state as a new snapshot; returns its version."""

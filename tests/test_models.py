@@ -224,3 +224,17 @@ def test_provenance_of_a_model():
         "algorithm": "logistic_regression",
         "hyperparameters": {"max_iter": "20"},
     }
+
+
+def test_model_behind_an_alias(spark, splits, model, tmp_path):
+    from gaugeworks.errors import RegistryError
+
+    path = str(tmp_path / "registered")
+    ml.save_model(model, path)
+    versions = spark.createDataFrame([(1, "2", "run-7", path)], "model_id int, version string, run_id string, path string")
+    state = spark.createDataFrame([(1, "2", "9")], "model_id int, champion_version string, challenger_version string")
+    loaded, record = sc.load_by_alias(versions, state, 1, "champion")
+    assert record["run_id"] == "run-7"
+    assert loaded.transform(splits[2]).count() == splits[2].count()
+    with pytest.raises(RegistryError, match="9"):
+        sc.load_by_alias(versions, state, 1, "challenger")

@@ -66,3 +66,14 @@ def test_performance_alerts(spark, model):
     assert rules_of(alerts) == [("model_performance_degradation[accuracy]", "critical")]
     assert m.has_critical(alerts)
     assert not m.has_critical(m.monitor_performance(scored.limit(0), {"accuracy": 0.7}, model)[1])
+
+
+def test_monitoring_run_writes_its_reports(spark, model, tmp_path):
+    df = spark.createDataFrame([(1,), (1,)], "id int")
+    results = QualitySuite([r.duplicates(["id"], 0.0), r.row_count(1, 5)]).evaluate(df)
+    scored = spark.createDataFrame([(1, 1.0, 0.9), (0, 1.0, 0.8), (0, 0.0, 0.1)], "label int, prediction double, score double")
+    for _ in range(2):  # a retried run leaves one copy
+        assert m.run_monitoring(results, None, scored, {"accuracy": 0.7}, model, str(tmp_path), "run-1")
+    assert not m.run_monitoring(results, None, scored, {"accuracy": 0.1}, model, str(tmp_path), "run-2")
+    counts = {n: spark.read.parquet(str(tmp_path / n)).count() for n in ("rules", "predictions", "performance", "alerts")}
+    assert counts == {"rules": 4, "predictions": 2, "performance": 2, "alerts": 5}

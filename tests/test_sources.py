@@ -139,3 +139,13 @@ def test_partition_filter_reads_one_directory(spark, rows, tmp_path):
     wr.write_parquet(rows, path, wr.WriteOptions(partition_by=("id",)))
     plan = spark.read.parquet(path).where(F.col("id") == 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(id" in plan
+
+
+def test_delta_is_refused_without_delta(spark, rows, tmp_path):
+    from gaugeworks.sources import delta
+
+    assert not delta.has_delta(spark)
+    with pytest.raises(SinkError):
+        delta.merge_into(rows, str(tmp_path), ["id"])
+    with pytest.raises(SourceError):
+        delta.read_changes(spark, str(tmp_path), 0)
