@@ -1,4 +1,4 @@
-"""Lookup join for a many-rows-per-key side against a one-row-per-key side."""
+"""Joins that keep NULLs or survive hot keys."""
 
 from __future__ import annotations
 
@@ -17,6 +17,16 @@ _TRACKED = 4096
 _BROADCAST_ROWS = 10_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where NULL equals NULL, with each key once in the result."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+        condition = same if condition is None else condition & same
+    return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def hot_key_hashes(
     df: DataFrame, keys: Sequence[str], hot_share: float = HOT_SHARE, min_rows: int = MIN_ROWS
 ) -> list[int]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.joins import join_null_safe
+
 _SLICE = "__slice"
 # Above this rank Spark no longer prunes inside the map tasks (its default setting).
 _PRUNED_RANK = 1000
@@ -45,7 +47,7 @@ def previous_value(
     last = sliced.groupBy(*group, _SLICE).agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*group).orderBy(_SLICE)
     carried = last.select(*group, _SLICE, F.lag("__last").over(across).alias("__carried"))
-    joined = lagged.join(carried, [*group, _SLICE], "left")
+    joined = join_null_safe(lagged, carried, [*group, _SLICE], "left")
     picked = F.when(F.col("__prev").isNull(), F.col("__carried")).otherwise(F.col("__prev")[value])
     return joined.select(*df.columns, picked.alias(name))
 
@@ -61,5 +63,5 @@ def running_number(
     counts = sliced.groupBy(*group, _SLICE).agg(F.count(F.lit(1)).alias("__count"))
     across = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*group, _SLICE, F.coalesce(F.sum("__count").over(across), F.lit(0)).alias("__before"))
-    joined = numbered.join(before, [*group, _SLICE])
+    joined = join_null_safe(numbered, before, [*group, _SLICE], "inner")
     return joined.select(*df.columns, (F.col("__before") + F.col("__n")).alias(name))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import EvaluationError
-from gaugeworks.functions.columns import share
+from gaugeworks.functions.columns import name_of, rows_from_sql, share, share_sql, struct_sql
+from gaugeworks.functions.joins import join_null_safe
 from gaugeworks.functions.ranks import beaten_pairs
 
 DIGITS = 6
@@ -23,56 +24,77 @@ VALID_PREDICTIONS = (0.0, 1.0)
 LATENCY_ROWS = 50
 
 
+def _counts(scored: DataFrame, label: str, prediction: str, by: Sequence[str]) -> DataFrame:
+    """Rows per (label, prediction), NULLs included; everything but the AUC follows from these few rows."""
+    pairs = scored.select(
+        *by, F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("prediction")
+    )
+    return pairs.groupBy(*by, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(
     scored: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows per (label, prediction); rows without a label or prediction are left out."""
-    pairs = scored.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).select(
-        *by, F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("prediction")
-    )
-    return pairs.groupBy(*by, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    return _counts(scored.where(known), label, prediction, by)
 
 
-def metrics_from_confusion(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy and label-weighted precision, recall and F1, plus the error rate."""
-    as_label = F.struct(
-        F.col("label").alias("class"),
-        F.col("n").alias("actual"),
-        F.lit(0).cast("bigint").alias("predicted"),
-        F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("hit"),
-    )
-    as_prediction = F.struct(
-        F.col("prediction").alias("class"),
-        F.lit(0).cast("bigint").alias("actual"),
-        F.col("n").alias("predicted"),
-        F.lit(0).cast("bigint").alias("hit"),
-    )
+def _invalid_sql(prediction: str) -> str:
+    listed = ", ".join(f"{v}D" for v in VALID_PREDICTIONS)
+    return f"({prediction} IS NULL OR {prediction} NOT IN ({listed}))"
+
+
+def _metrics_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Label-weighted metrics and the share of invalid predictions.
+
+    Each (label, prediction) count stands for its label, for its prediction and for
+    its rows, so one aggregation per class and one over the classes give all of it.
+    """
+    known = "(label IS NOT NULL AND prediction IS NOT NULL)"
+    none = "0L"
+
+    def row(class_of: str, actual: str, predicted: str, hit: str, rows: str, invalid: str) -> str:
+        return struct_sql(
+            **{"class": class_of}, actual=actual, predicted=predicted, hit=hit, rows=rows, invalid=invalid
+        )
+
+    parts = [
+        row("label", f"if({known}, n, 0L)", none, f"if({known} AND label = prediction, n, 0L)", none, none),
+        row("prediction", none, f"if({known}, n, 0L)", none, none, none),
+        row("double(NULL)", none, none, none, "n", f"if({_invalid_sql('prediction')}, n, 0L)"),
+    ]
     per_class = (
-        confusion.select(*by, F.inline(F.array(as_label, as_prediction)))
+        counts.select(*by, rows_from_sql(parts))
         .groupBy(*by, "class")
-        .agg(*[F.sum(c).cast("double").alias(c) for c in ("actual", "predicted", "hit")])
-        .where(F.col("actual") > 0)
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in ("actual", "predicted", "hit", "rows", "invalid")])
     )
-    precision, recall = share(F.col("hit"), F.col("predicted")), share(F.col("hit"), F.col("actual"))
-    f1 = share(F.lit(2.0) * precision * recall, precision + recall)
-    total = F.sum("actual")
-    weighted = {
-        "precision": F.sum(F.col("actual") * precision) / total,
-        "recall": F.sum(F.col("actual") * recall) / total,
-        "f1_score": F.sum(F.col("actual") * f1) / total,
+    precision, recall = share_sql("hit", "predicted"), share_sql("hit", "actual")
+    f1 = share_sql(f"2.0D * {precision} * {recall}", f"{precision} + {recall}")
+    accuracy = "try_divide(double(sum(hit)), double(sum(actual)))"
+    metrics = {
+        "accuracy": accuracy,
+        # A class without rows has weight zero.
+        **{
+            name: f"try_divide(sum(actual * {value}), double(sum(actual)))"
+            for name, value in (("precision", precision), ("recall", recall), ("f1_score", f1))
+        },
+        "error_rate": f"1.0D - {accuracy}",
+        "invalid_prediction_percentage": share_sql("sum(invalid)", "sum(rows)"),
     }
-    accuracy = F.sum("hit") / total
     return per_class.groupBy(*by).agg(
-        F.round(accuracy, DIGITS).alias("accuracy"),
-        *[F.round(value, DIGITS).alias(name) for name, value in weighted.items()],
-        F.round(F.lit(1.0) - accuracy, DIGITS).alias("error_rate"),
+        *[F.expr(f"round({value}, {DIGITS}) AS {name_of(name)}") for name, value in metrics.items()],
+        F.expr("coalesce(sum(rows), 0L) AS row_count"),
+        F.expr("coalesce(sum(invalid), 0L) AS invalid_count"),
     )
 
 
 def classification_metrics(
     scored: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
-    return metrics_from_confusion(confusion_matrix(scored, label, prediction, by), by)
+    """Accuracy and label-weighted precision, recall and F1, plus the error rate."""
+    metrics = _metrics_from_counts(_counts(scored, label, prediction, by), by)
+    return metrics.select(*by, "accuracy", "precision", "recall", "f1_score", "error_rate")
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -94,13 +116,9 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", by: S
     return pairs.select(*by, F.round(auc, DIGITS).alias("roc_auc"))
 
 
-def _invalid(prediction: Column) -> Column:
-    return prediction.isNull() | ~prediction.isin(*VALID_PREDICTIONS)
-
-
 def invalid_predictions(scored: DataFrame, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """Share of predictions that are NULL, NaN or neither 0 nor 1."""
-    n, bad = F.count(F.lit(1)), F.count_if(_invalid(F.col(prediction)))
+    n, bad = F.count(F.lit(1)), F.count_if(F.expr(_invalid_sql(name_of(prediction))))
     return scored.groupBy(*by).agg(
         n.alias("row_count"),
         bad.alias("invalid_count"),
@@ -115,24 +133,13 @@ def metrics_table(
     score: str = "score",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """All metrics in one row per model: the confusion-based ones, AUC and the invalid share."""
+    """All metrics in one row per model: the ones from counts, the invalid share and the AUC."""
     by = list(by)
-    parts = [
-        classification_metrics(scored, label, prediction, by),
-        roc_auc(scored, label, score, by),
-        invalid_predictions(scored, prediction, by),
-    ]
+    metrics = _metrics_from_counts(_counts(scored, label, prediction, by), by)
+    auc = roc_auc(scored, label, score, by)
     if by:
-        joined = parts[0]
-        for part in parts[1:]:
-            joined = joined.join(part, by, "left")
-        return joined
-    # One row each; they meet as columns of that row.
-    row = parts[0]
-    for part in parts[1:]:
-        packed = part.select(F.struct(*part.columns).alias("p")).scalar()
-        row = row.withColumn("__p", packed).select(*row.columns, "__p.*")
-    return row
+        return join_null_safe(metrics, auc, by, "left")
+    return metrics.withColumn("roc_auc", auc.scalar())
 
 
 def positive_probability(model_output: DataFrame, probability: str = "probability") -> Column:

@@ -180,15 +180,26 @@ def duplicates(keys: Sequence[str], max_share: float) -> Rule:
     )
 
 
-def cardinality(column: str, max_distinct: int) -> Rule:
-    """Number of distinct values, NULL included."""
+def cardinality(column: str, max_distinct: int, approximate: bool = False) -> Rule:
+    """Number of distinct values, NULL included; the approximate count needs no shuffle of its own."""
+    common = {
+        "name": f"cardinality[{column}]",
+        "description": f"distinct values of {column}",
+        "severity": WARNING,
+        "expected": f"<= {max_distinct}",
+        "column": column,
+        "columns": (column,),
+    }
+    if approximate:
+        alias, c = f"distinct {column}", name_of(column)
+        return Rule(
+            **common,
+            aggregates={alias: f"approx_count_distinct({c}) + if(count_if({c} IS NULL) > 0, 1, 0)"},
+            observed=name_of(alias),
+            passed=f"{name_of(alias)} <= {max_distinct}",
+        )
     return Rule(
-        name=f"cardinality[{column}]",
-        description=f"distinct values of {column}",
-        severity=WARNING,
-        expected=f"<= {max_distinct}",
-        column=column,
-        columns=(column,),
+        **common,
         frame=lambda df: distinct_keys(df, [column]),
         frame_key=f"keys:{column}",
         observed="n_keys",

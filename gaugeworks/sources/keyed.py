@@ -28,7 +28,10 @@ from gaugeworks.operators.features import FeatureSpec, feature_lookup, training_
 from gaugeworks.sources.writers import WriteResult
 
 SNAPSHOT, BATCH = "snapshot", "batch"
-_COMMIT = "version bigint, kind string, row_count bigint, committed_at timestamp, source string, source_batch bigint"
+_COMMIT = (
+    "version bigint, kind string, row_count bigint, unkeyed_rows bigint, committed_at timestamp, "
+    "source string, source_batch bigint"
+)
 _VERSION = "version"
 
 
@@ -37,6 +40,7 @@ class Commit:
     version: int
     kind: str
     row_count: int
+    unkeyed_rows: int  # rows with a NULL key
     committed_at: datetime
     source: str | None
     source_batch: int | None
@@ -64,8 +68,10 @@ class KeyedTable:
     def exists(self) -> bool:
         return bool(self.commits())
 
-    def _commit(self, version: int, kind: str, n: int, source: str | None, batch: int | None) -> None:
-        row = [(version, kind, n, datetime.now(timezone.utc), source, batch)]
+    def _commit(
+        self, version: int, kind: str, n: int, unkeyed: int, source: str | None = None, batch: int | None = None
+    ) -> None:
+        row = [(version, kind, n, unkeyed, datetime.now(timezone.utc), source, batch)]
         self.spark.createDataFrame(row, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
     def _write_version(self, df: DataFrame, version: int) -> None:
@@ -103,9 +109,11 @@ class KeyedTable:
         )
         replaced = added.where(known).select(*self.keys).distinct()
         kept = snapshot.where(known).join(replaced, self.keys, "left_anti")
-        # NULL keys match nothing, so those rows are never replaced and need no join.
-        unkeyed = snapshot.where(~known).unionByName(added.where(~known).drop(_VERSION))
-        return kept.unionByName(newest).unionByName(unkeyed)
+        state = kept.unionByName(newest)
+        if any(c.unkeyed_rows for c in commits if c.version >= start):
+            # NULL keys match nothing, so those rows are never replaced and need no join.
+            state = state.unionByName(snapshot.where(~known)).unionByName(added.where(~known).drop(_VERSION))
+        return state
 
     # -- writing ----------------------------------------------------------
 
@@ -129,8 +137,8 @@ class KeyedTable:
             return WriteResult(self.path, "upsert", 0, False)
         version = commits[-1].version + 1 if commits else 0
         self._write_version(self._aligned(batch, commits), version)
-        n = self._checked_count(version)
-        self._commit(version, BATCH if commits else SNAPSHOT, n, source, source_batch)
+        n, unkeyed = self._checked_count(version)
+        self._commit(version, BATCH if commits else SNAPSHOT, n, unkeyed, source, source_batch)
         if commits and version - self._last_snapshot(commits) >= self.compact_after:
             self.compact()
         return WriteResult(self.path, "upsert", n, True)
@@ -143,17 +151,22 @@ class KeyedTable:
             raise SinkError(f"columns of the batch differ from the table: {sorted(set(columns) ^ set(batch.columns))}")
         return batch.select(*columns)
 
-    def _checked_count(self, version: int) -> int:
-        """Rows of a written version, or an error when there are none or a key repeats.
+    def _checked_count(self, version: int) -> tuple[int, int]:
+        """Rows of a written version, all and without key, or an error when there are none or a key repeats.
 
         It looks at the written keys before they are committed, so the batch itself
         is computed once.
         """
         per_key = self._load([version]).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
-        found = per_key.agg(F.sum("n").alias("rows"), F.max(F.when(all_set(self.keys), F.col("n"))).alias("most")).first()
+        known = all_set(self.keys)
+        found = per_key.agg(
+            F.sum("n").alias("rows"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("unkeyed"),
+            F.max(F.when(known, F.col("n"))).alias("most"),
+        ).first()
         if (found["most"] or 0) > 1:
             raise SinkError("the batch has more than one row for some key")
-        return self._not_empty(found["rows"])
+        return self._not_empty(found["rows"]), found["unkeyed"]
 
     @staticmethod
     def _last_snapshot(commits: Sequence[Commit]) -> int:
@@ -169,7 +182,7 @@ class KeyedTable:
         commits = self.commits()
         version = commits[-1].version + 1
         self._write_version(self._state(commits), version)
-        self._commit(version, SNAPSHOT, self._load([version]).count(), None, None)
+        self._commit(version, SNAPSHOT, *self._checked_count(version))
         return version
 
     # -- change feed ------------------------------------------------------

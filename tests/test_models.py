@@ -68,6 +68,12 @@ def test_metrics_per_model(scored):
     assert {k: per_model["m1"][k] for k in alone.asDict()} == alone.asDict()
 
 
+def test_model_without_a_name_is_a_model(scored):
+    unnamed = scored.withColumn("model", F.when(F.col("model") != "m1", F.col("model")))
+    per_model = {r["model"]: r["roc_auc"] for r in e.metrics_table(unnamed, by=["model"]).collect()}
+    assert per_model[None] == e.roc_auc(scored.where("model = 'm1'")).first()["roc_auc"]
+
+
 def test_one_class_has_no_auc(scored):
     assert e.roc_auc(scored.where("label = 1")).first()["roc_auc"] is None
 

@@ -132,13 +132,15 @@ def test_profile_needs_its_columns(rows):
 
 def test_ordering_helpers_by_brute_force(spark):
     rng = random.Random(1)
-    rows = [(rng.choice("aab"), rng.randrange(40), k, None if rng.random() < 0.1 else k * 10) for k in range(300)]
+    rows = [(rng.choice("aab"), rng.choice([None, *range(40)]), k, None if rng.random() < 0.1 else k * 10) for k in range(300)]
     df = spark.createDataFrame(rows, "g string, t int, k int, v int")
     slice_of = F.floor(F.col("t") / 5)
     lagged = {r["k"]: r["p"] for r in previous_value(df, ["g"], ["t", "k"], "v", slice_of, "p").collect()}
     numbered = {r["k"]: r["n"] for r in running_number(df, ["g"], ["t", "k"], slice_of, "n").collect()}
     for group in "ab":
         previous = None
-        for n, (_, _, k, v) in enumerate(sorted((r for r in rows if r[0] == group), key=lambda r: (r[1], r[2])), 1):
+        for n, (_, _, k, v) in enumerate(
+            sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1
+        ):
             assert (lagged[k], numbered[k]) == (previous, n)
             previous = v

@@ -58,6 +58,7 @@ def test_null_is_one_key_and_one_category(rows):
     assert (duplicates["observed_num"], duplicates["status"]) == (0.5, "fail")
     assert verdict(rows, r.cardinality("id", 2))["observed"] == "2"
     assert verdict(rows, r.cardinality("kind", 3))["status"] == "fail"
+    assert verdict(rows, r.cardinality("kind", 4, approximate=True))["observed"] == "4"
 
 
 def test_null_is_inside_every_domain(rows):
