@@ -60,11 +60,16 @@ def metric_gate(
 
 
 def pair_roles(
-    metrics: DataFrame, model: str, role: Column, metric_columns: Sequence[str] = METRICS
+    metrics: DataFrame,
+    model: str,
+    role: Column,
+    metric_columns: Sequence[str] = METRICS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Champion and challenger metrics of each model side by side, from one metrics table.
 
-    ``role`` is 'champion', 'challenger' or NULL and picks at most one row per
+    ``carry`` names further columns to keep for both, such as version, run and
+    commit. ``role`` is 'champion', 'challenger' or NULL and picks at most one row per
     model and role. One aggregation replaces a self-join; models without a
     challenger are left out.
     """
@@ -72,18 +77,23 @@ def pair_roles(
     for name in ("champion", "challenger"):
         mine = role == name
         sides.append(F.count_if(mine).alias(f"n_{name}"))
-        sides += [F.max(F.when(mine, F.col(m))).alias(f"{name}_{m}") for m in metric_columns]
+        sides += [F.max(F.when(mine, F.col(m))).alias(f"{name}_{m}") for m in (*metric_columns, *carry)]
     paired = metrics.groupBy(model).agg(*sides).where(F.col("n_challenger") > 0)
     return paired.withColumn("is_first_model", F.col("n_champion") == 0).drop("n_champion", "n_challenger")
 
 
 def pair_tables(
-    challengers: DataFrame, champions: DataFrame, model: str, metric_columns: Sequence[str] = METRICS
+    challengers: DataFrame,
+    champions: DataFrame,
+    model: str,
+    metric_columns: Sequence[str] = METRICS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """:func:`pair_roles` for champions and challengers kept in two tables; a missing champion is allowed."""
-    left = challengers.select(model, *[F.col(m).alias(f"challenger_{m}") for m in metric_columns])
+    kept = (*metric_columns, *carry)
+    left = challengers.select(model, *[F.col(c).alias(f"challenger_{c}") for c in kept])
     right = champions.select(
-        model, *[F.col(m).alias(f"champion_{m}") for m in metric_columns], F.lit(True).alias("__has_champion")
+        model, *[F.col(c).alias(f"champion_{c}") for c in kept], F.lit(True).alias("__has_champion")
     )
     joined = left.join(right, model, "left")
     return joined.withColumn("is_first_model", F.col("__has_champion").isNull()).drop("__has_champion")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.functions.columns import struct_sql
 from gaugeworks.sources.readers import read_parquet
@@ -29,8 +30,15 @@ SERVICES = ("dsl", "fiber", "none")
 ACTIVE_SINCE = "2001-01-01 00:00:00"
 
 
+# Schemas of the given tables by path. The tables never change, so one look at each is enough.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = read_parquet(spark, path, _SCHEMAS.get(path))
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from gaugeworks.operators.drift import mean_shift
 from gaugeworks.operators.evaluation import metrics_table
 from gaugeworks.operators.promotion import MINIMA
 from gaugeworks.plans import inputs as i
-from gaugeworks.plans.quality import _NO_BASELINE, _suite_sql, standard_suite
+from gaugeworks.plans.quality import NO_BASELINE, suite_sql, standard_suite
 from gaugeworks.plans.sql import over
 
 # Stricter than the usual minima, so that some metrics fall short on the given data.
@@ -74,7 +74,7 @@ def _drift_sql() -> str:
 
 
 _DATA = (
-    f"SELECT rule, severity, observed FROM ({_suite_sql(_NO_BASELINE)}) v WHERE status = 'fail' UNION ALL {_drift_sql()}"
+    f"SELECT rule, severity, observed FROM ({suite_sql(NO_BASELINE)}) v WHERE status = 'fail' UNION ALL {_drift_sql()}"
 )
 
 _SUMMARY = """

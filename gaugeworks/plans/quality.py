@@ -180,7 +180,7 @@ _TARGET = _rule(
 )
 
 
-def _suite_sql(volume: str) -> str:
+def suite_sql(volume: str) -> str:
     rows = [
         "SELECT 'required_columns' AS rule, 'critical' AS severity, 'pass' AS status, CAST(0 AS DOUBLE) AS observed",
         "SELECT 'extra_columns', 'warning', 'pass', CAST(0 AS DOUBLE)",
@@ -195,7 +195,7 @@ def _suite_sql(volume: str) -> str:
     return "\nUNION ALL ".join(rows)
 
 
-_NO_BASELINE = _rule("volume_change", "info", "COUNT(*)", "x >= 0")
+NO_BASELINE = _rule("volume_change", "info", "COUNT(*)", "x >= 0")
 
 
 def _volume(previous: str) -> str:
@@ -229,18 +229,18 @@ FROM ({suite}) v WHERE status = 'fail' AND severity IN ('error', 'critical')
 """
 
 ORACLES = {
-    "quality_suite": over("churn_dirty", _suite_sql(_volume("SELECT COUNT(*) FROM churn"))),
+    "quality_suite": over("churn_dirty", suite_sql(_volume("SELECT COUNT(*) FROM churn"))),
     "quality_failed_rules": over(
         "churn_dirty",
         "SELECT rule, severity, severity IN ('error', 'critical') AS blocking, observed FROM "
-        f"({_suite_sql(_NO_BASELINE)}) v WHERE status = 'fail'",
+        f"({suite_sql(NO_BASELINE)}) v WHERE status = 'fail'",
     ),
     "quality_gate": over(
         "churn_dirty",
-        _GATE_RUN.format(run="dirty", table="churn_dirty", suite=_suite_sql(_NO_BASELINE))
+        _GATE_RUN.format(run="dirty", table="churn_dirty", suite=suite_sql(NO_BASELINE))
         + " UNION ALL "
         + _GATE_RUN.format(
-            run="clean", table="churn", suite=_suite_sql(_NO_BASELINE).replace("FROM churn_dirty", "FROM churn")
+            run="clean", table="churn", suite=suite_sql(NO_BASELINE).replace("FROM churn_dirty", "FROM churn")
         ),
     ),
     "rule_row_count": over("churn_dirty", _rule("row_count", "critical", "COUNT(*)", "x BETWEEN 50 AND 1000")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import rules as r
@@ -12,7 +12,7 @@ from gaugeworks.operators.scoring import Provenance
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.features import RUN_TIME, SPEC
 from gaugeworks.plans.models import LOGISTIC
-from gaugeworks.sources.keyed import KeyedTable
+from gaugeworks.sources.keyed import FeatureStore, KeyedTable
 from gaugeworks.streaming import features as sf
 from gaugeworks.streaming import sources as ss
 from gaugeworks.streaming import windows as sw
@@ -91,18 +91,19 @@ def stream_prediction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score the customer of every arriving order from a static feature table."""
+    """Score the customer of every arriving order from a stored feature table."""
     training, _, _ = prepare_datasets(
         i.churn(spark, sf_dir), key="customer_id", numeric=i.NUMERIC, categorical=i.CATEGORICAL, label="churn"
     )
     folder = fresh_path(spark, "scoring")
     save_model(train(training, LOGISTIC), f"{folder}/model")
-    features = customer_features(i.churn(spark, sf_dir), F.lit(RUN_TIME).cast("timestamp"))
+    store = FeatureStore(spark, f"{folder}/features")
+    store.write(customer_features(i.churn(spark, sf_dir), F.lit(RUN_TIME).cast("timestamp")), SPEC)
     orders = ss.read_stream(spark, f"{sf_dir}/orders.parquet", i.table(spark, sf_dir, "orders").schema)
     keys = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer_id"))
     scores = sf.scored_stream(
         keys,
-        features,
+        store.read(SPEC),
         SPEC,
         load_model(f"{folder}/model"),
         i.NUMERIC,

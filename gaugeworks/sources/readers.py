@@ -23,13 +23,18 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return _attempt(f"table {name}", lambda: spark.table(name))
 
 
-def read_path(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def read_path(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, **options
+) -> DataFrame:
     """Any path-based format by name; a lake format works when its jar is on the class path."""
-    return _attempt(f"{fmt} at {path}", lambda: spark.read.format(fmt).options(**options).load(path))
+    reader = spark.read.format(fmt).options(**options)
+    reader = reader if schema is None else reader.schema(schema)
+    return _attempt(f"{fmt} at {path}", lambda: reader.load(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return read_path(spark, path, "parquet")
+def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Parquet files; with a schema no file has to be opened to plan the read."""
+    return read_path(spark, path, "parquet", schema)
 
 
 def _need_schema(kind: str, path: str, schema: StructType | None, infer: bool) -> None:
@@ -122,7 +127,7 @@ def load(spark: SparkSession, source: Source) -> DataFrame:
     if source.kind == "jdbc":
         return read_jdbc(spark, table=source.location, **source.options)
     if source.kind in ("parquet", "orc", "delta"):
-        return read_path(spark, source.location, source.kind, **source.options)
+        return read_path(spark, source.location, source.kind, source.schema, **source.options)
     raise ConfigError(f"unknown source kind {source.kind!r}")
 
 

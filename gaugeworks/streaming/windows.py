@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import ConfigError
@@ -12,6 +12,8 @@ from gaugeworks.functions.columns import share
 from gaugeworks.operators.rules import ROWS, Rule
 from gaugeworks.operators.suite import QualitySuite
 
+_SPREAD = 64
+
 
 def windowed_rules(
     stream: DataFrame, rules: Sequence[Rule], event_time: str, width: str, slide: str | None = None
@@ -57,6 +59,16 @@ def windowed_predictions(
     )
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first row of each key among rows no further apart than the watermark delay."""
-    return stream.dropDuplicatesWithinWatermark(list(keys))
+def deduplicated(stream: DataFrame, keys: Sequence[str], spread: Column | None = None) -> DataFrame:
+    """The first row of each key among rows no further apart than the watermark delay.
+
+    Copies of a row all go to the task that holds their key. When one key may have
+    very many copies, ``spread`` names something they differ in, such as the file
+    they came from: copies are first reduced to one per value of it, in as many
+    tasks, and then to one per key. That keeps state for both steps.
+    """
+    if spread is None:
+        return stream.dropDuplicatesWithinWatermark(list(keys))
+    part = F.pmod(F.xxhash64(spread), F.lit(_SPREAD))
+    reduced = stream.withColumn("__part", part).dropDuplicatesWithinWatermark([*keys, "__part"])
+    return reduced.drop("__part").dropDuplicatesWithinWatermark(list(keys))

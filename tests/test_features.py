@@ -73,6 +73,16 @@ def test_splitting_hot_keys_changes_nothing(skewed, lookup, how):
         assert len(rows) == 6000
 
 
+def test_a_large_hot_side_is_not_broadcast(skewed, lookup, monkeypatch):
+    from gaugeworks.functions import joins
+
+    plain = lookup_join(skewed, lookup, ["k"], hot_share=None)
+    monkeypatch.setattr(joins, "_BROADCAST_ROWS", 0)
+    split = lookup_join(skewed, lookup, ["k"], hot_share=0.05, min_rows=0)
+    assert "ResolvedHint" not in split._jdf.queryExecution().analyzed().toString()
+    assert sorted(split.collect()) == sorted(plain.collect())
+
+
 def test_training_set_keeps_repeated_labels_and_drops_unknown_ones(spark):
     spec = f.FeatureSpec("t", ("a", "b"), ("x",))
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (None, 1, 1)], "a int, b int, y int")

@@ -45,6 +45,17 @@ def test_decisions(spark):
     assert found[2]["absolute_failures"] == list(p.METRICS)
 
 
+def test_versions_are_carried_along(spark):
+    df = metrics(spark, (1, "challenger", 0.9, 0.9), (3, "champion", 0.9, 0.9), (3, "challenger", 0.8, 0.9)).withColumn(
+        "version", F.concat(F.lit("v-"), "role")
+    )
+    by_role = p.pair_roles(df, "model_id", F.col("role"), carry=["version"])
+    by_table = p.pair_tables(df.where("role = 'challenger'"), df.where("role = 'champion'"), "model_id", carry=["version"])
+    for pairs in (by_role, by_table):
+        found = {r["model_id"]: (r["champion_version"], r["challenger_version"]) for r in pairs.collect()}
+        assert found == {1: (None, "v-challenger"), 3: ("v-champion", "v-challenger")}
+
+
 def test_two_tables_decide_alike(spark):
     df = metrics(spark, (1, "challenger", 0.9, 0.9), (3, "champion", 0.9, 0.9), (3, "challenger", 0.8, 0.9))
     pairs = p.pair_tables(df.where("role = 'challenger'"), df.where("role = 'champion'"), "model_id")

@@ -79,3 +79,15 @@ def test_deduplication_across_batches(spark, tmp_path):
         stream = ss.with_event_time(ss.read_stream(spark, landing, schema), "ts", "1 hour")
         ss.to_files(sw.deduplicated(stream, ["id"]), out, check)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_many_copies_of_one_key_are_spread_by_file(spark, tmp_path):
+    landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for k in range(4):
+        schema = land(spark, landing, *[(1, "2024-01-01 00:00:00", 1.0)] * 50, (10 + k, "2024-01-01 00:00:30", 1.0))
+    stream = ss.with_event_time(ss.read_stream(spark, landing, schema).withColumn("file", F.col("_metadata.file_path")), "ts", "1 hour")
+    ss.to_files(sw.deduplicated(stream, ["id"], F.col("file")), out, check)
+    assert sorted(row["id"] for row in spark.read.parquet(out).collect()) == [1, 10, 11, 12, 13]
+    land(spark, landing, (1, "2024-01-01 00:00:10", 1.0))
+    ss.to_files(sw.deduplicated(stream, ["id"], F.col("file")), out, check)
+    assert spark.read.parquet(out).count() == 5
