@@ -48,8 +48,9 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "customer_id",
         "tenure_months",
-        F.round("avg_monthly_charge_ratio", 6).alias("avg_monthly_charge_ratio"),
-        F.round("support_calls_per_tenure_month", 6).alias("support_calls_per_tenure_month"),
+        # Cents over up to 64 months end within eight digits, so no value lies half way between two.
+        F.round("avg_monthly_charge_ratio", 8).alias("avg_monthly_charge_ratio"),
+        F.round("support_calls_per_tenure_month", 8).alias("support_calls_per_tenure_month"),
         F.date_format("feature_timestamp", "yyyy-MM-dd").alias("feature_day"),
     )
 
@@ -204,8 +205,8 @@ ORACLES = {
     "customer_features": over(
         "churn_dirty",
         "SELECT customer_id, tenure_months, ROUND(CASE WHEN tenure_months > 0 "
-        "THEN total_charges / CAST(tenure_months AS DOUBLE) ELSE monthly_charges END, 6) AS avg_monthly_charge_ratio, "
-        "ROUND(CAST(support_calls AS DOUBLE) / CAST(tenure_months + 1 AS DOUBLE), 6) AS support_calls_per_tenure_month, "
+        "THEN total_charges / CAST(tenure_months AS DOUBLE) ELSE monthly_charges END, 8) AS avg_monthly_charge_ratio, "
+        "ROUND(CAST(support_calls AS DOUBLE) / CAST(tenure_months + 1 AS DOUBLE), 8) AS support_calls_per_tenure_month, "
         "'2024-01-01' AS feature_day FROM churn_dirty",
     ),
     "impute": over(

@@ -71,8 +71,10 @@ class KeyedTable:
     def _commit(
         self, version: int, kind: str, n: int, unkeyed: int, source: str | None = None, batch: int | None = None
     ) -> None:
-        row = [(version, kind, n, unkeyed, datetime.now(timezone.utc), source, batch)]
-        self.spark.createDataFrame(row, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        fields = (version, kind, n, unkeyed, datetime.now(timezone.utc), source, batch)
+        names = [f.split()[0] for f in _COMMIT.split(", ")]
+        row = self.spark.range(1, numPartitions=1).select(*[F.lit(v).alias(k) for k, v in zip(names, fields)])
+        row.write.mode("append").json(f"{self.path}/commits")
 
     def _write_version(self, df: DataFrame, version: int) -> None:
         # Only a directory that was never committed can be in the way here.
