@@ -97,7 +97,7 @@ class QualitySuite:
         return results
 
 
-def churn_style_suite(
+def table_suite(
     schema: StructType,
     *,
     required: Sequence[str],

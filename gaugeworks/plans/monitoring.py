@@ -18,7 +18,7 @@ STRICT = {name: 0.75 for name in MINIMA}
 
 
 def _model() -> m.MonitoredModel:
-    return m.MonitoredModel("churn-model", "R", "prd", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return m.MonitoredModel("customer-model", "R", "prd", F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
 def _alerts(rows: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ QUERIES = {
     for fn in (data_alerts, prediction_monitoring, prediction_alerts, performance_alerts, monitoring_report)
 }
 
-_WHO = "'churn-model' AS model_name, 'R' AS model_version, 'prd' AS environment"
+_WHO = "'customer-model' AS model_name, 'R' AS model_version, 'prd' AS environment"
 
 
 def _drift_sql() -> str:

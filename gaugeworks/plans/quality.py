@@ -19,7 +19,7 @@ DOMAINS = {"contract_type": i.CONTRACTS, "internet_service": i.SERVICES}
 
 def standard_suite(df: DataFrame, previous_rows=None, reference_schema: StructType | None = None) -> s.QualitySuite:
     """The rules of the churn table with the base limits."""
-    return s.churn_style_suite(
+    return s.table_suite(
         df.schema,
         required=i.REQUIRED,
         key="customer_id",

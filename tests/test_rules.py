@@ -153,7 +153,7 @@ def test_own_rule(rows):
 
 
 def suite_of(df):
-    return s.churn_style_suite(
+    return s.table_suite(
         df.schema, required=["id", "amount", "kind", "label"], key="id", domains={"kind": ["x"]}, target="label"
     )
 
