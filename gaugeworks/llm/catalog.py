@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash",)
+MODULES = ("language", "simhash", "packing", "secrets", "neighbours", "decontam")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
