@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "simhash", "packing", "secrets", "neighbours", "decontam")
+MODULES = ("language", "simhash", "packing", "secrets", "neighbours", "decontam", "pii")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
