@@ -180,7 +180,8 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     )
 
 
-def _scorer(spark: SparkSession, model: Model | None, text: str = "text", drop: str | None = "text"):
+def _scorer(spark: SparkSession, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")):
+    """Replaces the text column of Arrow batches by the language and the score, under the given names."""
     fields = model and (model.languages, model.buckets, model.landmarks, model.landmark_norms, model.weights)
     shared = spark.sparkContext.broadcast((fields, letter_table()))
 
@@ -188,7 +189,7 @@ def _scorer(spark: SparkSession, model: Model | None, text: str = "text", drop:
         fields, letter = shared.value
         model = fields and Model(*fields)
         for batch in batches:
-            names, scores = [], []
+            found, scores = [], []
             for start in range(0, batch.num_rows, _BATCH):
                 part = [presence(t, letter) if model else None for (t,) in texts([batch.slice(start, _BATCH)], text)]
                 full = [k for k, p in enumerate(part) if p is not None]
@@ -198,12 +199,12 @@ def _scorer(spark: SparkSession, model: Model | None, text: str = "text", drop:
                     for k, row in zip(full, values):
                         top = int(np.argmax(row))
                         best[k] = (model.languages[top], float(min(1.0, max(0.0, row[top]))))
-                names += [b[0] for b in best]
+                found += [b[0] for b in best]
                 scores += [b[1] for b in best]
-            out = batch.drop_columns([drop]) if drop else batch
+            out = batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*out.schema.names, "lang_pred", "score"],
+                [*out.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*out.schema.names, *names],
             )
 
     return run
@@ -217,7 +218,7 @@ def accept(docs: DataFrame, least: float = 0.0, key: str = "doc_id", text: str =
     model = train(docs, key=key, text=text, lang=lang)
     name, score, at = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "text")
     spark = docs.sparkSession
-    run = _scorer(spark, model, at, at)
+    run = _scorer(spark, model, at, (name, score))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scored = docs.withColumn(at, F.col(text).cast("string")).mapInArrow(run, f"{fields}, `{name}` string, `{score}` double")
     return scored.filter((F.col(name) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
