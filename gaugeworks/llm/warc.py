@@ -79,7 +79,7 @@ def captures(records: DataFrame, raw: str = "record") -> DataFrame:
     rows = rows.select(
         value(F.col("warc"), "warc-record-id").alias("id"), value(F.col("warc"), "warc-type").alias("type"),
         canonical(value(F.col("warc"), "warc-target-uri")).alias("url"),
-        F.to_timestamp(value(F.col("warc"), "warc-date"), "yyyy-MM-dd'T'HH:mm:ssX").alias("date"),
+        F.try_to_timestamp(value(F.col("warc"), "warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("date"),
         "status", "http", F.coalesce(value(F.col("warc"), "warc-payload-digest"), body).alias("digest"),
     )
     return rows.filter(F.col("type").isin("response", "revisit"))
