@@ -113,7 +113,7 @@ def test_records_that_are_not_whole(spark):
     assert len(parsed) == len(raw) and parsed[5]["body"] == "body\r\n\r\nmore" and parsed[5]["status"] == 200 and tuple(parsed[5]["http"][0]) == ("a", "b:c")
     found = {r["id"]: r for r in warc.captures(frame).collect()}
     assert set(found) == {"a", "b"} and found["b"]["url"] == "x.com/a?z=2" and found["b"]["date"] is None
-    assert [tuple(r)[:5] for r in warc.resolve(warc.captures(frame)).collect()] == [("a", None, None, "no_response", None)]
+    assert [tuple(r)[:5] for r in warc.resolve(warc.captures(frame)).collect()] == [("a", "", None, "no_response", None)]
     assert warc.resolve(warc.captures(frame.limit(0))).collect() == []
 
 
