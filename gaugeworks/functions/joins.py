@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from gaugeworks.functions.columns import all_set
 
-HOT_SHARE = 0.01
-# Below this many rows a single key cannot keep a task busy for long.
-MIN_ROWS = 1_000_000
 _TRACKED = 4096
-# The most rows the hot side may have to be broadcast; with one row per key it has far fewer.
-_BROADCAST_ROWS = 10_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -27,54 +23,52 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def hot_key_hashes(
-    df: DataFrame, keys: Sequence[str], hot_share: float = HOT_SHARE, min_rows: int = MIN_ROWS
-) -> list[int]:
-    """Hashes of the keys that hold at least ``hot_share`` of the rows, at most ``1 / hot_share``.
+def common_types(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[DataType]:
+    """The type in which Spark compares each key of the two sides, from their schemas alone."""
+    nothing = left.sparkSession.range(0)
+    kinds = [
+        F.coalesce(F.lit(None).cast(left.schema[k].dataType), F.lit(None).cast(right.schema[k].dataType)) for k in keys
+    ]
+    return [f.dataType for f in nothing.select(*kinds).schema.fields]
 
-    One scan of the key columns into a fixed-size sketch; no rows are shuffled.
-    The sketch may miss or add a key, which changes where rows are joined, never
-    the result.
+
+def hot_hashes(df: DataFrame, hashed: Column, hot_share: float) -> list[int]:
+    """Hashes that at least ``hot_share`` of the rows have, at most ``1 / hot_share``.
+
+    One scan into a fixed-size sketch; no rows are shuffled. The sketch may miss or
+    add a hash, which changes where rows are joined, never the result.
     """
     most = int(1 / hot_share)
-    hashed = df.select(F.xxhash64(*keys).alias("h"))
-    found = hashed.agg(
+    found = df.select(hashed.alias("h")).agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {_TRACKED})").alias("top")
     ).first()
-    if found["n"] < min_rows:
-        return []
     return [entry["item"] for entry in (found["top"] or []) if entry["count"] >= found["n"] * hot_share]
 
 
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    hot_share: float | None = HOT_SHARE,
-    min_rows: int = MIN_ROWS,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot_share: float | None = None
 ) -> DataFrame:
-    """Join rows to the one ``right`` row of their key (``how``: inner or left).
+    """Join rows to the ``right`` rows of their key (``how``: inner or left); NULL keys match nothing.
 
-    Rows of hot keys are joined against a broadcast copy of the few ``right`` rows
-    they need, so they never meet in one task; all other rows take the usual join.
-    The copy is counted first: when ``right`` has many rows per key after all, the
-    join is left to Spark. NULL keys match nothing.
-
-    Looking for hot keys costs a scan of the key columns, so it is left out when
-    ``hot_share`` is None.
+    The plan is one join, whose skewed partitions Spark splits at run time. With
+    ``hot_share`` the keys with that share of the left rows are looked for first, by
+    a scan of the key columns that runs at once, and their rows are spread: each
+    left row takes one of as many numbers as there are shuffle partitions, and the
+    hot keys' right rows are repeated for each number. The result is the same.
     """
     keys = list(keys)
     right = right.where(all_set(keys))
-    hot: list[int] = []
-    if hot_share is not None:
-        hot = hot_key_hashes(left, keys, hot_share, min_rows)
+    if hot_share is None:
+        return left.join(right, keys, how)
+    kinds = common_types(left, right, keys)
+    hashed = F.xxhash64(*[F.col(k).cast(kind) for k, kind in zip(keys, kinds)])
+    hot = hot_hashes(left, hashed, hot_share)
     if not hot:
         return left.join(right, keys, how)
-    is_hot = F.xxhash64(*[F.col(k) for k in keys]).isin(hot)
-    usual = left.where(~is_hot).join(right, keys, how)
-    needed = right.where(is_hot)
-    if needed.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    split = left.where(is_hot).join(needed, keys, how)
-    return usual.unionByName(split)
+    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number, is_hot = "__number", hashed.isin(hot)
+    part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(F.lit(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    numbered = left.withColumn(number, part.cast("int"))
+    repeated = right.withColumn(number, F.explode(parts))
+    return numbered.join(repeated, [*keys, number], how).drop(number)

@@ -2,79 +2,156 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.columns import name_of, rows_from_sql, struct_sql, text_literal
+from gaugeworks.functions.columns import name_of
+from gaugeworks.workspace import fresh_path
 
 # Relative rank error 1e-4; a sketch of this size is cheap to merge from many tasks.
 SKETCH_ACCURACY = 10_000
+# Steps of the sketch that are read out; a step is wider than the sketch can be wrong.
+GRID = 2_000
 
 
 def sketched_quantiles(columns: Sequence[str], shares: Sequence[float], prefix: str = "q") -> list[Column]:
-    """Aggregates ``<prefix>0, <prefix>1, ...`` with the approximate quantiles of each column as an array."""
+    """Aggregates ``<prefix>0, <prefix>1, ...`` with the approximate quantiles of each column as an array.
+
+    NaN is above every number; the sketch takes it in as infinity, which it can order.
+    """
     listed = ", ".join(f"{float(s)}D" for s in shares)
+    value = "double({0})"
     return [
-        F.expr(f"percentile_approx(double({name_of(c)}), array({listed}), {SKETCH_ACCURACY}) AS {prefix}{i}")
+        F.expr(
+            f"percentile_approx(if(isnan({value.format(name_of(c))}), double('Infinity'), {value.format(name_of(c))}), "
+            f"array({listed}), {SKETCH_ACCURACY}) AS {prefix}{i}"
+        )
         for i, c in enumerate(columns)
     ]
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """(column, quantiles): the smallest value whose rank reaches ``share * n``, NULLs left out.
-
-    A first pass sketches each quantile and takes a bracket around it that is wider
-    than the sketch can be wrong. A second pass counts: rows inside a bracket per
-    value, all other rows per gap between brackets. Only those counts are shuffled,
-    a thousandth of the rows or so, and the ranks in them are exact.
+@dataclass
+class _Search:
+    """Where the wanted ranks of one column lie: disjoint intervals of values, and the ranks in each."""
+
+    ranks: list[int]
+    numbers: int
+    grid: list[float]
+    width: int = 1
+
+    def intervals(self) -> list[tuple[float, float]]:
+        """Around each rank as many steps of the grid as the sketch can be wrong, overlapping ones merged."""
+        found: list[tuple[float, float]] = []
+        last = len(self.grid) - 1
+        for rank in sorted({r for r in self.ranks if r <= self.numbers}):
+            at = rank / self.numbers * last
+            low, high = math.floor(at) - self.width, math.ceil(at) + self.width
+            edge = (-math.inf if low <= 0 else self.grid[low], math.inf if high >= last else self.grid[high])
+            if found and edge[0] <= found[-1][1]:
+                found[-1] = (found[-1][0], max(edge[1], found[-1][1]))
+            else:
+                found.append(edge)
+        return found
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], extra: Sequence[Column] = ()
+) -> tuple[DataFrame, Row]:
+    """(column, quantiles): the smallest value whose rank reaches ``share * n``; NULLs are left out, NaN comes last.
+
+    Runs at once, in two passes over the table. The first sketches the numbers and
+    gives the ``extra`` aggregates, which are returned next to the result. Around
+    each rank an interval is taken that is wider than the sketch can be wrong. The
+    second pass counts rows inside the intervals per value and all others per gap
+    between them; only these counts are shuffled, a thousandth of the rows or so, and
+    they are stored in the shared folder. If a rank is in none of its intervals
+    after all, they are widened and the rows counted again. A column without
+    values has NULL quantiles.
     """
+    spark = df.sparkSession
     columns, shares = list(columns), [float(s) for s in shares]
-    margin = 2.0 / SKETCH_ACCURACY
-    edges = [min(max(s + side * margin, 0.0), 1.0) for s in shares for side in (-1, 1)]
-    sketch = df.agg(*sketched_quantiles(columns, edges, "e"))
-    brackets = sketch.select(
-        rows_from_sql([struct_sql(column=text_literal(c), edges=f"e{i}") for i, c in enumerate(columns)])
-    )
-    numbers = df.select(*[F.expr(f"double({name_of(c)}) AS {name_of(c)}") for c in columns])
-    long = numbers.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
-
-    # The outermost ranks have no bound on their outer side.
-    def low(j: int) -> str:
-        return "true" if edges[2 * j] <= 0.0 else f"value >= edges[{2 * j}]"
-
-    def high(j: int) -> str:
-        return "true" if edges[2 * j + 1] >= 1.0 else f"value <= edges[{2 * j + 1}]"
-
-    inside = " OR ".join(f"({low(j)} AND {high(j)})" for j in range(len(shares)))
-    passed = " + ".join(f"if({high(j)}, 0, 1)" for j in range(len(shares)))
-    # One row per column.
-    tagged = long.join(F.broadcast(brackets), "column").select(
-        "column", F.expr(f"{passed} AS gap"), F.expr(f"if({inside}, value, NULL) AS candidate"), F.expr(f"{inside} AS kept")
-    )
-    counted = tagged.groupBy("column", "gap", "kept", "candidate").agg(F.count(F.lit(1)).alias("n"))
-    # Rows outside all brackets lie below the candidates that have passed as many brackets.
-    within = Window.partitionBy("column", "gap").orderBy("kept", "candidate").rowsBetween(Window.unboundedPreceding, -1)
-    per_gap = counted.groupBy("column", "gap").agg(F.sum("n").alias("gap_n"))
-    earlier = Window.partitionBy("column").orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_gap.select(
-        "column",
-        "gap",
-        F.coalesce(F.sum("gap_n").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("gap_n").over(Window.partitionBy("column")).alias("total"),
-    )
-    # At most one row per column and bracket, plus one per column.
-    ranked = counted.withColumn("inside_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(
-        F.broadcast(offsets), ["column", "gap"]
+    steps = [k / GRID for k in range(GRID + 1)]
+    numbers = [F.col(name_of(c)).cast("double") for c in columns]
+    first = df.agg(
+        *extra,
+        *[F.count(v).alias(f"__n{i}") for i, v in enumerate(numbers)],
+        *[F.count_if(F.isnan(v)).alias(f"__nan{i}") for i, v in enumerate(numbers)],
+        *[
+            F.percentile_approx(F.when(~F.isnan(v), v), steps, SKETCH_ACCURACY).alias(f"__grid{i}")
+            for i, v in enumerate(numbers)
+        ],
+    ).first()
+    searches: dict[int, _Search] = {}
+    for i in range(len(columns)):
+        n, nan = first[f"__n{i}"], first[f"__nan{i}"]
+        if n > nan:
+            searches[i] = _Search([max(math.ceil(s * n), 1) for s in shares], n - nan, first[f"__grid{i}"])
+    values: dict[tuple[int, int], float] = {}
+    while searches:
+        found, missed = _ranked(df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)]), searches)
+        values.update(found)
+        for i in list(searches):
+            if i in missed:
+                searches[i].width *= 16
+            else:
+                del searches[i]
+    result = []
+    for i, c in enumerate(columns):
+        n, nan = first[f"__n{i}"], first[f"__nan{i}"]
+        ranks = [max(math.ceil(s * n), 1) for s in shares]
+        result.append((c, [None if not n else values[i, r] if r <= n - nan else math.nan for r in ranks]))
+    return spark.createDataFrame(result, "column string, quantiles array<double>"), first
+
+
+def _ranked(numbers: DataFrame, searches: dict[int, _Search]) -> tuple[dict[tuple[int, int], float], set[int]]:
+    """The values at the wanted ranks, by (column, rank), and the columns whose intervals miss one."""
+    spark = numbers.sparkSession
+    intervals = {i: search.intervals() for i, search in searches.items()}
+    most = max(len(v) for v in intervals.values())
+    rows = [
+        (i, [low for low, _ in v] + [math.nan] * (most - len(v) + 1), [high for _, high in v] + [math.inf] * (most - len(v)))
+        for i, v in intervals.items()
+    ]
+    edges = spark.createDataFrame(rows, "i int, lows array<double>, highs array<double>")
+    long = numbers.select(*[F.col(f"v{i}").alias(str(i)) for i in searches]).unpivot([], [str(i) for i in searches], "i", "value")
+    long = long.select(F.col("i").cast("int").alias("i"), "value").where("value IS NOT NULL AND NOT isnan(value)")
+    passed = " + ".join(f"if(value > highs[{k}], 1, 0)" for k in range(most))
+    placed = long.join(F.broadcast(edges), "i").select("i", "value", "lows", F.expr(f"{passed} AS part"))
+    counted = placed.groupBy("i", "part", F.expr("if(value >= lows[part], value, NULL) AS candidate")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    picks = []
-    for share in shares:
-        rank = f"greatest(ceil({share}D * total), 1)"
-        before = "(offset + inside_before)"
-        hit = f"kept AND {before} < {rank} AND {rank} <= {before} + n"
-        picks.append(F.expr(f"max(candidate) FILTER (WHERE {hit})"))
-    return ranked.groupBy("column").agg(F.array(*picks).alias("quantiles"))
+    path = fresh_path(spark, "candidates")
+    counted.repartitionByRange("i", "part", F.asc_nulls_first("candidate")).withColumn(
+        "range", F.spark_partition_id()
+    ).write.parquet(path)
+    counted = spark.read.schema("i int, part int, candidate double, n bigint, range int").parquet(path)
+    # One row per column, interval and range: no more than there are partitions, and the gaps.
+    totals = counted.groupBy("i", "part", "range", F.col("candidate").isNotNull().alias("kept")).agg(F.sum("n").alias("n"))
+    wanted, missed = [], set()
+    per_column: dict[int, list] = {}
+    for row in totals.collect():
+        per_column.setdefault(row["i"], []).append(row)
+    for i, search in searches.items():
+        below, pending = 0, sorted({r for r in search.ranks if r <= search.numbers})
+        for row in sorted(per_column.get(i, []), key=lambda r: (r["part"], r["kept"], r["range"])):
+            inside = [r for r in pending if below < r <= below + row["n"]]
+            if inside and not row["kept"]:
+                missed.add(i)
+            wanted += [(i, row["part"], row["range"], r, r - below) for r in inside if row["kept"]]
+            below += row["n"]
+    wanted = [w for w in wanted if w[0] not in missed]
+    if not wanted:
+        return {}, missed
+    asked = spark.createDataFrame(wanted, "i int, part int, range int, rank bigint, place bigint")
+    within = Window.partitionBy("i", "part", "range").orderBy("candidate").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = counted.where("candidate IS NOT NULL").withColumn("reached", F.sum("n").over(within))
+    # One row per column and share.
+    hits = ordered.join(F.broadcast(asked), ["i", "part", "range"]).where("reached - n < place AND place <= reached")
+    return {(r["i"], r["rank"]): r["candidate"] for r in hits.select("i", "rank", "candidate").collect()}, missed
 
 
 def beaten_pairs(per_value: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

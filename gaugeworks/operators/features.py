@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import FeatureError
 from gaugeworks.functions.columns import hash_bucket, ratio_or_null
-from gaugeworks.functions.joins import HOT_SHARE, lookup_join
+from gaugeworks.functions.joins import lookup_join
 
 MISSING_CATEGORY = "unknown"
 SPLITS = ("train", "validation", "test")
@@ -97,7 +97,7 @@ class FeatureSpec:
 
 
 def training_set(
-    labels: DataFrame, features: DataFrame, spec: FeatureSpec, label: str, hot_share: float | None = HOT_SHARE
+    labels: DataFrame, features: DataFrame, spec: FeatureSpec, label: str, hot_share: float | None = None
 ) -> DataFrame:
     """Labels with the features of their key; labels without features are left out.
 
@@ -117,7 +117,7 @@ def unmatched_labels(labels: DataFrame, features: DataFrame, spec: FeatureSpec)
 
 
 def feature_lookup(
-    keys_df: DataFrame, features: DataFrame, spec: FeatureSpec, hot_share: float | None = HOT_SHARE
+    keys_df: DataFrame, features: DataFrame, spec: FeatureSpec, hot_share: float | None = None
 ) -> DataFrame:
     """Rows with the features of their key; a key without features keeps NULLs."""
     return lookup_join(keys_df, features.select(*spec.columns), spec.keys, "left", hot_share)

@@ -78,7 +78,7 @@ def profile_duplicates(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def _quantile_rows(df: DataFrame, columns: Sequence[str], shares: Sequence[float], exact: bool) -> DataFrame:
     if exact:
-        return exact_quantiles(df, columns, shares)
+        return exact_quantiles(df, columns, shares)[0]
     row = df.agg(*sketched_quantiles(columns, shares))
     return row.select(
         rows_from_sql([struct_sql(column=text_literal(c), quantiles=f"q{i}") for i, c in enumerate(columns)])
@@ -97,7 +97,10 @@ def _numeric_aggregates(columns: Sequence[str]) -> list[Column]:
 def profile_numeric(
     df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = QUANTILES, exact: bool = False
 ) -> DataFrame:
-    """Min, max, mean, sample deviation, quantiles and median (the middle entry of the quantile list)."""
+    """Min, max, mean, sample deviation, quantiles and median (the middle entry of the quantile list).
+
+    Exact quantiles are computed at once, the approximate form is lazy.
+    """
     columns = list(columns)
     aggregates = _numeric_aggregates(columns)
     if not exact:
@@ -105,14 +108,16 @@ def profile_numeric(
 
     def entry(i: int, c: str) -> str:
         fields = {"column": text_literal(c), "min": f"min{i}", "max": f"max{i}", "mean": f"mean{i}", "stddev": f"sd{i}"}
-        if not exact:
-            fields["quantiles"] = f"q{i}"
-        return struct_sql(**fields)
+        return struct_sql(**fields, quantiles=f"q{i}")
 
-    rows = df.agg(*aggregates).select(rows_from_sql([entry(i, c) for i, c in enumerate(columns)]))
     if exact:
+        found, row = exact_quantiles(df, columns, quantiles, aggregates)
+        kinds = "column string, min double, max double, mean double, stddev double"
+        stats = [(c, row[f"min{i}"], row[f"max{i}"], row[f"mean{i}"], row[f"sd{i}"]) for i, c in enumerate(columns)]
         # Both sides have one row per profiled column.
-        rows = rows.join(F.broadcast(exact_quantiles(df, columns, quantiles)), "column", "left")
+        rows = df.sparkSession.createDataFrame(stats, kinds).join(F.broadcast(found), "column")
+    else:
+        rows = df.agg(*aggregates).select(rows_from_sql([entry(i, c) for i, c in enumerate(columns)]))
     middle = len(quantiles) // 2
     return rows.select(
         "column", "min", "max", "mean", "stddev", F.col("quantiles")[middle].alias("median"), "quantiles"
@@ -248,7 +253,7 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False)
                 outlier_count=f"out{i}",
             )
         )
-    row = counted.agg(*aggregates).withColumn("__q", by_column.scalar())
+    row = counted.agg(*aggregates, F.first("__q").alias("__q"))
     return row.select(rows_from_sql(structs))
 
 

@@ -8,8 +8,13 @@ another :class:`Rule`.
 
 from __future__ import annotations
 
+import datetime as dt
+import itertools
+import json
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,7 @@ BLOCKING = (ERROR, CRITICAL)
 
 ROWS = "n_rows"
 _SHARE_DIGITS = 4
+_SCALARS = itertools.count()
 
 
 @dataclass(frozen=True)
@@ -60,7 +66,22 @@ def _listed(names: Sequence[str]) -> str:
 
 
 def _literal(value) -> str:
-    return text_literal(value) if isinstance(value, str) else str(value)
+    """A Python value as SQL text of its own type."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return text_literal(value)
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return str(value)
 
 
 def _column_list_rule(name, description, severity, offending, expected, gate=None) -> Rule:
@@ -108,7 +129,12 @@ def row_count(min_rows: int, max_rows: int) -> Rule:
 
 def volume_change(previous: int | Column | None, max_change: float) -> Rule:
     """Relative change of the row count; informational without a previous count."""
-    before = "previous_rows"
+    before, scalars = "bigint(NULL)", {}
+    if isinstance(previous, Column):
+        before = f"previous_rows_{next(_SCALARS)}"
+        scalars = {before: previous.cast("bigint")}
+    elif previous is not None:
+        before = f"bigint({previous})"
     change = f"try_divide(double(abs({ROWS} - {before})), double({before}))"
     no_baseline = f"({before} IS NULL OR {before} = 0)"
     return Rule(
@@ -118,7 +144,7 @@ def volume_change(previous: int | Column | None, max_change: float) -> Rule:
         severity_sql=f"if({no_baseline}, '{INFO}', '{WARNING}')",
         expected=f"<= {max_change}",
         expected_sql=f"if({no_baseline}, 'no previous run', '<= {max_change}')",
-        scalars={before: (previous if isinstance(previous, Column) else F.lit(previous)).cast("bigint")},
+        scalars=scalars,
         observed=f"if({no_baseline}, double({ROWS}), round({change}, {_SHARE_DIGITS}))",
         observed_text=f"if({no_baseline}, string({ROWS}), string(round({change}, {_SHARE_DIGITS})))",
         passed=f"{no_baseline} OR {change} <= {max_change}D",
@@ -176,7 +202,7 @@ def duplicates(keys: Sequence[str], max_share: float) -> Rule:
         f"{{}} <= {max_share}D",
         columns=keys,
         frame=lambda df: distinct_keys(df, keys),
-        frame_key=f"keys:{','.join(keys)}",
+        frame_key=json.dumps(keys),
     )
 
 
@@ -201,7 +227,7 @@ def cardinality(column: str, max_distinct: int, approximate: bool = False) -> Ru
     return Rule(
         **common,
         frame=lambda df: distinct_keys(df, [column]),
-        frame_key=f"keys:{column}",
+        frame_key=json.dumps([column]),
         observed="n_keys",
         passed=f"n_keys <= {max_distinct}",
     )
@@ -221,31 +247,39 @@ def _none_allowed(name: str, description: str, column: str, bad: str, **rest) ->
     )
 
 
-def value_range(column: str, low: float, high: float) -> Rule:
-    """No value outside the bounds; NULL passes, NaN does not."""
-    alias, c = f"{column} outside {low} to {high}", name_of(column)
+def value_range(column: str, low, high) -> Rule:
+    """No value outside the bounds, numbers, dates or times; NULL passes, NaN does not, a bound of None is none."""
+    c = name_of(column)
+    outside = [f"{c} {sign} {_literal(bound)}" for sign, bound in (("<", low), (">", high)) if bound is not None]
+    alias = f"count_if({' OR '.join(outside) or 'false'})"
     return _none_allowed(
         f"value_range[{column}]",
         f"{column} between {low} and {high}",
         column,
         name_of(alias),
-        aggregates={alias: f"count_if({c} < {low} OR {c} > {high})"},
+        aggregates={alias: alias},
     )
 
 
 def allowed_domain(column: str, values: Sequence) -> Rule:
     """No non-NULL value outside a short list."""
-    alias, c = f"{column} off its domain", name_of(column)
-    listed = ", ".join(_literal(v) for v in values)
+    c = name_of(column)
+    listed = ", ".join(_literal(v) for v in values if v is not None) or "NULL"
+    alias = f"count_if({c} IS NOT NULL AND NOT coalesce({c} IN ({listed}), false))"
     return _none_allowed(
         f"allowed_domain[{column}]",
         f"{column} in {_listed([str(v) for v in values])}",
         column,
         name_of(alias),
-        aggregates={alias: f"count_if({c} IS NOT NULL AND {c} NOT IN ({listed}))"},
+        aggregates={alias: alias},
     )
 
 
+def _frame_key(kind: str, column: str, known: DataFrame, known_column: str) -> str:
+    """The same for rules that compare a column with the same column of an equal plan."""
+    return json.dumps([kind, column, known.semanticHash(), known_column])
+
+
 def _matched_values(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
     """Distinct values of a column with their row count ``n`` and whether they are known.
 
@@ -271,7 +305,7 @@ def allowed_domain_table(column: str, domain: DataFrame, domain_column: str) ->
         column,
         "n_bad",
         frame=frame,
-        frame_key=f"domain:{column}:{id(domain)}",
+        frame_key=_frame_key("domain", column, domain, domain_column),
     )
 
 
@@ -305,7 +339,7 @@ def referential_integrity(column: str, reference: DataFrame, reference_column: s
         column,
         "n_orphans",
         frame=frame,
-        frame_key=f"reference:{column}:{id(reference)}",
+        frame_key=_frame_key("reference", column, reference, reference_column),
     )
 
 

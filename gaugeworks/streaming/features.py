@@ -24,7 +24,7 @@ def scored_stream(
     provenance: Provenance,
 ) -> DataFrame:
     """Look up the features of arriving keys in a static table and score them."""
-    looked_up = feature_lookup(keys, features, spec, hot_share=None)
+    looked_up = feature_lookup(keys, features, spec)
     return score(looked_up, model, numeric, categorical, provenance)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import FeatureError
-from gaugeworks.functions.joins import hot_key_hashes, lookup_join
+from gaugeworks.functions.joins import lookup_join
 from gaugeworks.operators import features as f
 
 
@@ -57,30 +57,41 @@ def lookup(spark):
     )
 
 
-def test_hot_keys_are_found(skewed):
-    assert hot_key_hashes(skewed, ["k"]) == []  # small tables are not worth it
-    assert 1 <= len(hot_key_hashes(skewed, ["k"], 0.2, min_rows=0)) <= 2
-
-
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_splitting_hot_keys_changes_nothing(skewed, lookup, how):
-    split = lookup_join(skewed, lookup, ["k"], how, hot_share=0.05, min_rows=0)
-    assert "Union" in split._jdf.queryExecution().optimizedPlan().toString()
-    plain = lookup_join(skewed, lookup, ["k"], how, hot_share=None)
-    rows = sorted(split.collect(), key=repr)
-    assert rows == sorted(plain.collect(), key=repr)
+def test_spreading_hot_keys_changes_nothing(skewed, lookup, how):
+    spread = lookup_join(skewed, lookup, ["k"], how, hot_share=0.05)
+    assert "__number" in spread._jdf.queryExecution().optimizedPlan().toString()
+    assert spread.columns == ["k", "row", "v"]
+    rows = sorted(spread.collect(), key=repr)
+    assert rows == sorted(lookup_join(skewed, lookup, ["k"], how).collect(), key=repr)
     if how == "left":
         assert len(rows) == 6000
 
 
-def test_a_large_hot_side_is_not_broadcast(skewed, lookup, monkeypatch):
-    from gaugeworks.functions import joins
+def test_a_right_side_of_many_rows_per_key(skewed, lookup):
+    many = lookup.unionByName(lookup)
+    assert sorted(lookup_join(skewed, many, ["k"], hot_share=0.05).collect()) == sorted(lookup_join(skewed, many, ["k"]).collect())
 
-    plain = lookup_join(skewed, lookup, ["k"], hot_share=None)
-    monkeypatch.setattr(joins, "_BROADCAST_ROWS", 0)
-    split = lookup_join(skewed, lookup, ["k"], hot_share=0.05, min_rows=0)
-    assert "ResolvedHint" not in split._jdf.queryExecution().analyzed().toString()
-    assert sorted(split.collect()) == sorted(plain.collect())
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize(
+    "left, right",
+    [("int", "bigint"), ("bigint", "int"), ("decimal(10,2)", "decimal(20,4)"), ("decimal(12,0)", "bigint"), ("date", "timestamp"), ("string", "int"), ("float", "double")],
+)
+def test_hot_keys_of_other_types(spark, how, left, right):
+    def keys(kind, n):
+        number = F.pmod(n, F.lit(40)).cast("int")
+        return F.date_add(F.lit("2024-01-01"), number).cast(kind) if kind in ("date", "timestamp") else number.cast(kind)
+
+    hot = F.when(F.col("id") < 600, F.lit(3)).when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id"))
+    labels = spark.range(1000).select(keys(left, hot).alias("k"), F.lit(1).alias("j"), F.col("id").alias("row"))
+    features = spark.range(30).select(keys(right, F.col("id")).alias("k"), F.lit(1).cast("bigint").alias("j"), F.col("id").alias("v"))
+    plain = lookup_join(labels, features, ["k", "j"], how)
+    spread = lookup_join(labels, features, ["k", "j"], how, hot_share=0.3)
+    assert spread.dtypes == plain.dtypes
+    assert "__number" in spread._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(spread.collect(), key=repr)
+    assert rows == sorted(plain.collect(), key=repr) and sum(r["v"] == 3 for r in rows) >= 600
 
 
 def test_training_set_keeps_repeated_labels_and_drops_unknown_ones(spark):

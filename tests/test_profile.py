@@ -100,17 +100,46 @@ def test_exact_quantiles_by_brute_force(spark, kind):
     values = [draw() for _ in range(40_000)]
     shares = (0.01, 0.25, 0.5, 0.5001, 0.75, 0.999)
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
-    (row,) = exact_quantiles(df, ["v"], shares).collect()
+    (row,) = exact_quantiles(df, ["v"], shares)[0].collect()
     assert row["quantiles"] == [quantile(values, s) for s in shares]
 
 
 def test_exact_quantiles_ends_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (math.nan,), (4.0,), (None,)], "v double")
-    (row,) = exact_quantiles(df, ["v"], (0.0, 0.25, 0.5, 0.75, 1.0)).collect()
+    (row,) = exact_quantiles(df, ["v"], (0.0, 0.25, 0.5, 0.75, 1.0))[0].collect()
     assert row["quantiles"][:4] == [1.0, 1.0, 2.0, 4.0]
     assert math.isnan(row["quantiles"][4])
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.6])
+def test_many_nan_rank_above_every_number(spark, share):
+    rng = random.Random(11)
+    values = [math.nan if rng.random() < share else rng.gauss(0, 3) for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "`a.b` double").repartition(5)
+    shares = (0.0, 0.25, 0.399, 0.5, 0.75, 1.0)
+    ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+    want = [ordered[max(math.ceil(s * len(values)), 1) - 1] for s in shares]
+    (row,) = exact_quantiles(df, ["a.b"], shares)[0].collect()
+    assert repr(row["quantiles"]) == repr(want)
+    (numeric,) = p.profile_numeric(df, ["a.b"], (0.25, 0.5, 0.75), exact=True).collect()
+    (outlier,) = p.profile_outliers(df, ["a.b"], exact=True).collect()
+    assert repr(numeric["quantiles"]) == repr([want[1], want[3], want[4]])
+    if share < 0.25:
+        low, high = outlier["lower_bound"], outlier["upper_bound"]
+        assert outlier["outlier_count"] == sum(math.isnan(v) or v < low or v > high for v in values)
+
+
+def test_ranks_outside_their_intervals_are_searched_again(spark, monkeypatch):
+    from gaugeworks.functions import ranks
+
+    sketch = ranks._Search.intervals
+    monkeypatch.setattr(ranks._Search, "intervals", lambda self: sketch(self) if self.width > 1 else [(-9.0, -8.0)])
+    df = spark.range(5000).select(F.col("id").cast("double").alias("v"), F.lit(None).cast("double").alias("w"))
+    rows = {r["column"]: r["quantiles"] for r in exact_quantiles(df, ["v", "w"], (0.5, 0.9))[0].collect()}
+    assert rows == {"v": [2499.0, 4499.0], "w": [None, None]}
+    assert [r["quantiles"] for r in exact_quantiles(df.limit(0), ["v"], (0.5,))[0].collect()] == [[None]]
+
+
 def test_temporal_skips_absent_columns(spark):
     df = spark.createDataFrame([("2024-01-31",), ("2024-03-01",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
     rows = sorted(p.profile_temporal(df, ["d", "gone"]).collect())
