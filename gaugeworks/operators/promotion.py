@@ -141,10 +141,13 @@ def recommend(pairs: DataFrame, policy: PromotionPolicy) -> DataFrame:
 
 
 def enforce_approval(recommendations: DataFrame, model: str, shown: int = 20) -> None:
-    """Raise when any model is rejected, naming some of them."""
-    rejected = recommendations.where(F.col("recommendation") != "promote").select(model).limit(shown).collect()
-    if rejected:
-        raise NotApprovedError(f"not approved: {', '.join(str(row[0]) for row in rejected)}")
+    """Raise when any model is rejected, with their number and the names of the first ``shown``."""
+    rejected = recommendations.where(F.col("recommendation") != "promote").select(model)
+    names = [str(row[0]) for row in rejected.orderBy(model).limit(shown).collect()]
+    if names:
+        count = len(names) if len(names) < shown else rejected.count()
+        more = f" and {count - len(names)} more" if count > len(names) else ""
+        raise NotApprovedError(f"{count} not approved: {', '.join(names)}{more}")
 
 
 def metadata_problems(joined: DataFrame) -> DataFrame:

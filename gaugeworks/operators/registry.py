@@ -79,7 +79,7 @@ def register_versions(runs: DataFrame, existing: DataFrame | None = None, model:
 
 
 def promotion_plan(
-    candidates: DataFrame, state: DataFrame, model: str = "model_id", registry_mode: str = "shared_uc", confirm: bool = False
+    candidates: DataFrame, state: DataFrame, model: str = "model_id", confirm: bool = False
 ) -> DataFrame:
     """What promoting each challenger would do.
 
@@ -91,7 +91,6 @@ def promotion_plan(
     joined = candidates.join(current, model, "left")
     return joined.select(
         model,
-        F.lit(registry_mode).alias("registry_mode"),
         F.col("version").alias("challenger_version_to_promote"),
         "current_champion_version",
         F.col("current_champion_version").alias("will_set_previous_champion_to"),

@@ -65,6 +65,16 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("customer_id", "large_order", "contract_type", F.round("total_charges", 2).alias("total_charges"))
 
 
+def training_set_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with bigint keys, two of which have most rows, and features with int keys; hot keys are spread."""
+    orders = i.table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderstatus") == "O", F.lit(1)).when(F.col("o_orderstatus") == "F", F.lit(2)).otherwise(F.col("o_custkey"))
+    labels = orders.select(key.cast("bigint").alias("customer"), F.col("o_orderkey").alias("label"))
+    customers = i.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("customer"), "c_nationkey")
+    spec = f.FeatureSpec(table="churn.nations", keys=("customer",), features=("c_nationkey",))
+    return f.training_set(labels, customers, spec, "label", hot_share=0.1)
+
+
 def training_set_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a feature table that was written twice."""
     store = FeatureStore(spark, fresh_path(spark, "store"))
@@ -159,6 +169,7 @@ QUERIES = {
         customer_features,
         impute,
         training_set,
+        training_set_mixed_types,
         training_set_stored,
         unmatched_labels,
         feature_lookup,
@@ -217,6 +228,8 @@ ORACLES = {
         "CAST(churn AS DOUBLE) AS churn FROM churn_dirty",
     ),
     "training_set": over("churn", _TRAINING, order_labels=_LABELS),
+    "training_set_mixed_types": "SELECT k AS customer, o_orderkey AS label, c_nationkey FROM (SELECT CAST(CASE o_orderstatus "
+    "WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE o_custkey END AS BIGINT) AS k, o_orderkey FROM orders) o JOIN customer ON c_custkey = k",
     "training_set_stored": over("churn", _TRAINING, order_labels=_LABELS),
     "unmatched_labels": over(
         "churn",

@@ -147,7 +147,7 @@ def promotion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = g.alias_state(i.alias_events(spark, sf_dir))
     checked = _checked(spark, sf_dir).select("model_id", "consistent")
     candidates = state.select("model_id", F.col("challenger_version").alias("version")).join(checked, "model_id")
-    return g.promotion_plan(candidates, state).drop("registry_mode")
+    return g.promotion_plan(candidates, state)
 
 
 def _rollback_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -54,6 +54,14 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numeric(i.table(spark, sf_dir, "lineitem"), PRICES, exact=True)
 
 
+def profile_numeric_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column with many NaN, which rank above every number."""
+    taxed = F.when(F.col("l_discount") > 0.06, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("taxed")
+    return _numeric(i.table(spark, sf_dir, "lineitem").select(taxed), ["taxed"], exact=True).select(
+        "column", "min", "median", "p25", F.isnan("p75").alias("p75_is_nan"), F.isnan("max").alias("max_is_nan")
+    )
+
+
 def profile_numeric_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one-pass form; its quantiles are within a rank error of 1e-4, so there is no SQL to equal."""
     return _numeric(i.table(spark, sf_dir, "lineitem"), PRICES, exact=False)
@@ -104,6 +112,7 @@ QUERIES = {
         profile_duplicates,
         profile_duplicate_rows,
         profile_numeric,
+        profile_numeric_nan,
         profile_numeric_approx,
         profile_categorical,
         profile_target,
@@ -240,6 +249,9 @@ ORACLES = {
         "(SELECT COUNT(*) FROM (SELECT DISTINCT * FROM churn_dirty) x) AS d) t",
     ),
     "profile_numeric": _all(_numeric_sql(c) for c in PRICES),
+    "profile_numeric_nan": "SELECT 'taxed' AS \"column\", ROUND(MIN(v), 4) AS \"min\", ROUND(QUANTILE_DISC(v, 0.5), 4) AS median, "
+    "ROUND(QUANTILE_DISC(v, 0.25), 4) AS p25, ISNAN(QUANTILE_DISC(v, 0.75)) AS p75_is_nan, ISNAN(MAX(v)) AS max_is_nan "
+    "FROM (SELECT CASE WHEN l_discount > 0.06 THEN CAST('nan' AS DOUBLE) ELSE l_tax END AS v FROM lineitem) t",
     "profile_categorical": over("churn_dirty", _all(_top(c, 10) for c in (*i.CATEGORICAL, "tenure_months"))),
     "profile_target": over("churn_dirty", _TARGET),
     "target_classes": over("churn_dirty", "SELECT churn AS label, COUNT(*) AS n FROM churn_dirty GROUP BY churn"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -121,8 +124,33 @@ def data_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_suite_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the same kind on the same column, each with its own verdict."""
+    lines, parts = i.table(spark, sf_dir, "lineitem"), i.table(spark, sf_dir, "part")
+    sizes = [parts.where(F.col("p_size") > k).agg(F.count(F.lit(1))).scalar() for k in (0, 40)]
+    return _verdicts(
+        s.QualitySuite(
+            [
+                r.allowed_domain("l_returnflag", ["A", "N", "R", None]),
+                r.allowed_domain("l_returnflag", ["A", "R"]),
+                r.value_range("l_shipdate", dt.datetime(1990, 1, 1), None),
+                r.value_range("l_shipdate", dt.date(1996, 1, 1), dt.date(1997, 1, 1)),
+                r.value_range("l_tax", None, Decimal("0.05")),
+                r.value_range("l_tax", 0, float("inf")),
+                r.referential_integrity("l_partkey", parts, "p_partkey"),
+                r.referential_integrity("l_partkey", parts, "p_size"),
+                r.allowed_domain_table("l_partkey", parts, "p_partkey"),
+                r.allowed_domain_table("l_partkey", parts, "p_size"),
+                r.volume_change(sizes[0], 0.5),
+                r.volume_change(sizes[1], 0.5),
+            ]
+        ).evaluate(lines)
+    )
+
+
 QUERIES = {
     "quality_suite": quality_suite,
+    "quality_suite_repeated": quality_suite_repeated,
     "quality_failed_rules": quality_failed_rules,
     "quality_gate": quality_gate,
     "rule_row_count": _single(lambda spark, d: r.row_count(50, 1_000)),
@@ -228,7 +256,50 @@ SELECT '{run}' AS run_id, (SELECT COUNT(*) FROM {table}) AS row_count, COUNT(*)
 FROM ({suite}) v WHERE status = 'fail' AND severity IN ('error', 'critical')
 """
 
+_LINES = "lineitem"
+
+
+def _off(condition: str) -> str:
+    return f"COUNT(*) FILTER (WHERE {condition})"
+
+
+def _known(column: str, distinct: bool) -> str:
+    rows = "COUNT(DISTINCT l_partkey)" if distinct else "COUNT(*)"
+    return f"{rows} FILTER (WHERE l_partkey NOT IN (SELECT {column} FROM part))"
+
+
+def _grown(size: int) -> str:
+    before = f"(SELECT COUNT(*) FROM part WHERE p_size > {size})"
+    return _rule("volume_change", "warning", f"CAST(ABS(COUNT(*) - {before}) AS DOUBLE) / {before}", "x <= 0.5", _LINES)
+
+
+_REPEATED = "\nUNION ALL ".join(
+    [
+        *[
+            _rule("allowed_domain[l_returnflag]", "error", _off(f"l_returnflag NOT IN ({known})"), "x = 0", _LINES)
+            for known in ("'A', 'N', 'R'", "'A', 'R'")
+        ],
+        *[
+            _rule(f"value_range[{c}]", "error", _off(condition), "x = 0", _LINES)
+            for c, condition in (
+                ("l_shipdate", "l_shipdate < TIMESTAMP '1990-01-01'"),
+                ("l_shipdate", "l_shipdate < DATE '1996-01-01' OR l_shipdate > DATE '1997-01-01'"),
+                ("l_tax", "l_tax > 0.05"),
+                ("l_tax", "l_tax < 0"),
+            )
+        ],
+        *[
+            _rule(f"{rule}[l_partkey]", "error", _known(c, distinct), "x = 0", _LINES)
+            for rule, distinct in (("referential_integrity", True), ("allowed_domain", False))
+            for c in ("p_partkey", "p_size")
+        ],
+        _grown(0),
+        _grown(40),
+    ]
+)
+
 ORACLES = {
+    "quality_suite_repeated": _REPEATED,
     "quality_suite": over("churn_dirty", suite_sql(_volume("SELECT COUNT(*) FROM churn"))),
     "quality_failed_rules": over(
         "churn_dirty",

@@ -1,26 +1,30 @@
 """Tables with one row per key on plain Parquet: upsert, read, change feed.
 
-A table is a folder with ``data/version=N`` directories and a ``commits`` folder
-that lists the versions readers may see. The first version is a snapshot; every
-upsert adds the batch as a version of its own, so its cost follows the batch and
-not the table. Reading takes the newest row per key: the batches, plus the
-snapshot rows whose key is in no batch. After some batches the table is written
-out as a new snapshot.
-
-A version directory is written before its commit row, and nothing that is
-committed is ever changed, so readers are not disturbed and a job that dies half
-way leaves the table as it was. One writer at a time is assumed.
+A table is a folder of data directories and a ``commits`` folder with one small
+file per version, which names the directory that holds it. The first version is
+a snapshot; every upsert adds the batch as a version of its own, so its cost
+follows the batch and not the table. Reading takes the newest row per key: the
+batches, plus the snapshot rows whose key is in no batch. ``compact`` writes the
+table out as a new snapshot; nothing does so on its own.
+
+Every attempt to write has a directory of its own, and a version's commit file
+is only ever created, never replaced: of two writers of one version the second
+fails and changes nothing. Nothing that is committed is changed, so readers are
+not disturbed and a job that dies half way leaves the table as it was.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from gaugeworks.errors import EmptyInputError, FeatureError, SinkError, SourceError
 from gaugeworks.functions.columns import all_set
@@ -30,9 +34,10 @@ from gaugeworks.sources.writers import WriteResult
 SNAPSHOT, BATCH = "snapshot", "batch"
 _COMMIT = (
     "version bigint, kind string, row_count bigint, unkeyed_rows bigint, committed_at timestamp, "
-    "source string, source_batch bigint"
+    "source string, source_batch bigint, attempt string"
 )
-_VERSION = "version"
+_VERSION, _ATTEMPT = "version", "write_attempt"
+_WIDTHS = (ByteType(), ShortType(), IntegerType(), LongType())
 
 
 @dataclass(frozen=True)
@@ -44,59 +49,92 @@ class Commit:
     committed_at: datetime
     source: str | None
     source_batch: int | None
+    attempt: str
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], compact_after: int = 16):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = list(keys)
-        self.compact_after = compact_after
 
     # -- versions ---------------------------------------------------------
 
-    def commits(self) -> list[Commit]:
-        """The version list, oldest first; one short row per upsert."""
-        try:
-            rows = self.spark.read.schema(_COMMIT).json(f"{self.path}/commits").orderBy("version").collect()
-        except AnalysisException as exc:
-            if exc.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        return [Commit(*row) for row in rows]
+    def _files(self) -> list[tuple[int, str, str]]:
+        """(version, kind, path) of the commit files, oldest first, from their names alone."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        found = []
+        for status in system.listStatus(folder):
+            version, _, kind = status.getPath().getName().removesuffix(".json").partition("-")
+            if version.isdigit() and status.getLen():
+                found.append((int(version), kind, status.getPath().toString()))
+        return sorted(found)
+
+    def _read_commits(self, files: Sequence[tuple[int, str, str]]) -> DataFrame:
+        return self.spark.read.schema(_COMMIT).json([path for _, _, path in files]).orderBy("version")
+
+    def commits(self, since: int | None = None) -> list[Commit]:
+        """The versions, oldest first: those from the last snapshot on that is not after ``since``, all without it."""
+        files = self._files()
+        if since is not None:
+            start = max((v for v, kind, _ in files if kind == SNAPSHOT and v <= since), default=0)
+            files = [f for f in files if f[0] >= start]
+        return [Commit(*row) for row in self._read_commits(files).collect()] if files else []
+
+    def _current(self) -> list[Commit]:
+        """The commits that make up the latest state: the last snapshot and the batches after it."""
+        files = self._files()
+        return self.commits(files[-1][0]) if files else []
 
     def exists(self) -> bool:
-        return bool(self.commits())
+        return bool(self._files())
+
+    def _commit(self, commit: Commit) -> None:
+        """Create the version's commit file, or fail if another writer has."""
+        fields = {**vars(commit), "committed_at": commit.committed_at.isoformat(timespec="microseconds")}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commit.version:012d}-{commit.kind}.json")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        other = {BATCH: SNAPSHOT, SNAPSHOT: BATCH}[commit.kind]
+        taken = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commit.version:012d}-{other}.json")
+        try:
+            if system.exists(taken):
+                raise SinkError(f"version {commit.version} of {self.path} was committed by another writer")
+            out = system.create(path, False)
+        except Py4JJavaError as exc:
+            if "FileAlreadyExists" in str(exc.java_exception.getClass().getName()) or system.exists(path):
+                raise SinkError(f"version {commit.version} of {self.path} was committed by another writer") from None
+            raise
+        out.write(bytearray(json.dumps(fields).encode()))
+        out.close()
 
-    def _commit(
-        self, version: int, kind: str, n: int, unkeyed: int, source: str | None = None, batch: int | None = None
-    ) -> None:
-        fields = (version, kind, n, unkeyed, datetime.now(timezone.utc), source, batch)
-        names = [f.split()[0] for f in _COMMIT.split(", ")]
-        row = self.spark.range(1, numPartitions=1).select(*[F.lit(v).alias(k) for k, v in zip(names, fields)])
-        row.write.mode("append").json(f"{self.path}/commits")
+    def _write_version(self, df: DataFrame, version: int) -> str:
+        attempt = uuid.uuid4().hex
+        df.write.parquet(self._place(version, attempt))
+        return attempt
 
-    def _write_version(self, df: DataFrame, version: int) -> None:
-        # Only a directory that was never committed can be in the way here.
-        df.write.mode("overwrite").parquet(f"{self.path}/data/{_VERSION}={version}")
+    def _place(self, version: int, attempt: str) -> str:
+        return f"{self.path}/data/{_VERSION}={version}/{_ATTEMPT}={attempt}"
 
-    def _load(self, versions: Sequence[int]) -> DataFrame:
-        base = f"{self.path}/data"
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/{_VERSION}={v}" for v in versions])
+    def _load(self, commits: Sequence[Commit]) -> DataFrame:
+        places = [self._place(c.version, c.attempt) for c in commits]
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*places).drop(_ATTEMPT)
 
     # -- reading ----------------------------------------------------------
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version, the latest when none is given."""
-        commits = [c for c in self.commits() if version is None or c.version <= version]
+        commits = self._current() if version is None else [c for c in self.commits(version) if c.version <= version]
         if not commits or (version is not None and commits[-1].version != version):
             raise SourceError(f"no version {'at all' if version is None else version} in {self.path}")
         return self._state(commits)
 
     def _state(self, commits: Sequence[Commit]) -> DataFrame:
         start = self._last_snapshot(commits)
-        snapshot = self._load([start]).drop(_VERSION)
-        batches = [c.version for c in commits if c.version > start]
+        snapshot = self._load([c for c in commits if c.version == start]).drop(_VERSION)
+        batches = [c for c in commits if c.version > start]
         if not batches:
             return snapshot
         added = self._load(batches)
@@ -125,7 +163,9 @@ class KeyedTable:
         """Replace rows with the same key, add the others; the first upsert creates the table.
 
         A (source, source_batch) that is already committed is skipped, which makes
-        a repeated micro-batch harmless.
+        a repeated micro-batch harmless. Columns may come in another order, and with
+        a narrower number type; any other difference is refused. When another writer
+        commits the same version first, this one fails with :class:`SinkError`.
         """
         if not self.keys:
             raise SinkError("an upsert needs at least one key column")
@@ -134,32 +174,48 @@ class KeyedTable:
             raise SinkError(f"key column(s) not in the batch: {', '.join(missing)}")
         if dry_run:
             return WriteResult(self.path, "upsert", self._not_empty(batch.count()), False)
-        commits = self.commits()
-        if source is not None and any(c.source == source and c.source_batch == source_batch for c in commits):
+        commits = self._current()
+        if source is not None and self._seen(source, source_batch):
             return WriteResult(self.path, "upsert", 0, False)
+        written = self._add(self._aligned(batch, commits), commits, BATCH if commits else SNAPSHOT, source, source_batch)
+        return WriteResult(self.path, "upsert", written.row_count, True)
+
+    def _add(
+        self, df: DataFrame, commits: Sequence[Commit], kind: str, source: str | None = None, source_batch: int | None = None
+    ) -> Commit:
         version = commits[-1].version + 1 if commits else 0
-        self._write_version(self._aligned(batch, commits), version)
-        n, unkeyed = self._checked_count(version)
-        self._commit(version, BATCH if commits else SNAPSHOT, n, unkeyed, source, source_batch)
-        if commits and version - self._last_snapshot(commits) >= self.compact_after:
-            self.compact()
-        return WriteResult(self.path, "upsert", n, True)
+        attempt = self._write_version(df, version)
+        draft = Commit(version, kind, 0, 0, datetime.now(timezone.utc), source, source_batch, attempt)
+        n, unkeyed = self._checked_count(draft)
+        done = Commit(version, kind, n, unkeyed, datetime.now(timezone.utc), source, source_batch, attempt)
+        self._commit(done)
+        return done
 
     def _aligned(self, batch: DataFrame, commits: Sequence[Commit]) -> DataFrame:
         if not commits:
             return batch
-        columns = self._load([commits[-1].version]).drop(_VERSION).columns
-        if set(columns) != set(batch.columns):
-            raise SinkError(f"columns of the batch differ from the table: {sorted(set(columns) ^ set(batch.columns))}")
-        return batch.select(*columns)
-
-    def _checked_count(self, version: int) -> tuple[int, int]:
+        kinds = {f.name: f.dataType for f in self._load(commits[:1]).drop(_VERSION).schema.fields}
+        if set(kinds) != set(batch.columns):
+            raise SinkError(f"columns of the batch differ from the table: {sorted(set(kinds) ^ set(batch.columns))}")
+        other = [c for c, kind in kinds.items() if not _fits(batch.schema[c].dataType, kind)]
+        if other:
+            told = ", ".join(f"{c} is {batch.schema[c].dataType.simpleString()}, not {kinds[c].simpleString()}" for c in other)
+            raise SinkError(f"types of the batch differ from the table: {told}")
+        return batch.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    def _seen(self, source: str, source_batch: int | None) -> bool:
+        """Whether a commit has this source and batch; read from all commit files, in Spark."""
+        files = self._files()
+        same = (F.col("source") == source) & F.col("source_batch").eqNullSafe(F.lit(source_batch))
+        return bool(files) and not self._read_commits(files).where(same).isEmpty()
+
+    def _checked_count(self, draft: Commit) -> tuple[int, int]:
         """Rows of a written version, all and without key, or an error when there are none or a key repeats.
 
         It looks at the written keys before they are committed, so the batch itself
         is computed once.
         """
-        per_key = self._load([version]).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
+        per_key = self._load([draft]).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
         known = all_set(self.keys)
         found = per_key.agg(
             F.sum("n").alias("rows"),
@@ -181,11 +237,8 @@ class KeyedTable:
 
     def compact(self) -> int:
         """Write the current state as a new snapshot; returns its version."""
-        commits = self.commits()
-        version = commits[-1].version + 1
-        self._write_version(self._state(commits), version)
-        self._commit(version, SNAPSHOT, *self._checked_count(version))
-        return version
+        commits = self._current()
+        return self._add(self._state(commits), commits, SNAPSHOT).version
 
     # -- change feed ------------------------------------------------------
 
@@ -193,18 +246,18 @@ class KeyedTable:
         """Rows changed by the upserts from a version or time on; the version wins when both are given.
 
         ``_change_type`` is insert, update_preimage or update_postimage; a row
-        written again without a difference is no change.
+        written again without a difference is no change. A time with a zone is that
+        instant, one without is in the session's time zone.
         """
         if starting_version is None and starting_timestamp is None:
             raise SourceError("an incremental read needs starting_version or starting_timestamp")
-        commits = self.commits()
         if starting_version is None:
-            starting_version = next((c.version for c in commits if c.committed_at >= starting_timestamp), None)
-            if starting_version is None:
-                raise SourceError(f"no commit at or after {starting_timestamp}")
+            starting_version = self._version_at(starting_timestamp)
+        # The state before the first of them is needed too.
+        commits = self.commits(starting_version - 1)
         earlier = [c for c in commits if c.version < starting_version]
-        # The first commit is the only snapshot that brings rows of its own.
-        new = [c.version for i, c in enumerate(commits) if c.version >= starting_version and (c.kind == BATCH or i == 0)]
+        # The table's first version is the only snapshot that brings rows of its own.
+        new = [c for c in commits if c.version >= starting_version and (c.kind == BATCH or c.version == commits[0].version)]
         if not new:
             raise SourceError(f"no version {starting_version} or later in {self.path}")
         added = self._load(new).withColumn(_VERSION, F.col(_VERSION).cast("bigint"))
@@ -223,6 +276,23 @@ class KeyedTable:
         return changed.unionByName(fresh).withColumnRenamed(_VERSION, "_commit_version")
 
 
+    def _version_at(self, time: datetime) -> int:
+        """The first version committed at or after a time; compared in Spark."""
+        files = self._files()
+        start = F.lit(time) if time.tzinfo else F.to_timestamp(F.lit(time.isoformat(sep=" ")))
+        row = self._read_commits(files).where(F.col("committed_at") >= start).agg(F.min("version")).first() if files else None
+        if row is None or row[0] is None:
+            raise SourceError(f"no commit at or after {time}")
+        return row[0]
+
+
+def _fits(given: DataType, kind: DataType) -> bool:
+    """Whether values of a type can be stored as another without loss: the same, or a wider number of its family."""
+    if given in _WIDTHS and kind in _WIDTHS:
+        return _WIDTHS.index(given) <= _WIDTHS.index(kind)
+    return given == kind or (given == FloatType() and kind == DoubleType())
+
+
 def _change_rows(paired: DataFrame, payload: Sequence[str]) -> DataFrame:
     """Rows with a ``__before`` image become one insert, or a pre and a post image where they differ."""
     keep = [c for c in paired.columns if c not in payload and c != "__before"]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 
@@ -66,12 +67,14 @@ def test_columns_may_come_in_another_order(spark, table):
 
 def test_random_batches_against_a_dictionary(spark, tmp_path):
     rng = random.Random(3)
-    table = KeyedTable(spark, str(tmp_path / "r"), ["k"], compact_after=3)
+    table = KeyedTable(spark, str(tmp_path / "r"), ["k"])
     state = {}
-    for _ in range(7):
+    for n in range(7):
         new = {rng.randrange(20): str(rng.randrange(1000)) for _ in range(rng.randrange(1, 8))}
         table.upsert(batch(spark, *new.items()))
         state.update(new)
+        if n % 3 == 2:
+            table.compact()
         assert rows(table.read()) == sorted(state.items(), key=repr)
     assert sum(c.kind == "snapshot" for c in table.commits()) >= 2
 
@@ -110,11 +113,56 @@ def test_changes(spark, table):
 def test_changes_by_time_and_version_wins(spark, table):
     table.upsert(batch(spark, (1, "a")))
     table.upsert(batch(spark, (1, "b")))
-    second = table.commits()[1].committed_at
+    second = datetime.fromisoformat(spark.read.json(f"{table.path}/commits").where("version = 1").first()["committed_at"])
+    assert second.tzinfo is not None
     assert len(rows(table.changes(starting_timestamp=second))) == 2
     assert len(rows(table.changes(starting_version=0, starting_timestamp=second))) == 3
     with pytest.raises(SourceError):
         table.changes(starting_timestamp=second + timedelta(days=1))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert len(rows(table.changes(starting_timestamp=second))) == 2
+            local = second.astimezone(ZoneInfo(name)).replace(tzinfo=None)
+            assert len(rows(table.changes(starting_timestamp=local))) == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_second_writer_of_a_version_fails(spark, table):
+    table.upsert(batch(spark, (1, "a")))
+    first, second = (KeyedTable(spark, table.path, ["k"]) for _ in range(2))
+    seen = second._current()
+    second._current = lambda: seen
+    first.upsert(batch(spark, (2, "b")))
+    with pytest.raises(SinkError, match="another writer"):
+        second.upsert(batch(spark, (3, "c")))
+    with pytest.raises(SinkError, match="another writer"):
+        second.compact()
+    assert rows(table.read()) == [(1, "a"), (2, "b")]
+    table.upsert(batch(spark, (3, "c")))
+    assert [c.version for c in table.commits()] == [0, 1, 2] and table.read().count() == 3
+
+
+def test_other_types_are_refused_before_anything_is_written(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "n"), ["k"])
+    table.upsert(spark.createDataFrame([(1, 1.0)], "k bigint, v double"))
+    for schema, row in (("k bigint, v string", (2, "x")), ("k string, v double", ("2", 1.0))):
+        with pytest.raises(SinkError, match="types"):
+            table.upsert(spark.createDataFrame([row], schema))
+    table.upsert(spark.createDataFrame([(2, 2.0)], "k int, v float"))
+    assert rows(table.read()) == [(1, 1.0), (2, 2.0)] and table.read().dtypes == [("k", "bigint"), ("v", "double")]
+
+
+def test_only_commits_from_the_last_snapshot_on_are_read(spark, table):
+    for n in range(4):
+        table.upsert(batch(spark, (n, "a")))
+    table.compact()
+    table.upsert(batch(spark, (9, "z")))
+    assert [c.version for c in table._current()] == [4, 5]
+    assert table.read().count() == 5 and table.read(version=2).count() == 3
+    assert [c.version for c in table.commits()] == [0, 1, 2, 3, 4, 5]
 
 
 def test_snapshot_changes(spark):
