@@ -25,6 +25,8 @@ K = 10
 EVERY = 100
 QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 32_768
+#: A tile returns k rows a query, so one of fewer vectors than this moves more than it leaves out.
+LEAST_BLOCK = 1_024
 _TILE = 4_096
 
 
@@ -122,7 +124,7 @@ def nearest(vectors: DataFrame, query: Callable[[Column], Column], k: int = K, k
     found = usable(vectors, key, vector).withColumn("size", F.size("v"))
     count = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(query(F.col("key")), 1)).alias("q")).first()
     wide = blocks(count["q"], query_block)
-    deep = max(blocks(count["n"], vector_block), 2 * partitions(spark))
+    deep = max(blocks(count["n"], vector_block), min(2 * partitions(spark), blocks(count["n"], LEAST_BLOCK)))
     dealt = F.monotonically_increasing_id()
     queries = found.filter(query(F.col("key"))).withColumn("across", F.pmod(F.xxhash64(dealt), F.lit(wide)))
     queries = queries.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(deep - 1)))).select("size", "across", "down", "key", "v")
