@@ -18,6 +18,7 @@ from gaugeworks.errors import EvaluationError
 from gaugeworks.functions.columns import name_of, rows_from_sql, share, share_sql, struct_sql
 from gaugeworks.functions.joins import join_null_safe
 from gaugeworks.functions.ranks import beaten_pairs
+from gaugeworks.workspace import fresh_path
 
 DIGITS = 6
 VALID_PREDICTIONS = (0.0, 1.0)
@@ -179,11 +180,27 @@ def latency_ms(model: PipelineModel, df: DataFrame, order: str, repeats: int = 3
     return round(sum(taken) / len(taken), 3)
 
 
-def evaluate_model(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
-    """Metrics of a model on labelled rows, one row."""
-    if df.isEmpty():
-        raise EvaluationError("a model cannot be evaluated on no rows")
-    return metrics_table(scored_by(model, df, label))
+def _kept(scored: DataFrame, purpose: str) -> DataFrame:
+    """Scores written to the shared folder, so that the models see every row once; an error when there are none."""
+    path = fresh_path(scored.sparkSession, "scores")
+    scored.write.parquet(path)
+    kept = scored.sparkSession.read.schema(scored.schema).parquet(path)
+    if kept.isEmpty():
+        raise EvaluationError(f"{purpose} on no rows")
+    return kept
+
+
+def evaluate_model(
+    model: PipelineModel, df: DataFrame, label: str, latency_order: str | None = None
+) -> DataFrame:
+    """Metrics of a model on labelled rows, one row; with ``latency_order`` also the time to score a small sample.
+
+    The rows are scored at once, each one time.
+    """
+    metrics = metrics_table(_kept(scored_by(model, df, label), "a model cannot be evaluated"))
+    if latency_order is None:
+        return metrics
+    return metrics.withColumn("latency_ms", F.lit(latency_ms(model, df, latency_order)))
 
 
 def compare_models(
@@ -191,11 +208,10 @@ def compare_models(
 ) -> DataFrame:
     """Metrics of both models on the same rows, one row per role.
 
-    The rows pass through one model after the other, so there is no join.
+    The rows pass through one model after the other, so there is no join; they are
+    scored at once, each one time by each model.
     """
-    if df.isEmpty():
-        raise EvaluationError("models cannot be compared on no rows")
-    paired = score_both(champion, challenger, df, key, label)
+    paired = _kept(score_both(champion, challenger, df, key, label), "models cannot be compared")
     roles = ["challenger"] if champion is None else ["champion", "challenger"]
     by_role = paired.select(
         "label",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import evaluation as e
 from gaugeworks.operators import features as f
 from gaugeworks.operators import scoring as sc
-from gaugeworks.operators.learning import ModelSpec, load_model, save_model, train
+from gaugeworks.operators.learning import DEFAULTS, ModelSpec, load_model, save_model, train
 from gaugeworks.operators.promotion import MINIMA, PromotionPolicy, pair_roles, recommend
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.sql import over
@@ -25,13 +28,40 @@ def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _trained(spec: ModelSpec):
+    """What a fit must satisfy on unseen rows, next to their number, which SQL knows."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         training, validation, _ = _splits(spark, sf_dir)
-        return e.evaluate_model(train(training, spec), validation, spec.label)
+        model = train(training, spec)
+        return e.evaluate_model(model, validation, spec.label).select(
+            "row_count", "invalid_count", (F.col("roc_auc") > 0.75).alias("ranks_well"),
+            F.lit(_fitted(model, training, spec)).alias("fitted"),
+        )
 
     return query
 
 
+def _fitted(model: PipelineModel, training: DataFrame, spec: ModelSpec) -> bool:
+    """Whether a forest has its trees and depth, and a logistic model no slope left in its regularised loss.
+
+    The slope of each coefficient is the mean of (probability - label) times the
+    feature, plus the penalty on the coefficient; features are scaled to deviation 1.
+    """
+    last = model.stages[-1]
+    if isinstance(last, RandomForestClassificationModel):
+        return last.getNumTrees == DEFAULTS[spec.algorithm]["num_trees"][1] and max(t.depth for t in last.trees) <= 5
+    rows = model.transform(training).select(
+        vector_to_array("features").alias("x"), (F.element_at(vector_to_array("probability"), 2) - F.col(spec.label)).alias("miss")
+    )
+    coefficients = list(last.coefficients)
+    slopes = rows.agg(*[F.avg(F.col("miss") * F.col("x")[k]) for k in range(len(coefficients))], F.avg("miss"), *[
+        F.stddev(F.col("x")[k]) for k in range(len(coefficients))
+    ]).first()
+    count, penalty = len(coefficients), DEFAULTS[spec.algorithm]["reg_param"][1]
+    slope = [slopes[k] + penalty * c * slopes[count + 1 + k] ** 2 for k, c in enumerate(coefficients)]
+    return max(abs(v) for v in [*slope, slopes[count]]) < 1e-3
+
+
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.classification_metrics(i.scored(spark, sf_dir))
 
@@ -72,24 +102,59 @@ def smoke_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test-set metrics of a model that was saved and loaded, with its size."""
+    """Test-set metrics of a model that was saved and loaded, against a plain recount, with its size and latency."""
     training, _, test = _splits(spark, sf_dir)
     path = fresh_path(spark, "model")
     save_model(train(training, LOGISTIC), path)
-    metrics = e.evaluate_model(load_model(path), test, LOGISTIC.label)
-    return metrics.withColumn("model_size_bytes", e.model_size_bytes(spark, path).scalar())
+    model = load_model(path)
+    metrics = e.evaluate_model(model, test, LOGISTIC.label, "customer_id")
+    recount = e.scored_by(model, test, LOGISTIC.label).agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6))
+    return metrics.select(
+        "row_count",
+        "invalid_count",
+        (F.col("accuracy") == recount.scalar()).alias("same_accuracy"),
+        (F.round(1 - F.col("accuracy"), 6) == F.col("error_rate")).alias("same_error_rate"),
+        F.col("roc_auc").between(0.75, 1.0).alias("ranks_well"),
+        (F.col("latency_ms") > 0).alias("has_latency"),
+        (e.model_size_bytes(spark, path).scalar() > 0).alias("has_size"),
+    )
 
 
-def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored_batch(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
     training, _, _ = _splits(spark, sf_dir)
+    model = train(training, LOGISTIC)
     provenance = sc.Provenance("champion", F.lit("2024-01-01 00:00:00").cast("timestamp"), "1", "run-1", "c0ffee")
-    dirty = i.churn_dirty(spark, sf_dir)
-    return sc.score(dirty, train(training, LOGISTIC), i.NUMERIC, i.CATEGORICAL, provenance)
+    return model, sc.score(i.churn_dirty(spark, sf_dir), model, i.NUMERIC, i.CATEGORICAL, provenance)
+
+
+def _by_hand(model: PipelineModel) -> Column:
+    """The logistic model's probability from its coefficients and the stages' parameters, in plain arithmetic."""
+    labels = dict(zip(i.CATEGORICAL, model.stages[0].labelsArray))
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in i.NUMERIC]
+    values = [F.when(F.isnan(v), 0.0).otherwise(v) for v in values]
+    for c in i.CATEGORICAL:
+        known = F.coalesce(F.col(c), F.lit("unknown"))
+        slots = [F.when(known == name, 1.0).otherwise(0.0) for name in labels[c]]
+        values += slots
+    scaler, last = model.stages[-2], model.stages[-1]
+    margin = F.lit(float(last.intercept))
+    for value, mean, std, weight in zip(values, scaler.mean, scaler.std, last.coefficients, strict=True):
+        if std:
+            margin = margin + (value - float(mean)) / float(std) * float(weight)
+    return 1 / (1 + F.exp(-margin))
+
+
+def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's score against the one computed by hand."""
+    model, rows = _scored_batch(spark, sf_dir)
+    same = F.abs(F.col("probability_churn") - _by_hand(model)) < 1e-9
+    label = F.when(F.col("probability_churn") > 0.5, 1.0).otherwise(0.0)
+    return rows.select("customer_id", same.alias("same_probability"), (F.col("prediction") == label).alias("same_prediction"))
 
 
 def score_batch_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What scoring must not change: the input values, one row each, and the provenance."""
-    rows = score_batch(spark, sf_dir)
+    _, rows = _scored_batch(spark, sf_dir)
     return rows.select(
         "customer_id",
         *i.NUMERIC,
@@ -101,19 +166,40 @@ def score_batch_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _two_models(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     training, _, test = _splits(spark, sf_dir)
-    champion = train(training, LOGISTIC)
-    challenger = train(training, ModelSpec(i.NUMERIC, i.CATEGORICAL, "churn", "random_forest", {"num_trees": 20}))
-    return e.compare_models(champion, challenger, test, "customer_id", "churn")
+    forest = ModelSpec(i.NUMERIC, i.CATEGORICAL, "churn", "random_forest", {"num_trees": 20})
+    return train(training, LOGISTIC), train(training, forest), test
+
+
+def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of both roles against a recount of the joined predictions."""
+    champion, challenger, test = _two_models(spark, sf_dir)
+    metrics = e.compare_models(champion, challenger, test, "customer_id", "churn")
+    both = e.score_both(champion, challenger, test, "customer_id", "churn")
+    recount = both.agg(*[F.round(F.avg((F.col(f"{r}_prediction") == F.col("label")).cast("int")), 6).alias(r) for r in ("champion", "challenger")])
+    expected = recount.unpivot([], ["champion", "challenger"], "role", "expected")
+    # Two rows.
+    return metrics.join(F.broadcast(expected), "role").select(
+        "role", "row_count", "invalid_count", (F.col("accuracy") == F.col("expected")).alias("same_accuracy"),
+        F.col("roc_auc").between(0.75, 1.0).alias("ranks_well"),
+    )
 
 
 def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both models on the same test rows, then the promotion decision."""
-    metrics = compare_models(spark, sf_dir).withColumn("model_id", F.lit("churn"))
-    pairs = pair_roles(metrics, "model_id", F.col("role"))
-    return recommend(pairs, PromotionPolicy(MINIMA)).select(
-        "model_id", "champion_metric", "challenger_metric", "technical_approval", "recommendation"
+    """Both models on the same test rows, then the promotion decision, against the rule spelled out."""
+    metrics = e.compare_models(*_two_models(spark, sf_dir), "customer_id", "churn").withColumn("model_id", F.lit("churn"))
+    policy = PromotionPolicy(MINIMA)
+    decided = recommend(pair_roles(metrics, "model_id", F.col("role")), policy)
+    best = metrics.where("role = 'challenger'")
+    enough = F.lit(True)
+    for name, least in MINIMA.items():
+        enough = enough & (F.col(name) >= least)
+    passes = best.agg(F.bool_and(enough)).scalar()
+    promoted = F.col("recommendation") == "promote"
+    return decided.select(
+        "model_id", (promoted == F.col("technical_approval")).alias("follows_approval"),
+        (~promoted | passes).alias("only_above_minima"),
     )
 
 
@@ -164,7 +250,27 @@ FROM (SELECT label, prediction, CAST(CASE WHEN score >= 0.2 THEN 1 ELSE 0 END AS
 WHERE prediction IS NOT NULL
 """
 
+_ROWS = "SELECT COUNT(*) AS row_count, CAST(0 AS BIGINT) AS invalid_count, {flags} FROM splits WHERE split = '{split}'"
+_FITTED = over("splits", _ROWS.format(split="validation", flags="TRUE AS ranks_well, TRUE AS fitted"))
+
 ORACLES = {
+    "train_lr": _FITTED,
+    "train_rf": _FITTED,
+    "evaluate_model": over(
+        "splits",
+        _ROWS.format(
+            split="test",
+            flags="TRUE AS same_accuracy, TRUE AS same_error_rate, TRUE AS ranks_well, TRUE AS has_latency, TRUE AS has_size",
+        ),
+    ),
+    "score_batch": over("churn_dirty", "SELECT customer_id, TRUE AS same_probability, TRUE AS same_prediction FROM churn_dirty"),
+    "compare_models": over(
+        "splits",
+        "SELECT role, t.* FROM (VALUES ('champion'), ('challenger')) r(role), ("
+        + _ROWS.format(split="test", flags="TRUE AS same_accuracy, TRUE AS ranks_well")
+        + ") t",
+    ),
+    "champion_challenger": "SELECT 'churn' AS model_id, TRUE AS follows_approval, TRUE AS only_above_minima",
     "classification_metrics": over("classification", "SELECT * FROM classification"),
     "confusion_matrix": over(
         "scored",

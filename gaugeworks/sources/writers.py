@@ -1,4 +1,4 @@
-"""Guarded writes. Rows are counted from what was written where the format makes that cheap."""
+"""Guarded writes. Rows are counted from the files that a write added, and from no others."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ class WriteOptions:
     """What a write may do.
 
     ``overwrite`` in the production environment needs ``allow_prd_overwrite``; a
-    dry run checks everything, counts the rows and writes nothing.
+    dry run checks everything, counts the rows and writes nothing. ``count_rows``
+    set to False leaves the written rows uncounted.
     """
 
     mode: str = "errorifexists"
@@ -29,6 +30,7 @@ class WriteOptions:
     environment: str = "dev"
     allow_prd_overwrite: bool = False
     dry_run: bool = False
+    count_rows: bool = True
 
 
 @dataclass(frozen=True)
@@ -52,13 +54,17 @@ def check_write(df: DataFrame, destination: str, options: WriteOptions) -> None:
         raise SinkError(f"partition column(s) not in the data: {', '.join(missing)}")
 
 
-def _rows_at(stored: Callable[[], DataFrame]) -> int:
-    """Rows of the target, none when it does not exist. Parquet and ORC answer from file footers."""
+#: Formats whose files can be counted one by one.
+_COUNTED = ("parquet", "orc", "json", "csv")
+
+
+def _files(stored: Callable[[], DataFrame]) -> set[str]:
+    """Names of the target's files, none when it does not exist; no file is opened."""
     try:
-        return stored().count()
+        return set(stored().inputFiles())
     except AnalysisException as exc:
-        if exc.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return 0
+        if exc.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            return set()
         raise
 
 
@@ -68,17 +74,19 @@ def _write(
     options: WriteOptions,
     save: Callable[[DataFrameWriter], None],
     stored: Callable[[], DataFrame] | None = None,
+    rows_in: Callable[[list[str]], DataFrame] | None = None,
 ) -> WriteResult:
     """Check, write, count.
 
-    With ``stored``, which reads the target, the new rows are its growth; without
-    it the frame is counted on its own, as a dry run does.
+    ``stored`` reads the target and ``rows_in`` a list of its files: the files that
+    are new after the write are counted, Parquet and ORC from their footers.
+    Without them, or without ``count_rows``, the number of rows is not known.
     """
     check_write(df, destination, options)
     if options.dry_run:
         return WriteResult(destination, options.mode, df.count(), False)
-    grows = options.mode in ("append", "ignore")
-    before = _rows_at(stored) if stored is not None and grows else 0
+    counted = stored is not None and rows_in is not None and options.count_rows
+    before = _files(stored) if counted else set()
     writer = df.write.mode(options.mode)
     if options.partition_by:
         writer = writer.partitionBy(*options.partition_by)
@@ -86,10 +94,26 @@ def _write(
         save(writer)
     except Exception as exc:
         raise SinkError(f"cannot write {destination}: {exc}") from exc
-    n = df.count() if stored is None else _rows_at(stored) - before
+    if not counted:
+        return WriteResult(destination, options.mode, None, True)
+    added = sorted(_files(stored) - before)
+    n = rows_in(added).count() if added else 0
     return WriteResult(destination, options.mode, n, n > 0)
 
 
+def _by_path(df: DataFrame, path: str, fmt: str, **settings) -> dict:
+    """How the files of a folder are listed, with a known schema, and counted."""
+    if fmt not in _COUNTED:
+        return {}
+    spark = df.sparkSession
+
+    def rows_in(files: list[str]) -> DataFrame:
+        # One line of text is one row of JSON.
+        return spark.read.text(files) if fmt == "json" else spark.read.format(fmt).options(**settings).load(files)
+
+    return {"stored": lambda: spark.read.format(fmt).schema(df.schema).load(path), "rows_in": rows_in}
+
+
 def write_table(
     df: DataFrame, name: str, options: WriteOptions, fmt: str = "parquet", path: str | None = None
 ) -> WriteResult:
@@ -99,12 +123,12 @@ def write_table(
         writer = writer.format(fmt)
         (writer if path is None else writer.option("path", path)).saveAsTable(name)
 
-    return _write(df, name, options, save, lambda: df.sparkSession.table(name))
+    counted = {**_by_path(df, "", fmt), "stored": lambda: df.sparkSession.table(name)} if fmt in _COUNTED else {}
+    return _write(df, name, options, save, **counted)
 
 
 def write_path(df: DataFrame, path: str, options: WriteOptions, fmt: str = "parquet") -> WriteResult:
-    read = df.sparkSession.read.format(fmt)
-    return _write(df, path, options, lambda w: w.format(fmt).save(path), lambda: read.load(path))
+    return _write(df, path, options, lambda w: w.format(fmt).save(path), **_by_path(df, path, fmt))
 
 
 def write_parquet(df: DataFrame, path: str, options: WriteOptions) -> WriteResult:
@@ -113,12 +137,12 @@ def write_parquet(df: DataFrame, path: str, options: WriteOptions) -> WriteResul
 
 def write_csv(df: DataFrame, path: str, options: WriteOptions, header: bool = True, sep: str = ",") -> WriteResult:
     """For exports."""
-    return _write(df, path, options, lambda w: w.options(header=header, sep=sep).csv(path))
+    counted = _by_path(df, path, "csv", header=header, sep=sep, multiLine=True)
+    return _write(df, path, options, lambda w: w.options(header=header, sep=sep).csv(path), **counted)
 
 
 def write_json(df: DataFrame, path: str, options: WriteOptions) -> WriteResult:
-    # JSON lines: one line of text per row.
-    return _write(df, path, options, lambda w: w.json(path), lambda: df.sparkSession.read.text(path))
+    return write_path(df, path, options, "json")
 
 
 def write_jdbc(

@@ -149,3 +149,32 @@ def test_delta_is_refused_without_delta(spark, rows, tmp_path):
         delta.merge_into(rows, str(tmp_path), ["id"])
     with pytest.raises(SourceError):
         delta.read_changes(spark, str(tmp_path), 0)
+
+
+@pytest.mark.parametrize("write", [wr.write_parquet, wr.write_json, wr.write_csv])
+def test_only_the_files_a_write_added_are_counted(spark, rows, tmp_path, monkeypatch, write):
+    path = str(tmp_path / "grown")
+    append = wr.WriteOptions("append")
+    counts = []
+    for _ in range(3):
+        opened = []
+        add = wr._by_path
+
+        def listed(*args, **settings):
+            found = add(*args, **settings)
+            return {**found, "rows_in": lambda files: opened.append(files) or found["rows_in"](files)}
+
+        monkeypatch.setattr(wr, "_by_path", listed)
+        counts.append(write(rows.unionByName(rows), path, append).row_count)
+        monkeypatch.setattr(wr, "_by_path", add)
+        (files,) = opened
+        assert len(set(files)) == len(files) and len(files) < 10
+    assert counts == [2 * rows.count()] * 3
+    assert write(rows, path, wr.WriteOptions("append", count_rows=False)).row_count is None
+
+
+def test_rows_with_line_breaks_are_counted_once(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", 1), ("c", 2)], "t string, n int")
+    assert wr.write_csv(df, str(tmp_path / "c"), wr.WriteOptions()).row_count == 2
+    assert wr.write_json(df, str(tmp_path / "j"), wr.WriteOptions()).row_count == 2
+
