@@ -215,4 +215,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_GRAMS = """
+  SELECT {key} AS key, w, len(w) AS n FROM (
+    SELECT {key}, regexp_extract_all(lower(COALESCE(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM {table}) x
+"""
+_SETS = """
+  SELECT DISTINCT key, CASE WHEN n < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS gram
+  FROM (SELECT key, w, n, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM {words}) y WHERE n > 0
+"""
+ORACLES = {
+    "op9_benchmark_decontamination": f"""
+WITH dw AS ({_GRAMS.format(key="doc_id", table="documents")}), iw AS ({_GRAMS.format(key="item_id", table="benchmark")}),
+d AS ({_SETS.format(words="dw")}), i AS ({_SETS.format(words="iw")}),
+sizes AS (SELECT key, COUNT(*) AS size FROM i GROUP BY key)
+SELECT d.key AS doc_id, i.key AS item_id, COUNT(*) AS shared, size AS item_shingles, COUNT(*) / CAST(size AS DOUBLE) AS containment
+FROM d JOIN i USING (gram) JOIN sizes ON sizes.key = i.key GROUP BY d.key, i.key, size HAVING COUNT(*) >= 0.8 * size - 1e-9
+"""
+}
 QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination}

@@ -176,4 +176,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values for DuckDB: the plain patterns, of which those above are forms that never go back.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_VALID = {
+    "email": "TRUE",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0",
+    "card": """len(bare) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(bare) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(bare), k, 1) AS INTEGER)
+      ELSE CAST(substr(reverse(bare), k, 1) AS INTEGER) * 2
+        - CASE WHEN CAST(substr(reverse(bare), k, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0""",
+    "phone": "len(bare) BETWEEN 9 AND 15",
+    "iban": """len(bare) BETWEEN 15 AND 34 AND list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(array_to_string(list_transform(
+        string_split(substr(bare, 5) || substr(bare, 1, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), ''),
+        lambda c: CAST(c AS BIGINT))), lambda a, c: (a * 10 + c) % 97) = 1""",
+    "ssn": "regexp_matches(lower(right(before, 40) || ' ' || left(after, 40)), '\\bssn\\b|social|security|insurance')",
+}
+
+
+def _kind_sql(number: int, name: str) -> str:
+    """(doc_id, kind number, start, end) of one kind's confirmed matches."""
+    return f"""
+  SELECT doc_id, {number} AS kind, start, start + len(m) AS stop FROM (
+    SELECT doc_id, m, before, after, translate(m, ' ().-+', '') AS bare, start FROM (
+      SELECT doc_id, found[i] AS m, gaps[i] AS before, gaps[i + 1] AS after,
+        CAST(len(gaps[i]) + COALESCE(list_sum(list_transform(range(1, i), lambda j: len(gaps[j]) + len(found[j]))), 0) AS BIGINT) AS start
+      FROM (SELECT doc_id, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, '{_PLAIN[name]}') AS found, string_split_regex(text, '{_PLAIN[name]}') AS gaps
+        FROM documents WHERE text IS NOT NULL) a) b) c) d
+  WHERE {_VALID[name]}"""
+
+
+_NAMES = [k.name for k in KINDS]
+_JOINED = "COALESCE(string_agg({names}[kind] || ':' || start || ':' || stop, ',' ORDER BY kind, start) {only}, '')"
+ORACLES = {
+    "op10_pii": f"""
+WITH s AS ({' UNION ALL '.join(_kind_sql(n, name) for n, name in enumerate(_NAMES, 1))})
+SELECT d.doc_id, {', '.join(f"COUNT(kind) FILTER (WHERE kind = {n}) AS n_{name}" for n, name in enumerate(_NAMES[:4], 1))},
+  sha256({_JOINED.format(names=_NAMES, only="FILTER (WHERE kind <= 4)")}) AS base_sha256,
+  {_JOINED.format(names=_NAMES, only="")} AS spans
+FROM (SELECT doc_id FROM documents) d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+}
 QUERIES = {"op10_pii": op10_pii}
