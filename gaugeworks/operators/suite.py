@@ -82,7 +82,8 @@ class QualitySuite:
             )
         return row.select(*keep, rows_from_sql(structs))
 
-    def evaluate(self, df: DataFrame) -> DataFrame:
+    def evaluate(self, df: DataFrame, at: Column | None = None) -> DataFrame:
+        """The verdicts; ``at`` adds the time of the run as ``evaluated_at``."""
         passes: dict[str | None, list[tuple[int, r.Rule]]] = {}
         for position, rule in enumerate(self.active_rules(df.schema), start=1):
             passes.setdefault(rule.frame_key, []).append((position, rule))
@@ -94,7 +95,7 @@ class QualitySuite:
                 row = members[0][1].frame(df)
             part = self.verdicts(row, members)
             results = part if results is None else results.unionByName(part)
-        return results
+        return results if at is None else results.withColumn("evaluated_at", at)
 
 
 def table_suite(

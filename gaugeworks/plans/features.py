@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,32 +122,27 @@ def prepare_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def _staged(spark: SparkSession, sf_dir: str, numeric, categorical) -> DataFrame:
+    """The imputed rows after the library's feature stages for some columns."""
+    churn = f.impute(i.churn(spark, sf_dir), i.NUMERIC, i.CATEGORICAL)
+    return Pipeline(stages=feature_stages(numeric, categorical)).fit(churn).transform(churn)
+
+
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    churn = i.churn(spark, sf_dir)
-    indexer = StringIndexer(inputCol="contract_type", outputCol="idx", handleInvalid="keep").fit(churn)
-    return indexer.transform(churn.select("contract_type").distinct())
+    staged = _staged(spark, sf_dir, [], ["contract_type"])
+    return staged.select("contract_type", F.col("contract_type_index").alias("idx")).distinct()
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    churn = i.churn(spark, sf_dir)
-    stages = [
-        StringIndexer(inputCol="contract_type", outputCol="idx", handleInvalid="keep"),
-        OneHotEncoder(inputCol="idx", outputCol="encoded"),
-    ]
-    encoded = Pipeline(stages=stages).fit(churn).transform(churn)
-    return encoded.select("customer_id", vector_to_array("encoded").alias("v")).select(
+    staged = _staged(spark, sf_dir, [], ["contract_type"])
+    return staged.select("customer_id", vector_to_array("contract_type_encoded").alias("v")).select(
         "customer_id", *[F.col("v")[k].alias(f"slot_{k}") for k in range(3)]
     )
 
 
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    churn = f.impute(i.churn(spark, sf_dir), i.NUMERIC, i.CATEGORICAL)
-    stages = [
-        VectorAssembler(inputCols=list(i.NUMERIC), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-    ]
-    scaled = Pipeline(stages=stages).fit(churn).transform(churn)
-    return scaled.select("customer_id", vector_to_array("scaled").alias("v")).select(
+    staged = _staged(spark, sf_dir, i.NUMERIC, [])
+    return staged.select("customer_id", vector_to_array("features").alias("v")).select(
         "customer_id", *[F.round(F.col("v")[k], 6).alias(c) for k, c in enumerate(i.NUMERIC)]
     )
 

@@ -145,7 +145,7 @@ def alias_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "event_id",
             "ts",
-            "user_id % 20 AS model_id",
+            "user_id AS model_id",
             "CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'promote' ELSE 'rollback' END AS action",
             "event_id % 40 AS version",
         )

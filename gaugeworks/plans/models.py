@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import evaluation as e
 from gaugeworks.operators import features as f
+from gaugeworks.operators import registry as g
 from gaugeworks.operators import scoring as sc
 from gaugeworks.operators.learning import DEFAULTS, ModelSpec, load_model, save_model, train
 from gaugeworks.operators.promotion import MINIMA, PromotionPolicy, pair_roles, recommend
@@ -27,6 +28,9 @@ def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     )
 
 
+_STATE = "model_id string, champion_version bigint, previous_champion_version bigint, challenger_version bigint"
+
+
 def _trained(spec: ModelSpec):
     """What a fit must satisfy on unseen rows, next to their number, which SQL knows."""
 
@@ -152,6 +156,28 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("customer_id", same.alias("same_probability"), (F.col("prediction") == label).alias("same_prediction"))
 
 
+def train_promote_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, save, register, promote, and score with the model that the alias names."""
+    training, _, _ = _splits(spark, sf_dir)
+    path = fresh_path(spark, "registered")
+    save_model(train(training, LOGISTIC), path)
+    made = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    runs = spark.range(1).select(
+        F.lit("churn").alias("model_id"), made.alias("ts"), F.lit(1).cast("bigint").alias("event_id"),
+        F.lit("run-1").alias("run_id"), F.lit(path).alias("path"),
+    )
+    versions = g.register_versions(runs)
+    candidates = versions.select("model_id", "version", F.lit(True).alias("consistent"))
+    nothing = g.alias_state(g.promotion_events(g.promotion_plan(candidates, spark.createDataFrame([], _STATE)), made))
+    plan = g.promotion_plan(candidates, nothing, confirm=True)
+    state = g.alias_state(g.promotion_events(plan, made))
+    model, record = sc.load_by_alias(versions, state, "churn", "champion")
+    provenance = sc.Provenance("champion", made, str(record["version"]), record["run_id"])
+    rows = sc.score(i.churn_dirty(spark, sf_dir), model, i.NUMERIC, i.CATEGORICAL, provenance)
+    same = F.abs(F.col("probability_churn") - _by_hand(model)) < 1e-9
+    return rows.select("customer_id", "model_alias", "model_version", "run_id", same.alias("same_probability"))
+
+
 def score_batch_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What scoring must not change: the input values, one row each, and the provenance."""
     _, rows = _scored_batch(spark, sf_dir)
@@ -216,6 +242,7 @@ QUERIES = {
         smoke_check,
         evaluate_model,
         score_batch,
+        train_promote_score,
         score_batch_inputs,
         compare_models,
         champion_challenger,
@@ -264,6 +291,10 @@ ORACLES = {
         ),
     ),
     "score_batch": over("churn_dirty", "SELECT customer_id, TRUE AS same_probability, TRUE AS same_prediction FROM churn_dirty"),
+    "train_promote_score": over(
+        "churn_dirty",
+        "SELECT customer_id, 'champion' AS model_alias, '1' AS model_version, 'run-1' AS run_id, TRUE AS same_probability FROM churn_dirty",
+    ),
     "compare_models": over(
         "splits",
         "SELECT role, t.* FROM (VALUES ('champion'), ('challenger')) r(role), ("

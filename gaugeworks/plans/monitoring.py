@@ -41,7 +41,9 @@ def prediction_monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(m.prediction_alerts(m.prediction_summary(i.scored(spark, sf_dir), score="score"), _model()))
+    """Predictions that are positive too often, and some that are missing."""
+    scored = i.scored(spark, sf_dir).where("prediction IS NULL OR prediction = 1 OR score < 0.1")
+    return _alerts(m.prediction_alerts(m.prediction_summary(scored, score="score"), _model()))
 
 
 def performance_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,11 @@ def _alert_sql(body: str) -> str:
 ORACLES = {
     "data_alerts": over("churn_dirty", _alert_sql(_DATA)),
     "prediction_monitoring": over("scored", _SUMMARY),
-    "prediction_alerts": over("scored", _alert_sql(_PREDICTIONS), summary=_SUMMARY),
+    "prediction_alerts": over(
+        "scored",
+        _alert_sql(_PREDICTIONS),
+        summary=_SUMMARY.replace("FROM scored", "FROM scored WHERE prediction IS NULL OR prediction = 1 OR score < 0.1"),
+    ),
     "performance_alerts": over("classification auc", _alert_sql(_PERFORMANCE)),
     "monitoring_report": over(
         "churn_dirty classification auc",

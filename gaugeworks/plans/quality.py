@@ -15,6 +15,7 @@ from gaugeworks.operators.drift import mean_shift
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.sql import over
 from gaugeworks.sources.readers import schema_problems
+from gaugeworks.sources.writers import write_report
 from gaugeworks.workspace import fresh_path
 
 RANGES = {"tenure_months": (0, 600), "monthly_charges": (0, 100_000)}
@@ -74,6 +75,21 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.gate_reports(rules, s.summarize(rules, ["run_id"]))
 
 
+def quality_volume_from_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts against the last stored run: two runs are reported, the third is compared with the later one."""
+    path = fresh_path(spark, "reports")
+    runs = ("2024-01-01 00:00:00", i.churn(spark, sf_dir)), ("2024-01-02 00:00:00", i.churn(spark, sf_dir).where("is_active"))
+    for day, df in runs:
+        rows = s.QualitySuite([r.row_count(1, 5_000_000_000)]).evaluate(df, F.lit(day).cast("timestamp"))
+        write_report(rows.select("rule", "status", "row_count", "evaluated_at"), path, day[:10])
+    previous = s.previous_row_count(spark.read.parquet(path), "evaluated_at")
+    today = s.QualitySuite([r.volume_change(previous, 0.1), r.volume_change(None, 0.1)])
+    found = today.evaluate(i.churn_dirty(spark, sf_dir), F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    return found.select(
+        "rule", "severity", "status", F.col("observed_num").alias("observed"), F.date_format("evaluated_at", "yyyy-MM-dd").alias("day")
+    )
+
+
 def rule_referential_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = i.table(spark, sf_dir, "part").where(F.col("p_size") > 2)
     rule = r.referential_integrity("l_partkey", parts, "p_partkey")
@@ -156,6 +172,7 @@ def quality_suite_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "quality_suite": quality_suite,
     "quality_suite_repeated": quality_suite_repeated,
+    "quality_volume_from_report": quality_volume_from_report,
     "quality_failed_rules": quality_failed_rules,
     "quality_gate": quality_gate,
     "rule_row_count": _single(lambda spark, d: r.row_count(50, 1_000)),
@@ -305,6 +322,14 @@ _REPEATED = "\nUNION ALL ".join(
 
 ORACLES = {
     "quality_suite_repeated": _REPEATED,
+    "quality_volume_from_report": over(
+        "churn_dirty",
+        "SELECT v.*, '2024-01-03' AS day FROM ("
+        + _volume("SELECT COUNT(*) FROM churn WHERE is_active").replace("x <= 0.5", "x <= 0.1")
+        + " UNION ALL "
+        + NO_BASELINE
+        + ") v",
+    ),
     "quality_suite": over("churn_dirty", suite_sql(_volume("SELECT COUNT(*) FROM churn"))),
     "quality_failed_rules": over(
         "churn_dirty",

@@ -68,7 +68,7 @@ FROM (SELECT DISTINCT model_id FROM model_metrics) d
 """
 
 ALIAS_EVENTS = """
-SELECT event_id, ts, CAST(user_id % 20 AS BIGINT) AS model_id,
+SELECT event_id, ts, CAST(user_id AS BIGINT) AS model_id,
   CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'promote' ELSE 'rollback' END AS action,
   CAST(event_id % 40 AS BIGINT) AS version
 FROM events WHERE event_type IN ('signup','purchase','error')

@@ -15,15 +15,20 @@ from pyspark.sql import SparkSession
 from gaugeworks.errors import ConfigError
 
 
+#: The folders made for local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder reachable from the driver and all executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="gaugeworks-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="gaugeworks-")
+        return _OWN[application]
     raise ConfigError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
