@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.errors import RegistryError
 from gaugeworks.functions.ordered import previous_value, running_number, top_per_group
@@ -221,6 +222,21 @@ def run_table(
     )
 
 
+def with_signature(runs: DataFrame, inputs: StructType, outputs: StructType, example: DataFrame | None = None) -> DataFrame:
+    """Adds what a run's model takes and gives: both schemas and a row of input, as JSON text.
+
+    ``example`` is a frame of any size, of which one row is kept.
+    """
+    shown = F.lit(None).cast("string") if example is None else example.limit(1).agg(F.first(F.to_json(F.struct(*example.columns)))).scalar()
+    return runs.withColumns(
+        {
+            "input_signature": F.lit(inputs.json()),
+            "output_signature": F.lit(outputs.json()),
+            "input_example": shown,
+        }
+    )
+
+
 def run_values(runs: DataFrame) -> DataFrame:
     """The maps of a run table as rows (run_id, section, name, number, text)."""
     parts = []

@@ -83,6 +83,29 @@ def training_set_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("customer_id", "large_order", "contract_type", F.round("total_charges", 2).alias("total_charges"))
 
 
+def training_set_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of two feature tables, one of them written twice, and of a training set, next to its size."""
+    store = FeatureStore(spark, fresh_path(spark, "store"))
+    other = f.FeatureSpec(table="churn.nations", keys=("c_custkey",), features=("c_nationkey",), timestamp="updated")
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    for day in (1, 2):
+        store.write(_features(spark, sf_dir), SPEC, at(day))
+    store.write(i.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), other, at(3))
+    labels = _labels(spark, sf_dir)
+    parts = [
+        store.provenance(spec, label).withColumn("n_rows", size.scalar())
+        for spec, label, size in (
+            (SPEC, "large_order", store.training_set(labels, SPEC, "large_order").agg(F.count(F.lit(1)))),
+            (other, "c_nationkey", store.read(other).agg(F.count(F.lit(1)))),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "table_name", F.array_join("lookup_keys", ",").alias("lookup_keys"), F.array_join("feature_names", ",").alias("feature_names"),
+        "timestamp_column", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), "label",
+        F.col("table_version").cast("bigint").alias("table_version"), "n_rows",
+    )
+
+
 def unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.unmatched_labels(_labels(spark, sf_dir), _features(spark, sf_dir), SPEC)
 
@@ -165,6 +188,7 @@ QUERIES = {
         training_set,
         training_set_mixed_types,
         training_set_stored,
+        training_set_provenance,
         unmatched_labels,
         feature_lookup,
         split_assign,
@@ -225,6 +249,14 @@ ORACLES = {
     "training_set_mixed_types": "SELECT k AS customer, o_orderkey AS label, c_nationkey FROM (SELECT CAST(CASE o_orderstatus "
     "WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE o_custkey END AS BIGINT) AS k, o_orderkey FROM orders) o JOIN customer ON c_custkey = k",
     "training_set_stored": over("churn", _TRAINING, order_labels=_LABELS),
+    "training_set_provenance": over(
+        "churn",
+        f"SELECT 'churn.features' AS table_name, 'customer_id' AS lookup_keys, '{','.join(SPEC.features)}' AS feature_names, "
+        "'feature_timestamp' AS timestamp_column, '2024-01-02' AS updated, 'large_order' AS label, CAST(1 AS BIGINT) AS table_version, "
+        "COUNT(*) AS n_rows FROM order_labels JOIN churn USING (customer_id) UNION ALL "
+        "SELECT 'churn.nations', 'c_custkey', 'c_nationkey', 'updated', '2024-01-03', 'c_nationkey', CAST(0 AS BIGINT), COUNT(*) FROM customer",
+        order_labels=_LABELS,
+    ),
     "unmatched_labels": over(
         "churn",
         "SELECT COUNT(*) AS n_unmatched, COUNT(DISTINCT customer_id) AS n_unmatched_keys FROM order_labels l "

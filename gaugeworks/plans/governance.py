@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gaugeworks.operators import promotion as p
 from gaugeworks.operators import registry as g
@@ -197,6 +198,21 @@ def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where((F.col("section") != "tags") | F.col("text").isNotNull())
 
 
+def run_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemas and the example input kept with each run, read back from their JSON."""
+    metrics = i.model_metrics(spark, sf_dir)
+    runs = g.run_table(metrics, F.concat_ws("-", "model_id", "model_version"), {"algorithm": F.lit("logistic_regression")}, METRICS_ONLY, {})
+    inputs = i.churn(spark, sf_dir).select(*i.NUMERIC, *i.CATEGORICAL)
+    outputs = StructType([StructField("prediction", DoubleType()), StructField("probability_churn", DoubleType())])
+    signed = g.with_signature(runs, inputs.schema, outputs, inputs.orderBy(*inputs.columns))
+    names = lambda c: F.array_join(F.from_json(c, "fields array<struct<name:string>>")["fields"]["name"], ",")
+    example = F.from_json("input_example", inputs.schema)
+    return signed.select(
+        "run_id", names("input_signature").alias("inputs"), names("output_signature").alias("outputs"),
+        *[example[c].alias(c) for c in ("tenure_months", "monthly_charges")],
+    )
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
@@ -213,6 +229,7 @@ QUERIES = {
         rollback_plan,
         rollback_applied,
         run_table,
+        run_signature,
     )
 }
 
@@ -346,6 +363,12 @@ def _run_values_sql() -> str:
 
 
 ORACLES = {
+    "run_signature": over(
+        "churn model_metrics",
+        "SELECT CONCAT_WS('-', model_id, model_version) AS run_id, "
+        f"'{','.join((*i.NUMERIC, *i.CATEGORICAL))}' AS inputs, 'prediction,probability_churn' AS outputs, tenure_months, monthly_charges "
+        f"FROM model_metrics, (SELECT * FROM churn ORDER BY {', '.join(f'{c} NULLS FIRST' for c in (*i.NUMERIC, *i.CATEGORICAL))} LIMIT 1) e",
+    ),
     "metric_gate": over("model_metrics", _gate_sql(), reports=_GATE_INPUT),
     "promotion_recommendation": over("model_metrics", _RECOMMENDATION),
     "promotion_recommendation_tables": over("model_metrics", _RECOMMENDATION),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.profile import ProfileSpec, profile
 from gaugeworks.operators.rules import null_percentage, row_count
 from gaugeworks.operators.suite import QualitySuite
 from gaugeworks.plans import inputs as i
@@ -81,6 +82,22 @@ def report_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_parquet(spark, path).select("run_id", "rule", "status", "observed_num")
 
 
+def profile_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of a profile stored for two runs, the second one written twice; rows per section and run."""
+    path = fresh_path(spark, "profile")
+    lines = i.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_tax", "l_discount", "l_shipdate")
+    spec = ProfileSpec(numeric=("l_tax", "l_discount"), categorical=("l_returnflag",), dates=("l_shipdate",))
+    sections = profile(lines, spec)
+    for run in ("run-1", "run-2", "run-2"):
+        writers.write_sections(sections, path, run)
+    found = None
+    for name in sections:
+        rows = readers.read_parquet(spark, f"{path}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+        rows = rows.select(F.lit(name).alias("section"), "run_id", "n_rows")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def _upserted(spark: SparkSession, sf_dir: str) -> KeyedTable:
     before, after = i.snapshots(spark, sf_dir)
     table = KeyedTable(spark, fresh_path(spark, "keyed"), ["c_custkey"])
@@ -125,6 +142,7 @@ QUERIES = {
         sink_partitioned,
         sink_append,
         report_sink_roundtrip,
+        profile_sink_roundtrip,
         feature_upsert,
         feature_compaction,
         feature_changes,
@@ -171,6 +189,13 @@ ORACLES = {
     "sink_partitioned": "SELECT o_orderpriority, COUNT(*) AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
     "sink_append": "SELECT o_orderstatus, CAST(2 * COUNT(*) AS BIGINT) AS n_orders FROM orders GROUP BY o_orderstatus",
     "report_sink_roundtrip": _REPORT,
+    "profile_sink_roundtrip": """
+SELECT section, run_id, n_rows FROM (VALUES ('run-1'), ('run-2')) r(run_id), (
+  SELECT 'schema' AS section, CAST(4 AS BIGINT) AS n_rows UNION ALL SELECT 'nulls', 4 UNION ALL SELECT 'duplicates', 1
+  UNION ALL SELECT 'numeric', 2 UNION ALL SELECT 'correlations', 1 UNION ALL SELECT 'outliers', 2
+  UNION ALL SELECT 'categorical', (SELECT COUNT(DISTINCT l_returnflag) FROM lineitem)
+  UNION ALL SELECT 'temporal', (SELECT COUNT(DISTINCT STRFTIME(l_shipdate, '%Y-%m')) FROM lineitem)) s
+""",
     "feature_upsert": over("snapshot_before snapshot_after", _UPSERT),
     "feature_compaction": over("snapshot_before snapshot_after", _UPSERT),
     "feature_changes": over(

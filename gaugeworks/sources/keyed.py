@@ -290,7 +290,7 @@ def _fits(given: DataType, kind: DataType) -> bool:
     """Whether values of a type can be stored as another without loss: the same, or a wider number of its family."""
     if given in _WIDTHS and kind in _WIDTHS:
         return _WIDTHS.index(given) <= _WIDTHS.index(kind)
-    return given == kind or (given == FloatType() and kind == DoubleType())
+    return given.simpleString() == kind.simpleString() or (given == FloatType() and kind == DoubleType())
 
 
 def _change_rows(paired: DataFrame, payload: Sequence[str]) -> DataFrame:
@@ -354,9 +354,38 @@ class FeatureStore:
     def table(self, spec: FeatureSpec) -> KeyedTable:
         return KeyedTable(self.spark, f"{self.folder}/{spec.table.replace('.', '_')}", spec.keys)
 
-    def write(self, features: DataFrame, spec: FeatureSpec) -> WriteResult:
-        """Create the table or upsert into it."""
-        return self.table(spec).upsert(features)
+    @property
+    def _register(self) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.folder}/registered_tables", ["table_name"])
+
+    def write(self, features: DataFrame, spec: FeatureSpec, at: Column | None = None) -> WriteResult:
+        """Create the table or upsert into it; with a time, the table is also entered in the list of tables."""
+        done = self.table(spec).upsert(features)
+        if at is not None:
+            self._register.upsert(self._record(spec, at))
+        return done
+
+    def _record(self, spec: FeatureSpec, at: Column) -> DataFrame:
+        names = lambda columns: F.array(*[F.lit(c) for c in columns])
+        return self.spark.range(1, numPartitions=1).select(
+            F.lit(spec.table).alias("table_name"),
+            names(spec.keys).alias("lookup_keys"),
+            names(spec.features).alias("feature_names"),
+            F.lit(spec.timestamp).alias("timestamp_column"),
+            at.alias("updated_at"),
+        )
+
+    def tables(self) -> DataFrame:
+        """The feature tables that were written with a time: name, keys, features, timestamp column, last update."""
+        if not self._register.exists():
+            raise FeatureError(f"no feature table is listed in {self.folder}")
+        return self._register.read()
+
+    def provenance(self, spec: FeatureSpec, label: str) -> DataFrame:
+        """What a training set from the table's latest version is made of, one row."""
+        version = self.table(spec)._current()[-1].version
+        listed = self.tables().where(F.col("table_name") == spec.table)
+        return listed.withColumns({"label": F.lit(label), "table_version": F.lit(version)})
 
     def read(self, spec: FeatureSpec) -> DataFrame:
         table = self.table(spec)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -180,3 +180,9 @@ def write_report(df: DataFrame, path: str, run_id: str, keys: Sequence[str] = ()
         .format(fmt)
         .save(path)
     )
+
+
+def write_sections(sections: Mapping[str, DataFrame], folder: str, run_id: str, fmt: str = "parquet") -> None:
+    """Add one run to a report of several tables, one per section, such as a profile's."""
+    for name, rows in sections.items():
+        write_report(rows, f"{folder.rstrip('/')}/{name}", run_id, fmt=fmt)
