@@ -146,18 +146,22 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text:
     share = [F.when(F.col(lang) == name, F.lit(int(min(1.0, rows / n) * (1 << 30)))) for name, n in counts.items()]
     order = F.xxhash64(F.col(key), F.lit(7))
     picked = use.filter(spread < F.coalesce(*share)).select(order.alias("o"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    picked = picked.orderBy("o", "lang").limit(rows * len(counts))
     letter = spark.sparkContext.broadcast(letter_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(o, name, presence(t, letter.value)) for o, name, t in texts([batch], "o", "lang", "text")]
-            found = [(o, name, np.packbits(p).tobytes()) for o, name, p in found if p is not None]
+            found = []
+            for o, name, t in texts([batch], "o", "lang", "text"):
+                flags = presence(t, letter.value)
+                if flags is not None:
+                    found.append((o, name, np.packbits(flags).tobytes()))
             columns = list(zip(*found)) if found else [[], [], []]
             kinds = (pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["o", "lang", "bits"])
 
-    got = sorted(picked.mapInArrow(run, "o long, lang string, bits binary").collect())
+    # Only flags of fixed size are ordered and sent to the driver, whatever the texts' lengths.
+    flagged = picked.mapInArrow(run, "o long, lang string, bits binary")
+    got = sorted(flagged.orderBy("o", "lang", "bits").limit(rows * len(counts)).collect())
     if not got:
         return None
     flags = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in got])
