@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,18 +52,43 @@ def texts(batches: Iterator, *names: str) -> Iterator[tuple]:
             yield tuple(column[row].as_py() for column in columns)
 
 
-def byte_words(text: str | None) -> list[bytes]:
+def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of about `size` characters, cut at white space, so that long ones need no more memory."""
+    start = 0
+    while start < len(text):
+        found = _BLANK.search(text, start + size)
+        stop = found.start() if found else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+_BLANK = re.compile(r"[ \t\n\r]")
+
+
+def byte_words(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def run_hashes(pieces: Iterator[list[bytes]], width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of each run of `width` words joined by a space, repeats included, piece by piece of a text's words.
+
+    Of fewer words than that there is one run, of all of them; without words none.
+    """
+    words: list[bytes] = []
+    some = False
+    for piece in pieces:
+        words += piece
+        if len(words) >= width:
+            some = True
+            yield _hashes(words, width, seed)
+            words = words[len(words) - width + 1 :]
+    if words and not some:
+        yield _hashes(words, len(words), seed)
 
 
-def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of `width` words joined by a space, repeats included; of all words, if there are fewer."""
-    if not words:
-        return np.zeros(0, np.uint64)
+def _hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(b" ".join(words), seed)], np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()

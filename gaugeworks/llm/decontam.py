@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from gaugeworks.llm.base import fresh, shingle_hashes, stored, table, texts
+from gaugeworks.llm.base import fresh, run_hashes, slices, stored, table, texts
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -35,14 +35,15 @@ SENT_SHINGLES = 4_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str) -> list[bytes]:
     """Runs of letters, digits and marks, lower-cased: punctuation and case don't hide a copy."""
-    return [w.encode() for w in _WORD.findall((text or "").lower())]
+    return [w.encode() for w in _WORD.findall(text.lower())]
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct hashes, sorted; of all words as one shingle, if there are fewer than `width`."""
-    return np.unique(shingle_hashes(words(text), width))
+    parts = [np.unique(h) for h in run_hashes(map(words, slices(text or "")), width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def needed(size: int, threshold: float) -> int:

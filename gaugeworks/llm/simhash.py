@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gaugeworks.llm.base import byte_words, fresh, shingle_hashes, stored, table, texts
+from gaugeworks.llm.base import byte_words, fresh, run_hashes, slices, stored, table, texts
 
 WIDTH = 3
 BITS = 3
@@ -32,10 +32,12 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """Signed 64 bits; a bit is set if it is set in over half of the shingles' hashes. No words: zero."""
-    hashes = shingle_hashes(byte_words(text), width)
-    lanes = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+    total, counts = 0, np.zeros(64, np.int64)
+    for hashes in run_hashes(map(byte_words, slices(text or "")), width):
+        total += len(hashes)
+        lanes = hashes.view(np.uint8).reshape(-1, 8)
+        counts += np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+    return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,6 +15,20 @@ def brute_print(text: str | None) -> int:
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
+def test_pieces_of_long_texts_change_nothing():
+    from gaugeworks.llm.base import byte_words, run_hashes, slices
+
+    rng = random.Random(1)
+    for size in (1, 2, 5, 40):
+        text = "".join(rng.choice(["a", "Bc", " ", "\n ", "\t", "é", "\x0b"]) for _ in range(rng.randrange(200)))
+        assert "".join(slices(text, size)) == text
+        for width in (1, 3, 5):
+            words = byte_words(text)
+            runs = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+            got = [int(h) for part in run_hashes(map(byte_words, slices(text, size)), width) for h in part]
+            assert got == [xxhash.xxh64_intdigest(r, 42) for r in runs]
+
+
 def brute_components(prints: list[tuple[int | None, int]]) -> list[int | None]:
     groups = list(range(len(prints)))
     changed = True
