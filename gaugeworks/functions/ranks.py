@@ -15,7 +15,7 @@ from gaugeworks.workspace import fresh_path
 # Relative rank error 1e-4; a sketch of this size is cheap to merge from many tasks.
 SKETCH_ACCURACY = 10_000
 # Steps of the sketch that are read out; a step is wider than the sketch can be wrong.
-GRID = 2_000
+GRID = 500
 
 
 def sketched_quantiles(columns: Sequence[str], shares: Sequence[float], prefix: str = "q") -> list[Column]:
