@@ -55,7 +55,11 @@ def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query, key, distance) of the k nearest of each query in this tile: exact, ties to the smaller key."""
+    """(query, key, distance) of the k nearest keys of each query in this tile: exact, ties to the smaller key.
+
+    Of several rows of one key the nearest counts.
+    """
+    repeated = len(np.unique(keys)) < len(keys)
     q_codes, q_scale, q_error = quantised(queries)
     q_length = ((q_codes.astype(np.float64) * q_scale[:, None]) ** 2).sum(axis=1)
     q_float = q_codes.astype(np.float32)
@@ -64,6 +68,9 @@ def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys:
         part, own = vectors[start : start + _TILE], keys[start : start + _TILE]
         codes, scale, error = quantised(part)
         length = ((codes.astype(np.float64) * scale[:, None]) ** 2).sum(axis=1)
+        if repeated:
+            by_key = np.argsort(own, kind="stable")
+            firsts = np.nonzero(np.diff(own[by_key], prepend=own[by_key[0]] - 1))[0]
         # Products of int8 codes are whole numbers that float32 holds exactly up to 2**24, over 1,000 components.
         products = _products(q_float, codes)
         for row, query in enumerate(queries):
@@ -73,6 +80,8 @@ def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys:
             other = own != query_keys[row]
             least = np.where(other, near - slack, np.inf)
             most = np.where(other, near + slack, np.inf)
+            if repeated:
+                most = np.minimum.reduceat(most[by_key], firsts)
             limit = np.partition(most, k - 1)[k - 1] if len(most) > k else np.inf
             if len(best[row]) == k:
                 limit = min(limit, -best[row][0][0])
@@ -80,6 +89,15 @@ def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys:
             if not len(left):
                 continue
             exact = distances(part[left], query)
+            if repeated:
+                nearest_of: dict[int, tuple[float, int]] = {}
+                for item in sorted([*best[row], *zip((-exact).tolist(), (-own[left]).tolist())], reverse=True):
+                    if len(nearest_of) == k:
+                        break
+                    nearest_of.setdefault(item[1], item)
+                best[row] = list(nearest_of.values())
+                heapq.heapify(best[row])
+                continue
             if len(left) > k:
                 order = np.lexsort((own[left], exact))[:k]
                 left, exact = left[order], exact[order]
@@ -126,7 +144,9 @@ def nearest(vectors: DataFrame, query: Callable[[Column], Column], k: int = K, k
     wide = blocks(count["q"], query_block)
     deep = max(blocks(count["n"], vector_block), min(2 * partitions(spark), blocks(count["n"], LEAST_BLOCK)))
     dealt = F.monotonically_increasing_id()
-    queries = found.filter(query(F.col("key"))).withColumn("across", F.pmod(F.xxhash64(dealt), F.lit(wide)))
+    # Each query once, so that what merge() reads of one key does not grow with its copies.
+    queries = found.filter(query(F.col("key"))).dropDuplicates(["key", "v"])
+    queries = queries.withColumn("across", F.pmod(F.xxhash64("key", "v"), F.lit(wide)))
     queries = queries.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(deep - 1)))).select("size", "across", "down", "key", "v")
     rows = found.withColumn("down", F.pmod(F.xxhash64(dealt), F.lit(deep)).cast("int"))
     rows = rows.withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long")))).select("size", "across", "down", "key", "v")

@@ -49,6 +49,22 @@ def test_many_blocks_ties_and_copies(spark):
     check(spark, rows, query_block=3, vector_block=40)
 
 
+def test_more_copies_of_one_row_than_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 1.0, 1.0])] + [(k, (1 + rng.normal(size=3)).tolist()) for k in range(1, 30)]
+    rows += [(50, [1.0, 1.0, 1.01])] * 12 + [(51, [1.0, 1.0 + k / 100, 1.0]) for k in range(1, 13)] + [(0, [1.0, 1.0, 1.0])] * 5
+    check(spark, rows)
+    check(spark, rows, query_block=1, vector_block=20)
+
+
+def test_copies_in_several_parts_of_a_tile(monkeypatch):
+    monkeypatch.setattr(n, "_TILE", 5)
+    vectors = np.array([[1.0, 1.0 + d] for d in (0.9, 0.1, 0.1, 0.3, 0.1, 0.1, 0.1, 0.2, 0.8, 0.1, 0.4, 0.5)])
+    keys = np.array([1, 2, 2, 3, 2, 2, 1, 4, 5, 2, 6, 7])
+    got = n.tile(np.array([[1.0, 1.0]]), np.array([100]), vectors, keys, 4)
+    assert sorted((round(d, 9), key) for _, key, d in got) == [(0.1, 1), (0.1, 2), (0.2, 4), (0.3, 3)]
+
+
 def test_vectors_that_take_no_part(spark):
     odd = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, None), (300, []), (400, [float("nan"), 1.0]), (500, [float("inf"), 1.0]), (600, [1.0, None]), (None, [1.0, 1.0]),
            (1, [1.0, 1e-30]), (2, [3.0, 4.0]), (2, [3.0, 4.0]), (3, [1.0, 2.0, 3.0]), (700, [5.0, 6.0, 7.0])]
