@@ -9,7 +9,8 @@ others only from a least score on.
 
 The patterns match what their plain forms match, leftmost and not overlapping,
 but never go back over a run of characters twice: possessive repeats, and
-starts only where a run starts or the last match ended.
+starts only where a run starts or the last match ended. Only account codes go
+back, by at most 19 characters, to stop before the word that follows them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from gaugeworks.llm.base import spans_text, table
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 NEAR = 40
+#: No match is shorter than four characters, so those within NEAR of a span are among so many on each side.
+_BESIDE = -(-NEAR // 4)
 LEAST_SCORE = 0.6
 _STEP = 64
 
@@ -44,7 +47,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", 0.7, "card|visa|master|credit|debit|payment|konto|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|mobile|fax|whatsapp", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto", False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, r"\bssn\b|social|security|insurance", False),
 )
 
@@ -90,6 +93,23 @@ def _sum(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda total, p: total + p["gap"] + p["size"])
 
 
+def _near(parts: Column) -> Column:
+    """Parts with the characters around each match, neighbouring matches among them.
+
+    `back` ends and `ahead` begins what a part holds, its gap before and after; where that is NEAR long, it is enough.
+    """
+
+    def one(p: Column, k: Column) -> Column:
+        first = F.greatest(k - _BESIDE + 1, F.lit(1))
+        before = F.array_join(F.transform(F.slice(parts, first, k - first + 1), lambda x: x["back"]), "")
+        after = F.array_join(F.transform(F.slice(parts, k + 2, F.lit(_BESIDE)), lambda x: x["ahead"]), "")
+        left = F.when(F.length(p["before"]) < NEAR, F.right(F.concat(before, p["before"]), F.lit(NEAR))).otherwise(p["before"])
+        right = F.when(F.length(p["after"]) < NEAR, F.left(F.concat(p["after"], after), F.lit(NEAR))).otherwise(p["after"])
+        return F.struct(p["gap"].alias("gap"), p["size"].alias("size"), p["match"].alias("match"), F.lower(F.concat_ws(" ", left, right)).alias("near"))
+
+    return F.transform(parts, one)
+
+
 def _placed(parts: Column) -> Column:
     """Start and end of each match from the lengths of gaps and matches.
 
@@ -139,15 +159,18 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     def parts(k: Kind) -> Column:
         gaps, found = F.col(f"gaps_{k.name}"), F.col(f"found_{k.name}")
         after = F.slice(gaps, F.lit(2), F.size(found))
+        last, first = lambda x: F.right(x, F.lit(NEAR)), lambda x: F.left(x, F.lit(NEAR))
         return F.transform(
             F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"), after.alias("a")),
             lambda z: F.struct(
                 F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("size"), z["m"].alias("match"),
-                F.lower(F.concat_ws(" ", F.right(z["g"], F.lit(NEAR)), F.left(z["a"], F.lit(NEAR)))).alias("near"),
+                last(z["g"]).alias("before"), first(z["a"]).alias("after"),
+                last(F.concat(last(z["g"]), last(z["m"]))).alias("back"), first(F.concat(first(z["m"]), first(z["a"]))).alias("ahead"),
             ),
         )
 
     rows = rows.select("key", *[F.when(F.col(f"found_{k.name}").isNotNull(), parts(k)).alias(f"parts_{k.name}") for k in KINDS])
+    rows = rows.select("key", *[_near(F.col(f"parts_{k.name}")).alias(f"parts_{k.name}") for k in KINDS])
     rows = rows.select("key", *[_placed(F.col(f"parts_{k.name}")).alias(f"placed_{k.name}") for k in KINDS])
 
     def scored(k: Kind) -> Column:

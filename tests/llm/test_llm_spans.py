@@ -114,6 +114,20 @@ def test_checksums_and_context(spark):
     assert pii.spans(documents(spark, [])).collect() == []
 
 
+def test_codes_before_a_capital_and_context_beyond_a_neighbour(spark):
+    code = "DE89 3704 0044 0532 0130 00"
+    rows = [(1, f"IBAN {code} Please pay"), (2, f"{code.replace(' ', '')} Please"), (3, f"{code} A b"), (4, f"{code}, {code} Or"),
+            (5, "social security numbers 123-45-6789, 987-65-4321"), (6, "123-45-6789, 987-65-4321: social security"),
+            (7, "ssn 123-45-6789" + " x" * 21 + " 987-65-4321"), (8, "é 😀 ssn 123-45-6789,987-65-4321,111-22-3333,444-55-6666,555-66-7777")]
+    got = {r["doc_id"]: r["spans"] for r in pii.spans(documents(spark, rows)).collect()}
+    found = {key: [rows[key - 1][1][s["start"] : s["end"]] for s in spans if s["kind"] in ("iban", "ssn")] for key, spans in got.items()}
+    assert found[1] == [code] and found[2] == [code.replace(" ", "")] and found[4] == [code, code]
+    assert found[3] == []  # the SQL's pattern takes the capital A for a part of the code
+    assert found[5] == found[6] == ["123-45-6789", "987-65-4321"]
+    assert found[7] == ["123-45-6789"]
+    assert found[8] == ["123-45-6789", "987-65-4321", "111-22-3333", "444-55-6666"]
+
+
 def test_personal_data_runs_no_python(spark, sf_dir):
     plan = pii.op10_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
