@@ -20,8 +20,10 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -50,6 +52,7 @@ DROPPED_NAMES = frozenset(
 MAIN_TAGS = frozenset("article main".split())
 #: Of the dropped names those that also drop an article inside of them; others may name a page's whole layout.
 REACTIONS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended widget".split())
+#: Tags on a recorded path; deeper ones are followed, but recorded only where they change the label.
 DEPTH = 60
 #: Most characters of all wrappers together that are sent to every task.
 SENT_CHARS = 32_000_000
@@ -108,24 +111,60 @@ def signature(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(w.replace("/", "-") for w in words)])
 
 
+class _Open:
+    """The open tags. Looking one up takes no longer on a deeply nested page."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.path: list[str] = []
+        #: Positions and signatures of tags beyond DEPTH that change the label of what is in them.
+        self.deep: list[tuple[int, str]] = []
+
+    def last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def first_after(self, position: int, names: set[str]) -> int | None:
+        found = [at[k] for n in names if (at := self.at.get(n)) and (k := bisect_right(at, position)) < len(at)]
+        return min(found, default=None)
+
+    def push(self, tag: str, attributes: str) -> None:
+        if len(self.tags) < DEPTH:
+            self.path.append(signature(tag, attributes))
+        elif telling(name := signature(tag, attributes)):
+            if label((*(here := self.recorded()), name)) != label(here):
+                self.deep.append((len(self.tags), name))
+        self.at[tag].append(len(self.tags))
+        self.tags.append(tag)
+
+    def cut(self, count: int) -> None:
+        for tag in self.tags[count:]:
+            self.at[tag].pop()
+        del self.tags[count:], self.path[count:]
+        while self.deep and self.deep[-1][0] >= count:
+            self.deep.pop()
+
+    def recorded(self) -> tuple[str, ...]:
+        return (*self.path, *(name for _, name in self.deep))
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of every block with text, in page order; paths are of signatures."""
     found: list[tuple[tuple[str, ...], str, int]] = []
-    path: list[str] = []
-    tags: list[str] = []
+    opened = _Open()
     held: list[str] = []
     state = {"links": 0, "anchor": 0}
 
     def flush() -> None:
         text = " ".join(references.unescape("".join(held)).split())
         if text:
-            found.append((tuple(path), text, state["links"]))
+            found.append((opened.recorded(), text, state["links"]))
         held.clear()
         state["links"] = 0
 
     def pop(count: int) -> None:
         flush()
-        del tags[count:], path[count:]
+        opened.cut(count)
 
     for kind, name, attributes in tokens(page or ""):
         if kind == "text":
@@ -139,24 +178,17 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         elif kind == "open":
             flush()
             state["anchor"] = 0
-            if "p" in tags and name not in VOID:
-                last = len(tags) - 1 - tags[::-1].index("p")
-                if not BORDERS.intersection(tags[last:]):
-                    pop(last)
-            if name in CLOSES:
-                for k in range(len(tags) - 1, -1, -1):
-                    if tags[k] in BORDERS:
-                        break
-                    if tags[k] in CLOSES[name]:
-                        pop(k)
-            if name not in VOID and len(tags) < DEPTH:
-                tags.append(name)
-                path.append(signature(name, attributes))
+            if name not in VOID and (last := opened.last("p")) >= 0 and opened.last(*BORDERS) < last:
+                pop(last)
+            if name in CLOSES and (first := opened.first_after(opened.last(*BORDERS), CLOSES[name])) is not None:
+                pop(first)
+            if name not in VOID:
+                opened.push(name, attributes)
         else:
             flush()
             state["anchor"] = 0
-            if name in tags:
-                pop(len(tags) - 1 - tags[::-1].index(name))
+            if (last := opened.last(name)) >= 0:
+                pop(last)
     flush()
     return found
 
@@ -241,6 +273,14 @@ def expression(wrapper: list) -> str:
     return " ".join(parts)
 
 
+def telling(name: str) -> bool:
+    """Whether a signature can change the label of a path."""
+    tag, *rest = name.split(".")
+    names = set(_NAMES.findall(" ".join(rest)))
+    return tag in MAIN_TAGS | DROPPED_TAGS | OUTER_ONLY or not names.isdisjoint(DROPPED_NAMES | REACTIONS | OUTER_ONLY)
+
+
+@lru_cache(10_000)
 def label(path: tuple[str, ...]) -> str:
     """`drop`, `main` (in a marked article) or `open` for a slot, from the signatures on the way to it."""
     steps = [(name.split(".")[0], set(_NAMES.findall(" ".join(name.split(".")[1:])))) for name in path]
@@ -319,7 +359,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, key: str = "pag
     Null and empty pages, and pages with no text in a main slot, have the empty
     text. Pages without a host are wrapped together. Repeated rows come out as
     often as they went in; tags nested deeper than 60 count as part of the tag
-    at that depth, with all their text. Other columns are not read.
+    at that depth, with all their text, unless they change its label. Other columns are not read.
     """
     wrappers = infer(pages, url, html) if wrappers is None else wrappers
     size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("container"), F.lit(0)))).first()[0] or 0

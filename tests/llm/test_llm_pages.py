@@ -151,3 +151,18 @@ def test_wrappers_have_optional_and_repeated_groups():
     other = htmltext.stream(htmltext.blocks("<div><p>b</p></div><hr><span>x</span>"))
     assert htmltext.expression(htmltext.aligned(one, other)) == "<div>(<h1>(#)? <p>(#)+)"
     assert htmltext.aligned(one, one) == one
+
+
+def test_text_after_and_in_blocks_nested_deeper_than_recorded(spark):
+    deep, out = "<div>" * 70, "</div>" * 70
+    page = f"<html><body><div><article><p>first</p>{deep}in<nav>menu</nav>{out}<p>last</p></article></div><p>foot</p></body></html>"
+    bare = f"<html><body>{deep}<nav>menu</nav><article><p>main</p></article>aside{out}</body></html>"
+    rows = [(1, "http://a.com/1", page), (2, "http://b.com/1", bare)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages(spark, rows)).collect()}
+    assert got == {1: "first\n\nin\n\nlast", 2: "main"}
+    found = {text: path for path, text, _ in htmltext.blocks(page)}
+    assert found["last"] == ("html", "body", "div", "article", "p") and found["foot"] == ("html", "body", "p")
+
+
+def test_pages_nested_very_deeply_stay_cheap():
+    assert len(htmltext.blocks("<p>a<x>" * 100_000 + "<li>b</li>" * 100_000)) == 200_000
