@@ -8,6 +8,10 @@ the Nystroem landmarks, their kernel matrix gives the feature map, and ridge
 regression in it gives one column of weights for each language. A batch of
 documents is scored by two matrix products: presence by landmarks, then
 kernel values by weights.
+
+The scores of all languages sum to one, so they tell languages apart but not
+whether a text is in any of them. That is told by the greatest kernel value to
+a landmark, against what training rows of as many grams reach.
 """
 
 from __future__ import annotations
@@ -29,6 +33,11 @@ LANDMARKS = 40
 RIDGE = 1e-3
 UNDETERMINED = "und"
 FOLDS = 5
+#: Evidence for a language is taken in pieces of so many characters: the flags of longer ones fill up, and all texts look alike.
+PIECE = 8_192
+#: A text is in a learned language from this share of the evidence that all but a twentieth of like training rows have.
+SLACK = 0.8
+LIKE = 50
 _SIZE = 1 << BUCKET_BITS
 _CHUNK = 1 << 20
 _BATCH = 64
@@ -93,14 +102,38 @@ class Model:
     landmarks: np.ndarray
     landmark_norms: np.ndarray
     weights: np.ndarray
+    #: Norms and the least evidence of a text with that norm.
+    bounds: tuple[np.ndarray, np.ndarray]
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """One row of scores for each row of presence flags."""
+    def kernel(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         norms = np.sqrt(np.count_nonzero(rows, axis=1))
         kernel = rows[:, self.buckets].astype(np.float32) @ self.landmarks.T
-        kernel = kernel / (norms[:, None] * self.landmark_norms[None, :])
+        return kernel / (norms[:, None] * self.landmark_norms[None, :]), norms
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """One row of scores for each row of presence flags."""
+        kernel, _ = self.kernel(rows)
         return np.hstack((kernel, np.ones((len(rows), 1)))) @ self.weights
 
+    def evidence(self, rows: np.ndarray) -> np.ndarray:
+        """For each row of presence flags the greatest kernel value over its least one; under 1 it is in no learned language."""
+        kernel, norms = self.kernel(rows)
+        return kernel.max(axis=1) / np.interp(norms, *self.bounds)
+
+
+def bounds(norms: np.ndarray, greatest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms and the least evidence at each, from training rows' norms and greatest kernel values to other rows.
+
+    A part of a text shares as large a part of its grams with a landmark, so a value scales with the norm. At each
+    norm the LIKE rows next above it count, scaled down, or where there are fewer the last ones as they are.
+    """
+    order = np.argsort(norms)
+    norms, greatest = norms[order], greatest[order]
+    grid = np.geomspace(1, np.sqrt(ORDERS * _SIZE), 128)
+    first = np.clip(np.searchsorted(norms, grid), 0, max(0, len(norms) - LIKE))
+    least = [np.quantile(greatest[k : k + LIKE] * np.minimum(1, at / norms[k : k + LIKE]), 0.05) for k, at in zip(first, grid)]
+    return grid, np.maximum(SLACK * np.array(least), 1e-9)
+
 
 def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Train on presence flags; the first `landmarks` rows of each label are the landmarks."""
@@ -124,7 +157,12 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     penalty[-1, -1] = 0
     solved = np.linalg.solve(features.T @ features + penalty, features.T @ targets)
     weights = np.vstack((whiten @ solved[:-1], solved[-1:]))
-    return Model(languages, buckets, flags[chosen], norms[chosen], weights)
+    other = kernel.copy()
+    other[chosen, np.arange(len(chosen))] = 0
+    greatest = other.max(axis=1)
+    rest = np.setdiff1d(np.arange(len(rows)), chosen)
+    rest = rest if len(rest) >= LIKE else np.arange(len(rows))
+    return Model(languages, buckets, flags[chosen], norms[chosen], weights, bounds(norms[rest], greatest[rest]))
 
 
 def held_out(key: str) -> Column:
@@ -132,10 +170,10 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang", longest: int | None = None) -> Model | None:
     """Fit on at most `rows` labelled rows a language, spread by a hash of the key; None without any.
 
-    Rows that are held out, have a null key or no letter are never used.
+    With `longest` only so many characters of a row are learned from. Rows that are held out, have a null key or no letter are never used.
     """
     spark = docs.sparkSession
     use = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -152,7 +190,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text:
         for batch in batches:
             found = []
             for o, name, t in texts([batch], "o", "lang", "text"):
-                flags = presence(t, letter.value)
+                flags = presence(t and t[:longest], letter.value)
                 if flags is not None:
                     found.append((o, name, np.packbits(flags).tobytes()))
             columns = list(zip(*found)) if found else [[], [], []]
@@ -184,9 +222,9 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     )
 
 
-def _scorer(spark: SparkSession, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")):
-    """Replaces the text column of Arrow batches by the language and the score, under the given names."""
-    fields = model and (model.languages, model.buckets, model.landmarks, model.landmark_norms, model.weights)
+def _scorer(spark: SparkSession, model: Model | None):
+    """Replaces the text column of Arrow batches by the language and the score."""
+    fields = model and tuple(vars(model).values())
     shared = spark.sparkContext.broadcast((fields, letter_table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +233,7 @@ def _scorer(spark: SparkSession, model: Model | None, text: str = "text", names:
         for batch in batches:
             found, scores = [], []
             for start in range(0, batch.num_rows, _BATCH):
-                part = [presence(t, letter) if model else None for (t,) in texts([batch.slice(start, _BATCH)], text)]
+                part = [presence(t, letter) if model else None for (t,) in texts([batch.slice(start, _BATCH)], "text")]
                 full = [k for k, p in enumerate(part) if p is not None]
                 best = [(UNDETERMINED, 0.0)] * len(part)
                 if full:
@@ -205,27 +243,59 @@ def _scorer(spark: SparkSession, model: Model | None, text: str = "text", names:
                         best[k] = (model.languages[top], float(min(1.0, max(0.0, row[top]))))
                 found += [b[0] for b in best]
                 scores += [b[1] for b in best]
-            out = batch.drop_columns([text])
+            out = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                [*out.schema.names, *names],
+                [*out.schema.names, "lang_pred", "score"],
             )
 
     return run
 
 
 def accept(docs: DataFrame, least: float = 0.0, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of `docs` whose language can be told with a score of at least `least`, all columns.
+    """The rows of `docs` that are in a language the labels teach, with a score of at least `least`, all columns.
 
-    The classifier is trained on the labelled rows of `docs` itself.
+    The classifier is trained on the labelled rows of `docs` itself. Texts are
+    read in pieces of PIECE characters; a text's evidence and scores are the
+    means over its pieces with a letter. Texts without a letter go. Few grams
+    tell little: of short texts only those far from all languages go.
     """
-    model = train(docs, key=key, text=text, lang=lang)
-    name, score, at = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "text")
+    model = train(docs, key=key, text=text, lang=lang, longest=PIECE)
     spark = docs.sparkSession
-    run = _scorer(spark, model, at, (name, score))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = docs.withColumn(at, F.col(text).cast("string")).mapInArrow(run, f"{fields}, `{name}` string, `{score}` double")
-    return scored.filter((F.col(name) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
+    fields = model and tuple(vars(model).values())
+    shared = spark.sparkContext.broadcast((fields, letter_table()))
+    at = fresh(docs, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, letter = shared.value
+        model = fields and Model(*fields)
+        for batch in batches:
+            count = np.zeros(batch.num_rows)
+            evidence = np.zeros(batch.num_rows)
+            scores = np.zeros((batch.num_rows, len(model.languages) if model else 1))
+            held: list[tuple[int, np.ndarray]] = []
+
+            def add() -> None:
+                if held:
+                    owners, rows = np.array([k for k, _ in held]), np.array([p for _, p in held])
+                    np.add.at(count, owners, 1)
+                    np.add.at(evidence, owners, model.evidence(rows))
+                    np.add.at(scores, owners, model.scores(rows))
+                    held.clear()
+
+            for k, (t,) in enumerate(texts([batch], at)):
+                for start in range(0, len(t or "") if model else 0, PIECE):
+                    flags = presence(t[start : start + PIECE], letter)
+                    if flags is not None:
+                        held.append((k, flags))
+                    if len(held) == _BATCH:
+                        add()
+            add()
+            pieces = np.maximum(count, 1)
+            good = (count > 0) & (evidence / pieces >= 1) & (np.clip(scores.max(axis=1) / pieces, 0, 1) >= least)
+            yield batch.drop_columns([at]).filter(pa.array(good))
+
+    return docs.withColumn(at, F.col(text).cast("string")).mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

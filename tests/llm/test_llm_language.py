@@ -63,3 +63,23 @@ def test_accept_keeps_clean_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     letters = docs.filter("text rlike '[A-Za-z]'").count()
     assert language.accept(docs, 0.25).count() >= 0.99 * letters
+
+
+def test_accept_drops_languages_that_were_not_learned(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 1000")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    for out in ("de", "fr", "es"):
+        hidden = [(k, t, None if name == out else name) for k, t, name in rows]
+        kept = {r["doc_id"] for r in language.accept(spark.createDataFrame(hidden, "doc_id long, text string, lang string")).collect()}
+        assert np.mean([k in kept for k, _, name in rows if name == out]) < 0.05
+        assert np.mean([k in kept for k, _, name in rows if name != out]) > 0.99
+
+
+def test_accept_judges_long_texts_and_gibberish(spark, sf_dir):
+    rows = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()]
+    clean = {name: " ".join(t for _, t, other in rows if other == name and t) for name in ("en", "de")}
+    rng = np.random.default_rng(3)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 2_000_000))
+    added = [(-1, (clean["en"] * 20)[:3_000_000], None), (-2, (clean["de"] * 20)[:3_000_000], None), (-3, noise, None), (-4, noise[:3000], None), (-5, "Все люди рождаются свободными " * 40, None)]
+    kept = language.accept(spark.createDataFrame(rows + added, "doc_id long, text string, lang string"))
+    assert {r["doc_id"] for r in kept.filter("doc_id < 0").collect()} == {-1, -2}
