@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "simhash", "packing", "secrets", "warc", "urlfilter", "htmltext", "neighbours", "decontam", "pii", "infill", "periods")
+MODULES = ("language", "simhash", "packing", "secrets", "warc", "urlfilter", "htmltext", "neighbours", "decontam", "pii", "infill", "periods", "repeats")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
