@@ -8,19 +8,20 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.errors import SchemaError
 from gaugeworks.functions.columns import name_of, rows_from_sql, share, share_sql, struct_sql, text_literal
 from gaugeworks.functions.ordered import top_per_group
-from gaugeworks.functions.ranks import exact_quantiles, sketched_quantiles
+from gaugeworks.functions.gram import complete_pairs
+from gaugeworks.functions.ranks import FENCE_FACTOR, exact_quantiles, fences, sketched_quantiles
 from gaugeworks.operators.rules import ROWS, distinct_keys
 
 QUANTILES = (0.25, 0.5, 0.75)
 MAX_CATEGORIES = 50
-FENCE_FACTOR = 1.5
 _DIGITS = 4
-# Correlations per aggregation, to keep the generated code of one stage small.
-_PAIRS_PER_PASS = 150
+# Pairs of columns that are correlated by aggregates; more of them come from one product of vectors.
+FEW_PAIRS = 28
 
 
 @dataclass(frozen=True)
@@ -76,15 +77,6 @@ def profile_duplicates(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _quantile_rows(df: DataFrame, columns: Sequence[str], shares: Sequence[float], exact: bool) -> DataFrame:
-    if exact:
-        return exact_quantiles(df, columns, shares)[0]
-    row = df.agg(*sketched_quantiles(columns, shares))
-    return row.select(
-        rows_from_sql([struct_sql(column=text_literal(c), quantiles=f"q{i}") for i, c in enumerate(columns)])
-    )
-
-
 def _numeric_aggregates(columns: Sequence[str]) -> list[Column]:
     functions = {"min": "min", "max": "max", "mean": "avg", "sd": "stddev"}
     return [
@@ -124,6 +116,19 @@ def profile_numeric(
     )
 
 
+def profile_quantiles(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """(column, share, value): exact quantiles as text in the column's own type.
+
+    For numbers, dates and timestamps; a bigint, decimal or timestamp keeps every
+    digit, NaN comes last, and a column without values has NULL. Runs at once.
+    """
+    found = exact_quantiles(df, columns, quantiles)[0]
+    shares = F.array(*[F.lit(float(q)) for q in quantiles])
+    return found.select("column", F.explode(F.arrays_zip(shares.alias("share"), F.col("texts"))).alias("e")).select(
+        "column", F.col("e.share").alias("share"), F.col("e.texts").alias("value")
+    )
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for several columns from one scan; NULL is a value."""
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
@@ -188,50 +193,74 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
 
 
 def _correlation_aggregates(pairs: Sequence[tuple[str, str]], nulls_as_zero: bool) -> list[Column]:
+    """Covariance and both deviations of each pair, over the rows that have both; no deviation of what is constant there.
+
+    Merging the moments of many tasks rounds, so a constant is told by its least and greatest value.
+    """
+
     def number(c: str) -> str:
         value = f"double({name_of(c)})"
         return f"coalesce({value}, 0.0D)" if nulls_as_zero else value
 
-    return [F.expr(f"corr({number(a)}, {number(b)}) AS r{i}") for i, (a, b) in enumerate(pairs)]
+    found = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = number(a), number(b)
+        found.append(F.expr(f"covar_pop({x}, {y}) AS cov{i}"))
+        for name, v, other in (("x", x, y), ("y", y, x)):
+            held = f"if({other} IS NULL, NULL, {v})"
+            found.append(F.expr(f"if(min({held}) < max({held}), stddev_pop({held}), 0.0D) AS sd{name}{i}"))
+    return found
+
+
+def _correlation(i: int) -> str:
+    """From the aggregates of pair ``i``; NULL without two different values on both sides."""
+    return f"try_divide(cov{i}, sdx{i} * sdy{i})"
 
 
 def profile_correlations(df: DataFrame, columns: Sequence[str], nulls_as_zero: bool = False) -> DataFrame:
     """Pearson correlation of every pair, rounded.
 
-    Pairs with a NULL are left out; ``nulls_as_zero`` counts a NULL as 0 instead.
+    Pairs with a NULL are left out; ``nulls_as_zero`` counts a NULL as 0 instead. A
+    column that is constant over the rows of a pair has no correlation (NULL), and
+    one with NaN or an infinity there has NaN. The table is read once, however many
+    columns there are; of more than ``FEW_PAIRS`` pairs the result is computed at once.
     """
-
+    columns = list(columns)
     pairs = list(combinations(columns, 2))
-    result = None
-    for start in range(0, len(pairs), _PAIRS_PER_PASS):
-        part = pairs[start : start + _PAIRS_PER_PASS]
-        structs = [
-            struct_sql(
-                column_a=text_literal(a), column_b=text_literal(b), correlation=f"round(r{i}, {_DIGITS})"
-            )
-            for i, (a, b) in enumerate(part)
-        ]
-        rows = df.agg(*_correlation_aggregates(part, nulls_as_zero)).select(rows_from_sql(structs))
-        result = rows if result is None else result.unionByName(rows)
-    if result is None:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    return result
+    if len(pairs) > FEW_PAIRS:
+        return complete_pairs(df, columns, nulls_as_zero).select(
+            "column_a", "column_b", F.round("correlation", _DIGITS).alias("correlation")
+        )
+    structs = [
+        struct_sql(column_a=text_literal(a), column_b=text_literal(b), correlation=f"round({_correlation(i)}, {_DIGITS})")
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return df.agg(*_correlation_aggregates(pairs, nulls_as_zero)).select(rows_from_sql(structs))
+
+
+_OUTLIERS = "column string, q1 double, median double, q3 double, iqr double, lower_bound double, upper_bound double, outlier_count bigint"
 
 
 def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """Quartiles and median, fences at 1.5 times the quartile distance, and the rows strictly outside.
 
     A column without values has NULL fences and no outliers; NaN lies above every
-    number and so is an outlier. The fences of all columns come from one pass and
-    enter the counting pass as a scalar.
+    number and so is an outlier. In the approximate form the fences of all columns
+    come from one pass and enter the counting pass as a scalar. In the exact form,
+    which runs at once, the pass that finds the quartiles also counts.
     """
     columns = list(columns)
-    quartiles = _quantile_rows(df, columns, QUANTILES, exact)
-    by_column = quartiles.agg(F.map_from_entries(F.collect_list(F.struct("column", "quantiles"))).alias("m"))
+    if exact:
+        found = exact_quantiles(df, columns, QUANTILES, quartiles=(0, 2))[0].collect()
+        return _outlier_rows(df, [(r["column"], r["quantiles"], r["outside"]) for r in found])
+    row = df.agg(*sketched_quantiles(columns, QUANTILES))
+    by_column = row.select(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"q{i}") for i in range(len(columns))])))
     numbers = [F.expr(f"double({name_of(c)}) AS v{i}") for i, c in enumerate(columns)]
     counted = df.select(*numbers).withColumn("__q", by_column.scalar())
 
-    def fences(c: str) -> tuple[str, str, str, str]:
+    def bounds(c: str) -> tuple[str, str, str, str]:
         pair = f"try_element_at(__q, {text_literal(c)})"
         q1, q3 = f"{pair}[0]", f"{pair}[2]"
         reach = f"{FENCE_FACTOR}D * ({q3} - {q1})"
@@ -239,7 +268,7 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False)
 
     aggregates, structs = [], []
     for i, c in enumerate(columns):
-        q1, q3, low, high = fences(c)
+        q1, q3, low, high = bounds(c)
         aggregates.append(F.expr(f"count_if(v{i} < {low} OR v{i} > {high}) AS out{i}"))
         structs.append(
             struct_sql(
@@ -257,6 +286,14 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], exact: bool = False)
     return row.select(rows_from_sql(structs))
 
 
+def _outlier_rows(df: DataFrame, found: Sequence[tuple[str, Sequence[float | None], int]]) -> DataFrame:
+    rows = []
+    for column, (q1, median, q3), outside in found:
+        low, high = fences(q1, q3)
+        rows.append((column, q1, median, q3, None if q1 is None else q3 - q1, low, high, outside))
+    return df.sparkSession.createDataFrame(rows, _OUTLIERS)
+
+
 def month_of(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM")
 
@@ -318,12 +355,32 @@ def profile(df: DataFrame, spec: ProfileSpec) -> dict[str, DataFrame]:
     return sections
 
 
-def _scalar_section(df: DataFrame, spec: ProfileSpec) -> DataFrame:
-    """Nulls, numeric statistics, correlations and target of a report from one aggregation."""
+def _grouped(df: DataFrame, items: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(set, label, n): the rows per value of each item, from one Expand and one shuffle for all; NULL is a value.
+
+    ``set`` is the item's place in the list.
+    """
+    names = [f"g{k}" for k in range(len(items))]
+    found = (
+        df.select(*[column.cast("string").alias(name) for name, (_, column) in zip(names, items)])
+        .groupingSets([[F.col(name)] for name in names], *names)
+        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    )
+    # A bit of the grouping id is set for each column that is not in the set.
+    every = (1 << len(names)) - 1
+    which = {every & ~(1 << (len(names) - 1 - k)): k for k in range(len(names))}
+    place = "CASE gid " + " ".join(f"WHEN {gid} THEN {k}" for gid, k in which.items()) + " END"
+    return found.select(F.expr(place).alias("set"), F.coalesce(*names).alias("label"), "n")
+
+
+def _scalar_aggregates(df: DataFrame, spec: ProfileSpec) -> tuple[list[Column], list[str]]:
+    """Nulls, numeric statistics, few correlations and target: the aggregates, and the rows that follow from them as SQL text."""
     names, numeric, pairs = df.columns, list(spec.numeric), list(combinations(spec.numeric, 2))
     has_target = spec.target is not None and spec.target in names
+    few = len(pairs) <= FEW_PAIRS
     aggregates = [F.count(F.lit(1)).alias(ROWS), *_null_aggregates(names), *_numeric_aggregates(numeric)]
-    aggregates += _correlation_aggregates(pairs, False)
+    if few:
+        aggregates += _correlation_aggregates(pairs, False)
     if has_target:
         label = name_of(spec.target)
         aggregates += [F.expr(f"count_if({label} = {v}) AS {alias}") for v, alias in ((1, "positives"), (0, "negatives"))]
@@ -343,22 +400,26 @@ def _scalar_section(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     for i, c in enumerate(numeric):
         for item, prefix in (("min", "min"), ("max", "max"), ("mean", "mean"), ("stddev", "sd")):
             rows.append(entry("numeric", c, item, f"{prefix}{i}"))
-    for i, (a, b) in enumerate(pairs):
-        rows.append(entry("correlations", a, b, f"r{i}"))
+    if few:
+        for i, (a, b) in enumerate(pairs):
+            rows.append(entry("correlations", a, b, _correlation(i)))
     if has_target:
         rows.append(entry("target", spec.target, "positive_ratio", share_sql("positives", ROWS)))
         rows.append(entry("target", spec.target, "negative_ratio", share_sql("negatives", ROWS)))
         rows.append(entry("target", spec.target, "imbalance_ratio", "try_divide(double(negatives), double(positives))"))
-    return df.agg(*aggregates).select(rows_from_sql(rows))
+    return aggregates, rows
 
 
 def profile_report(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     """Every section in one long table (section, column, item, number).
 
-    All scalar statistics share one pass; quantiles, keys, categories and months
-    need a shuffle each.
+    All scalar statistics share one pass, with exact quantiles the one that
+    sketches them, and outliers are counted with the quantiles; these run at once.
+    Keys and months are grouping sets of one pass, categories of another, since
+    only of these the most frequent are kept.
     """
     require_columns(df, spec.required, "profile")
+    spark = df.sparkSession
 
     def long(rows: DataFrame, section: str, item: Column, number: Column) -> DataFrame:
         return rows.select(
@@ -368,20 +429,48 @@ def profile_report(df: DataFrame, spec: ProfileSpec) -> DataFrame:
             F.round(number.cast("double"), _DIGITS).alias("number"),
         )
 
-    parts = [_scalar_section(df, spec)]
-    keyed = profile_duplicates(df, spec.keys).select(F.lit(",".join(spec.keys)).alias("column"), "duplicate_count")
-    parts.append(long(keyed, "duplicates", F.lit("duplicate_count"), F.col("duplicate_count")))
-    if spec.numeric:
-        outliers = profile_outliers(df, spec.numeric, spec.exact)
+    def named(columns: Sequence[str]) -> Column:
+        return F.expr("CASE set " + " ".join(f"WHEN {k} THEN {text_literal(c)}" for k, c in enumerate(columns)) + " END")
+
+    aggregates, entries = _scalar_aggregates(df, spec)
+    outliers = None
+    if spec.numeric and spec.exact:
+        found, row = exact_quantiles(df, spec.numeric, QUANTILES, aggregates, (0, 2))
+        fields = [f for f in df.agg(*aggregates).schema.fields]
+        base = spark.createDataFrame([tuple(row[f.name] for f in fields)], StructType(fields))
+        outliers = _outlier_rows(df, [(r["column"], r["quantiles"], r["outside"]) for r in found.collect()])
+    else:
+        base = df.agg(*aggregates)
+        if spec.numeric:
+            outliers = profile_outliers(df, spec.numeric)
+    parts = [base.select(rows_from_sql(entries))]
+    if outliers is not None:
         rows = "'numeric', 'p25', q1, 'numeric', 'p50', median, 'numeric', 'p75', q3, 'outliers', 'outlier_count', double(outlier_count)"
         four = outliers.select("column", F.expr(f"stack(4, {rows}) AS (section, item, number)"))
         parts.append(four.withColumn("number", F.round("number", _DIGITS)))
-    if spec.categorical:
-        top = profile_categorical(df, spec.categorical, spec.max_categories)
-        parts.append(long(top, "categorical", F.col("value"), F.col("count")))
+    if len(spec.numeric) * (len(spec.numeric) - 1) // 2 > FEW_PAIRS:
+        pairs = profile_correlations(df, spec.numeric).withColumnRenamed("column_a", "column")
+        parts.append(long(pairs, "correlations", F.col("column_b"), F.col("correlation")))
+
+    # The key's values are counted as such, a month as its rows.
+    keys = list(spec.keys) or df.columns
     present = [c for c in spec.dates if c in df.columns]
-    if present:
-        parts.append(long(_monthly(df, present), "temporal", F.col("month"), F.col("n")))
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if len(keys) > 1 else F.col(keys[0])
+    groups = _grouped(df, [("key", key), *[(c, month_of(F.col(c))) for c in present]])
+    counts = groups.where("set = 0 OR label IS NOT NULL").groupBy("set", F.expr("if(set = 0, NULL, label)").alias("month"))
+    counts = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    parts.append(
+        counts.select(
+            F.expr("if(set = 0, 'duplicates', 'temporal')").alias("section"),
+            named([",".join(spec.keys), *present]).alias("column"),
+            F.expr("if(set = 0, 'duplicate_count', month)").alias("item"),
+            F.round(F.expr("double(if(set = 0, n - groups, n))"), _DIGITS).alias("number"),
+        )
+    )
+    if spec.categorical:
+        values = _grouped(df, [(c, F.col(c)) for c in spec.categorical])
+        top = top_per_group(values, ["set"], [F.desc("n"), F.asc_nulls_last("label")], spec.max_categories, "position")
+        parts.append(long(top.withColumn("column", named(spec.categorical)), "categorical", F.col("label"), F.col("n")))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

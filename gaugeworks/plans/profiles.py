@@ -20,6 +20,13 @@ SPEC = p.ProfileSpec(
     keys=("customer_id",),
     exact=True,
 )
+TYPED_SHARES = (0.001, 0.25, 0.5, 0.75, 0.999)
+#: Columns derived alike in Spark and in the oracle, as SQL text.
+WIDE = {
+    **{c: c for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_partkey")},
+    **{f"price_over_{k}": f"CASE WHEN l_linenumber <> {k} THEN l_extendedprice / l_quantity END" for k in (1, 2, 3)},
+    "always": "CASE WHEN l_tax >= 0 THEN 7.5 END",
+}
 PRICES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -79,6 +86,26 @@ def profile_numeric_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("column", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "stddev")], *close)
 
 
+def profile_quantiles_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles in the type of the column: numbers above 2^53, decimals and times keep every digit."""
+    lines = i.table(spark, sf_dir, "lineitem").select(
+        F.expr("bigint(l_orderkey) * 1000000000039 + l_linenumber AS line_code"),
+        F.expr("CAST(l_extendedprice AS DECIMAL(20,2)) * CAST(1000000000000001 AS DECIMAL(16,0)) AS scaled"),
+        F.col("l_shipdate").alias("shipped"),
+    )
+    found = p.profile_quantiles(lines, lines.columns, TYPED_SHARES)
+    return found.select("column", F.concat(F.lit("p"), (F.col("share") * 1000).cast("int")).alias("quantile"), "value")
+
+
+def profile_correlations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of many columns, some with NULLs, from one product of vectors."""
+    return p.profile_correlations(_wide(i.table(spark, sf_dir, "lineitem")), list(WIDE))
+
+
+def _wide(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(*[f"{sql} AS {name}" for name, sql in WIDE.items()])
+
+
 def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = i.churn_dirty(spark, sf_dir)
     return p.profile_categorical(df, [*i.CATEGORICAL, "tenure_months"], 10).withColumn(
@@ -126,6 +153,8 @@ QUERIES = {
         profile_numeric,
         profile_numeric_nan,
         profile_numeric_approx,
+        profile_quantiles_typed,
+        profile_correlations_wide,
         profile_categorical,
         profile_target,
         target_classes,
@@ -267,6 +296,22 @@ ORACLES = {
     "profile_numeric_nan": "SELECT 'taxed' AS \"column\", ROUND(MIN(v), 4) AS \"min\", ROUND(QUANTILE_DISC(v, 0.5), 4) AS median, "
     "ROUND(QUANTILE_DISC(v, 0.25), 4) AS p25, ISNAN(QUANTILE_DISC(v, 0.75)) AS p75_is_nan, ISNAN(MAX(v)) AS max_is_nan "
     "FROM (SELECT CASE WHEN l_discount > 0.06 THEN CAST('nan' AS DOUBLE) ELSE l_tax END AS v FROM lineitem) t",
+    "profile_quantiles_typed": _all(
+        f"SELECT '{c}' AS \"column\", 'p{int(q * 1000)}' AS quantile, CAST(QUANTILE_DISC({v}, {q}) AS VARCHAR) AS value FROM lineitem"
+        for c, v in (
+            ("line_code", "CAST(l_orderkey AS BIGINT) * 1000000000039 + l_linenumber"),
+            ("scaled", "CAST(l_extendedprice AS DECIMAL(20,2)) * CAST(1000000000000001 AS DECIMAL(16,0))"),
+            ("shipped", "l_shipdate"),
+        )
+        for q in TYPED_SHARES
+    ),
+    "profile_correlations_wide": "WITH wide AS (SELECT "
+    + ", ".join(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in WIDE.items())
+    + " FROM lineitem) "
+    + _all(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, CASE WHEN '{a}' = 'always' OR '{b}' = 'always' THEN NULL ELSE ROUND(CORR({a}, {b}), 4) END AS correlation FROM wide"
+        for a, b in combinations(WIDE, 2)
+    ),
     "profile_categorical": over("churn_dirty", _all(_top(c, 10) for c in (*i.CATEGORICAL, "tenure_months"))),
     "profile_target": over("churn_dirty", _TARGET),
     "target_classes": over("churn_dirty", "SELECT churn AS label, COUNT(*) AS n FROM churn_dirty GROUP BY churn"),

@@ -37,6 +37,11 @@ def test_drift_is_one_aggregation(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)]" in plan
 
 
+def test_a_report_plans_two_readings_of_its_table(spark, sf_dir):
+    one = physical(i.churn_dirty(spark, sf_dir)).count("FileScan")
+    assert physical(QUERIES["profile_report"](spark, sf_dir)).count("FileScan") == 2 * one <= 6
+
+
 def test_narrow_operators_do_not_shuffle(spark, sf_dir):
     orders = i.table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "customer_id", "o_orderdate": "ts"})
     for df in (

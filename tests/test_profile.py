@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
+from decimal import Decimal
 
+import numpy as np
+import pandas
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,13 +70,39 @@ def test_correlation_of_complete_pairs_and_with_zeros(rows):
     assert p.profile_correlations(rows, ["a"]).count() == 0
 
 
-def test_correlations_in_several_passes(spark, monkeypatch):
-    df = spark.range(50).select(*[(F.col("id") * (k + 1) % 17).alias(f"c{k}") for k in range(5)])
-    names = df.columns
-    whole = {(r[0], r[1]): r[2] for r in p.profile_correlations(df, names).collect()}
-    monkeypatch.setattr(p, "_PAIRS_PER_PASS", 3)
-    assert {(r[0], r[1]): r[2] for r in p.profile_correlations(df, names).collect()} == whole
-    assert len(whole) == 10
+def test_correlations_as_one_product_of_vectors(spark, monkeypatch):
+    rng = random.Random(6)
+    cell = lambda k: rng.choice([None, None, float(k), 1e9 + rng.gauss(0, 1), rng.gauss(0, 1)])
+    rows = [[cell(k) if k < 5 else [7.0, 7.0 if n % 2 else None, math.nan if n == 3 else 1.0 * n][k - 5] for k in range(8)] for n in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"`c.{k}` double" for k in range(8))).repartition(5)
+    for zero in (False, True):
+        few = sorted(map(repr, p.profile_correlations(df, df.columns, zero).collect()))
+        monkeypatch.setattr(p, "FEW_PAIRS", 0)
+        assert sorted(map(repr, p.profile_correlations(df, df.columns, zero).collect())) == few
+        monkeypatch.setattr("gaugeworks.functions.gram.BLOCK", 3)
+        assert sorted(map(repr, p.profile_correlations(df, df.columns, zero).collect())) == few
+        monkeypatch.undo()
+    assert len(few) == 28
+
+
+def test_a_constant_column_has_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 1.0), (2.0, 5.0, None), (4.0, 5.0, math.nan)], "a double, b double, c double")
+    assert [r["correlation"] for r in p.profile_correlations(df, ["a", "b"]).collect()] == [None]
+    assert math.isnan(p.profile_correlations(df, ["a", "c"]).first()["correlation"])
+    assert p.profile_correlations(df.limit(0), ["a", "b"]).first()["correlation"] is None
+
+
+def test_three_hundred_columns_in_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 3))
+    data = base @ rng.normal(size=(3, 300)) + rng.normal(size=(400, 300))
+    names = [f"c{k}" for k in range(300)]
+    pandas.DataFrame(data, columns=names).to_parquet(f"{tmp_path}/wide.parquet")
+    df = spark.read.parquet(f"{tmp_path}/wide.parquet")
+    found = p.profile_correlations(df, names).collect()
+    want = np.corrcoef(data.T)
+    assert len(found) == 300 * 299 // 2
+    assert max(abs(r["correlation"] - want[int(r["column_a"][1:]), int(r["column_b"][1:])]) for r in found) < 1e-4
 
 
 @pytest.mark.parametrize("exact", [True, False])
@@ -140,6 +170,75 @@ def test_ranks_outside_their_intervals_are_searched_again(spark, monkeypatch):
     assert [r["quantiles"] for r in exact_quantiles(df.limit(0), ["v"], (0.5,))[0].collect()] == [[None]]
 
 
+TYPED = {
+    "bigint": lambda rng: rng.choice([2**53 + rng.randrange(50), -(2**62) + rng.randrange(3), 7, rng.randrange(-(2**63), 2**63)]),
+    "decimal(38,10)": lambda rng: Decimal(rng.randrange(10**25)).scaleb(-10) if rng.random() < 0.5 else Decimal(2**60 + rng.randrange(9)),
+    "decimal(12,2)": lambda rng: Decimal(rng.randrange(-(10**8), 10**8)).scaleb(-2),
+    "date": lambda rng: dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(9000)),
+    "timestamp": lambda rng: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=rng.randrange(10**rng.choice([2, 12]))),
+    "timestamp_ntz": lambda rng: dt.datetime(1901, 1, 1) + dt.timedelta(microseconds=rng.randrange(10**15)),
+    "smallint": lambda rng: rng.randrange(-5, 5),
+}
+
+
+def test_quantiles_keep_the_digits_of_their_type(spark):
+    rng = random.Random(8)
+    rows = [tuple(None if rng.random() < 0.02 else draw(rng) for draw in TYPED.values()) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} {kind}" for k, kind in enumerate(TYPED))).repartition(6)
+    shares = (0.0, 0.003, 0.25, 0.5, 0.77, 0.9999, 1.0)
+    found = {(r["column"], r["share"]): r["value"] for r in p.profile_quantiles(df, df.columns, shares).collect()}
+    for k, kind in enumerate(TYPED):
+        values = [r[k] for r in rows if r[k] is not None]
+        want = spark.createDataFrame([(n, quantile(values, s)) for n, s in enumerate(shares)], f"n int, v {kind}")
+        text = {r["n"]: r["t"] for r in want.select("n", F.col("v").cast("string").alias("t")).collect()}
+        assert [found[f"c{k}", s] for s in shares] == [text[n] for n in range(len(shares))], kind
+
+
+def test_full_brackets_are_narrowed_first(spark, monkeypatch):
+    from gaugeworks.functions import ranks
+
+    rng = random.Random(12)
+    values = [rng.choice([rng.gauss(0, 1), 0.5, float(rng.randrange(3)), math.nan]) for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    shares = (0.0, 0.1, 0.25, 0.4, 0.7499, 1.0)
+    whole, _ = exact_quantiles(df, ["v"], shares)
+    narrowed = []
+    narrow = ranks._narrow
+    monkeypatch.setattr(ranks, "MOST", 5)
+    monkeypatch.setattr(ranks, "_narrow", lambda typed, searches: (narrowed.append(1), narrow(typed, searches)))
+    monkeypatch.setattr(ranks, "REACH", 0.01)
+    again, _ = exact_quantiles(df, ["v"], shares)
+    assert narrowed and repr(again.collect()) == repr(whole.collect())
+    ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+    assert repr(again.first()["quantiles"]) == repr([ordered[max(math.ceil(s * len(values)), 1) - 1] for s in shares])
+
+
+@pytest.mark.parametrize("kind", ["normal", "heavy", "ends", "nan"])
+def test_outliers_are_counted_with_the_quartiles(spark, kind):
+    rng = random.Random(14)
+    draw = {
+        "normal": lambda: rng.gauss(0, 1),
+        "heavy": lambda: rng.choice([0.0, 0.0, 0.0, rng.paretovariate(0.3), -1.5]),
+        "ends": lambda: rng.choice([-math.inf, math.inf, 1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0]),
+        "nan": lambda: rng.choice([math.nan, rng.random()]),
+    }[kind]
+    values = [draw() for _ in range(8_000)] + [None]
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, w int").repartition(3)
+    (got,) = p.profile_outliers(df.drop("w"), ["v"], exact=True).collect()
+    above = lambda a, b: (math.isnan(a) and not math.isnan(b)) or a > b
+    low, high = got["lower_bound"], got["upper_bound"]
+    numbers = [v for v in values if v is not None]
+    assert got["outlier_count"] == sum(above(low, v) or above(v, high) for v in numbers)
+    ordered = sorted(numbers, key=lambda v: (math.isnan(v), v))
+    assert repr(got["q1"]) == repr(ordered[max(math.ceil(0.25 * len(numbers)), 1) - 1])
+
+
+def test_sketched_quantiles_among_nan_are_nan(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, math.inf, math.nan, math.nan, math.nan]], "v double")
+    (row,) = p.profile_numeric(df, ["v"], (0.25, 0.5, 0.75)).collect()
+    assert row["quantiles"][:2] == [2.0, math.inf] and math.isnan(row["quantiles"][2])
+
+
 def test_temporal_skips_absent_columns(spark):
     df = spark.createDataFrame([("2024-01-31",), ("2024-03-01",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
     rows = sorted(p.profile_temporal(df, ["d", "gone"]).collect())
