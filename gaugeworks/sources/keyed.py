@@ -1,159 +1,100 @@
-"""Tables with one row per key on plain Parquet: upsert, read, change feed.
-
-A table is a folder of data directories and a ``commits`` folder with one small
-file per version, which names the directory that holds it. The first version is
-a snapshot; every upsert adds the batch as a version of its own, so its cost
-follows the batch and not the table. Reading takes the newest row per key: the
-batches, plus the snapshot rows whose key is in no batch. ``compact`` writes the
-table out as a new snapshot; nothing does so on its own.
-
-Every attempt to write has a directory of its own, and a version's commit file
-is only ever created, never replaced: of two writers of one version the second
-fails and changes nothing. Nothing that is committed is changed, so readers are
-not disturbed and a job that dies half way leaves the table as it was.
+"""Tables with one row per key: upsert, versions, change feed.
+
+A table is a database of the catalog at a folder, and each version a table in
+it, bucketed by the key. An upsert joins the last version with the batch: only
+the batch is shuffled, to the buckets the version already has, and the result
+is written as the next version. It becomes that version by being renamed, which
+the catalog allows one writer only, so of two writers of one version the second
+fails and changes nothing. No version is changed afterwards: readers are not
+disturbed, and a job that dies half way leaves the table as it was.
+
+Each row knows the version in which it last changed. The change feed of a
+version is its rows of that number next to the version before, joined bucket by
+bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from gaugeworks.errors import EmptyInputError, FeatureError, SinkError, SourceError
-from gaugeworks.functions.columns import all_set
+from gaugeworks.functions.columns import all_set, name_of
 from gaugeworks.operators.features import FeatureSpec, feature_lookup, training_set
 from gaugeworks.sources.writers import WriteResult
+from gaugeworks.workspace import fresh_path
 
-SNAPSHOT, BATCH = "snapshot", "batch"
-_COMMIT = (
-    "version bigint, kind string, row_count bigint, unkeyed_rows bigint, committed_at timestamp, "
-    "source string, source_batch bigint, attempt string"
-)
-_VERSION, _ATTEMPT = "version", "write_attempt"
+_CHANGED = "__changed_in"
 _WIDTHS = (ByteType(), ShortType(), IntegerType(), LongType())
+#: Key buckets whose digests are compared before two states are joined.
+DIGESTS = 4096
 
 
 @dataclass(frozen=True)
 class Commit:
+    """What is known of a version: its number, when and from how many rows it was made, and the last batch of each source in it."""
+
     version: int
-    kind: str
     row_count: int
-    unkeyed_rows: int  # rows with a NULL key
     committed_at: datetime
-    source: str | None
-    source_batch: int | None
-    attempt: str
+    sources: dict[str, int | None]
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = list(keys)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.database = f"keyed_{hashlib.md5(self.path.encode()).hexdigest()}"
 
     # -- versions ---------------------------------------------------------
 
-    def _files(self) -> list[tuple[int, str, str]]:
-        """(version, kind, path) of the commit files, oldest first, from their names alone."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(folder):
+    def versions(self) -> list[int]:
+        """The numbers of the versions that are kept, oldest first."""
+        if not self.spark.catalog.databaseExists(self.database):
             return []
-        found = []
-        for status in system.listStatus(folder):
-            version, _, kind = status.getPath().getName().removesuffix(".json").partition("-")
-            if version.isdigit() and status.getLen():
-                found.append((int(version), kind, status.getPath().toString()))
-        return sorted(found)
-
-    def _read_commits(self, files: Sequence[tuple[int, str, str]]) -> DataFrame:
-        return self.spark.read.schema(_COMMIT).json([path for _, _, path in files]).orderBy("version")
-
-    def commits(self, since: int | None = None) -> list[Commit]:
-        """The versions, oldest first: those from the last snapshot on that is not after ``since``, all without it."""
-        files = self._files()
-        if since is not None:
-            start = max((v for v, kind, _ in files if kind == SNAPSHOT and v <= since), default=0)
-            files = [f for f in files if f[0] >= start]
-        return [Commit(*row) for row in self._read_commits(files).collect()] if files else []
-
-    def _current(self) -> list[Commit]:
-        """The commits that make up the latest state: the last snapshot and the batches after it."""
-        files = self._files()
-        return self.commits(files[-1][0]) if files else []
+        return sorted(int(t.name[1:]) for t in self.spark.catalog.listTables(self.database, "v*"))
 
-    def exists(self) -> bool:
-        return bool(self._files())
-
-    def _commit(self, commit: Commit) -> None:
-        """Create the version's commit file, or fail if another writer has."""
-        fields = {**vars(commit), "committed_at": commit.committed_at.isoformat(timespec="microseconds")}
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commit.version:012d}-{commit.kind}.json")
-        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        other = {BATCH: SNAPSHOT, SNAPSHOT: BATCH}[commit.kind]
-        taken = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commit.version:012d}-{other}.json")
-        try:
-            if system.exists(taken):
-                raise SinkError(f"version {commit.version} of {self.path} was committed by another writer")
-            out = system.create(path, False)
-        except Py4JJavaError as exc:
-            if "FileAlreadyExists" in str(exc.java_exception.getClass().getName()) or system.exists(path):
-                raise SinkError(f"version {commit.version} of {self.path} was committed by another writer") from None
-            raise
-        out.write(bytearray(json.dumps(fields).encode()))
-        out.close()
+    def commit(self, version: int) -> Commit:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._name(version)}").collect()
+        found = {r["key"]: r["value"] for r in rows}
+        at = datetime.fromisoformat(found["committed_at"])
+        return Commit(version, int(found["row_count"]), at, json.loads(found["sources"]))
 
-    def _write_version(self, df: DataFrame, version: int) -> str:
-        attempt = uuid.uuid4().hex
-        df.write.parquet(self._place(version, attempt))
-        return attempt
+    def commits(self) -> list[Commit]:
+        return [self.commit(v) for v in self.versions()]
 
-    def _place(self, version: int, attempt: str) -> str:
-        return f"{self.path}/data/{_VERSION}={version}/{_ATTEMPT}={attempt}"
+    def exists(self) -> bool:
+        return bool(self.versions())
 
-    def _load(self, commits: Sequence[Commit]) -> DataFrame:
-        places = [self._place(c.version, c.attempt) for c in commits]
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*places).drop(_ATTEMPT)
+    def _name(self, version: int | str) -> str:
+        return f"{self.database}.{version}" if isinstance(version, str) else f"{self.database}.v{version}"
 
-    # -- reading ----------------------------------------------------------
+    def _state(self, version: int) -> DataFrame:
+        return self.spark.table(self._name(version))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version, the latest when none is given."""
-        commits = self._current() if version is None else [c for c in self.commits(version) if c.version <= version]
-        if not commits or (version is not None and commits[-1].version != version):
+        versions = self.versions()
+        if not versions or (version is not None and version not in versions):
             raise SourceError(f"no version {'at all' if version is None else version} in {self.path}")
-        return self._state(commits)
-
-    def _state(self, commits: Sequence[Commit]) -> DataFrame:
-        start = self._last_snapshot(commits)
-        snapshot = self._load([c for c in commits if c.version == start]).drop(_VERSION)
-        batches = [c for c in commits if c.version > start]
-        if not batches:
-            return snapshot
-        added = self._load(batches)
-        known = all_set(self.keys)
-        # A key occurs once per batch, so these windows are as short as the batch list.
-        newest_first = Window.partitionBy(*self.keys).orderBy(F.desc(_VERSION))
-        newest = (
-            added.where(known)
-            .withColumn("__nth", F.row_number().over(newest_first))
-            .where(F.col("__nth") == 1)
-            .drop("__nth", _VERSION)
-        )
-        replaced = added.where(known).select(*self.keys).distinct()
-        kept = snapshot.where(known).join(replaced, self.keys, "left_anti")
-        state = kept.unionByName(newest)
-        if any(c.unkeyed_rows for c in commits if c.version >= start):
-            # NULL keys match nothing, so those rows are never replaced and need no join.
-            state = state.unionByName(snapshot.where(~known)).unionByName(added.where(~known).drop(_VERSION))
-        return state
+        return self._state(versions[-1] if version is None else version).drop(_CHANGED)
+
+    def drop_before(self, version: int) -> None:
+        """Drop older versions and their files; the change feed then starts after the oldest one left."""
+        for old in self.versions():
+            if old < version:
+                self.spark.sql(f"DROP TABLE {self._name(old)}")
 
     # -- writing ----------------------------------------------------------
 
@@ -162,10 +103,12 @@ class KeyedTable:
     ) -> WriteResult:
         """Replace rows with the same key, add the others; the first upsert creates the table.
 
-        A (source, source_batch) that is already committed is skipped, which makes
-        a repeated micro-batch harmless. Columns may come in another order, and with
-        a narrower number type; any other difference is refused. When another writer
-        commits the same version first, this one fails with :class:`SinkError`.
+        The numbers of a source's batches grow: one that is not above the last
+        committed number of its source is skipped, which makes a repeated micro-batch
+        harmless. Columns may come in another order, and with a narrower number type;
+        any other difference is refused, and so is a key that repeats. Rows with a
+        NULL key replace nothing. When another writer commits the same version first,
+        this one fails with :class:`SinkError`.
         """
         if not self.keys:
             raise SinkError("an upsert needs at least one key column")
@@ -174,27 +117,64 @@ class KeyedTable:
             raise SinkError(f"key column(s) not in the batch: {', '.join(missing)}")
         if dry_run:
             return WriteResult(self.path, "upsert", self._not_empty(batch.count()), False)
-        commits = self._current()
-        if source is not None and self._seen(source, source_batch):
+        versions = self.versions()
+        sources = dict(self.commit(versions[-1]).sources) if versions else {}
+        if source is not None and source in sources and (source_batch or 0) <= (sources[source] or 0):
             return WriteResult(self.path, "upsert", 0, False)
-        written = self._add(self._aligned(batch, commits), commits, BATCH if commits else SNAPSHOT, source, source_batch)
-        return WriteResult(self.path, "upsert", written.row_count, True)
-
-    def _add(
-        self, df: DataFrame, commits: Sequence[Commit], kind: str, source: str | None = None, source_batch: int | None = None
-    ) -> Commit:
-        version = commits[-1].version + 1 if commits else 0
-        attempt = self._write_version(df, version)
-        draft = Commit(version, kind, 0, 0, datetime.now(timezone.utc), source, source_batch, attempt)
-        n, unkeyed = self._checked_count(draft)
-        done = Commit(version, kind, n, unkeyed, datetime.now(timezone.utc), source, source_batch, attempt)
-        self._commit(done)
-        return done
+        if source is not None:
+            sources[source] = source_batch
+        # Stored first, so that the batch is computed once.
+        aligned = self._aligned(batch, versions)
+        staged = fresh_path(self.spark, "batch")
+        aligned.write.parquet(staged)
+        rows = self.spark.read.schema(aligned.schema).parquet(staged)
+        n = self._checked_count(rows)
+        version = versions[-1] + 1 if versions else 0
+        merged = self._merged(rows, versions[-1], version) if versions else rows.withColumn(_CHANGED, F.lit(0).cast("bigint"))
+        self._publish(merged, version, n, sources)
+        return WriteResult(self.path, "upsert", n, True)
+
+    def _merged(self, batch: DataFrame, last: int, version: int) -> DataFrame:
+        """The last version with the batch in it, joined bucket by bucket; rows with a NULL key need no join."""
+        old, now = self._state(last), F.lit(version).cast("bigint")
+        payload = [c for c in batch.columns if c not in self.keys]
+        known = all_set(self.keys)
+        was = old.where(known).select(*self.keys, F.struct(*payload, _CHANGED).alias("__old"))
+        new = batch.where(known).select(*self.keys, F.struct(*[F.col(c) for c in payload], F.lit(1).alias("__in")).alias("__new"))
+        both = was.join(new, self.keys, "full_outer")
+        a, b = F.col("__old"), F.col("__new")
+        same = F.lit(True)
+        for c in payload:
+            same = same & a[c].eqNullSafe(b[c])
+        kept = b.isNull() | (a.isNotNull() & same)
+        merged = both.select(
+            *self.keys,
+            *[F.when(b.isNull(), a[c]).otherwise(b[c]).alias(c) for c in payload],
+            F.when(kept, a[_CHANGED]).otherwise(now).alias(_CHANGED),
+        )
+        loose = old.where(~known).unionByName(batch.where(~known).withColumn(_CHANGED, now))
+        return merged.unionByName(loose).select(*batch.columns, _CHANGED)
+
+    def _publish(self, rows: DataFrame, version: int, row_count: int, sources: dict[str, int | None]) -> None:
+        sql = self.spark.sql
+        sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.path}'")
+        attempt = self._name(f"attempt_{uuid.uuid4().hex}")
+        rows.write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(attempt)
+        at = datetime.now(timezone.utc).isoformat(timespec="microseconds")
+        known = json.dumps(sources).replace("\\", "\\\\").replace("'", "\\'")
+        sql(f"ALTER TABLE {attempt} SET TBLPROPERTIES ('committed_at' = '{at}', 'row_count' = '{row_count}', 'sources' = '{known}')")
+        try:
+            sql(f"ALTER TABLE {attempt} RENAME TO {self._name(version)}")
+        except AnalysisException as exc:
+            sql(f"DROP TABLE {attempt}")
+            if "ALREADY_EXISTS" in (exc.getCondition() or ""):
+                raise SinkError(f"version {version} of {self.path} was committed by another writer") from None
+            raise
 
-    def _aligned(self, batch: DataFrame, commits: Sequence[Commit]) -> DataFrame:
-        if not commits:
+    def _aligned(self, batch: DataFrame, versions: Sequence[int]) -> DataFrame:
+        if not versions:
             return batch
-        kinds = {f.name: f.dataType for f in self._load(commits[:1]).drop(_VERSION).schema.fields}
+        kinds = {f.name: f.dataType for f in self._state(versions[-1]).drop(_CHANGED).schema.fields}
         if set(kinds) != set(batch.columns):
             raise SinkError(f"columns of the batch differ from the table: {sorted(set(kinds) ^ set(batch.columns))}")
         other = [c for c, kind in kinds.items() if not _fits(batch.schema[c].dataType, kind)]
@@ -203,43 +183,19 @@ class KeyedTable:
             raise SinkError(f"types of the batch differ from the table: {told}")
         return batch.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
 
-    def _seen(self, source: str, source_batch: int | None) -> bool:
-        """Whether a commit has this source and batch; read from all commit files, in Spark."""
-        files = self._files()
-        same = (F.col("source") == source) & F.col("source_batch").eqNullSafe(F.lit(source_batch))
-        return bool(files) and not self._read_commits(files).where(same).isEmpty()
-
-    def _checked_count(self, draft: Commit) -> tuple[int, int]:
-        """Rows of a written version, all and without key, or an error when there are none or a key repeats.
-
-        It looks at the written keys before they are committed, so the batch itself
-        is computed once.
-        """
-        per_key = self._load([draft]).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
-        known = all_set(self.keys)
-        found = per_key.agg(
-            F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("unkeyed"),
-            F.max(F.when(known, F.col("n"))).alias("most"),
-        ).first()
+    def _checked_count(self, batch: DataFrame) -> int:
+        """Rows of the batch, or an error when there are none or a key repeats."""
+        per_key = batch.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
+        found = per_key.agg(F.sum("n").alias("rows"), F.max(F.when(all_set(self.keys), F.col("n"))).alias("most")).first()
         if (found["most"] or 0) > 1:
             raise SinkError("the batch has more than one row for some key")
-        return self._not_empty(found["rows"]), found["unkeyed"]
-
-    @staticmethod
-    def _last_snapshot(commits: Sequence[Commit]) -> int:
-        return max(c.version for c in commits if c.kind == SNAPSHOT)
+        return self._not_empty(found["rows"])
 
     def _not_empty(self, n: int) -> int:
         if not n:
             raise EmptyInputError(f"nothing to upsert into {self.path}")
         return n
 
-    def compact(self) -> int:
-        """Write the current state as a new snapshot; returns its version."""
-        commits = self._current()
-        return self._add(self._state(commits), commits, SNAPSHOT).version
-
     # -- change feed ------------------------------------------------------
 
     def changes(self, starting_version: int | None = None, starting_timestamp: datetime | None = None) -> DataFrame:
@@ -251,39 +207,39 @@ class KeyedTable:
         """
         if starting_version is None and starting_timestamp is None:
             raise SourceError("an incremental read needs starting_version or starting_timestamp")
+        versions = self.versions()
         if starting_version is None:
-            starting_version = self._version_at(starting_timestamp)
-        # The state before the first of them is needed too.
-        commits = self.commits(starting_version - 1)
-        earlier = [c for c in commits if c.version < starting_version]
-        # The table's first version is the only snapshot that brings rows of its own.
-        new = [c for c in commits if c.version >= starting_version and (c.kind == BATCH or c.version == commits[0].version)]
-        if not new:
-            raise SourceError(f"no version {starting_version} or later in {self.path}")
-        added = self._load(new).withColumn(_VERSION, F.col(_VERSION).cast("bigint"))
-        payload = [c for c in added.columns if c not in self.keys and c != _VERSION]
-        known = all_set(self.keys)
-        rows = added.where(known)
-        if earlier:
-            touched = added.where(known).select(*self.keys).distinct()
-            before = self._state(earlier).join(touched, self.keys, "left_semi")
-            rows = rows.unionByName(before.withColumn(_VERSION, F.lit(starting_version - 1).cast("bigint")))
-        in_order = Window.partitionBy(*self.keys).orderBy(_VERSION)
-        image = F.struct(*payload) if payload else F.struct(*self.keys)
-        paired = rows.withColumn("__before", F.lag(image).over(in_order)).where(F.col(_VERSION) >= starting_version)
-        changed = _change_rows(paired, payload)
-        fresh = added.where(~known).withColumn("_change_type", F.lit("insert"))
-        return changed.unionByName(fresh).withColumnRenamed(_VERSION, "_commit_version")
-
-
-    def _version_at(self, time: datetime) -> int:
-        """The first version committed at or after a time; compared in Spark."""
-        files = self._files()
-        start = F.lit(time) if time.tzinfo else F.to_timestamp(F.lit(time.isoformat(sep=" ")))
-        row = self._read_commits(files).where(F.col("committed_at") >= start).agg(F.min("version")).first() if files else None
-        if row is None or row[0] is None:
+            starting_version = self._version_at(versions, starting_timestamp)
+        new = [v for v in versions if v >= starting_version]
+        if not new or (starting_version > 0 and new[0] > 0 and new[0] - 1 not in versions):
+            raise SourceError(f"no version {starting_version} or later with the one before it in {self.path}")
+        found = None
+        for version in new:
+            part = self._changes_in(version)
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def _changes_in(self, version: int) -> DataFrame:
+        rows = self._state(version).where(F.col(_CHANGED) == version)
+        payload = [c for c in rows.columns if c not in self.keys and c != _CHANGED]
+        if version == 0:
+            changed = rows.withColumn("_change_type", F.lit("insert"))
+        else:
+            known = all_set(self.keys)
+            before = self._state(version - 1).where(known).select(*self.keys, F.struct(*payload, _CHANGED).alias("__before"))
+            changed = _change_rows(rows.join(before, self.keys, "left"), payload)
+        return changed.drop(_CHANGED).withColumn("_commit_version", F.lit(version).cast("bigint"))
+
+    def _version_at(self, versions: Sequence[int], time: datetime) -> int:
+        """The first version committed at or after a time."""
+        if time.tzinfo is None:
+            # The instant that this wall clock time is in the session's zone, as Spark reads it.
+            row = self.spark.range(1).select(F.unix_micros(F.to_timestamp(F.lit(time.isoformat(sep=" "))))).first()
+            time = datetime.fromtimestamp(row[0] // 1_000_000, timezone.utc).replace(microsecond=row[0] % 1_000_000)
+        found = [v for v in versions if self.commit(v).committed_at >= time]
+        if not found:
             raise SourceError(f"no commit at or after {time}")
-        return row[0]
+        return found[0]
 
 
 def _fits(given: DataType, kind: DataType) -> bool:
@@ -310,18 +266,33 @@ def _change_rows(paired: DataFrame, payload: Sequence[str]) -> DataFrame:
     return differing.select(*keep, F.explode(events).alias("__e")).select(*keep, "__e.*")
 
 
-def snapshot_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], version: int | None = None) -> DataFrame:
+def snapshot_changes(
+    before: DataFrame, after: DataFrame, keys: Sequence[str], version: int | None = None, digests: int = DIGESTS
+) -> DataFrame:
     """What turns one state of a table into another, with ``_change_type`` and ``_commit_version``.
 
     Both states have one row per key. Values are compared NULL-safe. A row with a
     NULL key matches nothing: it is a delete in the old state, an insert in the new.
+
+    Keys are dealt into ``digests`` buckets. Each state is first reduced to a digest
+    per bucket: the number of rows, and sum and XOR of two hashes of each. Only rows
+    of buckets whose digests differ are shuffled and joined. Columns that can't be
+    hashed are compared in all buckets; so are all of them with ``digests=0``.
     """
     keys = list(keys)
     payload = [c for c in after.columns if c not in keys]
     known = all_set(keys)
+    hashable = all(not f.dataType.simpleString().startswith(("map", "variant")) for f in after.schema.fields)
+    if digests and hashable and before.select(*after.columns).dtypes == after.dtypes:
+        differ = _differing_buckets(before.where(known), after.where(known), keys, after.columns, digests)
+        in_bucket = lambda df: df.where(known).withColumn("__bucket", _bucket(keys, digests)).join(
+            F.broadcast(differ), "__bucket", "left_semi"
+        )
+    else:
+        in_bucket = lambda df: df.where(known)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.where(known).select(*keys, F.struct(*payload).alias(name))
+        return in_bucket(df).select(*keys, F.struct(*payload, F.lit(1).alias("__in")).alias(name))
 
     old, new = F.col("__old"), F.col("__new")
     both = side(before, "__old").join(side(after, "__new"), keys, "full_outer")
@@ -344,6 +315,32 @@ def snapshot_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], v
     return rows.withColumn("_commit_version", F.lit(version).cast("bigint"))
 
 
+def _bucket(keys: Sequence[str], digests: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(digests))
+
+
+def _differing_buckets(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str], digests: int) -> DataFrame:
+    """The buckets, at most ``digests``, in which the two states are not the same rows."""
+    signed = None
+    for df, sign in ((before, 1), (after, -1)):
+        listed = ", ".join(name_of(c) for c in columns)
+        # Telling NULL from its place in the row: the hash skips NULLs.
+        nulls = "concat(" + ", ".join(f"if({name_of(c)} IS NULL, '1', '0')" for c in columns) + ")"
+        part = df.select(
+            _bucket(keys, digests).alias("__bucket"),
+            F.expr(f"xxhash64({nulls}, {listed})").alias("h"),
+            F.expr(f"xxhash64('other', {listed}, {nulls})").alias("g"),
+            F.lit(sign).alias("sign"),
+        )
+        signed = part if signed is None else signed.unionByName(part)
+    sums = signed.groupBy("__bucket").agg(
+        F.sum("sign").alias("n"),
+        F.expr("sum(CAST(h AS DECIMAL(20,0)) * sign) AS total"),
+        F.bit_xor("g").alias("mixed"),
+    )
+    return sums.where("n <> 0 OR total <> 0 OR mixed <> 0").select("__bucket")
+
+
 class FeatureStore:
     """Feature tables by name under one folder."""
 
@@ -383,7 +380,7 @@ class FeatureStore:
 
     def provenance(self, spec: FeatureSpec, label: str) -> DataFrame:
         """What a training set from the table's latest version is made of, one row."""
-        version = self.table(spec)._current()[-1].version
+        version = self.table(spec).versions()[-1]
         listed = self.tables().where(F.col("table_name") == spec.table)
         return listed.withColumns({"label": F.lit(label), "table_version": F.lit(version)})
 

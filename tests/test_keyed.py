@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.errors import EmptyInputError, FeatureError, SinkError, SourceError
 from gaugeworks.operators.features import FeatureSpec
@@ -74,9 +75,9 @@ def test_random_batches_against_a_dictionary(spark, tmp_path):
         table.upsert(batch(spark, *new.items()))
         state.update(new)
         if n % 3 == 2:
-            table.compact()
+            table.drop_before(n)
         assert rows(table.read()) == sorted(state.items(), key=repr)
-    assert sum(c.kind == "snapshot" for c in table.commits()) >= 2
+    assert table.versions() == [5, 6]
 
 
 def test_repeated_source_batch_is_skipped(spark, table):
@@ -101,9 +102,10 @@ def test_changes(spark, table):
     ]
     assert rows(table.changes(1).select(*select)) == sorted(expected, key=repr)
     assert len(rows(table.changes(0))) == 2 + len(expected)
-    # A compaction changes no row.
-    table.compact()
-    assert rows(table.changes(1).select(*select)) == sorted(expected, key=repr)
+    table.drop_before(1)
+    assert rows(table.changes(2).select(*select)) == sorted((e for e in expected if e[3] == 2), key=repr)
+    with pytest.raises(SourceError):
+        table.changes(1)  # the version before is gone
     with pytest.raises(SourceError):
         table.changes()
     with pytest.raises(SourceError):
@@ -113,7 +115,7 @@ def test_changes(spark, table):
 def test_changes_by_time_and_version_wins(spark, table):
     table.upsert(batch(spark, (1, "a")))
     table.upsert(batch(spark, (1, "b")))
-    second = datetime.fromisoformat(spark.read.json(f"{table.path}/commits").where("version = 1").first()["committed_at"])
+    second = table.commit(1).committed_at
     assert second.tzinfo is not None
     assert len(rows(table.changes(starting_timestamp=second))) == 2
     assert len(rows(table.changes(starting_version=0, starting_timestamp=second))) == 3
@@ -133,16 +135,30 @@ def test_changes_by_time_and_version_wins(spark, table):
 def test_a_second_writer_of_a_version_fails(spark, table):
     table.upsert(batch(spark, (1, "a")))
     first, second = (KeyedTable(spark, table.path, ["k"]) for _ in range(2))
-    seen = second._current()
-    second._current = lambda: seen
+    second.versions = lambda: [0]
     first.upsert(batch(spark, (2, "b")))
     with pytest.raises(SinkError, match="another writer"):
         second.upsert(batch(spark, (3, "c")))
-    with pytest.raises(SinkError, match="another writer"):
-        second.compact()
     assert rows(table.read()) == [(1, "a"), (2, "b")]
     table.upsert(batch(spark, (3, "c")))
     assert [c.version for c in table.commits()] == [0, 1, 2] and table.read().count() == 3
+    assert [t.name for t in spark.catalog.listTables(table.database)] == ["v0", "v1", "v2"]
+
+
+def test_only_the_batch_is_shuffled(spark, table):
+    table.upsert(batch(spark, *((k, str(k)) for k in range(200))))
+    plan = table._merged(batch(spark, (1, "z")), 0, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    table.upsert(batch(spark, (1, "z")))
+    feed = table.changes(1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in feed
+
+
+def test_names_with_quotes(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "q"), ["a key"])
+    for n in range(2):
+        table.upsert(spark.createDataFrame([(1, n)], "`a key` int, `it's` int"), source="it's \\ \"x\"", source_batch=n)
+    assert rows(table.read()) == [(1, 1)] and table.commit(1).sources == {"it's \\ \"x\"": 1}
 
 
 def test_other_types_are_refused_before_anything_is_written(spark, tmp_path):
@@ -155,16 +171,6 @@ def test_other_types_are_refused_before_anything_is_written(spark, tmp_path):
     assert rows(table.read()) == [(1, 1.0), (2, 2.0)] and table.read().dtypes == [("k", "bigint"), ("v", "double")]
 
 
-def test_only_commits_from_the_last_snapshot_on_are_read(spark, table):
-    for n in range(4):
-        table.upsert(batch(spark, (n, "a")))
-    table.compact()
-    table.upsert(batch(spark, (9, "z")))
-    assert [c.version for c in table._current()] == [4, 5]
-    assert table.read().count() == 5 and table.read(version=2).count() == 3
-    assert [c.version for c in table.commits()] == [0, 1, 2, 3, 4, 5]
-
-
 def test_snapshot_changes(spark):
     before = batch(spark, (1, "a"), (2, None), (3, "c"), (None, "n"))
     after = batch(spark, (1, "a"), (2, "b"), (4, None), (None, "m"))
@@ -184,6 +190,53 @@ def test_snapshot_changes(spark):
     assert snapshot_changes(before.where("k IS NOT NULL"), before.where("k IS NOT NULL"), ["k"]).count() == 0
 
 
+def test_snapshot_changes_by_digest_and_without(spark):
+    rng = random.Random(4)
+    cell = lambda: rng.choice([None, "", "a", "b"])
+    before = {k: (cell(), cell()) for k in range(300)}
+    after = {k: (cell(), cell()) if rng.random() < 0.1 else v for k, v in before.items() if rng.random() < 0.95} | {900: (None, None)}
+    # The same values in other columns, and in other rows of a bucket.
+    after[5], after[6] = before[5][::-1], before[7]
+    frames = [spark.createDataFrame([(k, *v) for k, v in state.items()], "k int, v string, w string") for state in (before, after)]
+    whole = rows(snapshot_changes(*frames, ["k"], digests=0))
+    for digests in (1, 16, 4096):
+        assert rows(snapshot_changes(*frames, ["k"], digests=digests)) == whole
+    kinds = {(r[0], r[1]) for r in whole}
+    assert kinds == {(k, "delete") for k in before.keys() - after.keys()} | {(900, "insert")} | {
+        (k, kind) for k in before.keys() & after.keys() if before[k] != after[k] for kind in ("update_preimage", "update_postimage")
+    }
+
+
+def shuffled_rows(df) -> list[int]:
+    """Rows written by each exchange of a frame that has run."""
+    found: list[int] = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            walk(node.plan())
+        for n in range(node.children().size()):
+            walk(node.children().apply(n))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sorted(found)
+
+
+def test_unchanged_buckets_are_not_shuffled(spark):
+    before = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    after = before.withColumn("v", F.when(F.col("k") == 77, 100).otherwise(F.col("v")))
+    changes = snapshot_changes(before, after, ["k"], digests=500)
+    assert len(changes.collect()) == 2
+    # The rows of one bucket of each state, and a digest per bucket and task.
+    one, other, digests = shuffled_rows(changes)
+    assert one == other < 100 and digests <= 500 * 8
+    whole = snapshot_changes(before, after, ["k"], digests=0)
+    assert len(whole.collect()) == 2 and shuffled_rows(whole) == [20_000, 20_000]
+
+
 def test_feature_store(spark, tmp_path):
     store = FeatureStore(spark, str(tmp_path))
     spec = FeatureSpec("a.b", ("k",), ("v",))
