@@ -55,6 +55,8 @@ def lookup_join(
     a scan of the key columns that runs at once, and their rows are spread: each
     left row takes one of as many numbers as there are shuffle partitions, and the
     hot keys' right rows are repeated for each number. The result is the same.
+    Strings that a collation holds for equal hash apart, so hot keys with one are
+    told by comparing values.
     """
     keys = list(keys)
     right = right.where(all_set(keys))
@@ -66,9 +68,29 @@ def lookup_join(
     if not hot:
         return left.join(right, keys, how)
     spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number, is_hot = "__number", hashed.isin(hot)
+    number, flag = "__number", "__hot"
+    if any("collate" in kind.simpleString() for kind in kinds):
+        values = _hot_values(left, keys, kinds, hashed.isin(hot), flag)
+        left, right = (_marked(df, values, keys, flag) for df in (left, right))
+        is_hot = F.col(flag).isNotNull()
+    else:
+        is_hot = hashed.isin(hot)
     part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(F.lit(0))
     parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    numbered = left.withColumn(number, part.cast("int"))
-    repeated = right.withColumn(number, F.explode(parts))
+    numbered = left.withColumn(number, part.cast("int")).drop(flag)
+    repeated = right.withColumn(number, F.explode(parts)).drop(flag)
     return numbered.join(repeated, [*keys, number], how).drop(number)
+
+
+def _hot_values(df: DataFrame, keys: Sequence[str], kinds: Sequence[DataType], hot: Column, flag: str) -> DataFrame:
+    """The hot keys themselves, each once in the sense of its collation; there are no more than hot hashes."""
+    typed = df.where(hot).select(*[F.col(k).cast(kind).alias(k) for k, kind in zip(keys, kinds)]).where(all_set(keys))
+    found = typed.distinct()
+    return df.sparkSession.createDataFrame(found.collect(), found.schema).withColumn(flag, F.lit(True))
+
+
+def _marked(df: DataFrame, values: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    named = values.withColumnsRenamed({k: f"__hot_{k}" for k in keys})
+    same = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
+    joined = df.join(F.broadcast(named), same, "left")
+    return joined.drop(*[f"__hot_{k}" for k in keys])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.joins import join_null_safe
+from gaugeworks.workspace import fresh_path
 
 _SLICE = "__slice"
 # Above this rank Spark no longer prunes inside the map tasks (its default setting).
@@ -31,33 +32,50 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n)
 
 
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in ranges of equal size by ``order``, stored, with the range's number as ``__slice``.
+
+    Range numbers do not decrease along the order, and equal rows share one. Runs at
+    once: the ranges are drawn from a sample, so they are fixed by writing them.
+    """
+    path = fresh_path(df.sparkSession, "ranges")
+    numbered = df.repartitionByRange(*order).withColumn(_SLICE, F.spark_partition_id())
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def _sliced(df: DataFrame, order: Sequence[str], slice_of: Column | None) -> DataFrame:
+    return in_ranges(df, order) if slice_of is None else df.withColumn(_SLICE, slice_of)
+
+
 def previous_value(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, slice_of: Column, name: str
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, slice_of: Column | None, name: str
 ) -> DataFrame:
-    """``lag(value)`` per group, computed in time slices so that one group is many tasks.
+    """``lag(value)`` per group, computed in slices so that one group is many tasks.
 
-    ``slice_of`` must not decrease along ``order``, e.g. the day of the first
-    order column. Only one row per group and slice takes part in the second,
-    per-group window.
+    ``slice_of`` must not decrease along ``order``, e.g. the day of the first order
+    column. Without it the rows are first cut into ranges of equal size, whatever
+    group and time they are of, which runs at once. Only one row per group and slice
+    takes part in the second, per-group window.
     """
     group, order = list(group), list(order)
-    sliced = df.withColumn(_SLICE, slice_of)
+    sliced = _sliced(df, [*group, *order], slice_of)
     local = Window.partitionBy(*group, _SLICE).orderBy(*order)
     lagged = sliced.withColumn("__prev", F.lag(F.struct(value)).over(local))
-    last = sliced.groupBy(*group, _SLICE).agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
+    last = sliced.groupBy(*group, _SLICE).agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*group).orderBy(_SLICE)
     carried = last.select(*group, _SLICE, F.lag("__last").over(across).alias("__carried"))
     joined = join_null_safe(lagged, carried, [*group, _SLICE], "left")
-    picked = F.when(F.col("__prev").isNull(), F.col("__carried")).otherwise(F.col("__prev")[value])
+    picked = F.coalesce("__prev", "__carried")[value]
     return joined.select(*df.columns, picked.alias(name))
 
 
 def running_number(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], slice_of: Column, name: str
+    df: DataFrame, group: Sequence[str], order: Sequence[str], slice_of: Column | None, name: str
 ) -> DataFrame:
-    """``row_number()`` per group, computed in time slices; see :func:`previous_value`."""
+    """``row_number()`` per group, computed in slices; see :func:`previous_value`."""
     group, order = list(group), list(order)
-    sliced = df.withColumn(_SLICE, slice_of)
+    sliced = _sliced(df, [*group, *order], slice_of)
     local = Window.partitionBy(*group, _SLICE).orderBy(*order)
     numbered = sliced.withColumn("__n", F.row_number().over(local).cast("bigint"))
     counts = sliced.groupBy(*group, _SLICE).agg(F.count(F.lit(1)).alias("__count"))

@@ -6,8 +6,11 @@ per row, so a thousand models cost one job.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,7 +219,34 @@ def manifest_check(expected: DataFrame, actual: DataFrame, artifact: str) -> Dat
     )
 
 
-def file_digests(spark, path: str) -> DataFrame:
-    """(path, sha256) of every file under a folder, hashed where the file is read."""
+def file_digests(spark, path: str, whole_bytes: int = 64 << 20, piece_bytes: int = 8 << 20) -> DataFrame:
+    """(path, sha256) of every file under a folder, hashed where the file is read.
+
+    A file of up to ``whole_bytes`` is read into one row. A larger one, of any size,
+    is opened by the task that has its name and hashed piece by piece, through the
+    file systems that Arrow knows (local, HDFS, S3, GCS), by the same path. Spark
+    lists no empty files, so these have no row.
+    """
+
+    def streamed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                # Hadoop writes "file:/a b", Arrow takes "file:///a%20b".
+                system, local = fs.FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", name), safe="/:@"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(local, compression=None) as file:
+                    while piece := file.read(piece_bytes):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["path", "sha256"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    # Only names and lengths: no content is read for these.
+    large = files.where(F.col("length") > whole_bytes).select("path")
+    spread = large.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return small.unionByName(spread.mapInArrow(streamed, "path string, sha256 string"))

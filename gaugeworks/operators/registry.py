@@ -45,14 +45,14 @@ def alias_state(events: DataFrame, model: str = "model_id") -> DataFrame:
     )
 
 
-def _day(column: str = "ts") -> Column:
-    return F.date_trunc("day", F.col(column))
-
-
 def alias_history(events: DataFrame, model: str = "model_id") -> DataFrame:
-    """Every champion change with the champion it replaced."""
+    """Every champion change with the champion it replaced.
+
+    The changes are put in order in even ranges first, at once, so that a model or a
+    day with most of them is many tasks.
+    """
     changes = events.where(F.col("action").isin(*CHAMPION_ACTIONS)).select(model, *_ORDER, "action", "version")
-    return previous_value(changes, [model], _ORDER, "version", _day(), "previous_version")
+    return previous_value(changes, [model], _ORDER, "version", None, "previous_version")
 
 
 def version_by_alias(state: DataFrame, model_id, alias: str, model: str = "model_id") -> str:
@@ -68,10 +68,10 @@ def version_by_alias(state: DataFrame, model_id, alias: str, model: str = "model
 def register_versions(runs: DataFrame, existing: DataFrame | None = None, model: str = "model_id") -> DataFrame:
     """Number new runs per model in time order, going on after the highest existing version.
 
-    ``runs`` has (model, ts, event_id); numbering runs day by day, so a model with
-    very many runs is many tasks.
+    ``runs`` has (model, ts, event_id); they are put in order in even ranges first,
+    at once, so a model with very many runs is many tasks.
     """
-    numbered = running_number(runs, [model], _ORDER, _day(), "version")
+    numbered = running_number(runs, [model], _ORDER, None, "version")
     if existing is None:
         return numbered
     highest = existing.groupBy(model).agg(F.max("version").alias("__highest"))

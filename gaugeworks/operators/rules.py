@@ -38,8 +38,9 @@ class Rule:
     ``observed``, ``passed``, ``severity_sql`` and the texts, next to ``n_rows``.
     ``scalars`` are single values from elsewhere, usable in the same way.
     ``frame`` replaces the pass over the table for rules that need a shuffle: it
-    maps the table to one row holding ``n_rows`` and whatever the rule needs; rules
-    with the same ``frame_key`` share that row. ``gate`` looks at the schema; when
+    maps the table to one row holding ``n_rows`` and whatever the rule needs, or with
+    columns to group by to such a row per group; rules with the same ``frame_key``
+    share that row. ``gate`` looks at the schema; when
     it fails no other rule of the suite is run.
     """
 
@@ -53,7 +54,7 @@ class Rule:
     columns: tuple[str, ...] = ()
     aggregates: Mapping[str, str] = field(default_factory=dict)
     scalars: Mapping[str, Column] = field(default_factory=dict)
-    frame: Callable[[DataFrame], DataFrame] | None = None
+    frame: Callable[..., DataFrame] | None = None
     frame_key: str | None = None
     observed_text: str | None = None
     severity_sql: str | None = None
@@ -181,14 +182,20 @@ def null_percentage(column: str, max_share: float) -> Rule:
     )
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row with ``n_rows`` and ``n_keys``; NULL counts as a key value.
+def grouped(df: DataFrame, by: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """The table with the columns to group by, and their names."""
+    with_by = df.select("*", *by) if by else df
+    return with_by, with_by.columns[len(df.columns) :]
 
-    Grouping counts equal keys inside each task first, so a key that fills a third
-    of the table reaches the shuffle as one row per task.
+
+def distinct_keys(df: DataFrame, keys: Sequence[str], by: Sequence[Column] = ()) -> DataFrame:
+    """Rows and distinct keys, NULL being one key value, of the table or of each group of ``by``.
+
+    Equal keys are counted before the shuffle, so a frequent key is one row per task.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count(1) AS n_keys"))
+    df, names = grouped(df, by)
+    counted = df.groupBy(*names, *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*names).agg(F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count(1) AS n_keys"))
 
 
 def duplicates(keys: Sequence[str], max_share: float) -> Rule:
@@ -201,7 +208,7 @@ def duplicates(keys: Sequence[str], max_share: float) -> Rule:
         f"{ROWS} - n_keys",
         f"{{}} <= {max_share}D",
         columns=keys,
-        frame=lambda df: distinct_keys(df, keys),
+        frame=lambda df, by=(): distinct_keys(df, keys, by),
         frame_key=json.dumps(keys),
     )
 
@@ -226,7 +233,7 @@ def cardinality(column: str, max_distinct: int, approximate: bool = False) -> Ru
         )
     return Rule(
         **common,
-        frame=lambda df: distinct_keys(df, [column]),
+        frame=lambda df, by=(): distinct_keys(df, [column], by),
         frame_key=json.dumps([column]),
         observed="n_keys",
         passed=f"n_keys <= {max_distinct}",
@@ -280,24 +287,27 @@ def _frame_key(kind: str, column: str, known: DataFrame, known_column: str) -> s
     return json.dumps([kind, column, known.semanticHash(), known_column])
 
 
-def _matched_values(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
-    """Distinct values of a column with their row count ``n`` and whether they are known.
+def _matched_values(
+    df: DataFrame, column: str, known: DataFrame, known_column: str, by: Sequence[Column], *aggregates: str
+) -> DataFrame:
+    """Aggregates over the distinct values of a column, of the table or of each group of ``by``.
+
+    A value has its row count ``n`` and ``__known``, NULL where it isn't listed.
 
     Values are counted before the join, so a frequent value takes part as one row.
     """
-    values = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
+    df, names = grouped(df, by)
+    values = df.groupBy(*names, F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
     listed = known.select(F.col(known_column).alias("__value")).distinct().withColumn("__known", F.lit(True))
-    return values.join(listed, "__value", "left")
+    return values.join(listed, "__value", "left").groupBy(*names).agg(*map(F.expr, aggregates))
 
 
 def allowed_domain_table(column: str, domain: DataFrame, domain_column: str) -> Rule:
     """:func:`allowed_domain` for a list too long for a literal: rows whose value is not in ``domain``."""
 
-    def frame(df: DataFrame) -> DataFrame:
-        return _matched_values(df, column, domain, domain_column).agg(
-            F.expr(f"coalesce(sum(n), 0) AS {ROWS}"),
-            F.expr("coalesce(sum(n) FILTER (WHERE __value IS NOT NULL AND __known IS NULL), 0) AS n_bad"),
-        )
+    def frame(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
+        bad = "coalesce(sum(n) FILTER (WHERE __value IS NOT NULL AND __known IS NULL), 0) AS n_bad"
+        return _matched_values(df, column, domain, domain_column, by, f"coalesce(sum(n), 0) AS {ROWS}", bad)
 
     return _none_allowed(
         f"allowed_domain[{column}]",
@@ -328,10 +338,9 @@ def target_distribution(column: str, low: float = 0.01, high: float = 0.99) -> R
 def referential_integrity(column: str, reference: DataFrame, reference_column: str) -> Rule:
     """Distinct values without a match in the reference; NULL matches nothing and counts once."""
 
-    def frame(df: DataFrame) -> DataFrame:
-        return _matched_values(df, column, reference, reference_column).agg(
-            F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count_if(__known IS NULL) AS n_orphans")
-        )
+    def frame(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
+        orphans = "count_if(__known IS NULL) AS n_orphans"
+        return _matched_values(df, column, reference, reference_column, by, f"coalesce(sum(n), 0) AS {ROWS}", orphans)
 
     return _none_allowed(
         f"referential_integrity[{column}]",

@@ -74,6 +74,26 @@ def training_set_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.training_set(labels, customers, spec, "label", hot_share=0.1)
 
 
+def training_set_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a collation holds for equal, in other letters on the two sides; hot keys are spread."""
+    priority = "if(o_orderkey % 2 = 0, upper(o_orderpriority), lower(o_orderpriority))"
+    labels = i.table(spark, sf_dir, "orders").selectExpr(f"{priority} COLLATE UTF8_LCASE AS priority", "o_orderkey AS label")
+    named = [("1-Urgent", 1), ("2-High", 2), ("3-Medium", 3), ("5-Low", 5)]
+    levels = spark.createDataFrame(named, "priority string, level int").selectExpr("priority COLLATE UTF8_LCASE AS priority", "level")
+    spec = f.FeatureSpec(table="churn.levels", keys=("priority",), features=("level",))
+    joined = f.training_set(labels, levels, spec, "label", hot_share=0.05)
+    return joined.select(F.expr("lower(string(priority)) COLLATE UTF8_BINARY").alias("priority"), "label", "level")
+
+
+def category_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes of columns with many categories by dictionary, learned from part of the lines and applied to all."""
+    lines = i.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "string(l_partkey) AS part", "if(l_linenumber = 4, NULL, l_returnflag) AS flag"
+    )
+    dictionary = category_dictionary(lines.where("l_orderkey % 3 <> 0"), ["part", "flag"])
+    return with_indexes(lines, dictionary, ["part", "flag"])
+
+
 def training_set_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a feature table that was written twice."""
     store = FeatureStore(spark, fresh_path(spark, "store"))
@@ -187,6 +207,8 @@ QUERIES = {
         impute,
         training_set,
         training_set_mixed_types,
+        training_set_collated,
+        category_indexes,
         training_set_stored,
         training_set_provenance,
         unmatched_labels,
@@ -246,6 +268,16 @@ ORACLES = {
         "CAST(churn AS DOUBLE) AS churn FROM churn_dirty",
     ),
     "training_set": over("churn", _TRAINING, order_labels=_LABELS),
+    "training_set_collated": "SELECT LOWER(o_orderpriority) AS priority, o_orderkey AS label, CAST(level AS INT) AS level FROM orders "
+    "JOIN (VALUES ('1-urgent', 1), ('2-high', 2), ('3-medium', 3), ('5-low', 5)) v(name, level) ON LOWER(o_orderpriority) = name",
+    "category_indexes": """
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, CASE WHEN l_linenumber <> 4 THEN l_returnflag END AS flag FROM lineitem),
+p AS (SELECT part, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, part) - 1 AS DOUBLE) AS k FROM l WHERE l_orderkey % 3 <> 0 GROUP BY part),
+f AS (SELECT flag, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, flag) - 1 AS DOUBLE) AS k FROM l WHERE l_orderkey % 3 <> 0 AND flag IS NOT NULL GROUP BY flag)
+SELECT l.l_orderkey, l.l_linenumber, l.part, l.flag, COALESCE(p.k, (SELECT CAST(COUNT(*) AS DOUBLE) FROM p)) AS part_index,
+  COALESCE(f.k, (SELECT CAST(COUNT(*) AS DOUBLE) FROM f)) AS flag_index
+FROM l LEFT JOIN p ON l.part = p.part LEFT JOIN f ON l.flag = f.flag
+""",
     "training_set_mixed_types": "SELECT k AS customer, o_orderkey AS label, c_nationkey FROM (SELECT CAST(CASE o_orderstatus "
     "WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE o_custkey END AS BIGINT) AS k, o_orderkey FROM orders) o JOIN customer ON c_custkey = k",
     "training_set_stored": over("churn", _TRAINING, order_labels=_LABELS),

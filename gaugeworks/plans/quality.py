@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from gaugeworks.operators import rules as r
 from gaugeworks.operators import suite as s
 from gaugeworks.operators.drift import mean_shift
+from gaugeworks.operators.sketches import distinct_sketches, merged_sketches
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.sql import over
 from gaugeworks.sources.readers import schema_problems
@@ -169,7 +170,28 @@ def quality_suite_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def distinct_sketches_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct keys of all days from one stored sketch a day, two of them written again, and how near they are to the exact counts."""
+    events = i.table(spark, sf_dir, "events")
+    path, sets = fresh_path(spark, "sketches"), (("user_id",), ("user_id", "event_type"), ("event_id",))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    last = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).scalar()
+    for rows in (events.where(day < last), events.where(day >= F.date_format(F.date_sub(F.to_date(last), 1), "yyyy-MM-dd"))):
+        # The parts that a run writes replace those of its days, and no others.
+        distinct_sketches(rows, sets, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "part"
+        ).parquet(path)
+    found = merged_sketches(spark.read.parquet(path))
+    counts = [
+        r.distinct_keys(events, keys).select(F.lit(",".join(keys)).alias("keys"), F.col("n_keys").alias("exact")) for keys in sets
+    ]
+    exact = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    near = (F.abs(F.col("n_keys") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near")
+    return found.join(exact, "keys").select("keys", F.col(r.ROWS).alias("n_rows"), "exact", near)
+
+
 QUERIES = {
+    "distinct_sketches_daily": distinct_sketches_daily,
     "quality_suite": quality_suite,
     "quality_suite_repeated": quality_suite_repeated,
     "quality_volume_from_report": quality_volume_from_report,
@@ -321,6 +343,9 @@ _REPEATED = "\nUNION ALL ".join(
 )
 
 ORACLES = {
+    "distinct_sketches_daily": "SELECT 'user_id' AS keys, COUNT(*) AS n_rows, COUNT(DISTINCT user_id) AS exact, TRUE AS near FROM events "
+    "UNION ALL SELECT 'user_id,event_type', COUNT(*), (SELECT COUNT(*) FROM (SELECT DISTINCT user_id, event_type FROM events) d), TRUE FROM events "
+    "UNION ALL SELECT 'event_id', COUNT(*), COUNT(DISTINCT event_id), TRUE FROM events",
     "quality_suite_repeated": _REPEATED,
     "quality_volume_from_report": over(
         "churn_dirty",

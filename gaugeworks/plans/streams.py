@@ -79,6 +79,22 @@ def stream_quality_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_text("window_start"), "rule", "status", F.col("observed_num").alias("observed"))
 
 
+def stream_duplicates_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on keys per window: users who come twice, kinds of events, and events of customers that exist."""
+    customers = i.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    listed = spark.createDataFrame([("view",), ("click",), ("purchase",)], "kind string")
+    rules = (
+        r.row_count(1, 20),
+        r.duplicates(["user_id"], 0.01),
+        r.duplicates(["user_id", "event_type"], 0.0),
+        r.cardinality("event_type", 4),
+        r.allowed_domain_table("event_type", listed, "kind"),
+        r.referential_integrity("user_id", customers, "c_custkey"),
+    )
+    rows = _Closing(spark, sf_dir, "keys").collect(lambda s: sw.windowed_rules(s, rules, "ts", "1 hour"))
+    return rows.select(_text("window_start"), "rule", "status", F.col("observed_num").alias("observed"))
+
+
 def stream_prediction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A purchase counts as a positive prediction, an error as a missing one."""
     kind = F.col("event_type")
@@ -169,6 +185,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         stream_quality_hourly,
+        stream_duplicates_hourly,
         stream_prediction_rate,
         stream_scoring,
         stream_feature_upsert,
@@ -194,6 +211,22 @@ SELECT DATE_TRUNC('hour', ts) AS h, COUNT(*) AS n, COUNT(*) - COUNT(props) AS nu
 FROM events GROUP BY 1
 """
 
+_KEYED = """
+WITH e AS (SELECT DATE_TRUNC('hour', ts) AS h, *, CASE WHEN c_custkey IS NULL THEN user_id END AS orphan
+  FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) c ON user_id = c_custkey),
+w AS (SELECT h, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, COUNT(DISTINCT user_id || ':' || event_type) AS pairs,
+  COUNT(DISTINCT event_type) AS kinds, COUNT(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase')) AS off,
+  COUNT(DISTINCT orphan) AS orphans FROM e GROUP BY h),
+v AS (SELECT h, 'row_count' AS rule, CAST(n AS DOUBLE) AS x, n BETWEEN 1 AND 20 AS passed FROM w
+  UNION ALL SELECT h, 'duplicates[user_id]', CAST(n - users AS DOUBLE) / n, CAST(n - users AS DOUBLE) / n <= 0.01 FROM w
+  UNION ALL SELECT h, 'duplicates[user_id,event_type]', CAST(n - pairs AS DOUBLE) / n, n = pairs FROM w
+  UNION ALL SELECT h, 'cardinality[event_type]', kinds, kinds <= 4 FROM w
+  UNION ALL SELECT h, 'allowed_domain[event_type]', off, off = 0 FROM w
+  UNION ALL SELECT h, 'referential_integrity[user_id]', orphans, orphans = 0 FROM w)
+SELECT STRFTIME(h, '%Y-%m-%d %H:%M:%S') AS window_start, rule, CASE WHEN passed THEN 'pass' ELSE 'fail' END AS status,
+  ROUND(CAST(x AS DOUBLE), 4) AS observed FROM v
+"""
+
 _SLIDING = """
 SELECT STRFTIME(h, '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS row_count,
   ROUND(CAST(COUNT(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), 4) AS positive_rate,
@@ -209,6 +242,7 @@ SELECT user_id, event_id, ROUND(value, 6) AS value FROM (SELECT *,
 
 ORACLES = {
     "stream_quality_hourly": f"WITH w AS ({_WINDOWS}) {_HOURLY}",
+    "stream_duplicates_hourly": _KEYED,
     "stream_prediction_rate": _SLIDING,
     "stream_scoring": (
         "WITH history AS (SELECT o_custkey, CAST((YEAR(MAX(o_orderdate)) - YEAR(MIN(o_orderdate))) * 12 "

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.errors import ConfigError
 from gaugeworks.functions.columns import share
 from gaugeworks.operators.rules import ROWS, Rule
 from gaugeworks.operators.suite import QualitySuite
@@ -20,20 +19,32 @@ def windowed_rules(
 ) -> DataFrame:
     """The suite's verdict rows for every window of event time.
 
-    Takes the same rules as the batch suite, except those that need a shuffle of
-    their own. The stream must carry a watermark; a window is final, and in append
-    mode emitted, once the watermark has passed its end, and rows that come later
-    are dropped.
+    Takes the same rules as the batch suite. The stream must carry a watermark; a
+    window is final, and in append mode emitted, once the watermark has passed its
+    end, and rows that come later are dropped.
+
+    Rules that need a shuffle of their own (duplicates, cardinality, a domain or
+    reference table) keep a count per window and key, and from these, when the
+    window is final, one row per window. Each key set or table is an aggregation of
+    its own over the stream; the tables are read anew for every batch.
     """
-    keyed = [rule.name for rule in rules if rule.frame is not None]
-    if keyed:
-        raise ConfigError(f"not possible per window: {', '.join(keyed)}")
     window = F.window(event_time, width, slide) if slide else F.window(event_time, width)
-    aggregates = QualitySuite.aggregates(rules)
-    rows = stream.groupBy(window).agg(*aggregates).withColumns(
-        {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
-    )
-    return QualitySuite.verdicts(rows, list(enumerate(rules, start=1)), ("window_start", "window_end"))
+    passes: dict[str | None, list[tuple[int, Rule]]] = {}
+    for position, rule in enumerate(rules, start=1):
+        passes.setdefault(rule.frame_key, []).append((position, rule))
+    results = None
+    for number, (key, members) in enumerate(passes.items()):
+        if key is None:
+            rows = stream.groupBy(window).agg(*QualitySuite.aggregates([rule for _, rule in members]))
+        else:
+            # Spark 4.1 loses the watermark of an aggregation that shares its exchange with an equal one of
+            # another pass and then never ends its windows. A number that can't be folded keeps them apart.
+            apart = F.when(F.col(event_time).isNull(), -1).otherwise(number).alias("__pass")
+            rows = members[0][1].frame(stream, (window, apart))
+        bounded = rows.withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
+        part = QualitySuite.verdicts(bounded, members, ("window_start", "window_end"))
+        results = part if results is None else results.unionByName(part)
+    return results
 
 
 def windowed_predictions(

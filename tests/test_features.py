@@ -94,6 +94,21 @@ def test_hot_keys_of_other_types(spark, how, left, right):
     assert rows == sorted(plain.collect(), key=repr) and sum(r["v"] == 3 for r in rows) >= 600
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UNICODE_CI", "UTF8_BINARY_RTRIM"])
+def test_hot_keys_that_a_collation_holds_for_equal(spark, how, collation):
+    spelled = "CASE WHEN id % 100 = 99 THEN NULL WHEN id < 700 THEN 'AB' WHEN id < 800 THEN 'ab ' WHEN id < 900 THEN 'Ab' ELSE string(id % 7) END"
+    labels = spark.range(1000).selectExpr(f"{spelled} COLLATE {collation} AS k", "1 AS j", "id AS row")
+    features = spark.createDataFrame([("ab", 1, 7), ("3", 1, 8), ("x", 1, 9), (None, 1, 0)], "k string, j bigint, v int")
+    features = features.selectExpr(f"k COLLATE {collation} AS k", "j", "v")
+    plain = lookup_join(labels, features, ["k", "j"], how)
+    spread = lookup_join(labels, features, ["k", "j"], how, hot_share=0.05)
+    assert spread.columns == plain.columns
+    assert "__number" in spread._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect()))
+    assert plain.where("v = 7").count() >= (99 if collation == "UTF8_BINARY_RTRIM" else 700)
+
+
 def test_training_set_keeps_repeated_labels_and_drops_unknown_ones(spark):
     spec = f.FeatureSpec("t", ("a", "b"), ("x",))
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (None, 1, 1)], "a int, b int, y int")

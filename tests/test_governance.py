@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,42 @@ def test_manifest(spark, tmp_path):
     assert found == {"a": True, "b": False, "c": False}
 
 
+def test_digests_of_files_larger_than_a_row(spark, tmp_path):
+    rng = random.Random(2)
+    contents = {f"part {k}.bin": rng.randbytes(size) for k, size in enumerate((1, 10, 1000, 1001, 5000, 70_000))}
+    (tmp_path / "deep er").mkdir()
+    for k, (name, data) in enumerate(contents.items()):
+        (tmp_path / ("deep er" if k % 2 else "") / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        rows = p.file_digests(spark, str(tmp_path), whole_bytes=1000, piece_bytes=999).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    found = {row["path"].rsplit("/", 1)[1].replace("%20", " "): row["sha256"] for row in rows}
+    assert found == {name: hashlib.sha256(data).hexdigest() for name, data in contents.items()}
+
+
+def test_one_model_with_all_events_is_many_tasks(spark):
+    events = spark.range(4000).selectExpr(
+        "1 AS model_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "id AS event_id", "'promote' AS action", "string(id) AS version"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_one_model(g.alias_history(events), events)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_one_model(history, events):
+    sizes = [r["n"] for r in history.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 2500 and len(sizes) > 1
+    found = {r["event_id"]: r["previous_version"] for r in history.collect()}
+    assert found == {k: str(k - 1) if k else None for k in range(4000)}
+    numbers = g.register_versions(events.select("model_id", "ts", "event_id"))
+    assert {r["event_id"]: r["version"] for r in numbers.collect()} == {k: k + 1 for k in range(4000)}
+
+
 EVENTS = "model_id int, ts timestamp_ntz, event_id bigint, action string, version string"
 
 

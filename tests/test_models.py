@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -244,3 +245,29 @@ def test_model_behind_an_alias(spark, splits, model, tmp_path):
     assert loaded.transform(splits[2]).count() == splits[2].count()
     with pytest.raises(RegistryError, match="9"):
         sc.load_by_alias(versions, state, 1, "challenger")
+
+
+def test_dictionary_indexes_equal_the_indexer(spark):
+    rng = random.Random(7)
+    draw = lambda: rng.choice([None, "", "a", "B", "b", "é", *(f"v{int(rng.paretovariate(0.7)) % 400}" for _ in range(6))])
+    rows = spark.createDataFrame([(k, draw(), draw()) for k in range(3000)], "k int, one string, two string").repartition(5)
+    fitted = rows.where("k % 2 = 0")
+    dictionary = ml.category_dictionary(fitted, ["one", "two"])
+    found = ml.with_indexes(rows, dictionary, ["one", "two"]).select("k", "one_index", "two_index")
+    indexer = StringIndexer(inputCols=["one", "two"], outputCols=["one_index", "two_index"], handleInvalid="keep").fit(fitted)
+    assert sorted(found.collect()) == sorted(indexer.transform(rows).select("k", "one_index", "two_index").collect())
+
+
+def test_a_million_categories(spark):
+    rows = spark.range(0, 1_200_000, 1, 8).selectExpr("string(if(id < 200000, id * 5, id - 200000)) AS c")
+    dictionary = ml.category_dictionary(rows, ["c"])
+    row = dictionary.agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("last"), F.countDistinct("index").alias("distinct")).first()
+    assert tuple(row) == (1_000_000, 999_999.0, 1_000_000)
+    # Those that come twice are first, in the order of their text.
+    assert dictionary.where("index = 1").first()["value"] == "10" and dictionary.where("index = 200000").first()["value"] == "1"
+
+
+def test_the_dictionary_of_no_rows(spark):
+    rows = spark.createDataFrame([("a",), (None,)], "c string")
+    found = ml.with_indexes(rows, ml.category_dictionary(rows.limit(0), ["c"]), ["c"]).collect()
+    assert [r["c_index"] for r in found] == [0.0, 0.0]

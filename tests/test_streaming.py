@@ -3,7 +3,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.errors import ConfigError
 from gaugeworks.operators import rules as r
 from gaugeworks.sources.keyed import KeyedTable
 from gaugeworks.streaming import features as sf
@@ -51,9 +50,31 @@ def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
     }
 
 
-def test_keyed_rules_are_refused_per_window(spark):
-    with pytest.raises(ConfigError, match="duplicates"):
-        sw.windowed_rules(spark.range(1), [r.duplicates(["id"], 0.0)], "ts", "1 hour")
+@pytest.mark.parametrize("slide", [None, "30 minutes"])
+def test_rules_on_keys_per_window(spark, tmp_path, slide):
+    landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    known = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    rules = [r.duplicates(["id"], 0.3), r.row_count(1, 9), r.cardinality("v", 2), r.allowed_domain_table("v", known, "v"), r.referential_integrity("v", known, "v")]
+
+    def run():
+        stream = ss.with_event_time(ss.read_stream(spark, landing, schema), "ts", "10 minutes")
+        ss.to_files(sw.windowed_rules(stream, rules, "ts", "1 hour", slide), out, check)
+
+    schema = land(spark, landing, (1, "2024-01-01 00:10:00", 1.0), (1, "2024-01-01 00:20:00", 9.0), (None, "2024-01-01 00:40:00", 9.0))
+    run()
+    land(spark, landing, (1, "2024-01-01 00:55:00", None), (7, "2024-01-01 05:15:00", 2.0))
+    run()
+    land(spark, landing, (8, "2024-01-01 09:00:00", 2.0))
+    run()
+    found = {}
+    for row in spark.read.parquet(out).collect():
+        found.setdefault(str(row["window_start"])[11:16], {})[row["rule"].split("[")[0]] = (row["status"], row["observed_num"], row["row_count"])
+    assert found["00:00"] == {
+        "duplicates": ("fail", 0.5, 4), "row_count": ("pass", 4.0, 4), "cardinality": ("fail", 3.0, 4),
+        "allowed_domain": ("fail", 2.0, 4), "referential_integrity": ("fail", 2.0, 4),
+    }
+    assert found["05:00"]["duplicates"] == ("pass", 0.0, 1) and found["05:00"]["allowed_domain"] == ("pass", 0.0, 1)
+    assert set(found) == ({"00:00", "05:00"} if slide is None else {"23:30", "00:00", "00:30", "04:30", "05:00"})
 
 
 def test_upsert_stream_takes_a_repeated_batch_once(spark, tmp_path):
