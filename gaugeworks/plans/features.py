@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import features as f
-from gaugeworks.operators.learning import feature_stages
+from gaugeworks.operators.learning import category_dictionary, feature_stages, with_indexes
 from gaugeworks.plans import inputs as i
 from gaugeworks.plans.sql import over
 from gaugeworks.sources.keyed import FeatureStore
