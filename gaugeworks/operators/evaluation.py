@@ -98,19 +98,41 @@ def classification_metrics(
     return metrics.select(*by, "accuracy", "precision", "recall", "f1_score", "error_rate")
 
 
+def tally(
+    scored: DataFrame, label: str = "label", prediction: str = "prediction", score: str = "score", by: Sequence[str] = ()
+) -> DataFrame:
+    """(by..., label, prediction, score, n): the rows of each combination.
+
+    All metrics follow from it. Used for several of them, it is planned for each but
+    run once, since Spark reuses its exchange.
+    """
+    named = {"label": label, "prediction": prediction, "score": score}
+    columns = [F.col(name_of(c)).alias(alias) for alias, c in named.items()]
+    return scored.select(*by, *columns).groupBy(*by, *named).agg(F.count(F.lit(1)).alias("n"))
+
+
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL with one class only.
 
     Rows are counted per distinct score first, then ranked over score ranges, so
     neither a common score nor a long list of scores ends up in one task.
     """
+    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return _auc(known.withColumn("n", F.lit(1).cast("bigint")), label, score, by)
+
+
+def _auc(weighted: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """From rows that stand for ``n`` rows each."""
     by = list(by)
+    known = weighted.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     positive = F.col(label).cast("double") > 0.5
     per_score = (
-        scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-        .select(*by, F.col(score).cast("double").alias("score"), positive.alias("__positive"))
+        known.select(*by, F.col(score).cast("double").alias("score"), positive.alias("__positive"), "n")
         .groupBy(*by, "score")
-        .agg(F.count_if("__positive").alias("pos"), F.count_if(~F.col("__positive")).alias("neg"))
+        .agg(
+            F.expr("coalesce(sum(n) FILTER (WHERE __positive), 0L) AS pos"),
+            F.expr("coalesce(sum(n) FILTER (WHERE NOT __positive), 0L) AS neg"),
+        )
     )
     pairs = beaten_pairs(per_score, "score", by)
     auc = F.expr("try_divide(won, double(pos_total) * double(neg_total))")
@@ -135,9 +157,15 @@ def metrics_table(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """All metrics in one row per model: the ones from counts, the invalid share and the AUC."""
+    return metrics_of(tally(scored, label, prediction, score, by), by)
+
+
+def metrics_of(tallied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`metrics_table` of a :func:`tally`."""
     by = list(by)
-    metrics = _metrics_from_counts(_counts(scored, label, prediction, by), by)
-    auc = roc_auc(scored, label, score, by)
+    counts = tallied.groupBy(*by, F.col("label").cast("double"), F.col("prediction").cast("double")).agg(F.sum("n").alias("n"))
+    metrics = _metrics_from_counts(counts.toDF(*by, "label", "prediction", "n"), by)
+    auc = _auc(tallied, "label", "score", by)
     if by:
         return join_null_safe(metrics, auc, by, "left")
     return metrics.withColumn("roc_auc", auc.scalar())

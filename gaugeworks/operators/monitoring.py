@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from gaugeworks.functions.columns import rows_from_sql, share, struct_sql, text_literal
-from gaugeworks.operators.evaluation import metrics_table
+from gaugeworks.operators.evaluation import metrics_of, metrics_table, tally
 from gaugeworks.operators.promotion import METRICS
 from gaugeworks.operators.suite import failed_rules
 from gaugeworks.sources.writers import write_report
@@ -83,14 +83,19 @@ def prediction_summary(
     scored: DataFrame, prediction: str = "prediction", score: str | None = None, latency_ms: float | None = None
 ) -> DataFrame:
     """One row: rows, positives, their rate, the rate of NULL predictions and of NaN scores."""
-    p = F.col(prediction)
-    nans = F.count_if(F.isnan(F.col(score))) if score is not None else F.lit(0).cast("bigint")
-    row = scored.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(p == 1.0).alias("positive_count"),
-        F.count_if(p.isNull()).alias("__nulls"),
-        nans.alias("__nans"),
-    )
+    columns = [F.col(prediction).alias("prediction"), (F.col(score) if score is not None else F.lit(None).cast("double")).alias("score")]
+    return summary_of(scored.select(*columns, F.lit(1).cast("bigint").alias("n")), latency_ms)
+
+
+def summary_of(tallied: DataFrame, latency_ms: float | None = None) -> DataFrame:
+    """:func:`prediction_summary` of rows that stand for ``n`` rows each, such as a tally."""
+    sums = {
+        "row_count": "true",
+        "positive_count": "prediction = 1.0D",
+        "__nulls": "prediction IS NULL",
+        "__nans": "isnan(score)",
+    }
+    row = tallied.agg(*[F.expr(f"coalesce(sum(n) FILTER (WHERE {held}), 0L) AS {name}") for name, held in sums.items()])
     n = F.col("row_count")
     return row.select(
         "row_count",
@@ -150,11 +155,12 @@ def monitoring_report(
     minima: Mapping[str, float],
     model: MonitoredModel,
 ) -> DataFrame:
-    """All alerts of one run: data, then predictions, then performance."""
+    """All alerts of one run: data, then predictions, then performance, the last two from one tally of the scored rows."""
+    tallied = tally(scored)
     parts = {
         "data": data_alerts(results, model, drift),
-        "predictions": prediction_alerts(prediction_summary(scored, score="score"), model),
-        "performance": monitor_performance(scored, minima, model)[1],
+        "predictions": prediction_alerts(summary_of(tallied), model),
+        "performance": performance_alerts(metrics_of(tallied), minima, model),
     }
     report = None
     for source, rows in parts.items():
