@@ -4,16 +4,17 @@ Patterns find what is a secret by itself. What is only a candidate - an
 account identifier, an endpoint, a string of high entropy - is reported only
 where parts that complete each other stand in one scope: each identifier opens
 an interval around itself that ends at the paragraph's borders, and candidates
-are joined to the intervals that hold them by position. A search in the sorted
-positions finds the nearest part on either side, so a document of any number
-of parts costs no more than sorting them, and no pairs are made.
+are joined to the intervals that hold them by position: a search in the sorted
+starts finds how many parts begin before an interval ends, and the greatest end
+among these, kept per paragraph, tells whether one reaches into it. A document
+of any number of parts costs no more than sorting them, and no pairs are made.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ IDENTIFIER = re.compile(
 )
 TEMPORARY = re.compile(r"A(?:SIA|ROA|IDA)(?<![A-Za-z0-9]....)[A-Z0-9]{12,}")
 ENDPOINT = re.compile(
-    r"""(?ai:\b[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server|bucket)["']?\x20*[:=]\x20*["']?[a-z0-9.:/_-]{3,})"""
+    r"""(?ai:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server|bucket)["']?\x20*[:=]\x20*["']?[a-z0-9.:/_-]{3,})"""
 )
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PARAGRAPH = re.compile(r"\n\s*\n")
@@ -74,20 +75,20 @@ def linked_spans(text: str, base: list[Span], radius: int = RADIUS) -> list[Span
     identifiers = sorted(weak_ids + [(a, b) for k, a, b in base if k == "access"])
     if not identifiers:
         return []
-    taken = sorted((a, b) for k, a, b in base)
+    borders = [m.start() for m in PARAGRAPH.finditer(text)]
+    taken, named = _Parts([(a, b) for _, a, b in base], [], radius), _Parts(identifiers, [], radius)
     weak_secrets = [
         (m.start(), m.end())
         for m in OPAQUE.finditer(text)
-        if not _overlaps(taken, m.start(), m.end())
+        if not taken.overlap(m.start(), m.end())
         and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= LEAST_BITS
-        and not _overlaps(identifiers, m.start(), m.end())
+        and not named.overlap(m.start(), m.end())
     ]
     secrets = sorted(weak_secrets + [(a, b) for k, a, b in base if k != "access"])
     if not secrets:
         return []
-    borders = [m.start() for m in PARAGRAPH.finditer(text)]
-    ids, keys = _Nearest(identifiers, borders, radius), _Nearest(secrets, borders, radius)
-    found = [("identifier", a, b) for a, b in weak_ids if keys.near(a, b) and not _overlaps(taken, a, b)]
+    ids, keys = _Parts(identifiers, borders, radius), _Parts(secrets, borders, radius)
+    found = [("identifier", a, b) for a, b in weak_ids if keys.near(a, b) and not taken.overlap(a, b)]
     found += [("secret", a, b) for a, b in weak_secrets if ids.near(a, b)]
     found += [
         ("endpoint", m.start(), m.end())
@@ -97,27 +98,38 @@ def linked_spans(text: str, base: list[Span], radius: int = RADIUS) -> list[Span
     return found
 
 
-def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether one of the sorted spans overlaps; of one kind they don't overlap each other, so few are near."""
-    k = bisect_left(spans, (end,))
-    return any(b > start for _, b in spans[max(0, k - 4) : k])
+class _Parts:
+    """Distinct parts by start, asked whether one overlaps a span, or lies within a radius of it in its paragraph.
 
-
-class _Nearest:
-    """Sorted parts, asked whether one lies within a radius in the same paragraph."""
+    `tops` holds for each part the two greatest ends, with their parts, among those of its paragraph up to it.
+    """
 
     def __init__(self, parts: list[tuple[int, int]], borders: list[int], radius: int):
-        self.parts, self.borders, self.radius = parts, borders, radius
+        self.parts, self.borders, self.radius = sorted(set(parts)), borders, radius
+        self.starts = [a for a, _ in self.parts]
+        self.paragraphs = [bisect_left(borders, a) for a in self.starts]
+        self.tops: list[list[tuple[int, tuple[int, int]]]] = []
+        before: list[tuple[int, tuple[int, int]]] = []
+        for k, part in enumerate(self.parts):
+            if k and self.paragraphs[k] != self.paragraphs[k - 1]:
+                before = []
+            before = sorted([*before, (part[1], part)], reverse=True)[:2]
+            self.tops.append(before)
+
+    def overlap(self, start: int, end: int) -> bool:
+        """Only for parts without borders, which are one paragraph."""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.tops[k - 1][0][0] > start
 
     def near(self, start: int, end: int) -> bool:
-        k = bisect_left(self.parts, (start,))
-        for a, b in self.parts[max(0, k - 2) : k + 2]:
-            if (a, b) == (start, end):
-                continue
-            if a - end <= self.radius and start - b <= self.radius:
-                if bisect_left(self.borders, min(a, start)) == bisect_left(self.borders, max(a, start)):
-                    return True
-        return False
+        here = bisect_left(self.borders, start)
+        last = end + self.radius
+        if here < len(self.borders):
+            last = min(last, self.borders[here])
+        k = bisect_right(self.starts, last)
+        if not k or self.paragraphs[k - 1] != here:
+            return False
+        return any(b >= start - self.radius for b, part in self.tops[k - 1] if part != (start, end))
 
 
 def find(text: str | None, radius: int = RADIUS) -> list[Span]:

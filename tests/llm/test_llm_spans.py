@@ -131,3 +131,55 @@ def test_codes_before_a_capital_and_context_beyond_a_neighbour(spark):
 def test_personal_data_runs_no_python(spark, sf_dir):
     plan = pii.op10_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_linked(text, radius=secrets.RADIUS):
+    """Every pair of parts compared, with the rule as it is written."""
+    base = plain_secrets(text)
+    paragraph = lambda at: sum(m.start() < at for m in secrets.PARAGRAPH.finditer(text))
+    overlaps = lambda spans, a, b: any(x < b and a < y for x, y in spans)
+
+    def near(parts, a, b):
+        return any(
+            (x, y) != (a, b) and x - b <= radius and a - y <= radius and paragraph(x) == paragraph(a) for x, y in parts
+        )
+
+    taken = [(a, b) for _, a, b in base]
+    weak = [m.span() for pattern in (secrets.TEMPORARY, secrets.IDENTIFIER) for m in pattern.finditer(text)]
+    ids = weak + [(a, b) for k, a, b in base if k == "access"]
+    opaque = [
+        m.span() for m in secrets.OPAQUE.finditer(text)
+        if not overlaps(taken + ids, *m.span()) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secrets.entropy(m[0]) >= secrets.LEAST_BITS
+    ]
+    keys = opaque + [(a, b) for k, a, b in base if k != "access"]
+    found = [("identifier", *s) for s in weak if near(keys, *s) and not overlaps(taken, *s)]
+    found += [("secret", *s) for s in opaque if near(ids, *s)]
+    found += [("endpoint", *m.span()) for m in secrets.ENDPOINT.finditer(text) if near(ids, *m.span()) and near(keys, *m.span())]
+    return sorted(set(base + found), key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+
+
+def test_linked_spans_equal_comparing_all_pairs():
+    links = 0
+    for seed, radius in ((3, 400), (4, 12), (5, 40)):
+        for text in noise(seed, [*SECRET_PARTS, "login=", "account_id: 77x", " z" * 20, "\n \n", ".", "server: s3.eu", "0f" * 12 + "."], 1500):
+            found = secrets.find(text, radius)
+            assert found == plain_linked(text, radius), repr(text)
+            links += sum(s[0] in ("identifier", "secret", "endpoint") for s in found)
+    assert links > 500
+
+
+def test_a_long_span_over_many_short_ones():
+    dotted = ".".join("0123456789abcdef01234567" for _ in range(6))
+    text = f"user: bob secret={dotted}.Zx9Kq2Lm4Np6Rs8Tu0Vw0Ab1"
+    assert secrets.find(text) == plain_linked(text)
+    assert not [s for s in secrets.find(text) if s[0] == "secret"]
+
+
+def test_long_runs_that_are_no_endpoint_take_linear_time():
+    import time
+
+    head = "user: bob 9aB3xZ81kLmNoPqRsTuVwXyZ0123 "
+    began = time.time()
+    for body in ("a-" * 500_000, "a." * 500_000, "\n " * 500_000, "key_id" * 150_000, "-" * 1_000_000):
+        assert secrets.find(head + body)[0][0] == "identifier"
+    assert time.time() - began < 30
