@@ -38,8 +38,12 @@ def canonical(url: Column) -> Column:
 
 
 def _headers(block: Column) -> Column:
-    """Name in lower case and value of each line after the first; lines without a colon are left out."""
-    lines = F.filter(F.slice(F.split(block, _BREAK), 2, 10_000), lambda x: F.instr(x, ":") > 0)
+    """Name in lower case and value of each line after the first; lines without a colon are left out.
+
+    A line that begins with a space or tab goes on with the line before it.
+    """
+    lines = F.split(F.regexp_replace(block, "\r\n[ \t]+", " "), _BREAK)
+    lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.instr(x, ":") > 0)
     name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
     return F.transform(lines, lambda x: F.struct(name(x).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
 
@@ -72,14 +76,26 @@ def parse(records: DataFrame, raw: str = "record") -> DataFrame:
     }).drop("_envelope", "_rest", "_head")
 
 
+def _date(text: Column) -> Column:
+    """A time in UTC or with an offset as +01, +0130 or +01:30, null if it is written otherwise."""
+    read = lambda zone: F.try_to_timestamp(text, F.lit(f"yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]{zone}"))
+    return F.coalesce(read("XXX"), read("X"))
+
+
 def captures(records: DataFrame, raw: str = "record") -> DataFrame:
-    """What resolution needs of each response or revisit record: id, type, url, date, http headers, payload digest."""
+    """What resolution needs of each response or revisit record: id, type, url, date, http headers, payload digest.
+
+    Dates are UTC or have an offset, with or without a fraction of a second; one
+    that can't be read is null, as is whatever a record does not have. Null records
+    and those of other types are left out, repeated ones come out as often as they
+    went in. Other columns are not read.
+    """
     rows = parse(records.select(F.col(raw).alias("record")))
     body = F.when(value(F.col("warc"), "warc-type") == "response", F.md5("body"))
     rows = rows.select(
         value(F.col("warc"), "warc-record-id").alias("id"), value(F.col("warc"), "warc-type").alias("type"),
         canonical(value(F.col("warc"), "warc-target-uri")).alias("url"),
-        F.try_to_timestamp(value(F.col("warc"), "warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("date"),
+        _date(value(F.col("warc"), "warc-date")).alias("date"),
         "status", "http", F.coalesce(value(F.col("warc"), "warc-payload-digest"), body).alias("digest"),
     )
     return rows.filter(F.col("type").isin("response", "revisit"))

@@ -166,3 +166,27 @@ def test_text_after_and_in_blocks_nested_deeper_than_recorded(spark):
 
 def test_pages_nested_very_deeply_stay_cheap():
     assert len(htmltext.blocks("<p>a<x>" * 100_000 + "<li>b</li>" * 100_000)) == 200_000
+
+
+def test_fractions_of_seconds_folded_lines_and_many_headers(spark):
+    line = "\r\n"
+
+    def record(kind, key, date, status, headers):
+        top = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {key}", "WARC-Target-URI: http://a.com/x", f"WARC-Date: {date}"]
+        return line.join(top) + line * 2 + line.join([f"HTTP/1.1 {status} S", *headers]) + line * 2 + "body"
+
+    many = [f"X-{k}: {k}" for k in range(12_000)] + ['ETag: "one"']
+    raw = [
+        record("response", "r1", "2024-01-01T00:00:00.5Z", 200, many),
+        record("response", "r2", "2024-01-01T02:00:00.25+01:00", 200, ["ETag:", '\t"two"', "X-Long: a", "  b", "\tc"]),
+        record("revisit", "v1", "2024-01-01T00:00:00.123456789Z", 304, ['ETag: "one"']),
+        record("revisit", "v2", "2024-01-01T00:00:00.75Z", 304, ['ETag: "one"']),
+        record("revisit", "v3", "2024-01-01T01:00:01Z", 304, ['ETag: W/"two"']),
+        record("revisit", "v4", "yesterday", 304, ['ETag: "two"']),
+    ]
+    found = {r["id"]: r for r in warc.resolve(warc.captures(spark.createDataFrame([(t,) for t in raw], "record string"))).collect()}
+    assert {k: (r["outcome"], r["refers_to"]) for k, r in found.items()} == {
+        "v1": ("no_response", None), "v2": ("resolved", "r1"), "v3": ("resolved", "r2"), "v4": ("no_response", None)
+    }
+    assert len(found["v2"]["headers"]) == 12_001
+    assert ("x-long", "a b c") in [tuple(h) for h in found["v3"]["headers"]]
