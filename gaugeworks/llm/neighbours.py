@@ -40,18 +40,33 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, the scale of each row, and the length of each row's rounding error."""
-    scale = np.abs(v).max(axis=1) / 127
+    scale = np.maximum(np.abs(v).max(axis=1) / 127, np.finfo(np.float64).tiny)
     codes = np.rint(v / scale[:, None]).astype(np.int8)
-    error = np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        error = np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
     return codes, scale, error
 
 
+def _length(codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((codes.astype(np.float64) * scale[:, None]) ** 2).sum(axis=1)
+
+
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Euclidean distances, squares summed component by component in their order."""
+    """Euclidean distances, squares summed component by component in their order.
+
+    Where the sum is beyond the range of a double, it is taken of components scaled down.
+    """
     total = np.zeros(len(rows))
-    for column in range(rows.shape[1]):
-        total += (rows[:, column] - query[column]) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for column in range(rows.shape[1]):
+            total += (rows[:, column] - query[column]) ** 2
+        found = np.sqrt(total)
+        far = np.flatnonzero(~np.isfinite(found))
+        if len(far):
+            size = np.maximum(np.abs(rows[far]).max(axis=1), np.abs(query).max())
+            found[far] = size * np.sqrt(((rows[far] / size[:, None] - query / size[:, None]) ** 2).sum(axis=1))
+    return found
 
 
 def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple]:
@@ -61,25 +76,28 @@ def tile(queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys:
     """
     repeated = len(np.unique(keys)) < len(keys)
     q_codes, q_scale, q_error = quantised(queries)
-    q_length = ((q_codes.astype(np.float64) * q_scale[:, None]) ** 2).sum(axis=1)
+    q_length = _length(q_codes, q_scale)
     q_float = q_codes.astype(np.float32)
     best: list[list[tuple[float, int]]] = [[] for _ in queries]
     for start in range(0, len(vectors), _TILE):
         part, own = vectors[start : start + _TILE], keys[start : start + _TILE]
         codes, scale, error = quantised(part)
-        length = ((codes.astype(np.float64) * scale[:, None]) ** 2).sum(axis=1)
+        length = _length(codes, scale)
         if repeated:
             by_key = np.argsort(own, kind="stable")
             firsts = np.nonzero(np.diff(own[by_key], prepend=own[by_key[0]] - 1))[0]
         # Products of int8 codes are whole numbers that float32 holds exactly up to 2**24, over 1,000 components.
         products = _products(q_float, codes)
         for row, query in enumerate(queries):
-            near = q_length[row] + length - 2 * q_scale[row] * scale * products[row]
-            near = np.sqrt(np.maximum(near, 0))
-            slack = q_error[row] + error + 1e-9 * (1 + near) + 1e-7 * np.sqrt(q_length[row] + length)
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = q_length[row] + length - 2 * q_scale[row] * scale * products[row]
+                near = np.sqrt(np.maximum(near, 0))
+                slack = q_error[row] + error + 1e-9 * (1 + near) + 1e-7 * np.sqrt(q_length[row] + length)
+            # Beyond the range of a double nothing is known of a distance, so it is computed.
+            known = np.isfinite(near + slack)
             other = own != query_keys[row]
-            least = np.where(other, near - slack, np.inf)
-            most = np.where(other, near + slack, np.inf)
+            least = np.where(other, np.where(known, near - slack, -np.inf), np.inf)
+            most = np.where(other & known, near + slack, np.inf)
             if repeated:
                 most = np.minimum.reduceat(most[by_key], firsts)
             limit = np.partition(most, k - 1)[k - 1] if len(most) > k else np.inf

@@ -82,3 +82,24 @@ def test_bounds_hold():
     true = np.sqrt(((rows[:1] - rows) ** 2).sum(axis=1))
     near = np.sqrt(((back[:1] - back) ** 2).sum(axis=1))
     assert (np.abs(true - near) <= error[0] + error + 1e-12).all()
+
+
+def test_components_near_the_end_of_the_range(monkeypatch):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(40, 6))
+    for size in (1e-200, 1.0, 1e100, 1e160, 1e300):
+        scaled = vectors * size
+        scaled[5] = scaled[0] * (1 + 1e-9)
+        for step in (7, 64):
+            monkeypatch.setattr(n, "_TILE", step)
+            found = sorted(n.tile(scaled[:3], np.arange(3), scaled, np.arange(40), 10))
+            near = {}
+            for q, key, d in found:
+                near.setdefault(q, []).append((d, key))
+            for q in range(3):
+                relative = scaled / size - scaled[q] / size
+                order = sorted((float(np.sqrt((r * r).sum())), k) for k, r in enumerate(relative) if k != q)[:10]
+                if size >= 1:
+                    assert [k for _, k in sorted(near[q])] == [k for _, k in order]
+                    assert all(abs(d / size - w) <= 1e-9 * w + 1e-12 for (d, _), (w, _) in zip(sorted(near[q]), order))
+                assert len(near[q]) == 10
