@@ -33,7 +33,7 @@ LANDMARKS = 40
 RIDGE = 1e-3
 UNDETERMINED = "und"
 FOLDS = 5
-#: Evidence for a language is taken in pieces of so many characters: the flags of longer ones fill up, and all texts look alike.
+#: Texts are learned from and scored in pieces of so many characters: the flags of longer ones fill up, and all texts look alike.
 PIECE = 8_192
 #: A text is in a learned language from this share of the evidence that all but a twentieth of like training rows have.
 SLACK = 0.8
@@ -112,13 +112,16 @@ class Model:
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """One row of scores for each row of presence flags."""
-        kernel, _ = self.kernel(rows)
-        return np.hstack((kernel, np.ones((len(rows), 1)))) @ self.weights
+        return self.judged(rows)[0]
 
-    def evidence(self, rows: np.ndarray) -> np.ndarray:
-        """For each row of presence flags the greatest kernel value over its least one; under 1 it is in no learned language."""
+    def judged(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of presence flags its scores, and its evidence.
+
+        That is the greatest kernel value over its least one; under 1 the text is in no learned language.
+        """
         kernel, norms = self.kernel(rows)
-        return kernel.max(axis=1) / np.interp(norms, *self.bounds)
+        scores = np.hstack((kernel, np.ones((len(rows), 1)))) @ self.weights
+        return scores, kernel.max(axis=1) / np.interp(norms, *self.bounds)
 
 
 def bounds(norms: np.ndarray, greatest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +173,12 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang", longest: int | None = None) -> Model | None:
+def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on at most `rows` labelled rows a language, spread by a hash of the key; None without any.
 
-    With `longest` only so many characters of a row are learned from. Rows that are held out, have a null key or no letter are never used.
+    Of a row of several pieces one with a letter is learned from, which one follows
+    from the hash as well. Rows that are held out, have a null key or no letter are
+    never used.
     """
     spark = docs.sparkSession
     use = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -190,7 +195,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text:
         for batch in batches:
             found = []
             for o, name, t in texts([batch], "o", "lang", "text"):
-                flags = presence(t and t[:longest], letter.value)
+                flags = _piece_of(t, o, letter.value)
                 if flags is not None:
                     found.append((o, name, np.packbits(flags).tobytes()))
             columns = list(zip(*found)) if found else [[], [], []]
@@ -206,14 +211,22 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, key: str = "doc_id", text:
     return fit(flags, [r["lang"] for r in got])
 
 
+def _piece_of(text: str | None, order: int, letter: np.ndarray) -> np.ndarray | None:
+    """Flags of one piece of a text: the one that a number points to, or the next with a letter."""
+    count = max(1, -(-len(text or "") // PIECE))
+    tried = (presence((text or "")[k * PIECE : (k + 1) * PIECE], letter) for k in ((order + j) % count for j in range(count)))
+    return next((flags for flags in tried if flags is not None), None)
+
+
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, held_out, lang_pred and score (0 to 1) of each row of `docs`.
 
     lang_pred is `und` and the score 0 where the text is null, empty or has no
     letter, and everywhere without a model (no labelled row to learn from).
-    Ties go to the first language by name. Whole texts are read, in pieces, so
-    that long ones need no more memory. Repeated rows come out as often as they
-    went in; other columns are not read.
+    Ties go to the first language by name. Whole texts are read, in pieces of
+    PIECE characters; a text's scores are the means of those of its pieces with a
+    letter, by their lengths. Repeated rows come out as often as they went in;
+    other columns are not read.
     """
     rows = docs.select(F.col(key).alias("key"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
@@ -231,18 +244,12 @@ def _scorer(spark: SparkSession, model: Model | None):
         fields, letter = shared.value
         model = fields and Model(*fields)
         for batch in batches:
-            found, scores = [], []
-            for start in range(0, batch.num_rows, _BATCH):
-                part = [presence(t, letter) if model else None for (t,) in texts([batch.slice(start, _BATCH)], "text")]
-                full = [k for k, p in enumerate(part) if p is not None]
-                best = [(UNDETERMINED, 0.0)] * len(part)
-                if full:
-                    values = model.scores(np.array([part[k] for k in full]))
-                    for k, row in zip(full, values):
-                        top = int(np.argmax(row))
-                        best[k] = (model.languages[top], float(min(1.0, max(0.0, row[top]))))
-                found += [b[0] for b in best]
-                scores += [b[1] for b in best]
+            found, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+            if model:
+                weight, values, _, _ = _summed(batch, "text", model, letter)
+                for k in np.flatnonzero(weight):
+                    top = int(np.argmax(values[k]))
+                    found[k], scores[k] = model.languages[top], float(min(1.0, max(0.0, values[k][top] / weight[k])))
             out = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
@@ -252,15 +259,44 @@ def _scorer(spark: SparkSession, model: Model | None):
     return run
 
 
+def _summed(batch: pa.RecordBatch, name: str, model: Model, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pieces of each text with a letter: characters, scores by them, number, and evidence."""
+    weight, count, evidence = (np.zeros(batch.num_rows) for _ in range(3))
+    scores = np.zeros((batch.num_rows, len(model.languages)))
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def add() -> None:
+        if held:
+            owners, sizes = np.array([k for k, _, _ in held]), np.array([n for _, n, _ in held], float)
+            rows = np.array([p for _, _, p in held])
+            np.add.at(weight, owners, sizes)
+            np.add.at(count, owners, 1)
+            judged, evident = model.judged(rows)
+            np.add.at(evidence, owners, evident)
+            np.add.at(scores, owners, judged * sizes[:, None])
+            held.clear()
+
+    for k, (text,) in enumerate(texts([batch], name)):
+        for start in range(0, len(text or ""), PIECE):
+            piece = text[start : start + PIECE]
+            flags = presence(piece, letter)
+            if flags is not None:
+                held.append((k, len(piece), flags))
+            if len(held) == _BATCH:
+                add()
+    add()
+    return weight, scores, count, evidence
+
+
 def accept(docs: DataFrame, least: float = 0.0, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of `docs` that are in a language the labels teach, with a score of at least `least`, all columns.
 
     The classifier is trained on the labelled rows of `docs` itself. Texts are
     read in pieces of PIECE characters; a text's evidence and scores are the
-    means over its pieces with a letter. Texts without a letter go. Few grams
+    means over its pieces with a letter, of the scores by their lengths. Texts without a letter go. Few grams
     tell little: of short texts only those far from all languages go.
     """
-    model = train(docs, key=key, text=text, lang=lang, longest=PIECE)
+    model = train(docs, key=key, text=text, lang=lang)
     spark = docs.sparkSession
     fields = model and tuple(vars(model).values())
     shared = spark.sparkContext.broadcast((fields, letter_table()))
@@ -270,29 +306,11 @@ def accept(docs: DataFrame, least: float = 0.0, key: str = "doc_id", text: str =
         fields, letter = shared.value
         model = fields and Model(*fields)
         for batch in batches:
-            count = np.zeros(batch.num_rows)
-            evidence = np.zeros(batch.num_rows)
-            scores = np.zeros((batch.num_rows, len(model.languages) if model else 1))
-            held: list[tuple[int, np.ndarray]] = []
-
-            def add() -> None:
-                if held:
-                    owners, rows = np.array([k for k, _ in held]), np.array([p for _, p in held])
-                    np.add.at(count, owners, 1)
-                    np.add.at(evidence, owners, model.evidence(rows))
-                    np.add.at(scores, owners, model.scores(rows))
-                    held.clear()
-
-            for k, (t,) in enumerate(texts([batch], at)):
-                for start in range(0, len(t or "") if model else 0, PIECE):
-                    flags = presence(t[start : start + PIECE], letter)
-                    if flags is not None:
-                        held.append((k, flags))
-                    if len(held) == _BATCH:
-                        add()
-            add()
-            pieces = np.maximum(count, 1)
-            good = (count > 0) & (evidence / pieces >= 1) & (np.clip(scores.max(axis=1) / pieces, 0, 1) >= least)
+            good = np.zeros(batch.num_rows, bool)
+            if model:
+                weight, scores, count, evidence = _summed(batch, at, model, letter)
+                score = np.clip(scores.max(axis=1) / np.maximum(weight, 1), 0, 1)
+                good = (count > 0) & (evidence / np.maximum(count, 1) >= 1) & (score >= least)
             yield batch.drop_columns([at]).filter(pa.array(good))
 
     return docs.withColumn(at, F.col(text).cast("string")).mapInArrow(run, docs.schema)

@@ -83,3 +83,67 @@ def test_accept_judges_long_texts_and_gibberish(spark, sf_dir):
     added = [(-1, (clean["en"] * 20)[:3_000_000], None), (-2, (clean["de"] * 20)[:3_000_000], None), (-3, noise, None), (-4, noise[:3000], None), (-5, "Все люди рождаются свободными " * 40, None)]
     kept = language.accept(spark.createDataFrame(rows + added, "doc_id long, text string, lang string"))
     assert {r["doc_id"] for r in kept.filter("doc_id < 0").collect()} == {-1, -2}
+
+
+def test_long_texts_with_junk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    rows = [tuple(r) for r in docs.select("text", "lang").collect()]
+    rng = np.random.default_rng(6)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30_000)]
+    added, want = [], {}
+    for name in sorted({n for _, n in rows if n}):
+        words = " ".join(t for t, n in rows if n == name and t).split()
+        words = (words * (1 + 200_000 // len(words)))[:180_000]
+        for share in (0.0, 0.02, 0.16):
+            mixed = [junk[int(rng.integers(len(junk)))] if rng.random() < share else w for w in words]
+            want[len(added)] = name
+            added.append((len(added), " ".join(mixed)))
+    assert min(len(t) for _, t in added) > 900_000
+    found = language.identify(spark.createDataFrame(added, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == want
+
+
+def test_predictions_equal_a_plain_kernel_machine(spark, sf_dir, monkeypatch):
+    """The kernel as sets of grams, ridge regression in the landmarks' feature space by its dual, piece by piece."""
+    monkeypatch.setattr(language, "PIECE", 500)
+    docs = table(spark, sf_dir, "documents").filter("length(text) < 3000")
+    picked = docs.filter(docs.lang.isNotNull() & ~language.held_out("doc_id")).collect()[:60]
+    letter = language.letter_table()
+    flags = np.array([language.presence(r["text"][:500], letter) for r in picked])
+    labels = [r["lang"] for r in picked]
+    model = language.fit(flags, labels, landmarks=8)
+    sets = [set(np.flatnonzero(f)) for f in flags]
+    seen: dict[str, int] = {}
+    chosen = []
+    for k, name in enumerate(labels):
+        if seen.setdefault(name, 0) < 8:
+            seen[name] += 1
+            chosen.append(sets[k])
+    plain = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    gram = np.array([[plain(a, b) for b in chosen] for a in chosen])
+    values, vectors = np.linalg.eigh(gram)
+    whiten = vectors[:, values > 1e-8 * values.max()] / np.sqrt(values[values > 1e-8 * values.max()])
+    features = np.array([[plain(a, b) for b in chosen] for a in sets]) @ whiten
+    names = sorted(set(labels))
+    targets = np.array([[float(n == m) for m in names] for n in labels])
+    centre, mean = features - features.mean(0), targets.mean(0)
+    dual = np.linalg.solve(centre @ centre.T + language.RIDGE * len(sets) * np.eye(len(sets)), targets - mean)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()[:120]]
+    found = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for key, text in rows:
+        total, weight = np.zeros(len(names)), 0
+        for start in range(0, len(text), 500):
+            piece = text[start : start + 500]
+            own = language.presence(piece, letter)
+            if own is not None:
+                value = np.array([plain(set(np.flatnonzero(own)), b) for b in chosen]) @ whiten
+                total += len(piece) * ((value - features.mean(0)) @ centre.T @ dual + mean)
+                weight += len(piece)
+        if not weight:
+            assert found[key]["lang_pred"] == "und"
+            continue
+        scores = np.sort(total / weight)
+        assert abs(found[key]["score"] - min(1, max(0, scores[-1]))) < 1e-3
+        if scores[-1] - scores[-2] > 2e-3:
+            assert found[key]["lang_pred"] == names[int(np.argmax(total))]
