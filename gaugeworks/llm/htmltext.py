@@ -9,10 +9,15 @@ slots. Aligning is by the longest common run of tags at each level, so the
 order of pages matters little and wrappers of parts of a host can be aligned
 in turn.
 
+Texts that meet in a slot are compared as well: one that stands there on most
+of a host's different pages is a constant of the wrapper, not what a page has to
+say, whatever its tags are called. Constants are counted per host, slot and text
+over all pages; of pages that are the same in all their texts one counts.
+
 The slots of the wrapper are labelled by the tags and classes on the way to
 them, and where no article is marked on a host, by the container that holds
 most text outside of links on its pages. A page's text is what its blocks put
-into the slots labelled as main.
+into the slots labelled as main, but for constants.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +60,8 @@ MAIN_TAGS = frozenset("article main".split())
 REACTIONS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended widget".split())
 #: Tags on a recorded path; deeper ones are followed, but recorded only where they change the label.
 DEPTH = 60
+#: A text is a constant of its slot on more than this share of a host's different pages, of which there are so many at least.
+CONSTANT_SHARE, CONSTANT_PAGES = 0.5, 5
 #: Most characters of all wrappers together that are sent to every task.
 SENT_CHARS = 32_000_000
 
@@ -315,14 +323,39 @@ def main_slots(wrapper: list, container: str | None) -> set[tuple[str, ...]]:
     return {path for path in kept if path[: len(top)] == top}
 
 
+def text_hash(path: tuple[str, ...], text: str) -> int:
+    """Of a slot and what stands in it."""
+    return xxhash.xxh64_intdigest("/".join(path) + "\x00" + text) - (1 << 63)
+
+
+def constants(rows: DataFrame) -> DataFrame:
+    """(host, constants): the hashes that most of a host's pages hold, from (host, hashes) of each page, each hash once a page.
+
+    A host has fewer than twice as many as a page has on average.
+    """
+    different = rows.dropDuplicates(["host", "hashes"])
+    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= CONSTANT_PAGES)
+    held = different.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    often = held.filter(F.col("n") > 1).join(sizes, held.host.eqNullSafe(sizes.host)).drop(sizes.host)
+    often = often.filter(F.col("n") > CONSTANT_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("constants"))
+
+
+def varying(kept: list[tuple[tuple[str, ...], str, int]], fixed: set[int]) -> list[str]:
+    """The texts without constants; all of them where constants are over half: such a page is a copy of others."""
+    rest = [text for path, text, _ in kept if text_hash(path, text) not in fixed] if fixed else []
+    every = [text for _, text, _ in kept]
+    return rest if 2 * sum(map(len, rest)) >= sum(map(len, every)) else every
+
+
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, container) of every host: the wrapper as JSON, and the unmarked container with most text, if any."""
+    """(host, wrapper, container, constants) of every host: the wrapper as JSON, the unmarked container with most text, if any, and its constant texts' hashes."""
     spark = pages.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("box", pa.string()), ("mass", pa.int64())]))
         for batch in batches:
-            streams, boxes = [], []
+            streams, boxes, hashes = [], [], []
             for (page,) in texts([batch], "html"):
                 found = blocks(page)
                 mass: dict[str, int] = {}
@@ -332,10 +365,13 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                         mass[box] = mass.get(box, 0) + max(0, len(text) - 2 * links)
                 streams.append(json.dumps(stream(found), separators=(",", ":")))
                 boxes.append([{"box": b, "mass": m} for b, m in sorted(mass.items())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams), pa.array(boxes, kind)], ["host", "stream", "boxes"])
+                hashes.append(sorted({text_hash(path, text) for path, text, _ in found}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(streams), pa.array(boxes, kind), pa.array(hashes, pa.list_(pa.int64()))], ["host", "stream", "boxes", "hashes"]
+            )
 
     rows = pages.select(host(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    rows = rows.mapInArrow(read, "host string, stream string, boxes array<struct<box:string,mass:long>>")
+    rows = rows.mapInArrow(read, "host string, stream string, boxes array<struct<box:string,mass:long>>, hashes array<bigint>")
     mass = F.explode_outer("boxes")
     rows = stored(rows, "streams")
     boxes = rows.select("host", mass.alias("b")).groupBy("host", "b.box").agg(F.sum("b.mass").alias("mass"))
@@ -349,7 +385,8 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     distinct = rows.select("host", "stream").distinct()
     partial = distinct.groupBy("host", part.alias("part")).applyInPandas(merge, "host string, stream string")
     whole = partial.groupBy("host").applyInPandas(merge, "host string, stream string")
-    return stored(whole.join(best, "host", "left").select("host", F.col("stream").alias("wrapper"), "container"), "wrappers")
+    found = whole.join(best, "host", "left").join(constants(rows.select("host", "hashes")), "host", "left")
+    return stored(found.select("host", F.col("stream").alias("wrapper"), "container", "constants"), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", most: int = SENT_CHARS) -> DataFrame:
@@ -358,31 +395,30 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, key: str = "pag
     Character references are decoded and white space in a block is one space.
     Null and empty pages, and pages with no text in a main slot, have the empty
     text. Pages without a host are wrapped together. Repeated rows come out as
-    often as they went in; tags nested deeper than 60 count as part of the tag
+    often as they went in. What stands in one place on most of the different pages
+    of a host, of five at least, is left out of pages that have more to say. Tags nested deeper than 60 count as part of the tag
     at that depth, with all their text, unless they change its label. Other columns are not read.
     """
     wrappers = infer(pages, url, html) if wrappers is None else wrappers
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("container"), F.lit(0)))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("container"), F.lit(0)) + 8 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0] or 0
     wrappers = F.broadcast(wrappers) if size <= most else wrappers
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("host", host(F.col("url").cast("string"))).join(wrappers, "host", "left").drop("host")
-    names = ["key", "url", "html", "wrapper", "container"]
+    names = ["key", "url", "html", "wrapper", "container", "constants"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, set] = {}
         for batch in batches:
             out, sizes = [], []
-            for page, wrapper, container in texts([batch], "html", "wrapper", "container"):
+            for page, wrapper, container, constant in texts([batch], "html", "wrapper", "container", "constants"):
                 if (wrapper, container) not in known:
                     if len(known) >= 1_000:
                         known.clear()
                     known[wrapper, container] = main_slots(json.loads(wrapper or "[]"), container)
                 main = known[wrapper, container]
                 found = blocks(page)
-                kept = [text for path, text, _ in found if path in main]
-                if not kept:
-                    kept = [text for path, text, _ in found if label(path) == "open"]
-                out.append("\n\n".join(kept))
+                kept = [block for block in found if block[0] in main] or [block for block in found if label(block[0]) == "open"]
+                out.append("\n\n".join(varying(kept, set(constant or ()))))
                 sizes.append(len(out[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["key", "url", "text", "n_chars"]

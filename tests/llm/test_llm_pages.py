@@ -190,3 +190,48 @@ def test_fractions_of_seconds_folded_lines_and_many_headers(spark):
     }
     assert len(found["v2"]["headers"]) == 12_001
     assert ("x-long", "a b c") in [tuple(h) for h in found["v3"]["headers"]]
+
+
+def made_site(rng, host, count, marked, order=1):
+    """Pages of one host with template texts under names that tell nothing, and the text each should give."""
+    fixed = {"w1": "Kaufen Sie jetzt zwei zum Preis von einem", "w2": "Start Kontakt Impressum", "w3": "Alle Rechte bei uns"}
+    rows = []
+    for n in range(count):
+        parts = [" ".join(f"x{rng.randrange(10_000)}" for _ in range(rng.randrange(25, 60))) for _ in range(rng.randrange(1, 6))]
+        inner = "".join(f"<p>{p}</p>" + f"<div class=w1><b>{fixed['w1']}</b></div>" * (k == 0) for k, p in enumerate(parts))
+        article = f"<article>{inner}</article>" if marked else f"<div class=k7><div class=z>{inner}</div></div>"
+        here = "".join(f"<li>{w}</li>" for w in rng.sample(["Alpha", "Beta", "Gamma"], 2)) if n % 2 else ""
+        page = f"<html><body><div class=w2>{fixed['w2']}</div><div class=q>{here}</div>{article}<div class=w3>{fixed['w3']}</div></body></html>"
+        rows.append((order * 1000 + n, f"http://{host}/{n}", page, "\n\n".join(parts)))
+    return rows
+
+
+def test_texts_that_most_pages_of_a_host_share_are_template(spark, monkeypatch):
+    # The names of classes decide nothing here.
+    for words in ("DROPPED_NAMES", "REACTIONS", "OUTER_ONLY"):
+        monkeypatch.setattr(htmltext, words, frozenset())
+    htmltext.label.cache_clear()
+    rng = random.Random(21)
+    sites = [made_site(rng, "a.de", 9, True, 1), made_site(rng, "b.de", 5, False, 2), made_site(rng, "c.de", 30, True, 3)]
+    rows = [r[:3] for site in sites for r in site]
+    copies = [(9000 + k, "http://c.de/copy", sites[2][0][2]) for k in range(200)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages(spark, rows + copies)).collect()}
+    htmltext.label.cache_clear()
+    for site in sites:
+        for key, _, _, text in site:
+            assert got[key] == text
+    # Copies of one page are no template.
+    assert all(got[9000 + k] == sites[2][0][3] for k in range(200))
+
+
+def test_constants_equal_counting_by_hand(spark):
+    rng = random.Random(22)
+    rows = [(rng.choice(["a", "b", None]), sorted(rng.sample(range(12), rng.randrange(0, 7)))) for _ in range(120)] + [("small", [1, 2])] * 9 + [("four", [1, k]) for k in range(4)]
+    found = {r["host"]: r["constants"] for r in htmltext.constants(spark.createDataFrame(rows, "host string, hashes array<bigint>")).collect()}
+    want = {}
+    for host in {h for h, _ in rows}:
+        different = {tuple(x) for h, x in rows if h == host}
+        often = [k for k in range(12) if sum(k in x for x in different) > 0.5 * len(different)]
+        if len(different) >= 5 and often:
+            want[host] = often
+    assert found == want
