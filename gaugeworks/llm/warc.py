@@ -24,6 +24,10 @@ from gaugeworks.llm.urlfilter import host, path
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 HEADERS = "array<struct<name:string,value:string>>"
 _BREAK = "\r\n"
+#: A break that ends a header, and does not go on with it.
+_LINE = "\r\n(?![ \t])"
+#: More lines than a text can have.
+_ALL = 1 << 30
 _EPOCH = "2024-01-01 00:00:00"
 _LATER = 1_001
 
@@ -42,10 +46,11 @@ def _headers(block: Column) -> Column:
 
     A line that begins with a space or tab goes on with the line before it.
     """
-    lines = F.split(F.regexp_replace(block, "\r\n[ \t]+", " "), _BREAK)
-    lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.instr(x, ":") > 0)
+    lines = F.filter(F.slice(F.split(block, _LINE), 2, _ALL), lambda x: F.instr(x, ":") > 0)
     name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    return F.transform(lines, lambda x: F.struct(name(x).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+    rest = lambda x: F.trim(F.substr(x, F.instr(x, ":") + 1))
+    whole = lambda x: F.when(F.contains(x, F.lit(_BREAK)), F.trim(F.regexp_replace(rest(x), "\r\n[ \t]+", " "))).otherwise(rest(x))
+    return F.transform(lines, lambda x: F.struct(name(x).alias("name"), whole(x).alias("value")))
 
 
 def value(headers: Column, name: str) -> Column:
