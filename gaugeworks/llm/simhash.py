@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from gaugeworks.llm.base import byte_words, fresh, run_hashes, slices, stored, table, texts
+from gaugeworks.llm.base import byte_words, run_hashes, slices, stored, table, texts
 
 WIDTH = 3
 BITS = 3
@@ -141,26 +140,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = BITS, key:
     )
 
 
-def keep_first(docs: DataFrame, width: int = WIDTH, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest key, all columns.
-
-    Of several rows with that key, or with no key at all, one stays.
-    """
-    fp, root, first, rows = (fresh(docs, name) for name in ("fp", "root", "first", "rows"))
-    prints = stored(fingerprints(docs, width, key, text), "fingerprints")
-    found = classes(prints, bits).toDF(fp, root, first, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(t, width) for (t,) in texts([batch], text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, fp])
-
-    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())])).join(found, fp)
-    kept = marked.filter(F.col(key).eqNullSafe(F.col(first)))
-    repeated = kept.filter(F.col(rows) > 1).dropDuplicates([root])
-    return kept.filter(F.col(rows) == 1).unionByName(repeated).select(*docs.columns)
-
-
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -14,31 +14,10 @@ from cases import AWKWARD, documents
 from gaugeworks.llm import packing
 from gaugeworks.llm.base import table
 from test_llm_decontam import brute
-from test_llm_simhash import brute_print
+from test_llm_nearcopies import plain_first
 from test_llm_spans import plain_secrets
 
 
-def plain_first(docs):
-    """(id, text) of the first of each component, by comparing all distinct fingerprints."""
-    prints = {key: brute_print(text) for key, text in docs}
-    values = sorted(set(prints.values()))
-    root = {v: v for v in values}
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    array = np.array(values, np.uint64)
-    for k, value in enumerate(values):
-        for other in np.nonzero(np.bitwise_count(array ^ array[k]) <= 3)[0]:
-            root[find(values[other])] = find(value)
-    least = {}
-    for key, value in prints.items():
-        least[find(value)] = min(key, least.get(find(value), key))
-    return [(key, text) for key, text in docs if least[find(prints[key])] == key]
-
-
 def plain_redacted(text):
     out, at = "", 0
     for kind, start, end in plain_secrets(text):
