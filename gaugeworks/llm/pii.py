@@ -10,7 +10,7 @@ others only from a least score on.
 The patterns match what their plain forms match, leftmost and not overlapping,
 but never go back over a run of characters twice: possessive repeats, and
 starts only where a run starts or the last match ended. Only account codes go
-back, by at most 19 characters, to stop before the word that follows them.
+back, by at most 34 characters for each length that their country may have.
 """
 
 from __future__ import annotations
@@ -31,6 +31,22 @@ LEAST_SCORE = 0.6
 _STEP = 64
 
 
+# Characters of an account code by country.
+_ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+
+
+def _account() -> str:
+    """An account code, as long as its country has it where that fits, so that the next word is no part of it."""
+    known = [
+        rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}(?![A-Za-z0-9])" for size, names in _ACCOUNT_LENGTHS.items()
+    ]
+    return "|".join([*known, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"])
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -47,7 +63,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", 0.7, "card|visa|master|credit|debit|payment|konto|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|mobile|fax|whatsapp", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto", False),
+    Kind("iban", f"(?<![A-Za-z0-9])(?:{_account()})", "", 0.8, "iban|account|bank|konto", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, r"\bssn\b|social|security|insurance", False),
 )
 
@@ -117,28 +133,20 @@ def _placed(parts: Column) -> Column:
     """
     steps = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _STEP).cast("int"))
     part = lambda s: F.slice(parts, s * _STEP + 1, F.lit(_STEP))
-    sums = F.transform(steps, lambda s: F.struct(s.alias("s"), _sum(part(s)).alias("n")))
-    before = lambda s: F.aggregate(
-        sums, F.lit(0), lambda total, x: total + F.when(x["s"] < s, x["n"]).otherwise(0)
-    )
+    # One running sum over the steps; as an argument of zip_with it is taken once, not for each step again.
+    sums = F.aggregate(steps, F.array(F.lit(0)), lambda done, s: F.concat(done, F.array(F.element_at(done, -1) + _sum(part(s)))))
 
-    def one(s: Column) -> Column:
-        base = F.array(before(s))
-        return F.flatten(
-            F.transform(
-                base,
-                lambda b: F.transform(
-                    part(s),
-                    lambda p, k: F.struct(
-                        (b + _sum(F.slice(part(s), F.lit(1), k)) + p["gap"]).alias("start"), p["size"].alias("size"),
-                        p["match"].alias("match"), p["near"].alias("near"),
-                    ),
-                ),
-            )
+    def one(s: Column, before: Column) -> Column:
+        return F.transform(
+            part(s),
+            lambda p, k: F.struct(
+                (before + _sum(F.slice(part(s), F.lit(1), k)) + p["gap"]).alias("start"), p["size"].alias("size"),
+                p["match"].alias("match"), p["near"].alias("near"),
+            ),
         )
 
     none = F.lit(None).cast("array<struct<start:int,size:int,match:string,near:string>>")
-    return F.coalesce(F.when(F.size(parts) > 0, F.flatten(F.transform(steps, one))).otherwise(none), F.array())
+    return F.coalesce(F.when(F.size(parts) > 0, F.flatten(F.zip_with(steps, F.slice(sums, F.lit(1), F.size(steps)), one))).otherwise(none), F.array())
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -205,7 +213,7 @@ _PLAIN = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "iban": rf"\b(?:{_account()})".replace("(?![A-Za-z0-9])", r"\b"),
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 _VALID = {

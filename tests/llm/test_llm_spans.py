@@ -183,3 +183,17 @@ def test_long_runs_that_are_no_endpoint_take_linear_time():
     for body in ("a-" * 500_000, "a." * 500_000, "\n " * 500_000, "key_id" * 150_000, "-" * 1_000_000):
         assert secrets.find(head + body)[0][0] == "identifier"
     assert time.time() - began < 30
+
+
+def test_account_codes_end_where_their_country_has_it(spark):
+    german, british = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    found = {german: f"IBAN {german} AND pay", british: f"account {british} 2024 x", "NO9386011117947": "NO9386011117947 THEN NO1"}
+    for code, text in found.items():
+        spans = pii.spans(documents(spark, [(1, text)])).collect()[0]["spans"]
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in spans] == [("iban", code)]
+    assert pii.spans(documents(spark, [(1, f"{german}1 and {german[:-1]}1 AND")])).collect()[0]["spans"] == []
+
+
+def test_very_many_matches_are_placed_right(spark):
+    spans = pii.spans(documents(spark, [(1, "call 10.0.0.1 now " * 5000)])).collect()[0]["spans"]
+    assert [s["start"] for s in spans] == [5 + 18 * k for k in range(5000)]
