@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from gaugeworks.llm.base import fresh, run_hashes, slices, stored, table, texts
+from gaugeworks.llm.base import fresh, portions, run_hashes, slices, stored, table, texts
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -202,10 +202,10 @@ def clean(
     dirty = fresh(docs, "dirty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, parts = shared_items.value
-        parts = [Partition(*part) for part in parts]
-        for batch in batches:
-            flags = [bool(contained(shingles(t, width), items, parts, threshold)) for (t,) in texts([batch], text)]
+        items, sketched = shared_items.value
+        sketched = [Partition(*part) for part in sketched]
+        for batch in portions(batches):
+            flags = [bool(contained(shingles(t, width), items, sketched, threshold)) for (t,) in texts([batch], text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], [*batch.schema.names, dirty])
 
     marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(dirty, BooleanType())]))

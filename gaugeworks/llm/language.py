@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from gaugeworks.llm.base import fresh, table, texts
+from gaugeworks.llm.base import fresh, portions, table, texts
 
 ORDERS = 4
 BUCKET_BITS = 13
@@ -300,20 +301,21 @@ def accept(docs: DataFrame, least: float = 0.0, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     fields = model and tuple(vars(model).values())
     shared = spark.sparkContext.broadcast((fields, letter_table()))
-    at = fresh(docs, "text")
+    # A string column is read as it is; a copy would be sent to Python beside it.
+    at = text if docs.schema[text].dataType == StringType() else fresh(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, letter = shared.value
         model = fields and Model(*fields)
-        for batch in batches:
+        for batch in portions(batches):
             good = np.zeros(batch.num_rows, bool)
             if model:
                 weight, scores, count, evidence = _summed(batch, at, model, letter)
                 score = np.clip(scores.max(axis=1) / np.maximum(weight, 1), 0, 1)
                 good = (count > 0) & (evidence / np.maximum(count, 1) >= 1) & (score >= least)
-            yield batch.drop_columns([at]).filter(pa.array(good))
+            yield (batch if at == text else batch.drop_columns([at])).filter(pa.array(good))
 
-    return docs.withColumn(at, F.col(text).cast("string")).mapInArrow(run, docs.schema)
+    return (docs if at == text else docs.withColumn(at, F.col(text).cast("string"))).mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

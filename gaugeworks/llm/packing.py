@@ -28,7 +28,7 @@ from gaugeworks.llm.base import blocks, stored, table, texts
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 20_000
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 _ROWS = 64
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 
@@ -37,8 +37,10 @@ class Encoder:
     """Token ids of whole texts, as little-endian bytes, by way of the ids of their chunks between spaces.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its chunks in a row; chunks are kept, up to a bound. A new chunk
-    of Latin characters is lower-cased and cut as the tokenizer's pattern cuts
+    are those of its chunks in a row; chunks are kept, up to a bound and those of
+    one batch: when half of it is full, it takes the other half's place, from which
+    chunks that are met again come back, so frequent ones are learned once. A new
+    chunk of Latin characters is lower-cased and cut as the tokenizer's pattern cuts
     it, and the pieces are merged by the same vocabulary and ranks, many in one
     call, with a zero byte for the end of a word. Every other chunk goes to the
     tokenizer itself.
@@ -63,11 +65,8 @@ class Encoder:
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_SPACE}{letters}{digits}]+")
         self.plain = re.compile("[\x01-\u012f\u0131-\u024f]+")
         self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
         cut, rest, words = {}, [], set()
@@ -77,14 +76,14 @@ class Encoder:
                 words.update(pieces)
             else:
                 rest.append(chunk)
-        words = list(words.difference(self.words))
+        words, known = list(words), {}
         if words:
             ids = np.array(self.merges.encode_ordinary("\0".join(words) + "\0"), "<u4")
             raw, low = ids.tobytes(), 0
             for word, stop in zip(words, (4 * np.nonzero(self.ends[ids])[0] + 4).tolist(), strict=True):
-                self.words[word] = raw[low:stop]
+                known[word] = raw[low:stop]
                 low = stop
-        get = self.words.__getitem__
+        get = known.__getitem__
         for chunk, pieces in cut.items():
             self.chunks[chunk] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
         for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
@@ -93,9 +92,15 @@ class Encoder:
     def encode(self, batch: list[str | None]) -> Iterator[bytes]:
         cut = [(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in batch]
         new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > self.most:
-            self.forget()
-            new = set().union(*cut) - {""}
+        if len(self.chunks) + len(new) > self.most // 2:
+            self.older, self.chunks = self.chunks, {}
+            new = set().union(*cut)
+        met = new.intersection(self.older)
+        self.chunks.update((chunk, self.older[chunk]) for chunk in met)
+        new -= met
+        if "" in new:
+            self.chunks[""] = b""
+            new.remove("")
         if new:
             self.learn(new)
         get = self.chunks.__getitem__

@@ -21,9 +21,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from gaugeworks.llm.base import fresh, spans_text, table, texts
+from gaugeworks.llm.base import fresh, portions, spans_text, table, texts
 
 # The patterns of the three kinds that are always reported, and their least lengths.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -174,22 +174,23 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
 
     Where the text changed, `length`, if it is a column, becomes its new length.
     """
-    before = fresh(docs, "before")
+    changed = fresh(docs, "changed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [None if t is None else redacted(t, radius) for (t,) in texts([batch], text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, before])
+        for batch in portions(batches):
+            at = batch.schema.get_field_index(text)
+            old = [t for (t,) in texts([batch], text)]
+            new = [None if t is None else redacted(t, radius) for t in old]
+            columns = [*batch.columns, pa.array([a != b for a, b in zip(old, new)], pa.bool_())]
+            columns[at] = pa.array(new, batch.schema.types[at])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, changed])
 
-    made = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(before, docs.schema[text].dataType)]))
+    made = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(changed, BooleanType())]))
 
     def column(name: str) -> Column:
-        if name == text:
-            return F.col(before).alias(name)
         if name == length:
-            same = F.col(before).eqNullSafe(F.col(text))
             kind = docs.schema[name].dataType
-            return F.when(same, F.col(name)).otherwise(F.char_length(before).cast(kind)).alias(name)
+            return F.when(F.col(changed), F.char_length(text).cast(kind)).otherwise(F.col(name)).alias(name)
         return F.col(name)
 
     return made.select(*[column(name) for name in docs.columns])

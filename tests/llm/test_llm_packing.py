@@ -93,6 +93,18 @@ def test_cache_bound_changes_nothing(tokenizer):
     assert len(list(small.encode(batch))) == 3
 
 
+def test_cache_keeps_what_recurs_within_its_bound(tokenizer):
+    small, learned = packing.Encoder(PATH, most=100), []
+    learn = small.learn
+    small.learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    for k in range(60):
+        batch = [" ".join(["often", *(f"rare{10 * k + n}" for n in range(10))])]
+        assert np.frombuffer(next(small.encode(batch)), "<u4").tolist() == tokenizer.encode(batch[0], add_special_tokens=False).ids
+        held = sum(len(part) for part in vars(small).values() if isinstance(part, dict))
+        assert held <= 100
+    assert learned.count("often") == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_local_search_keeps_pieces_and_capacity(lengths):

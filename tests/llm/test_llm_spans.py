@@ -6,7 +6,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from cases import AWKWARD, documents
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import pii, secrets
 from gaugeworks.llm.base import table
@@ -93,6 +95,26 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert secrets.redact(documents(spark, [])).collect() == [] == secrets.scan(documents(spark, [])).collect()
 
 
+def test_redaction_returns_texts_once_and_few_at_a_time(spark):
+    seen = []
+
+    class Rows:
+        schema = documents(spark, []).schema
+        columns = schema.names
+
+        def mapInArrow(self, run, schema):
+            seen.append([f.name for f in schema.fields if f.dataType == schema["text"].dataType])
+            batch = pa.RecordBatch.from_pylist([{c: "token = abcdef12" if c == "text" else None for c in self.columns}] * 1000)
+            seen.extend(run(iter([batch])))
+            return documents(spark, []).withColumn(schema.names[-1], F.lit(True))
+
+    secrets.redact(Rows())
+    fields, *out = seen
+    assert fields == [f.name for f in Rows.schema.fields if f.dataType == Rows.schema["text"].dataType]
+    assert max(b.num_rows for b in out) <= 256
+    assert [t for b in out for t in b.column("text").to_pylist()] == ["[ASSIGN]"] * 1000
+
+
 def test_personal_data_of_noise(spark):
     texts = noise(2, PII_PARTS, 3000) + [t for _, t in AWKWARD] + ["1 " * 3000, "a" * 5000 + "@", "1.2.3.4 " * 700, "a@b.co" * 300, "9" * 30_000]
     rows = list(enumerate(texts))
