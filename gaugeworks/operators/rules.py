@@ -12,6 +12,7 @@ import datetime as dt
 import itertools
 import json
 import math
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -30,6 +31,20 @@ _SHARE_DIGITS = 4
 _SCALARS = itertools.count()
 
 
+@dataclass(frozen=True)
+class Counted:
+    """What a rule takes from the rows counted per key.
+
+    ``aggregates`` are SQL over one row per distinct key with its row count ``n`` and,
+    for a rule with a table ``known`` of one column, the flag ``{known}``, NULL where
+    the key isn't listed. Rules with equal ``keys`` can share the count.
+    """
+
+    keys: tuple[str, ...]
+    aggregates: Mapping[str, str]
+    known: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Rule:
     """One check.
@@ -40,8 +55,8 @@ class Rule:
     ``frame`` replaces the pass over the table for rules that need a shuffle: it
     maps the table to one row holding ``n_rows`` and whatever the rule needs, or with
     columns to group by to such a row per group; rules with the same ``frame_key``
-    share that row. ``gate`` looks at the schema; when
-    it fails no other rule of the suite is run.
+    share that row. ``counted`` says the same in a form that rules on equal keys can
+    share. ``gate`` looks at the schema; when it fails no other rule of the suite is run.
     """
 
     name: str
@@ -56,6 +71,7 @@ class Rule:
     scalars: Mapping[str, Column] = field(default_factory=dict)
     frame: Callable[..., DataFrame] | None = None
     frame_key: str | None = None
+    counted: Counted | None = None
     observed_text: str | None = None
     severity_sql: str | None = None
     expected_sql: str | None = None
@@ -198,6 +214,26 @@ def distinct_keys(df: DataFrame, keys: Sequence[str], by: Sequence[Column] = ())
     return counted.groupBy(*names).agg(F.expr(f"coalesce(sum(n), 0) AS {ROWS}"), F.expr("count(1) AS n_keys"))
 
 
+_KEYS = {"n_keys": "count(1)"}
+
+
+def counted_keys(df: DataFrame, rules: Sequence[Rule], by: Sequence[Column] = ()) -> DataFrame:
+    """The row that rules on equal keys need, of the table or of each group of ``by``, from one count per key."""
+    df, names = grouped(df, by)
+    keys = {f"__key{k}": F.col(c) for k, c in enumerate(rules[0].counted.keys)}
+    rows = df.groupBy(*names, *[c.alias(name) for name, c in keys.items()]).agg(F.count(F.lit(1)).alias("n"))
+    wanted, joined = {ROWS: "coalesce(sum(n), 0)"}, set()
+    for rule in rules:
+        flag = f"__known{len(joined)}"
+        if rule.counted.known is not None and rule.frame_key not in joined:
+            joined.add(rule.frame_key)
+            listed = rule.counted.known.toDF("__key0").distinct().withColumn(flag, F.lit(True))
+            rows = rows.join(listed, "__key0", "left")
+        for name, sql in rule.counted.aggregates.items():
+            wanted.setdefault(name, sql.replace("{known}", flag))
+    return rows.groupBy(*names).agg(*[F.expr(f"{sql} AS {name_of(name)}") for name, sql in wanted.items()])
+
+
 def duplicates(keys: Sequence[str], max_share: float) -> Rule:
     keys = tuple(keys)
     return _share_rule(
@@ -210,6 +246,7 @@ def duplicates(keys: Sequence[str], max_share: float) -> Rule:
         columns=keys,
         frame=lambda df, by=(): distinct_keys(df, keys, by),
         frame_key=json.dumps(keys),
+        counted=Counted(keys, _KEYS),
     )
 
 
@@ -235,6 +272,7 @@ def cardinality(column: str, max_distinct: int, approximate: bool = False) -> Ru
         **common,
         frame=lambda df, by=(): distinct_keys(df, [column], by),
         frame_key=json.dumps([column]),
+        counted=Counted((column,), _KEYS),
         observed="n_keys",
         passed=f"n_keys <= {max_distinct}",
     )
@@ -287,6 +325,11 @@ def _frame_key(kind: str, column: str, known: DataFrame, known_column: str) -> s
     return json.dumps([kind, column, known.semanticHash(), known_column])
 
 
+def _own_name(name: str, key: str) -> str:
+    """A name that rules on other tables don't have."""
+    return f"{name}_{zlib.crc32(key.encode()):08x}"
+
+
 def _matched_values(
     df: DataFrame, column: str, known: DataFrame, known_column: str, by: Sequence[Column], *aggregates: str
 ) -> DataFrame:
@@ -305,17 +348,22 @@ def _matched_values(
 def allowed_domain_table(column: str, domain: DataFrame, domain_column: str) -> Rule:
     """:func:`allowed_domain` for a list too long for a literal: rows whose value is not in ``domain``."""
 
+    key = _frame_key("domain", column, domain, domain_column)
+    name = _own_name("n_bad", key)
+    bad = "coalesce(sum(n) FILTER (WHERE {value} IS NOT NULL AND {known} IS NULL), 0)"
+
     def frame(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
-        bad = "coalesce(sum(n) FILTER (WHERE __value IS NOT NULL AND __known IS NULL), 0) AS n_bad"
-        return _matched_values(df, column, domain, domain_column, by, f"coalesce(sum(n), 0) AS {ROWS}", bad)
+        own = bad.format(value="__value", known="__known")
+        return _matched_values(df, column, domain, domain_column, by, f"coalesce(sum(n), 0) AS {ROWS}", f"{own} AS {name}")
 
     return _none_allowed(
         f"allowed_domain[{column}]",
         f"{column} is listed in a domain table",
         column,
-        "n_bad",
+        name,
         frame=frame,
-        frame_key=_frame_key("domain", column, domain, domain_column),
+        frame_key=key,
+        counted=Counted((column,), {name: bad.format(value="__key0", known="{known}")}, domain.select(domain_column)),
     )
 
 
@@ -338,17 +386,21 @@ def target_distribution(column: str, low: float = 0.01, high: float = 0.99) -> R
 def referential_integrity(column: str, reference: DataFrame, reference_column: str) -> Rule:
     """Distinct values without a match in the reference; NULL matches nothing and counts once."""
 
+    key = _frame_key("reference", column, reference, reference_column)
+    name = _own_name("n_orphans", key)
+
     def frame(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
-        orphans = "count_if(__known IS NULL) AS n_orphans"
+        orphans = f"count_if(__known IS NULL) AS {name}"
         return _matched_values(df, column, reference, reference_column, by, f"coalesce(sum(n), 0) AS {ROWS}", orphans)
 
     return _none_allowed(
         f"referential_integrity[{column}]",
         f"{column} exists in the reference",
         column,
-        "n_orphans",
+        name,
         frame=frame,
-        frame_key=_frame_key("reference", column, reference, reference_column),
+        frame_key=key,
+        counted=Counted((column,), {name: "count_if({known} IS NULL)"}, reference.select(reference_column)),
     )
 
 

@@ -56,5 +56,9 @@ def from_sketches(rule: Rule, sketches: DataFrame) -> Rule:
     """
     row = merged_sketches(sketches.where(F.col("keys") == _label(rule.columns))).drop("keys")
     return replace(
-        rule, name=f"{rule.name}~", frame=lambda df, by=(): row, frame_key=f"sketches {sketches.semanticHash()} {_label(rule.columns)}"
+        rule,
+        name=f"{rule.name}~",
+        frame=lambda df, by=(): row,
+        frame_key=f"sketches {sketches.semanticHash()} {_label(rule.columns)}",
+        counted=None,
     )

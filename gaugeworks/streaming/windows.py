@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.columns import share
-from gaugeworks.operators.rules import ROWS, Rule
+from gaugeworks.operators.rules import ROWS, Rule, counted_keys
 from gaugeworks.operators.suite import QualitySuite
 
 _SPREAD = 64
@@ -25,13 +25,18 @@ def windowed_rules(
 
     Rules that need a shuffle of their own (duplicates, cardinality, a domain or
     reference table) keep a count per window and key, and from these, when the
-    window is final, one row per window. Each key set or table is an aggregation of
-    its own over the stream; the tables are read anew for every batch.
+    window is final, one row per window. Rules on equal keys share that state, and
+    rules on the row count alone take it from there; each other key set is an
+    aggregation of its own over the stream. The tables are read anew for every batch.
+    A checkpoint goes with the list of rules it was written for.
     """
     window = F.window(event_time, width, slide) if slide else F.window(event_time, width)
-    passes: dict[str | None, list[tuple[int, Rule]]] = {}
+    passes: dict[str | tuple[str, ...] | None, list[tuple[int, Rule]]] = {}
     for position, rule in enumerate(rules, start=1):
-        passes.setdefault(rule.frame_key, []).append((position, rule))
+        passes.setdefault(rule.counted.keys if rule.counted else rule.frame_key, []).append((position, rule))
+    first = next((key for key in passes if isinstance(key, tuple)), None)
+    if first is not None and not any(rule.aggregates for _, rule in passes.get(None, ())):
+        passes[first] = passes.pop(None, []) + passes[first]
     results = None
     for number, (key, members) in enumerate(passes.items()):
         if key is None:
@@ -40,7 +45,8 @@ def windowed_rules(
             # Spark 4.1 loses the watermark of an aggregation that shares its exchange with an equal one of
             # another pass and then never ends its windows. A number that can't be folded keeps them apart.
             apart = F.when(F.col(event_time).isNull(), -1).otherwise(number).alias("__pass")
-            rows = members[0][1].frame(stream, (window, apart))
+            counted = [rule for _, rule in members if rule.counted]
+            rows = counted_keys(stream, counted, (window, apart)) if counted else members[0][1].frame(stream, (window, apart))
         bounded = rows.withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
         part = QualitySuite.verdicts(bounded, members, ("window_start", "window_end"))
         results = part if results is None else results.unionByName(part)

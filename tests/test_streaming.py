@@ -77,6 +77,29 @@ def test_rules_on_keys_per_window(spark, tmp_path, slide):
     assert set(found) == ({"00:00", "05:00"} if slide is None else {"23:30", "00:00", "00:30", "04:30", "05:00"})
 
 
+def test_rules_on_equal_keys_share_their_state(spark, tmp_path):
+    landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    one, other = (spark.createDataFrame([(v,)], "v double") for v in (1.0, 2.0))
+    listed = [r.allowed_domain_table("v", one, "v"), r.allowed_domain_table("v", other, "v")]
+    rules = [r.row_count(1, 9), r.duplicates(["v"], 0.3), r.cardinality("v", 2), *listed, r.referential_integrity("v", one, "v"), r.duplicates(["id"], 0.3)]
+
+    def suite():
+        stream = ss.with_event_time(ss.read_stream(spark, landing, schema), "ts", "10 minutes")
+        return sw.windowed_rules(stream, rules, "ts", "1 hour")
+
+    schema = land(spark, landing, *[(k, "2024-01-01 00:10:00", v) for k, v in enumerate((1.0, 1.0, 1.0, 2.0, None))])
+    # One pass for v and one for id.
+    assert suite()._jdf.queryExecution().analyzed().toString().count("StreamingRelation") == 2
+    ss.to_files(suite(), out, check)
+    land(spark, landing, (9, "2024-01-01 05:00:00", 1.0))
+    ss.to_files(suite(), out, check)
+    found = {row["position"]: (row["rule"], row["observed_num"], row["row_count"]) for row in spark.read.parquet(out).collect()}
+    assert found == {
+        1: ("row_count", 5.0, 5), 2: ("duplicates[v]", 0.4, 5), 3: ("cardinality[v]", 3.0, 5), 4: ("allowed_domain[v]", 1.0, 5),
+        5: ("allowed_domain[v]", 3.0, 5), 6: ("referential_integrity[v]", 2.0, 5), 7: ("duplicates[id]", 0.0, 5),
+    }
+
+
 def test_upsert_stream_takes_a_repeated_batch_once(spark, tmp_path):
     landing = str(tmp_path / "in")
     table = KeyedTable(spark, str(tmp_path / "t"), ["id"])
