@@ -39,11 +39,11 @@ class Encoder:
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its chunks in a row; chunks are kept, up to a bound and those of
     one batch: when half of it is full, it takes the other half's place, from which
-    chunks that are met again come back, so frequent ones are learned once. A new
-    chunk of Latin characters is lower-cased and cut as the tokenizer's pattern cuts
-    it, and the pieces are merged by the same vocabulary and ranks, many in one
-    call, with a zero byte for the end of a word. Every other chunk goes to the
-    tokenizer itself.
+    chunks that are met again come back, so frequent ones are learned once. New
+    chunks of Latin characters are lower-cased and cut as the tokenizer's pattern cuts
+    them, all of a batch as one string, and the pieces are merged by the same
+    vocabulary and ranks in one call, with a zero byte for the end of a word. Every
+    other chunk goes to the tokenizer itself.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
@@ -63,31 +63,35 @@ class Encoder:
         self.merges = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
         letters, digits = (_latin(kind) for kind in "LN")
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_SPACE}{letters}{digits}]+")
-        self.plain = re.compile("[\x01-\u012f\u0131-\u024f]+")
+        # Without the white space that stands in chunks; line feeds part the chunks.
+        self.plain = re.compile("[\x01-\x08\n\x0e-\x1f!-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]+")
         self.most = most
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        cut, rest, words = {}, [], set()
-        for chunk in chunks:
-            if self.plain.fullmatch(chunk) and "<|" not in chunk:
-                cut[chunk] = pieces = self.pieces.findall(chunk.lower())
-                words.update(pieces)
-            else:
-                rest.append(chunk)
-        words, known = list(words), {}
-        if words:
-            ids = np.array(self.merges.encode_ordinary("\0".join(words) + "\0"), "<u4")
+        own, rest = list(chunks), []
+        joined = "\n".join(own)
+        if "<|" in joined or not self.plain.fullmatch(joined):
+            known = [self.plain.fullmatch(chunk) is not None and "<|" not in chunk for chunk in own]
+            rest = [chunk for chunk, plain in zip(own, known) if not plain]
+            own = [chunk for chunk, plain in zip(own, known) if plain]
+            joined = "\n".join(own)
+        if own:
+            cut = self.pieces.sub("\\g<0>\0", joined.lower() + "\n")
+            marks = np.frombuffer(cut.encode(), np.uint8)
+            counts = np.cumsum(marks == 0)[marks == 10]
+            ids = np.array(self.merges.encode_ordinary(cut.replace("\n", "")), "<u4")
+            ends = 4 * np.nonzero(self.ends[ids])[0] + 4
+            if len(ends) != counts[-1]:
+                raise ValueError("a piece without one token that ends it")
             raw, low = ids.tobytes(), 0
-            for word, stop in zip(words, (4 * np.nonzero(self.ends[ids])[0] + 4).tolist(), strict=True):
-                known[word] = raw[low:stop]
+            for chunk, stop in zip(own, ends[counts - 1].tolist()):
+                self.chunks[chunk] = raw[low:stop]
                 low = stop
-        get = known.__getitem__
-        for chunk, pieces in cut.items():
-            self.chunks[chunk] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
-        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.chunks[chunk] = np.array(found.ids, "<u4").tobytes()
+        if rest:
+            for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                self.chunks[chunk] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, batch: list[str | None]) -> Iterator[bytes]:
         cut = [(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in batch]
@@ -95,9 +99,9 @@ class Encoder:
         if len(self.chunks) + len(new) > self.most // 2:
             self.older, self.chunks = self.chunks, {}
             new = set().union(*cut)
-        met = new.intersection(self.older)
+        met = [chunk for chunk in new if chunk in self.older]
         self.chunks.update((chunk, self.older[chunk]) for chunk in met)
-        new -= met
+        new.difference_update(met)
         if "" in new:
             self.chunks[""] = b""
             new.remove("")

@@ -105,6 +105,22 @@ def test_cache_keeps_what_recurs_within_its_bound(tokenizer):
     assert learned.count("often") == 1
 
 
+def test_a_batch_of_new_chunks_is_cut_in_one_call(tokenizer):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.pattern, name)
+
+    encoder = packing.Encoder(PATH)
+    encoder.pieces = Counted(encoder.pieces)
+    batch = ["".join(f"word{n}, It's{n % 7}\x1f Été.{n} " for n in range(300)), "a\xa0b \x0b \x85c\x0cd \xa0 İx <| don't\x00 ½²"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(batch)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+    assert encoder.pieces.calls == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_local_search_keeps_pieces_and_capacity(lengths):
